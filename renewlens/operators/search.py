@@ -39,8 +39,12 @@ def build_postings(docs: DataFrame, vocabulary: DataFrame | None = None) -> Data
     With a ``vocabulary`` (one ``word`` column) all other words are dropped
     where the text is read.
     """
-    found = words(F.col("text"))
-    exploded = docs.select("doc_id", F.size(found).cast("long").alias("length"), F.explode(found).alias("word"))
+    # The length is taken before the words are unfolded; beside the explode it would be
+    # worked out again for every word.
+    found = docs.select("doc_id", words(F.col("text")).alias("found")).select(
+        "doc_id", F.size("found").cast("long").alias("length"), "found"
+    )
+    exploded = found.select("doc_id", "length", F.explode("found").alias("word"))
     if vocabulary is not None:
         exploded = exploded.join(vocabulary, "word", "left_semi")
     return exploded.groupBy("doc_id", "word").agg(F.max("length").alias("length"), F.count("*").alias("tf"))
