@@ -1,4 +1,4 @@
-"""Text forms of numbers and codes."""
+"""Text forms of numbers and codes. Arguments are column names or SQL expressions."""
 
 from __future__ import annotations
 
@@ -6,23 +6,31 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def whole(amount: Column) -> Column:
+def whole_sql(amount: str) -> str:
     """Whole number with thousands separators, halves rounded away from zero.
 
     Any size is written out; no padding and no overflow marks.
     """
-    return F.format_number(F.round(amount, 0), 0)
+    return f"format_number(round({amount}, 0), 0)"
 
 
-def signed_money(change: Column) -> Column:
+def whole_money(amount: str) -> Column:
+    return F.expr(f"concat('$', {whole_sql(amount)})")
+
+
+def signed_money(change: str) -> Column:
     """``+$1,530`` or ``$-1,530``; a dash when nothing changed."""
-    sign = F.when(change > 0, "+").otherwise("")
-    return F.when(change == 0, "—").otherwise(F.concat(sign, F.lit("$"), whole(change)))
+    return F.expr(
+        f"CASE WHEN {change} = 0 THEN '—' "
+        f"ELSE concat(CASE WHEN {change} > 0 THEN '+' ELSE '' END, '$', {whole_sql(change)}) END"
+    )
 
 
-def signed_percent(change: Column, percent: Column) -> Column:
-    sign = F.when(change > 0, "+").otherwise("")
-    return F.when(change == 0, "—").otherwise(F.concat(sign, percent.cast("string"), F.lit("%")))
+def signed_percent(change: str, percent: str) -> Column:
+    return F.expr(
+        f"CASE WHEN {change} = 0 THEN '—' "
+        f"ELSE concat(CASE WHEN {change} > 0 THEN '+' ELSE '' END, string({percent}), '%') END"
+    )
 
 
 def title_case(code: Column) -> Column:

@@ -1,12 +1,12 @@
-"""Change, severity, direction and band rules as column expressions.
+"""Change, severity, direction and band rules.
 
+Arguments are column names or SQL expressions. Each rule is one SQL expression,
+so a wide product is built in few calls and reads like the rule it states.
 Money and scores are decimals, so every threshold compares exact values.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -28,94 +28,86 @@ CHURN_BANDS = (("HIGH", "0.7"), ("MODERATE", "0.4"), ("LOW", "0.2"))
 CHURN_FLOOR = "MINIMAL"
 
 
-def churn_label(score: Column) -> Column:
-    label = F.lit(CHURN_FLOOR)
-    for name, lowest in reversed(CHURN_BANDS):
-        label = F.when(score >= F.lit(lowest).cast("decimal(3,2)"), name).otherwise(label)
-    return label
+def churn_label(score: str) -> Column:
+    bands = " ".join(f"WHEN {score} >= {lowest} THEN '{name}'" for name, lowest in CHURN_BANDS)
+    return F.expr(f"CASE {bands} ELSE '{CHURN_FLOOR}' END")
 
 
-def percent_change(old: Column, new: Column) -> Column:
+def percent_sql(old: str, new: str) -> str:
     """Unrounded percent; NULL when the base is zero or either side is NULL."""
-    return (new - old) / F.nullif(old, F.lit(0)) * 100
+    return f"(({new} - {old}) / nullif({old}, 0) * 100)"
 
 
-def percent_change_shown(old: Column, new: Column) -> Column:
-    return F.round(percent_change(old, new), 1)
+def percent_change(old: str, new: str) -> Column:
+    return F.expr(f"round({percent_sql(old, new)}, 1)")
 
 
-def severity(old: Column, new: Column, field: str) -> Column:
+def severity(old: str, new: str, field: str) -> Column:
     """Size of a change regardless of its sign, from the unrounded percent.
 
     A value added to a zero base has no percent and is MINOR; a NULL side
     decides nothing and is UNCHANGED.
     """
     major, moderate = THRESHOLDS[field]
-    size = F.abs(percent_change(old, new))
-    graded = (
-        F.when(size > major, "MAJOR")
-        .when(size > moderate, "MODERATE")
-        .when(new != old, "MINOR")
-        .otherwise("UNCHANGED")
-    )
+    size = f"abs({percent_sql(old, new)})"
+    absent = ""
     if field in ZERO_GUARDED:
-        absent = [F.coalesce(side, F.lit(0)) == 0 for side in (old, new)]
-        graded = F.when(absent[0] & absent[1], "UNCHANGED").otherwise(graded)
-    return graded
+        absent = f"WHEN coalesce({old}, 0) = 0 AND coalesce({new}, 0) = 0 THEN 'UNCHANGED'"
+    return F.expr(
+        f"CASE {absent} WHEN {size} > {major} THEN 'MAJOR' WHEN {size} > {moderate} THEN 'MODERATE' "
+        f"WHEN {new} != {old} THEN 'MINOR' ELSE 'UNCHANGED' END"
+    )
 
 
-def worst(severities: list[Column], floor: str = "UNCHANGED") -> Column:
+def worst(severities: list[str], floor: str = "UNCHANGED") -> Column:
     """Worst of several severities, never below ``floor``."""
-    label = F.lit(floor)
-    for level in SEVERITIES[SEVERITIES.index(floor) + 1 :]:
-        label = F.when(reduce(Column.__or__, [s == level for s in severities]), level).otherwise(label)
-    return label
+    above = SEVERITIES[SEVERITIES.index(floor) + 1 :]
+    levels = " ".join(f"WHEN '{x}' IN ({', '.join(severities)}) THEN '{x}'" for x in reversed(above))
+    return F.expr(f"CASE {levels} ELSE '{floor}' END")
 
 
-def differs(old: Column, new: Column) -> Column:
+def differs(old: str, new: str) -> Column:
     """TRUE only when both sides are known and unequal."""
-    return F.coalesce(old != new, F.lit(False))
+    return F.expr(f"coalesce({old} != {new}, false)")
 
 
-def risk_rank(level: Column) -> Column:
-    return F.when(level == "HIGH", 3).when(level == "MEDIUM", 2).otherwise(1)
+def risk_rank_sql(level: str) -> str:
+    return f"CASE {level} WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END"
 
 
-def risk_direction(old: Column, new: Column) -> Column:
+def risk_direction(old: str, new: str) -> Column:
     """UP / DOWN / UNCHANGED of a rating. A missing rating ranks lowest, and two
     ratings that are not known to be equal never count as UNCHANGED."""
-    return (
-        F.when(old == new, "UNCHANGED")
-        .when(risk_rank(new) > risk_rank(old), "UP")
-        .otherwise("DOWN")
+    return F.expr(
+        f"CASE WHEN {old} = {new} THEN 'UNCHANGED' "
+        f"WHEN {risk_rank_sql(new)} > {risk_rank_sql(old)} THEN 'UP' ELSE 'DOWN' END"
     )
 
 
-def score_direction(old: Column, new: Column) -> Column:
-    return F.when(new > old, "INCREASED").when(new < old, "DECREASED").otherwise("UNCHANGED")
+def score_direction(old: str, new: str) -> Column:
+    return F.expr(
+        f"CASE WHEN {new} > {old} THEN 'INCREASED' WHEN {new} < {old} THEN 'DECREASED' ELSE 'UNCHANGED' END"
+    )
 
 
-def item_list(text: Column) -> Column:
+def item_list(text: str) -> Column:
     """Comma-separated text as a sorted array of trimmed lower-case items."""
-    items = F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), ","), lambda x: F.trim(x))
-    return F.array_sort(F.array_distinct(F.filter(items, lambda x: x != "")))
+    items = f"transform(split(lower(coalesce({text}, '')), ','), x -> trim(x))"
+    return F.expr(f"array_sort(array_distinct(filter({items}, x -> x != '')))")
 
 
-def sentiment_label(score: Column) -> Column:
+def sentiment_label(score: str) -> Column:
     # Lower bounds of the tone bands. An unknown score takes the last one.
-    return (
-        F.when(score > 0.3, "Positive")
-        .when(score > 0.0, "Neutral")
-        .when(score > -0.3, "Mildly Concerned")
-        .when(score > -0.6, "Concerned")
-        .otherwise("Very Negative")
+    return F.expr(
+        f"CASE WHEN {score} > 0.3D THEN 'Positive' WHEN {score} > 0D THEN 'Neutral' "
+        f"WHEN {score} > -0.3D THEN 'Mildly Concerned' WHEN {score} > -0.6D THEN 'Concerned' "
+        "ELSE 'Very Negative' END"
     )
 
 
-def retention_risk(churn_signal: Column, sentiment: Column) -> Column:
-    return (
-        F.when(churn_signal == "high", "HIGH")
-        .when((churn_signal == "moderate") | (sentiment < -0.3), "ELEVATED")
-        .when((churn_signal == "low") | (sentiment < 0.0), "LOW")
-        .otherwise("MINIMAL")
+def retention_risk(churn_signal: str, sentiment: str) -> Column:
+    return F.expr(
+        f"CASE WHEN {churn_signal} = 'high' THEN 'HIGH' "
+        f"WHEN {churn_signal} = 'moderate' OR {sentiment} < -0.3D THEN 'ELEVATED' "
+        f"WHEN {churn_signal} = 'low' OR {sentiment} < 0D THEN 'LOW' ELSE 'MINIMAL' END"
     )

@@ -1,5 +1,15 @@
 """Messages and sentence parts that documents must carry verbatim."""
 
+from __future__ import annotations
+
+
+def quoted(text: str | None) -> str:
+    """A text as a SQL literal."""
+    if text is None:
+        return "NULL"
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 CUSTOMER_NOT_FOUND = "Customer not found"
 NO_RENEWAL = "No renewal proposal found for this customer"
 NO_RISK_CHANGE = "Only one risk assessment on file — no change to compare"

@@ -54,7 +54,7 @@ def renewal_flag(tables: Tables) -> DataFrame:
 
 def churn_bands(customer: DataFrame) -> DataFrame:
     return customer.select(
-        "customer_id", "churn_risk_score", churn_label(F.col("churn_risk_score")).alias("churn_risk_label")
+        "customer_id", "churn_risk_score", churn_label("churn_risk_score").alias("churn_risk_label")
     )
 
 
@@ -100,7 +100,7 @@ def customer_360(tables: Tables) -> DataFrame:
         .join(current, "customer_id", "left")
         .select(
             "customer_id", "name", "age", "tenure_years", "customer_value", "payment_history",
-            "churn_risk_score", churn_label(F.col("churn_risk_score")).alias("churn_risk_label"),
+            "churn_risk_score", churn_label("churn_risk_score").alias("churn_risk_label"),
             "property_id", "property_type", "location", "building_age", "construction_type",
             "policy_id", "policy_status", "effective_date", "expiry_date", "annual_premium", "deductible",
             "building_coverage", "contents_coverage", "flood_coverage", "flood_deductible", "exclusions",

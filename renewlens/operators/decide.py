@@ -6,8 +6,6 @@ candidates is row-local: no join with the menu, no window and no shuffle.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +13,7 @@ from ..functions import display, texts
 from ..functions.model_json import read_recommendation
 from ..sources.tables import Tables
 from .customer360 import customer_360, top_per_key
-from .policy import finding, policy_comparison, policy_document, requested_customers
+from .policy import finding_sql, policy_comparison, policy_document, requested_customers
 from .risk import (
     DIMENSIONS,
     communication_points,
@@ -136,86 +134,83 @@ def nba_context(tables: Tables, requests: DataFrame, interaction_docs: DataFrame
     )
 
 
+def _any(conditions: list[str]) -> str:
+    return "(" + " OR ".join(f"coalesce({c}, false)" for c in conditions) + ")"
+
+
+# Facts that scoring and explanation look at, over a context row.
+FACTS = {
+    "likely_to_leave": _any(["customer_360.churn_risk_label = 'HIGH'", "retention_risk = 'HIGH'"]),
+    "major_change": "overall_severity = 'MAJOR'",
+    "small_change": "overall_severity IN ('MINOR', 'UNCHANGED')",
+    "risk_up": _any([f"{d}_direction = 'UP'" for d in DIMENSIONS]),
+    "open_claim": "customer_360.open_claims > 0",
+    "many_claims_or_lapsed": _any(["customer_360.total_claims >= 3", "customer_360.policy_status = 'LAPSED'"]),
+    "incomplete": _any([f"customer_360.{f} IS NULL" for f in NEEDED_FIELDS]),
+    "comparable": "overall_severity IS NOT NULL",
+    "lapsed": "customer_360.policy_status = 'LAPSED'",
+    "several_claims": "customer_360.total_claims >= 2",
+    "high_risk": _any([f"customer_360.current_{d}_risk = 'HIGH'" for d in DIMENSIONS]),
+    "valuable": f"customer_360.customer_value >= {ESCALATION_VALUE}",
+    "high_churn": "customer_360.churn_risk_label = 'HIGH'",
+    "coverage_worry": "coverage_concern",
+}
+# Whether the data supports an action at all.
+SUPPORT = {
+    "A": "true",
+    "B": "fact.comparable OR fact.lapsed",
+    "C": "fact.comparable",
+    "D": "fact.high_risk",
+    "E": "fact.high_churn AND fact.valuable",
+    "F": "fact.open_claim OR fact.several_claims OR fact.lapsed OR fact.coverage_worry",
+    "G": "fact.incomplete",
+}
+
+
 def _flags(joined: DataFrame, talked: bool) -> DataFrame:
     """Add the two remaining documents and the facts that scoring looks at."""
-    c = F.col("customer_360")
-    said = F.col("interaction_intelligence")
-    retention = said["retention_risk"] if talked else F.lit(None).cast("string")
-    coverage = said["signals"]["coverage_concern"] if talked else F.lit(None).cast("boolean")
-    comparable = F.col("overall_severity").isNotNull()
-    lapsed = F.coalesce(c["policy_status"] == "LAPSED", F.lit(False))
-    up = reduce(Column.__or__, [F.coalesce(F.col(f"{d}_direction") == "UP", F.lit(False)) for d in DIMENSIONS])
-    high = reduce(
-        Column.__or__, [F.coalesce(c[f"current_{d}_risk"] == "HIGH", F.lit(False)) for d in DIMENSIONS]
-    )
-    leaving = (c["churn_risk_label"] == "HIGH") | F.coalesce(retention == "HIGH", F.lit(False))
-    facts = {
-        "likely_to_leave": leaving,
-        "major_change": F.coalesce(F.col("overall_severity") == "MAJOR", F.lit(False)),
-        "small_change": F.coalesce(F.col("overall_severity").isin("MINOR", "UNCHANGED"), F.lit(False)),
-        "risk_up": up,
-        "open_claim": c["open_claims"] > 0,
-        "many_claims_or_lapsed": (c["total_claims"] >= 3) | lapsed,
-        "incomplete": reduce(Column.__or__, [c[f].isNull() for f in NEEDED_FIELDS]),
-        "comparable": comparable,
-        "lapsed": lapsed,
-        "several_claims": c["total_claims"] >= 2,
-        "high_risk": high,
-        "valuable": F.coalesce(c["customer_value"] >= ESCALATION_VALUE, F.lit(False)),
-        "high_churn": F.coalesce(c["churn_risk_label"] == "HIGH", F.lit(False)),
-        "coverage_worry": F.coalesce(coverage, F.lit(False)),
-    }
-    fact = F.struct(*[F.coalesce(v, F.lit(False)).alias(k) for k, v in facts.items()])
+
+    def heard(path: str, kind: str = "string") -> str:
+        return f"interaction_intelligence.{path}" if talked else f"cast(NULL AS {kind})"
+
+    fact = ", ".join(f"'{name}', coalesce({condition}, false)" for name, condition in FACTS.items())
     return joined.select(
         "*",
         policy_document().alias("policy_comparison"),
         risk_document().alias("risk_analysis"),
-        fact.alias("fact"),
-        retention.alias("retention_risk"),
-        (said["sentiment"]["label"] if talked else F.lit(None).cast("string")).alias("tone"),
-        (said["intent"]["label"] if talked else F.lit(None).cast("string")).alias("intent"),
-    )
-
-
-def eligible(code: str) -> Column:
-    """Whether the data supports an action at all."""
-    f = F.col("fact")
-    return {
-        "A": F.lit(True),
-        "B": f["comparable"] | f["lapsed"],
-        "C": f["comparable"],
-        "D": f["high_risk"],
-        "E": f["high_churn"] & f["valuable"],
-        "F": f["open_claim"] | f["several_claims"] | f["lapsed"] | f["coverage_worry"],
-        "G": f["incomplete"],
-    }[code]
-
-
-def _points(code: str, position: int, criterion: str) -> Column:
-    points = F.lit(BASE[code][position])
-    for fact, action, on, added in ADJUSTMENTS:
-        if action == code and on == criterion:
-            points = points + F.when(F.col("fact")[fact], added).otherwise(0)
-    return F.greatest(F.lit(1), F.least(F.lit(10), points))
+        F.expr(heard("retention_risk")).alias("retention_risk"),
+        F.expr(heard("signals.coverage_concern", "boolean")).alias("coverage_concern"),
+        F.expr(heard("sentiment.label")).alias("tone"),
+        F.expr(heard("intent.label")).alias("intent"),
+    ).withColumn("fact", F.expr(f"named_struct({fact})"))
+
+
+def _points_sql(code: str, position: int, criterion: str) -> str:
+    added = [
+        f"IF(fact.{fact}, {points}, 0)"
+        for fact, action, on, points in ADJUSTMENTS
+        if (action, on) == (code, criterion)
+    ]
+    return f"greatest(1, least(10, {' + '.join([str(BASE[code][position]), *added])}))"
 
 
 def candidates() -> Column:
     """All seven actions with points, best supported first (ties to the earlier code)."""
     rows = []
     for code, title in MENU.items():
-        points = {c: _points(code, i, c) for i, c in enumerate(CRITERIA)}
-        total = reduce(Column.__add__, points.values())
-        rows.append(
-            F.struct(
-                (~eligible(code)).alias("unsupported"),
-                (-total).alias("order"),
-                F.lit(code).alias("code"),
-                F.lit(title).alias("title"),
-                total.alias("composite"),
-                *[v.alias(k) for k, v in points.items()],
-            )
-        )
-    return F.array_sort(F.array(*rows))
+        points = {c: _points_sql(code, i, c) for i, c in enumerate(CRITERIA)}
+        total = " + ".join(points.values())
+        fields = {
+            "unsupported": f"NOT ({SUPPORT[code]})",
+            "place": f"-({total})",
+            "code": f"'{code}'",
+            "title": f"'{title}'",
+            "composite": total,
+            **points,
+        }
+        inside = ", ".join(f"'{name}', {value}" for name, value in fields.items())
+        rows.append(f"named_struct({inside})")
+    return F.expr(f"array_sort(array({', '.join(rows)}))")
 
 
 def score_candidates(context: DataFrame) -> DataFrame:
@@ -226,146 +221,117 @@ def score_candidates(context: DataFrame) -> DataFrame:
 def candidate_rows(scored: DataFrame) -> DataFrame:
     """One row per request and action, ranked."""
     return scored.select(
-        "customer_id", "interaction_id", F.posexplode("candidates").alias("place", "candidate")
+        "customer_id", "interaction_id", F.posexplode("candidates").alias("position", "candidate")
     ).select(
-        "customer_id", "interaction_id", (F.col("place") + 1).alias("rank"),
+        "customer_id", "interaction_id", (F.col("position") + 1).alias("rank"),
         "candidate.code", "candidate.title", (~F.col("candidate.unsupported")).alias("eligible"),
         "candidate.composite", *[f"candidate.{c}" for c in CRITERIA],
     )
 
 
-def supported() -> Column:
-    return F.filter(F.col("candidates"), lambda c: ~c["unsupported"])
+SUPPORTED_SQL = "filter(candidates, c -> NOT c.unsupported)"
+PRIORITY_SQL = (
+    "CASE WHEN fact.major_change OR fact.high_churn OR fact.open_claim THEN 'HIGH' "
+    "WHEN (fact.small_change OR NOT fact.comparable) "
+    "AND customer_360.churn_risk_label IN ('LOW', 'MINIMAL') THEN 'LOW' ELSE 'MEDIUM' END"
+)
 
 
-def priority() -> Column:
-    f = F.col("fact")
-    calm = F.col("customer_360")["churn_risk_label"].isin("LOW", "MINIMAL")
-    return (
-        F.when(f["major_change"] | f["high_churn"] | f["open_claim"], "HIGH")
-        .when((f["small_change"] | ~f["comparable"]) & calm, "LOW")
-        .otherwise("MEDIUM")
-    )
+def _lines(*parts: str) -> Column:
+    """Array of the lines that are not NULL."""
+    return F.expr(f"array_compact(array({', '.join(parts)}))")
 
 
 def facts() -> Column:
     """Statements taken from data only."""
-    c, f = F.col("customer_360"), F.col("fact")
-    added = F.array_join("exclusions_added", ", ")
     rises = [
-        F.when(
-            F.col(f"{d}_direction") == "UP",
-            F.concat(
-                F.lit(f"{d.capitalize()} risk rose from "), F.col(f"prev_{d}_risk"), F.lit(" to "),
-                F.col(f"curr_{d}_risk"), F.lit(": "), F.col("curr_risk_reason"),
-            ),
-        )
+        f"CASE WHEN {d}_direction = 'UP' THEN concat('{d.capitalize()} risk rose from ', prev_{d}_risk, ' to ', "
+        f"curr_{d}_risk, ': ', curr_risk_reason) END"
         for d in DIMENSIONS
     ]
-    return F.array_compact(
-        F.array(
-            F.concat(
-                F.lit("Customer for "), c["tenure_years"].cast("string"), F.lit(" years, payment history "),
-                c["payment_history"],
-            ),
-            F.concat(
-                c["total_claims"].cast("string"), F.lit(" claims on file, "), c["open_claims"].cast("string"),
-                F.lit(" open, total $"), display.whole(c["total_claim_amount"]),
-            ),
-            finding("premium"),
-            finding("flood_cov"),
-            finding("flood_ded"),
-            F.when(F.size("exclusions_added") > 0, F.concat(F.lit("Exclusions added: "), added)),
-            *rises,
-            F.when(f["lapsed"], F.lit("The policy has lapsed")),
-        )
+    return _lines(
+        "concat('Customer for ', string(customer_360.tenure_years), ' years, payment history ', "
+        "customer_360.payment_history)",
+        "concat(string(customer_360.total_claims), ' claims on file, ', string(customer_360.open_claims), "
+        f"' open, total $', {display.whole_sql('customer_360.total_claim_amount')})",
+        finding_sql("premium"),
+        finding_sql("flood_cov"),
+        finding_sql("flood_ded"),
+        "CASE WHEN size(exclusions_added) > 0 "
+        "THEN concat('Exclusions added: ', array_join(exclusions_added, ', ')) END",
+        *rises,
+        "CASE WHEN fact.lapsed THEN 'The policy has lapsed' END",
     )
 
 
 def interpretation() -> Column:
     """Readings of the data, kept apart from the facts."""
-    return F.array_compact(
-        F.array(
-            F.concat(F.lit("Churn risk: "), F.col("customer_360")["churn_risk_label"]),
-            F.concat(F.lit("Retention risk: "), F.col("retention_risk")),
-            F.concat(F.lit("Tone of the last contact: "), F.col("tone")),
-            F.concat(F.lit("Intent of the last contact: "), F.col("intent")),
-        )
+    return _lines(
+        "concat('Churn risk: ', customer_360.churn_risk_label)",
+        "concat('Retention risk: ', retention_risk)",
+        "concat('Tone of the last contact: ', tone)",
+        "concat('Intent of the last contact: ', intent)",
     )
 
 
 def talking_points() -> Column:
-    c = F.col("customer_360")
-    changed = F.col("overall_direction").isNotNull()
-    loyal = (c["tenure_years"] >= 5) & (c["payment_history"] == "EXCELLENT")
-    about_risk = F.when(changed, communication_points()).otherwise(F.array().cast("array<string>"))
-    others = F.array_compact(
-        F.array(
-            F.when(loyal, F.lit("Thank the customer for the long and reliable relationship")),
-            F.concat(F.lit("Next step: "), F.col("best")["title"]),
-        )
+    others = _lines(
+        "CASE WHEN customer_360.tenure_years >= 5 AND customer_360.payment_history = 'EXCELLENT' "
+        "THEN 'Thank the customer for the long and reliable relationship' END",
+        "concat('Next step: ', best.title)",
+    )
+    about_risk = F.when(F.col("overall_direction").isNotNull(), communication_points()).otherwise(
+        F.expr("cast(array() AS array<string>)")
     )
     return F.slice(F.concat(about_risk, others), 1, TALKING_POINTS)
 
 
 def risk_flags() -> Column:
-    f = F.col("fact")
-    return F.array_compact(
-        F.array(
-            F.when(f["open_claim"], F.lit("Open claim on file")),
-            F.when(f["high_churn"], F.lit("High churn risk")),
-            F.when(f["lapsed"], F.lit("Policy has lapsed")),
-            F.when(f["incomplete"], F.lit("Property or risk data is incomplete")),
-        )
+    return _lines(
+        "CASE WHEN fact.open_claim THEN 'Open claim on file' END",
+        "CASE WHEN fact.high_churn THEN 'High churn risk' END",
+        "CASE WHEN fact.lapsed THEN 'Policy has lapsed' END",
+        "CASE WHEN fact.incomplete THEN 'Property or risk data is incomplete' END",
     )
 
 
-def _weakest(candidate: Column, best: Column) -> Column:
-    """Criterion on which a candidate falls furthest behind; ties to the earlier one."""
-    gaps = [best[c] - candidate[c] for c in CRITERIA]
-    widest = F.greatest(*gaps)
-    chain = F.when(gaps[0] == widest, CRITERIA[0])
-    for name, gap in list(zip(CRITERIA, gaps))[1:]:
-        chain = chain.when(gap == widest, name)
-    return chain
-
-
 def alternatives() -> Column:
-    def describe(candidate: Column) -> Column:
-        reason = F.concat(
-            F.lit("Scored "), candidate["composite"].cast("string"), F.lit(" against "),
-            F.col("best")["composite"].cast("string"), F.lit("; weakest on "),
-            _weakest(candidate, F.col("best")),
-        )
-        return F.struct(
-            candidate["code"].alias("code"), candidate["title"].alias("title"), reason.alias("why_not_selected")
-        )
-
-    return F.transform(F.slice(supported(), 2, ALTERNATIVES), describe)
+    """The next supported actions, each with the criterion on which it falls furthest
+    behind (ties to the earlier criterion)."""
+    gaps = {c: f"(best.{c} - c.{c})" for c in CRITERIA}
+    widest = f"greatest({', '.join(gaps.values())})"
+    weakest = " ".join(f"WHEN {gap} = {widest} THEN '{name}'" for name, gap in gaps.items())
+    reason = (
+        "concat('Scored ', string(c.composite), ' against ', string(best.composite), "
+        f"'; weakest on ', CASE {weakest} END)"
+    )
+    return F.expr(
+        f"transform(slice({SUPPORTED_SQL}, 2, {ALTERNATIVES}), "
+        f"c -> named_struct('code', c.code, 'title', c.title, 'why_not_selected', {reason}))"
+    )
 
 
 def recommend(scored: DataFrame) -> DataFrame:
     """Add ``nba``: the recommendation with its explanation."""
-    with_best = scored.withColumn("best", F.element_at(supported(), 1))
-    best = F.col("best")
-    description = F.element_at(F.create_map(*[F.lit(x) for kv in DESCRIPTIONS.items() for x in kv]), best["code"])
-    why = F.concat(
-        best["title"], F.lit(" scores "), best["composite"].cast("string"),
-        F.lit(" of 40, the most of all actions the data supports"),
+    description = " ".join(f"WHEN '{code}' THEN {texts.quoted(text)}" for code, text in DESCRIPTIONS.items())
+    action = (
+        f"named_struct('code', best.code, 'title', best.title, 'description', CASE best.code {description} END, "
+        f"'priority', {PRIORITY_SQL})"
+    )
+    why = (
+        "concat(best.title, ' scores ', string(best.composite), "
+        "' of 40, the most of all actions the data supports')"
     )
     nba = F.struct(
-        F.struct(
-            best["code"].alias("code"), best["title"].alias("title"), description.alias("description"),
-            priority().alias("priority"),
-        ).alias("recommended_action"),
-        why.alias("why_this_action"),
+        F.expr(action).alias("recommended_action"),
+        F.expr(why).alias("why_this_action"),
         facts().alias("evidence"),
         interpretation().alias("interpretation"),
         alternatives().alias("alternative_actions"),
         talking_points().alias("agent_talking_points"),
         risk_flags().alias("risk_flags"),
     )
-    return with_best.withColumn("nba", nba)
+    return scored.withColumn("best", F.expr(f"element_at({SUPPORTED_SQL}, 1)")).withColumn("nba", nba)
 
 
 def next_best_action(context: DataFrame) -> DataFrame:

@@ -8,7 +8,6 @@ neither a long conversation nor a frequent word gathers its rows in one task.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -36,88 +35,68 @@ def lexicon_hits(turns: DataFrame, lexicon: Lexicon) -> DataFrame:
         F.explode_outer(words(F.col("text"))).alias("word"),
     )
     hits = rows.join(lexicon.frame(turns.sparkSession), "word", "left")
-    kind, entry, weight = F.col("kind"), F.col("entry"), F.col("weight")
-
-    def total(condition: Column, value: Column) -> Column:
-        return F.coalesce(F.sum(F.when(condition, value)), F.lit(0))
-
-    tone = kind == "sentiment"
-    sums = [total(tone, weight).alias("tone_sum"), F.count_if(tone).alias("tone_hits")]
-    sums += [
-        F.count_if((kind == "intent") & (entry == label)).alias(f"intent_{label}") for label in lexicon.intent
-    ]
-    sums += [
-        F.count_if((kind == "signal") & (entry == name) & F.col("by_customer")).alias(f"signal_{name}")
-        for name in SIGNALS
-    ]
-    return hits.groupBy("interaction_id").agg(*sums)
-
-
-def sentiment_score() -> Column:
-    """Mean weight of the matched words within −1…1; 0 when no word matches."""
-    mean = F.col("tone_sum") / F.nullif(F.col("tone_hits"), F.lit(0))
-    return F.coalesce(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), mean)), F.lit(0.0))
+    sums = {
+        "tone_sum": "coalesce(sum(weight) FILTER (WHERE kind = 'sentiment'), 0D)",
+        "tone_hits": "count_if(kind = 'sentiment')",
+    }
+    for label in lexicon.intent:
+        sums[f"intent_{label}"] = f"count_if(kind = 'intent' AND entry = '{label}')"
+    for name in SIGNALS:
+        sums[f"signal_{name}"] = f"count_if(kind = 'signal' AND entry = '{name}' AND by_customer)"
+    return hits.groupBy("interaction_id").agg(*[F.expr(sql).alias(name) for name, sql in sums.items()])
 
 
-def four_digits(value: Column) -> Column:
-    """Half away from zero at four digits, the same in every engine."""
-    return F.signum(value) * F.floor(F.abs(value) * 10000 + 0.5) / 10000
+# Mean weight of the matched words within -1..1; 0 when no word matches.
+SENTIMENT_SQL = "coalesce(greatest(-1D, least(1D, tone_sum / nullif(tone_hits, 0))), 0D)"
+# Half away from zero at four digits, the same in every engine.
+SHOWN_SENTIMENT_SQL = "signum(sentiment) * floor(abs(sentiment) * 10000 + 0.5D) / 10000D"
 
 
 def intent_label(lexicon: Lexicon) -> Column:
     """Label with the most hits; ties go to the earlier label, no hit to the default."""
     labels = [name for name in INTENTS if name in lexicon.intent]
-    best = F.greatest(*[F.col(f"intent_{name}") for name in labels], F.lit(0))
-    chain = F.when(best == 0, DEFAULT_INTENT)
-    for name in labels:
-        chain = chain.when(F.col(f"intent_{name}") == best, name)
-    return chain.otherwise(DEFAULT_INTENT)
-
-
-def level(hits: Column, levels: tuple[tuple[str, int], ...], none: str) -> Column:
-    return reduce(
-        lambda otherwise, rule: F.when(hits >= rule[1], rule[0]).otherwise(otherwise),
-        reversed(levels),
-        F.lit(none),
-    )
+    best = f"greatest({', '.join(f'intent_{name}' for name in labels)}, 0)"
+    chain = " ".join(f"WHEN intent_{name} = {best} THEN '{name}'" for name in labels)
+    return F.expr(f"CASE WHEN {best} = 0 THEN '{DEFAULT_INTENT}' {chain} ELSE '{DEFAULT_INTENT}' END")
+
+
+def level(hits: str, levels: tuple[tuple[str, int], ...], none: str) -> Column:
+    chain = " ".join(f"WHEN {hits} >= {least} THEN '{name}'" for name, least in levels)
+    return F.expr(f"CASE {chain} ELSE '{none}' END")
 
 
 def score_interactions(turns: DataFrame, lexicon: Lexicon = SERVICE_ENGLISH) -> DataFrame:
     """Sentiment, intent, signals and retention risk per interaction."""
-    concern = {
-        name: F.col(f"signal_{name}") >= hits for name, hits in lexicon.concern_hits.items()
-    }
+    raised = {name: F.expr(f"signal_{name} >= {hits}") for name, hits in lexicon.concern_hits.items()}
     scored = lexicon_hits(turns, lexicon).select(
         "interaction_id",
-        sentiment_score().alias("sentiment"),
+        F.expr(SENTIMENT_SQL).alias("sentiment"),
         intent_label(lexicon).alias("intent"),
-        level(F.col("signal_urgency"), lexicon.urgency_levels, "low").alias("urgency"),
-        level(F.col("signal_churn"), lexicon.churn_levels, "none").alias("churn_signal"),
-        concern["pricing"].alias("pricing_concern"),
-        concern["coverage"].alias("coverage_concern"),
-        concern["complaint"].alias("complaint_signal"),
+        level("signal_urgency", lexicon.urgency_levels, "low").alias("urgency"),
+        level("signal_churn", lexicon.churn_levels, "none").alias("churn_signal"),
+        raised["pricing"].alias("pricing_concern"),
+        raised["coverage"].alias("coverage_concern"),
+        raised["complaint"].alias("complaint_signal"),
+    )
+    pressing = "urgency IN ('critical', 'high')"
+    worried = "(pricing_concern OR coverage_concern)"
+    tone = (
+        f"CASE WHEN churn_signal = 'high' THEN 'retention-focused' WHEN {pressing} THEN 'urgent' "
+        f"WHEN complaint_signal THEN 'empathetic' WHEN {worried} THEN 'reassuring' ELSE 'informational' END"
+    )
+    emotion = (
+        f"CASE WHEN complaint_signal AND sentiment < -0.3D THEN 'angry' WHEN complaint_signal THEN 'frustrated' "
+        f"WHEN {pressing} THEN 'anxious' WHEN {worried} THEN 'concerned' "
+        "WHEN sentiment > 0.3D THEN 'satisfied' ELSE 'calm' END"
     )
-    pressing = F.col("urgency").isin("critical", "high")
-    worried = F.col("pricing_concern") | F.col("coverage_concern")
     return scored.select(
         "interaction_id",
-        four_digits(F.col("sentiment")).alias("sentiment"),
-        sentiment_label(F.col("sentiment")).alias("sentiment_label"),
+        F.expr(SHOWN_SENTIMENT_SQL).alias("sentiment"),
+        sentiment_label("sentiment").alias("sentiment_label"),
         "intent", "urgency", "churn_signal", "pricing_concern", "coverage_concern", "complaint_signal",
-        F.when(F.col("churn_signal") == "high", "retention-focused")
-        .when(pressing, "urgent")
-        .when(F.col("complaint_signal"), "empathetic")
-        .when(worried, "reassuring")
-        .otherwise("informational")
-        .alias("recommended_tone"),
-        F.when(F.col("complaint_signal") & (F.col("sentiment") < -0.3), "angry")
-        .when(F.col("complaint_signal"), "frustrated")
-        .when(pressing, "anxious")
-        .when(worried, "concerned")
-        .when(F.col("sentiment") > 0.3, "satisfied")
-        .otherwise("calm")
-        .alias("customer_emotion"),
-        retention_risk(F.col("churn_signal"), F.col("sentiment")).alias("retention_risk"),
+        F.expr(tone).alias("recommended_tone"),
+        F.expr(emotion).alias("customer_emotion"),
+        retention_risk("churn_signal", "sentiment").alias("retention_risk"),
     )
 
 

@@ -10,7 +10,7 @@ from ..functions.rules import (
     THRESHOLDS,
     differs,
     item_list,
-    percent_change_shown,
+    percent_change,
     severity,
     worst,
 )
@@ -53,19 +53,14 @@ def policy_pivot(policy_version: DataFrame) -> DataFrame:
     One hash-partitioned aggregation with map-side combine; neither a self-join
     nor a distinct count is needed to know that both versions are present.
     """
-    version = F.col("policy_version")
-
-    def side(prefix: str, column: str) -> Column:
-        return F.max(F.when(version == SIDES[prefix], F.col(column)))
-
     picked = [
-        side(prefix, column).alias(f"{prefix}_{stem}")
-        for prefix in SIDES
+        F.expr(f"max({column}) FILTER (WHERE policy_version = '{name}')").alias(f"{prefix}_{stem}")
+        for prefix, name in SIDES.items()
         for stem, column in {**MEASURES, **OTHERS}.items()
     ]
-    present = [F.bool_or(version == name).alias(f"has_{prefix}") for prefix, name in SIDES.items()]
+    present = [F.expr(f"bool_or(policy_version = '{name}')").alias(f"has_{p}") for p, name in SIDES.items()]
     return (
-        policy_version.filter(version.isin(*SIDES.values()))
+        policy_version.filter(F.col("policy_version").isin(*SIDES.values()))
         .groupBy("customer_id", "policy_id")
         .agg(*picked, *present)
         .filter("has_cur AND has_ren")
@@ -75,69 +70,52 @@ def policy_pivot(policy_version: DataFrame) -> DataFrame:
 
 def policy_comparison(tables: Tables) -> DataFrame:
     """Change, percent and severity of every field per (customer, policy)."""
-    pivoted = policy_pivot(tables["policy_version"])
     names = tables["customer"].select("customer_id", "name")
-    fields: list[Column] = []
+    fields: list[Column | str] = []
     for stem in MEASURES:
-        cur, ren = F.col(f"cur_{stem}"), F.col(f"ren_{stem}")
+        cur, ren = f"cur_{stem}", f"ren_{stem}"
         fields += [
             cur,
             ren,
-            (ren - cur).alias(f"{stem}_change"),
-            percent_change_shown(cur, ren).alias(f"{stem}_change_pct"),
+            F.expr(f"{ren} - {cur}").alias(f"{stem}_change"),
+            percent_change(cur, ren).alias(f"{stem}_change_pct"),
             severity(cur, ren, stem).alias(f"{stem}_severity"),
         ]
-    cur_items, ren_items = item_list(F.col("cur_exclusions")), item_list(F.col("ren_exclusions"))
-    return (
-        pivoted.join(names, "customer_id")
-        .select(
-            "customer_id", "name", "policy_id",
-            *fields,
-            "cur_exclusions", "ren_exclusions",
-            differs(F.col("cur_exclusions"), F.col("ren_exclusions")).alias("exclusions_changed"),
-            "cur_effective", "cur_expiry", "ren_effective", "ren_expiry",
-            F.array_except(ren_items, cur_items).alias("exclusions_added"),
-            F.array_except(cur_items, ren_items).alias("exclusions_removed"),
-        )
-        .select(
-            *[c for c in _comparison_columns() if c != "overall_severity"],
-            worst([F.col(f"{stem}_severity") for stem in THRESHOLDS]).alias("overall_severity"),
-            "exclusions_added", "exclusions_removed",
-        )
+    graded = policy_pivot(tables["policy_version"]).join(names, "customer_id").select(
+        "customer_id", "name", "policy_id", *fields,
+        "cur_exclusions", "ren_exclusions",
+        differs("cur_exclusions", "ren_exclusions").alias("exclusions_changed"),
+        "cur_effective", "cur_expiry", "ren_effective", "ren_expiry",
+        item_list("cur_exclusions").alias("cur_items"),
+        item_list("ren_exclusions").alias("ren_items"),
+    )
+    return graded.select(
+        *[c for c in graded.columns if not c.endswith("_items")],
+        worst([f"{stem}_severity" for stem in THRESHOLDS]).alias("overall_severity"),
+        F.array_except("ren_items", "cur_items").alias("exclusions_added"),
+        F.array_except("cur_items", "ren_items").alias("exclusions_removed"),
     )
 
 
-def _comparison_columns() -> list[str]:
-    out = ["customer_id", "name", "policy_id"]
-    for stem in MEASURES:
-        out += [f"cur_{stem}", f"ren_{stem}", f"{stem}_change", f"{stem}_change_pct", f"{stem}_severity"]
-    out += ["cur_exclusions", "ren_exclusions", "exclusions_changed"]
-    out += ["cur_effective", "cur_expiry", "ren_effective", "ren_expiry", "overall_severity"]
-    return out
-
-
-def finding(stem: str) -> Column:
+def finding_sql(stem: str) -> str:
     """One sentence about a changed field; NULL when unchanged or without a percent."""
-    change, percent = F.col(f"{stem}_change"), F.col(f"{stem}_change_pct")
+    change = f"{stem}_change"
     parts = [
-        F.lit(texts.FINDING_SUBJECTS[stem] + " "),
-        F.when(change > 0, "increased").otherwise("decreased"),
-        F.lit(" by "),
-        F.abs(percent).cast("string"),
-        F.lit("%"),
+        texts.quoted(texts.FINDING_SUBJECTS[stem] + " "),
+        f"CASE WHEN {change} > 0 THEN 'increased' ELSE 'decreased' END",
+        "' by '",
+        f"string(abs({stem}_change_pct))",
+        "'%'",
     ]
     if stem == "premium":
-        parts += [F.lit(" ($"), display.whole(F.abs(change)), F.lit("/year)")]
-    return F.when(change != 0, F.concat(*parts))
+        parts += ["' ($'", display.whole_sql(f"abs({change})"), "'/year)'"]
+    return f"CASE WHEN {change} != 0 THEN concat({', '.join(parts)}) END"
 
 
 def key_findings() -> Column:
-    return F.array_compact(
-        F.array(
-            *[finding(stem) for stem in MEASURES],
-            F.when(F.col("exclusions_changed"), texts.EXCLUSIONS_CHANGED),
-        )
-    )
+    changed = f"CASE WHEN exclusions_changed THEN {texts.quoted(texts.EXCLUSIONS_CHANGED)} END"
+    lines = [*[finding_sql(stem) for stem in MEASURES], changed]
+    return F.expr(f"array_compact(array({', '.join(lines)}))")
 
 
 def policy_document() -> Column:
@@ -146,52 +124,40 @@ def policy_document() -> Column:
     Expects ``customer_id``, ``customer_name``, ``known`` (NULL for an unknown
     customer) and the comparison columns (NULL without a comparable renewal).
     """
-    status = (
-        F.when(F.col("known").isNull(), "not_found")
-        .when(F.col("overall_severity").isNull(), "no_renewal")
-        .otherwise("ok")
-    )
-    message = F.when(status == "not_found", texts.CUSTOMER_NOT_FOUND).when(
-        status == "no_renewal", texts.NO_RENEWAL
+    status = "CASE WHEN known IS NULL THEN 'not_found' WHEN overall_severity IS NULL THEN 'no_renewal' ELSE 'ok' END"
+    message = (
+        f"CASE WHEN known IS NULL THEN {texts.quoted(texts.CUSTOMER_NOT_FOUND)} "
+        f"WHEN overall_severity IS NULL THEN {texts.quoted(texts.NO_RENEWAL)} END"
     )
-    ok = status == "ok"
+
+    def when_ok(**fields: str) -> Column:
+        inside = ", ".join(f"'{name}', {column}" for name, column in fields.items())
+        return F.expr(f"CASE WHEN overall_severity IS NOT NULL THEN named_struct({inside}) END")
+
     blocks = [
-        F.when(
-            ok,
-            F.struct(
-                F.col(f"cur_{stem}").alias("current"),
-                F.col(f"ren_{stem}").alias("renewal"),
-                F.col(f"{stem}_change").alias("change"),
-                F.col(f"{stem}_change_pct").alias("change_pct"),
-                F.col(f"{stem}_severity").alias("severity"),
-            ),
+        when_ok(
+            current=f"cur_{stem}", renewal=f"ren_{stem}", change=f"{stem}_change",
+            change_pct=f"{stem}_change_pct", severity=f"{stem}_severity",
         ).alias(block)
         for block, stem in BLOCKS.items()
     ]
-    exclusions = F.struct(
-        F.col("cur_exclusions").alias("current"),
-        F.col("ren_exclusions").alias("renewal"),
-        F.col("exclusions_changed").alias("changed"),
-        F.col("exclusions_added").alias("added"),
-        F.col("exclusions_removed").alias("removed"),
-    )
-    dates = F.struct(
-        F.col("cur_effective").alias("current_effective"),
-        F.col("cur_expiry").alias("current_expiry"),
-        F.col("ren_effective").alias("renewal_effective"),
-        F.col("ren_expiry").alias("renewal_expiry"),
-    )
     return F.struct(
-        status.alias("status"),
+        F.expr(status).alias("status"),
         "customer_id",
         "customer_name",
-        message.alias("message"),
+        F.expr(message).alias("message"),
         "policy_id",
         *blocks,
-        F.when(ok, exclusions).alias("exclusions"),
-        F.when(ok, dates).alias("dates"),
+        when_ok(
+            current="cur_exclusions", renewal="ren_exclusions", changed="exclusions_changed",
+            added="exclusions_added", removed="exclusions_removed",
+        ).alias("exclusions"),
+        when_ok(
+            current_effective="cur_effective", current_expiry="cur_expiry",
+            renewal_effective="ren_effective", renewal_expiry="ren_expiry",
+        ).alias("dates"),
         "overall_severity",
-        F.when(ok, key_findings()).alias("key_findings"),
+        F.when(F.col("overall_severity").isNotNull(), key_findings()).alias("key_findings"),
     )
 
 
@@ -224,10 +190,10 @@ def renewal_report(comparison: DataFrame) -> DataFrame:
         F.struct(
             F.lit(position).alias("position"),
             F.lit(label).alias("field"),
-            F.concat(F.lit("$"), display.whole(F.coalesce(F.col(f"cur_{stem}"), F.lit(0)))).alias("current"),
-            F.concat(F.lit("$"), display.whole(F.coalesce(F.col(f"ren_{stem}"), F.lit(0)))).alias("renewal"),
-            display.signed_money(F.col(f"{stem}_change")).alias("change"),
-            display.signed_percent(F.col(f"{stem}_change"), F.col(f"{stem}_change_pct")).alias("percent"),
+            display.whole_money(f"coalesce(cur_{stem}, 0)").alias("current"),
+            display.whole_money(f"coalesce(ren_{stem}, 0)").alias("renewal"),
+            display.signed_money(f"{stem}_change").alias("change"),
+            display.signed_percent(f"{stem}_change", f"{stem}_change_pct").alias("percent"),
             F.col(f"{stem}_severity").alias("severity"),
         )
         for position, (stem, label) in enumerate(REPORT_FIELDS.items())

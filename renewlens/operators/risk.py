@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import texts
-from ..functions.rules import percent_change_shown, risk_direction, score_direction, worst
+from ..functions.rules import percent_change, risk_direction, score_direction, worst
 from ..sources.tables import Tables
 from .customer360 import top_per_key
 from .policy import policy_comparison, requested_customers
@@ -37,24 +37,20 @@ def assessment_pairs(ranked: DataFrame) -> DataFrame:
     The ranking already placed a property's two rows in one partition, so this
     aggregation adds no shuffle and no self-join.
     """
-    pair = {"prev": 2, "curr": 1}
     columns = [
-        F.max(F.when(F.col("rn") == rank, F.col(source))).alias(f"{prefix}_{suffix}")
-        for prefix, rank in pair.items()
+        F.expr(f"max({source}) FILTER (WHERE rn = {rank})").alias(f"{prefix}_{suffix}")
+        for prefix, rank in (("prev", 2), ("curr", 1))
         for suffix, source in ASSESSMENT.items()
     ]
     return ranked.groupBy("property_id").agg(*columns, F.max("rn").alias("assessments"))
 
 
 def directions() -> list[Column]:
-    old, new = F.col("prev_risk_score"), F.col("curr_risk_score")
+    old, new = "prev_risk_score", "curr_risk_score"
     return [
-        *[
-            risk_direction(F.col(f"prev_{d}_risk"), F.col(f"curr_{d}_risk")).alias(f"{d}_direction")
-            for d in DIMENSIONS
-        ],
-        (new - old).alias("risk_score_change"),
-        percent_change_shown(old, new).alias("risk_score_change_pct"),
+        *[risk_direction(f"prev_{d}_risk", f"curr_{d}_risk").alias(f"{d}_direction") for d in DIMENSIONS],
+        F.expr(f"{new} - {old}").alias("risk_score_change"),
+        percent_change(old, new).alias("risk_score_change_pct"),
         score_direction(old, new).alias("overall_direction"),
     ]
 
@@ -77,56 +73,47 @@ def risk_change(tables: Tables) -> DataFrame:
 
 def causal_chain() -> Column:
     lines = [
-        F.when(
-            F.col(f"{d}_direction") != "UNCHANGED",
-            F.concat(
-                F.lit(f"{d.capitalize()} risk changed from "), F.col(f"prev_{d}_risk"),
-                F.lit(" to "), F.col(f"curr_{d}_risk"),
-            ),
-        )
+        f"CASE WHEN {d}_direction != 'UNCHANGED' THEN "
+        f"concat('{d.capitalize()} risk changed from ', prev_{d}_risk, ' to ', curr_{d}_risk) END"
         for d in DIMENSIONS
     ]
-    overall = F.concat(
-        F.lit("Overall risk score changed from "), F.col("prev_risk_score").cast("string"),
-        F.lit(" to "), F.col("curr_risk_score").cast("string"),
-        F.lit(" ("), F.when(F.col("risk_score_change") > 0, "+").otherwise(""),
-        F.col("risk_score_change_pct").cast("string"), F.lit("%)"),
+    overall = (
+        "concat('Overall risk score changed from ', string(prev_risk_score), ' to ', string(curr_risk_score), "
+        "' (', CASE WHEN risk_score_change > 0 THEN '+' ELSE '' END, string(risk_score_change_pct), '%)')"
     )
-    return F.array_compact(F.array(*lines, overall))
+    return F.expr(f"array_compact(array({', '.join([*lines, overall])}))")
 
 
 def communication_points() -> Column:
     points = [
-        F.lit(text) if dimension is None else F.when(F.col(f"{dimension}_direction") == "UP", text)
-        for dimension, text in texts.COMMUNICATION_POINTS
+        texts.quoted(text) if d is None else f"CASE WHEN {d}_direction = 'UP' THEN {texts.quoted(text)} END"
+        for d, text in texts.COMMUNICATION_POINTS
     ]
-    return F.array_compact(F.array(*points))
+    return F.expr(f"array_compact(array({', '.join(points)}))")
 
 
 def policy_impact() -> Column:
     """Effect on the renewal; its severity looks at three fields and is never below MINOR."""
-    three = [F.col(f"{stem}_severity") for stem in ("premium", "flood_cov", "flood_ded")]
+    three = [f"{stem}_severity" for stem in ("premium", "flood_cov", "flood_ded")]
     compared = F.col("overall_severity").isNotNull()
     return F.struct(
-        F.col("premium_change_pct"),
-        F.col("premium_change"),
+        "premium_change_pct",
+        "premium_change",
         F.col("flood_cov_change_pct").alias("flood_coverage_change_pct"),
         F.col("flood_cov_change").alias("flood_coverage_change"),
         F.col("flood_ded_change_pct").alias("flood_deductible_change_pct"),
         F.col("flood_ded_change").alias("flood_deductible_change"),
-        F.col("exclusions_changed"),
+        "exclusions_changed",
         F.when(compared, worst(three, floor="MINOR")).alias("overall_severity"),
         F.when(~compared, texts.NO_POLICY_IMPACT).alias("message"),
     )
 
 
-def _assessment(prefix: str) -> Column:
-    return F.struct(
-        F.col(f"{prefix}_assessment_id").alias("assessment_id"),
-        F.col(f"{prefix}_assessment_date").alias("assessment_date"),
-        *[F.col(f"{prefix}_{d}_risk").alias(f"{d}_risk") for d in DIMENSIONS],
-        F.col(f"{prefix}_risk_score").alias("overall_risk_score"),
-        F.col(f"{prefix}_risk_reason").alias("risk_reason"),
+def _assessment_sql(prefix: str) -> str:
+    risks = ", ".join(f"'{d}_risk', {prefix}_{d}_risk" for d in DIMENSIONS)
+    return (
+        f"named_struct('assessment_id', {prefix}_assessment_id, 'assessment_date', {prefix}_assessment_date, "
+        f"{risks}, 'overall_risk_score', {prefix}_risk_score, 'risk_reason', {prefix}_risk_reason)"
     )
 
 
@@ -155,47 +142,41 @@ def with_single_assessment(joined: DataFrame, single: DataFrame) -> DataFrame:
     return joined.join(single, match, "left").drop("single_customer")
 
 
+def _changes_sql() -> str:
+    blocks = ", ".join(
+        f"'{d}', named_struct('previous', prev_{d}_risk, 'current', curr_{d}_risk, 'direction', {d}_direction)"
+        for d in DIMENSIONS
+    )
+    return (
+        f"named_struct({blocks}, 'overall_score', named_struct('previous', prev_risk_score, "
+        "'current', curr_risk_score, 'change', risk_score_change, 'change_pct', risk_score_change_pct, "
+        "'direction', overall_direction))"
+    )
+
+
 def risk_document() -> Column:
     """The document of one customer over requests left-joined to a change row, a
     comparison row and a single assessment, any of which may be absent."""
-    changed = F.col("overall_direction").isNotNull()
-    status = (
-        F.when(F.col("known").isNull(), "not_found")
-        .when(changed, "ok")
-        .when(F.col("current_risk").isNotNull(), "no_risk_change")
-        .otherwise("no_risk_data")
-    )
-    message = (
-        F.when(status == "not_found", texts.CUSTOMER_NOT_FOUND)
-        .when(status == "no_risk_change", texts.NO_RISK_CHANGE)
-        .when(status == "no_risk_data", texts.NO_RISK_DATA)
-    )
-    per_dimension = [
-        F.struct(
-            F.col(f"prev_{d}_risk").alias("previous"),
-            F.col(f"curr_{d}_risk").alias("current"),
-            F.col(f"{d}_direction").alias("direction"),
-        ).alias(d)
-        for d in DIMENSIONS
-    ]
-    score = F.struct(
-        F.col("prev_risk_score").alias("previous"),
-        F.col("curr_risk_score").alias("current"),
-        F.col("risk_score_change").alias("change"),
-        F.col("risk_score_change_pct").alias("change_pct"),
-        F.col("overall_direction").alias("direction"),
+    cases = (
+        ("known IS NULL", "not_found", texts.CUSTOMER_NOT_FOUND),
+        ("overall_direction IS NOT NULL", "ok", None),
+        ("current_risk IS NOT NULL", "no_risk_change", texts.NO_RISK_CHANGE),
+        ("true", "no_risk_data", texts.NO_RISK_DATA),
     )
+    status = " ".join(f"WHEN {condition} THEN '{name}'" for condition, name, _ in cases)
+    message = " ".join(f"WHEN {condition} THEN {texts.quoted(text)}" for condition, _, text in cases)
+    changed = F.col("overall_direction").isNotNull()
     return F.struct(
-        status.alias("status"),
+        F.expr(f"CASE {status} END").alias("status"),
         "customer_id",
         "customer_name",
-        message.alias("message"),
+        F.expr(f"CASE {message} END").alias("message"),
         "property_id",
         "location",
         "property_type",
-        F.when(changed, _assessment("prev")).alias("previous_assessment"),
-        F.when(changed, _assessment("curr")).alias("current_assessment"),
-        F.when(changed, F.struct(*per_dimension, score.alias("overall_score"))).alias("changes"),
+        F.when(changed, F.expr(_assessment_sql("prev"))).alias("previous_assessment"),
+        F.when(changed, F.expr(_assessment_sql("curr"))).alias("current_assessment"),
+        F.when(changed, F.expr(_changes_sql())).alias("changes"),
         F.col("curr_risk_reason").alias("root_cause"),
         F.when(changed, causal_chain()).alias("causal_chain"),
         F.when(changed, policy_impact()).alias("policy_impact"),

@@ -19,6 +19,7 @@ from ..functions.text import dialogue_turns
 from ..operators import actions, customer360, decide, interactions, policy, quality, risk, search
 from ..session import shared_folder
 from ..sources import sales
+from ..sources.tables import Tables
 from ..streaming import feeds
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -78,7 +79,7 @@ def requested_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sales.scan(spark, sf_dir, "part").select(F.col("p_partkey").alias("customer_id"))
 
 
-def _tables(fn: Callable[[dict[str, DataFrame]], DataFrame]) -> Query:
+def _tables(fn: Callable[[Tables], DataFrame]) -> Query:
     return lambda spark, sf_dir: flat(fn(sales.sales_tables(spark, sf_dir)))
 
 

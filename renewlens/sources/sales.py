@@ -8,16 +8,33 @@ items (claims), and any of them may hold a large share of all rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Mapping
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .tables import Tables
-
 POLICY_DAYS = 364
 
+# Column types of the files, declared so that a scan needs no inference job.
+COLUMNS = {
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "part": "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+    "embeddings": "vec_id long, embedding array<float>, label int",
+    "benchmark": "item_id long, text string",
+    "conversations": "conv_id long, turn long, role string, text string",
+}
+
 
 def scan(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spark.read.schema(COLUMNS[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _pick(index: Column, *values: str) -> Column:
@@ -202,16 +219,38 @@ def action_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def sales_tables(spark: SparkSession, sf_dir: str) -> Tables:
-    return {
-        "customer": customers(spark, sf_dir),
-        "property": properties(spark, sf_dir),
-        "policy_version": policy_versions(spark, sf_dir),
-        "risk_history": risk_history(spark, sf_dir),
-        "claim": claims(spark, sf_dir),
-        "interaction": interactions(spark, sf_dir),
-        "action_log": action_log(spark, sf_dir),
-    }
+SOURCES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "customer": customers,
+    "property": properties,
+    "policy_version": policy_versions,
+    "risk_history": risk_history,
+    "claim": claims,
+    "interaction": interactions,
+    "action_log": action_log,
+}
+
+
+class SalesTables(Mapping[str, DataFrame]):
+    """The seven tables by name, each defined when it is first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self._spark, self._sf_dir = spark, sf_dir
+        self._defined: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._defined:
+            self._defined[name] = SOURCES[name](self._spark, self._sf_dir)
+        return self._defined[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(SOURCES)
+
+    def __len__(self) -> int:
+        return len(SOURCES)
+
+
+def sales_tables(spark: SparkSession, sf_dir: str) -> SalesTables:
+    return SalesTables(spark, sf_dir)
 
 
 def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
