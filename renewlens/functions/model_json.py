@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Field name, type, value used when the text cannot be parsed.
@@ -45,23 +45,27 @@ def failed(raw: Column) -> Column:
     return raw.isNotNull() & (F.trim(raw) != "") & F.try_parse_json(raw).isNull()
 
 
-def read_signals(raw: Column) -> Column:
-    """Signals struct of a model response.
+def with_signals(df: DataFrame, raw: str, out: str = "signals") -> DataFrame:
+    """Add the signals struct read from model responses in column ``raw``.
 
     Unparseable text gives the full default record with the text kept; valid
-    JSON that lacks a field leaves just that field NULL.
+    JSON that lacks a field leaves just that field NULL. The text is parsed once,
+    in a projection of its own.
     """
-    parsed, bad = F.try_parse_json(raw), failed(raw)
     fields = []
     for name, kind, default in SIGNAL_FIELDS:
-        value = F.try_variant_get(parsed, f"$.{name}", kind)
+        value = F.try_variant_get("_parsed", f"$.{name}", kind)
         fallback = F.array().cast(kind) if default is None else F.lit(default)
-        fields.append(F.when(bad, fallback).otherwise(value).alias(name))
-    return F.struct(
-        *fields,
-        F.coalesce(bad, F.lit(False)).alias("parse_error"),
-        F.when(bad, raw).alias("raw_output"),
+        fields.append(F.when(F.col("_bad"), fallback).otherwise(value).alias(name))
+    struct = F.struct(
+        *fields, F.col("_bad").alias("parse_error"), F.when(F.col("_bad"), F.col(raw)).alias("raw_output")
     )
+    return _parsed_once(df, raw).withColumn(out, struct).drop("_parsed", "_bad")
+
+
+def _parsed_once(df: DataFrame, raw: str) -> DataFrame:
+    bad = F.col("_parsed").isNull() & F.coalesce(F.trim(F.col(raw)) != "", F.lit(False))
+    return df.withColumn("_parsed", F.try_parse_json(raw)).withColumn("_bad", bad)
 
 
 def fallback_recommendation() -> Column:
@@ -80,31 +84,38 @@ def fallback_recommendation() -> Column:
     ).cast(RECOMMENDATION_SCHEMA)
 
 
-def read_recommendation(primary: Column, retry: Column) -> Column:
-    """First response that parses, else the fallback record; gaps filled for readers.
+def with_recommendation(df: DataFrame, primary: str, retry: str, out: str = "nba") -> DataFrame:
+    """Add the recommendation read from two responses: the first that parses, else the
+    fallback record; gaps are filled for readers.
 
     ``from_json`` gives NULL fields rather than NULL on bad text, so the choice
     is gated on the parse itself. A retry is only looked at after a failure.
+    Every step is a projection of its own, so nothing is parsed per output field.
     """
-    first_bad, both_bad = failed(primary), failed(primary) & (failed(retry) | retry.isNull())
-    chosen = F.when(first_bad, retry).otherwise(primary)
-    parsed = F.when(both_bad, fallback_recommendation()).otherwise(
-        F.from_json(chosen, RECOMMENDATION_SCHEMA)
+    first, second = F.col("_first_bad"), failed(F.col(retry)) | F.col(retry).isNull()
+    chosen = (
+        df.withColumn("_first_bad", F.coalesce(failed(F.col(primary)), F.lit(False)))
+        .withColumn("_bad", first & second)
+        .withColumn("_text", F.when(first, F.col(retry)).otherwise(F.col(primary)))
+        .withColumn(
+            "_read",
+            F.when(F.col("_bad"), fallback_recommendation()).otherwise(
+                F.from_json("_text", RECOMMENDATION_SCHEMA)
+            ),
+        )
     )
-    action = parsed["recommended_action"]
-    empty = F.array().cast("array<string>")
-    return F.struct(
-        F.struct(
-            *[F.coalesce(action[k], F.lit(v)).alias(k) for k, v in READ_DEFAULTS.items()]
-        ).alias("recommended_action"),
-        F.coalesce(parsed["why_this_action"], F.lit("")).alias("why_this_action"),
-        F.coalesce(parsed["evidence"], empty).alias("evidence"),
-        F.coalesce(
-            parsed["alternative_actions"],
-            F.array().cast("array<struct<code:string,title:string,why_not_selected:string>>"),
-        ).alias("alternative_actions"),
-        F.coalesce(parsed["agent_talking_points"], empty).alias("agent_talking_points"),
-        F.coalesce(parsed["risk_flags"], empty).alias("risk_flags"),
-        F.coalesce(both_bad, F.lit(False)).alias("parse_error"),
-        F.when(both_bad, F.coalesce(retry, primary)).alias("raw_output"),
+    action = ", ".join(
+        f"'{name}', coalesce(_read.recommended_action.{name}, '{default}')" for name, default in READ_DEFAULTS.items()
+    )
+    no_texts = "cast(array() AS array<string>)"
+    no_actions = "cast(array() AS array<struct<code:string,title:string,why_not_selected:string>>)"
+    nba = F.expr(
+        f"named_struct('recommended_action', named_struct({action}), "
+        "'why_this_action', coalesce(_read.why_this_action, ''), "
+        f"'evidence', coalesce(_read.evidence, {no_texts}), "
+        f"'alternative_actions', coalesce(_read.alternative_actions, {no_actions}), "
+        f"'agent_talking_points', coalesce(_read.agent_talking_points, {no_texts}), "
+        f"'risk_flags', coalesce(_read.risk_flags, {no_texts}), "
+        f"'parse_error', _bad, 'raw_output', CASE WHEN _bad THEN coalesce({retry}, {primary}) END)"
     )
+    return chosen.withColumn(out, nba).drop("_first_bad", "_bad", "_text", "_read")

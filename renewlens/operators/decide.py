@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import display, texts
-from ..functions.model_json import read_recommendation
+from ..functions.model_json import with_recommendation
 from ..sources.tables import Tables
 from .customer360 import customer_360, top_per_key
 from .policy import finding_sql, policy_comparison, policy_document, requested_customers
@@ -195,7 +195,11 @@ def _points_sql(code: str, position: int, criterion: str) -> str:
 
 
 def candidates() -> Column:
-    """All seven actions with points, best supported first (ties to the earlier code)."""
+    """All seven actions with points, best supported first (ties to the earlier code).
+
+    ``sort_array`` stays in generated code; a sort with a lambda would interpret
+    the whole scoring expression.
+    """
     rows = []
     for code, title in MENU.items():
         points = {c: _points_sql(code, i, c) for i, c in enumerate(CRITERIA)}
@@ -210,7 +214,7 @@ def candidates() -> Column:
         }
         inside = ", ".join(f"'{name}', {value}" for name, value in fields.items())
         rows.append(f"named_struct({inside})")
-    return F.expr(f"array_sort(array({', '.join(rows)}))")
+    return F.expr(f"sort_array(array({', '.join(rows)}))")
 
 
 def score_candidates(context: DataFrame) -> DataFrame:
@@ -229,7 +233,6 @@ def candidate_rows(scored: DataFrame) -> DataFrame:
     )
 
 
-SUPPORTED_SQL = "filter(candidates, c -> NOT c.unsupported)"
 PRIORITY_SQL = (
     "CASE WHEN fact.major_change OR fact.high_churn OR fact.open_claim THEN 'HIGH' "
     "WHEN (fact.small_change OR NOT fact.comparable) "
@@ -297,18 +300,24 @@ def risk_flags() -> Column:
 
 def alternatives() -> Column:
     """The next supported actions, each with the criterion on which it falls furthest
-    behind (ties to the earlier criterion)."""
-    gaps = {c: f"(best.{c} - c.{c})" for c in CRITERIA}
-    widest = f"greatest({', '.join(gaps.values())})"
-    weakest = " ".join(f"WHEN {gap} = {widest} THEN '{name}'" for name, gap in gaps.items())
-    reason = (
-        "concat('Scored ', string(c.composite), ' against ', string(best.composite), "
-        f"'; weakest on ', CASE {weakest} END)"
-    )
-    return F.expr(
-        f"transform(slice({SUPPORTED_SQL}, 2, {ALTERNATIVES}), "
-        f"c -> named_struct('code', c.code, 'title', c.title, 'why_not_selected', {reason}))"
-    )
+    behind (ties to the earlier criterion). Supported actions sort first, so the next
+    ones are next in the array."""
+
+    def described(position: int) -> str:
+        other = f"candidates[{position}]"
+        gaps = {c: f"(best.{c} - {other}.{c})" for c in CRITERIA}
+        widest = f"greatest({', '.join(gaps.values())})"
+        weakest = " ".join(f"WHEN {gap} = {widest} THEN '{name}'" for name, gap in gaps.items())
+        reason = (
+            f"concat('Scored ', string({other}.composite), ' against ', string(best.composite), "
+            f"'; weakest on ', CASE {weakest} END)"
+        )
+        return (
+            f"CASE WHEN NOT {other}.unsupported THEN named_struct('code', {other}.code, "
+            f"'title', {other}.title, 'why_not_selected', {reason}) END"
+        )
+
+    return _lines(*[described(position + 1) for position in range(ALTERNATIVES)])
 
 
 def recommend(scored: DataFrame) -> DataFrame:
@@ -331,7 +340,8 @@ def recommend(scored: DataFrame) -> DataFrame:
         talking_points().alias("agent_talking_points"),
         risk_flags().alias("risk_flags"),
     )
-    return scored.withColumn("best", F.expr(f"element_at({SUPPORTED_SQL}, 1)")).withColumn("nba", nba)
+    # The first action is always supported: explaining needs nothing.
+    return scored.withColumn("best", F.expr("candidates[0]")).withColumn("nba", nba)
 
 
 def next_best_action(context: DataFrame) -> DataFrame:
@@ -383,4 +393,4 @@ def build_prompts(context: DataFrame) -> DataFrame:
 
 def recommend_from_model(responses: DataFrame) -> DataFrame:
     """Recommendations read from model output (primary, retry) instead of the scorer."""
-    return responses.withColumn("nba", read_recommendation(F.col("primary"), F.col("retry")))
+    return with_recommendation(responses, "primary", "retry")

@@ -173,11 +173,14 @@ def analyze_interactions(
     customer: DataFrame,
     lexicon: Lexicon = SERVICE_ENGLISH,
     scores: DataFrame | None = None,
+    with_quotes: bool = True,
 ) -> DataFrame:
     """(interaction_id, customer_id, status, doc) for every requested interaction.
 
     ``scores`` may replace the default scoring by a model's results of the same
-    columns, one row per interaction.
+    columns, one row per interaction. Without ``with_quotes`` the summary and the
+    key phrases stay NULL and their work is saved, for readers that only need
+    the signals.
     """
     scores = score_interactions(turns, lexicon) if scores is None else scores
     known = headers.join(
@@ -188,9 +191,14 @@ def analyze_interactions(
         .join(known, "interaction_id", "left")
         .join(blank_interactions(turns), "interaction_id", "left")
         .join(scores, "interaction_id", "left")
-        .join(summarize(turns), "interaction_id", "left")
-        .join(phrase_lists(key_phrases(turns, lexicon)), "interaction_id", "left")
     )
+    if with_quotes:
+        joined = joined.join(summarize(turns), "interaction_id", "left").join(
+            phrase_lists(key_phrases(turns, lexicon)), "interaction_id", "left"
+        )
+        summary, phrases = "coalesce(summary, '')", "coalesce(key_phrases, cast(array() AS array<string>))"
+    else:
+        summary, phrases = "cast(NULL AS string)", "cast(NULL AS array<string>)"
     status = (
         F.when(F.col("known").isNull(), "not_found")
         .when(F.coalesce("blank", F.lit(True)), "empty_transcript")
@@ -216,14 +224,14 @@ def analyze_interactions(
         when_ok(
             F.struct(F.struct(F.col("intent").alias("label")).alias("raw"), F.col("intent").alias("label"))
         ).alias("intent"),
-        when_ok(F.coalesce("summary", F.lit(""))).alias("summary"),
+        when_ok(F.expr(summary)).alias("summary"),
         when_ok(
             F.struct(
                 "urgency", "churn_signal", "pricing_concern", "coverage_concern", "complaint_signal",
                 "recommended_tone", "customer_emotion",
             )
         ).alias("signals"),
-        when_ok(F.coalesce(F.col("key_phrases"), F.array().cast("array<string>"))).alias("key_phrases"),
+        when_ok(F.expr(phrases)).alias("key_phrases"),
         when_ok(F.col("retention_risk")).alias("retention_risk"),
     )
     return joined.select("interaction_id", "customer_id", status.alias("status"), doc.alias("doc"))

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import words
+from ..session import shared_folder
 from .customer360 import top_per_key
 
 K1, B = 1.2, 0.75
@@ -19,10 +20,11 @@ BROADCAST_ROWS = 200_000
 BROADCAST_VECTORS = 4_096
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint after counting at most ``rows`` + 1 rows; larger frames are
-    left to a shuffle join, whose skewed partitions adaptive execution splits."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether ``df`` may be sent whole to every task, after counting at most ``rows`` + 1
+    rows. Larger frames are left to a shuffle join, whose skewed partitions adaptive
+    execution splits."""
+    return df.limit(rows + 1).count() <= rows
 
 
 def round4(value):
@@ -34,15 +36,19 @@ def document_lengths(docs: DataFrame) -> DataFrame:
 
 
 def build_postings(docs: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
-    """(doc_id, word, length, tf). Counts are combined before the shuffle.
+    """(doc_id, word, length, tf) of ``docs``, one row per document, laid out by document.
 
-    With a ``vocabulary`` (one ``word`` column) all other words are dropped
-    where the text is read.
+    The texts are shuffled once; the words unfolded from them are many times
+    larger and are then counted where they are. With a ``vocabulary`` (one
+    ``word`` column) all other words are dropped where the text is read.
     """
     # The length is taken before the words are unfolded; beside the explode it would be
     # worked out again for every word.
-    found = docs.select("doc_id", words(F.col("text")).alias("found")).select(
-        "doc_id", F.size("found").cast("long").alias("length"), "found"
+    found = (
+        docs.select("doc_id", "text")
+        .repartition("doc_id")
+        .select("doc_id", words(F.col("text")).alias("found"))
+        .select("doc_id", F.size("found").cast("long").alias("length"), "found")
     )
     exploded = found.select("doc_id", "length", F.explode("found").alias("word"))
     if vocabulary is not None:
@@ -73,15 +79,15 @@ def rank_postings(
     n, mean_length = stats.select("n").scalar(), stats.select("mean_length").scalar()
     frequency = postings.groupBy("word").agg(F.count("*").alias("df"))
     idf = F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = wanted.join(frequency, "word").select(
-        "query_id", "word", (F.col("qtf") * idf).alias("weight")
-    )
+    # The weights have no more rows than the query words that were counted.
+    small = is_small(wanted)
+    weights = wanted.join(frequency, "word").select("query_id", "word", (F.col("qtf") * idf).alias("weight"))
     tf, length = F.col("tf"), F.col("length")
     gain = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean_length))
     scores = (
         postings.repartition("doc_id")
         .select("doc_id", "word", gain.alias("gain"))
-        .join(broadcast_if_small(weights), "word")
+        .join(F.broadcast(weights) if small else weights, "word")
         .groupBy("doc_id", "query_id")
         .agg(round4(F.sum(F.col("weight") * F.col("gain"))).alias("text_match"))
     )
@@ -90,10 +96,19 @@ def rank_postings(
 
 
 def text_search(docs: DataFrame, queries: DataFrame, k: int = LIMIT) -> DataFrame:
-    """Best ``k`` of ``docs`` (doc_id, text) for every row of ``queries`` (query_id, text)."""
+    """Best ``k`` of ``docs`` (doc_id, text) for every row of ``queries`` (query_id, text).
+
+    The postings of the query words are written once and read twice, for the
+    word frequencies and for the scores, instead of parsing all texts twice.
+    """
+    spark = docs.sparkSession
     wanted = query_words(queries)
-    vocabulary = broadcast_if_small(wanted.select("word").distinct())
-    return rank_postings(build_postings(docs, vocabulary), document_lengths(docs), wanted, k)
+    vocabulary = wanted.select("word").distinct()
+    postings = build_postings(docs, F.broadcast(vocabulary) if is_small(wanted) else vocabulary)
+    folder = shared_folder(spark, "postings")
+    postings.write.parquet(folder)
+    written = spark.read.schema(postings.schema).parquet(folder)
+    return rank_postings(written, document_lengths(docs), wanted, k)
 
 
 def with_attributes(results: DataFrame, docs: DataFrame, *columns: str) -> DataFrame:
@@ -181,13 +196,9 @@ def _grid_search(corpus: DataFrame, queries: DataFrame, k: int, slices: int | No
 def substring_search(docs: DataFrame, phrases: list[str]) -> DataFrame:
     """(phrase, doc_id) of every document containing a phrase, ignoring case.
 
-    The phrases are constants of the projection, so each text is read once and
-    no join is needed.
+    The phrases are constants of the projection, so each text is lowered and
+    read once and no join is needed.
     """
-
-    def pattern(phrase: str) -> str:
-        escaped = phrase.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_")
-        return f"%{escaped}%"
-
-    found = [F.when(F.col("text").ilike(pattern(p)), F.lit(p)) for p in phrases]
-    return docs.select("doc_id", F.explode(F.array_compact(F.array(*found))).alias("phrase"))
+    found = [F.when(F.contains(F.col("lowered"), F.lit(p.lower())), F.lit(p)) for p in phrases]
+    lowered = docs.select("doc_id", F.lower("text").alias("lowered"))
+    return lowered.select("doc_id", F.explode(F.array_compact(F.array(*found))).alias("phrase"))

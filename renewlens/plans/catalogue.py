@@ -165,7 +165,10 @@ def _scores(*columns: str) -> Query:
 
 
 def extractive_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat(interactions.summarize(sales.document_turns(spark, sf_dir)))
+    """Each document is one row, so laying the texts out by document once leaves nothing
+    to shuffle after its words are unfolded."""
+    turns = sales.document_turns(spark, sf_dir).repartition("interaction_id")
+    return flat(interactions.summarize(turns))
 
 
 def key_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,7 +210,7 @@ def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def model_json_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = _responses(spark, sf_dir).select("event_id", model_json.read_signals(F.col("raw")).alias("s"))
+    read = model_json.with_signals(_responses(spark, sf_dir), "raw", out="s")
     return flat(
         read.select(
             "event_id",
@@ -300,13 +303,15 @@ def substring_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(search.substring_search(sales.scan(spark, sf_dir, "documents"), PHRASES))
 
 
-def _context(spark: SparkSession, sf_dir: str, requests: DataFrame | None = None) -> DataFrame:
+def _context(
+    spark: SparkSession, sf_dir: str, requests: DataFrame | None = None, with_quotes: bool = False
+) -> DataFrame:
     """Decision context of every customer; the conversation of the same number, if any, is the request's."""
     talks = sales.conversation_headers(spark, sf_dir).select("interaction_id", "customer_id")
     base = sales.customers(spark, sf_dir).select("customer_id") if requests is None else requests
     docs = interactions.analyze_interactions(
         talks, sales.conversation_headers(spark, sf_dir), sales.conversation_turns(spark, sf_dir),
-        sales.customers(spark, sf_dir), PROSE,
+        sales.customers(spark, sf_dir), PROSE, with_quotes=with_quotes,
     )
     return decide.nba_context(
         sales.sales_tables(spark, sf_dir), base.join(talks, "customer_id", "left"), docs
@@ -333,7 +338,7 @@ def nba_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     person = F.regexp_extract("prompt", r"Customer:\n(\{.*\})\n", 1)
     menu = F.size(F.split(F.regexp_extract("prompt", r"(?s)choose from:\n(.*)\n\nAnswer", 1), "\n"))
     return flat(
-        decide.build_prompts(_context(spark, sf_dir)).select(
+        decide.build_prompts(_context(spark, sf_dir, with_quotes=True)).select(
             "customer_id", "interaction_id",
             F.get_json_object(person, "$.name").alias("name"),
             F.get_json_object(person, "$.total_claims").cast("long").alias("total_claims"),
@@ -379,7 +384,7 @@ def nba_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nba_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = decide.next_best_action(_context(spark, sf_dir, requested_ids(spark, sf_dir)))
+    docs = decide.next_best_action(_context(spark, sf_dir, requested_ids(spark, sf_dir), with_quotes=True))
     return flat(
         docs.select(
             "customer_id", "interaction_id", "status",

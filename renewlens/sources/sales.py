@@ -77,11 +77,22 @@ def properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Return flag and line status pairs, in the order in which they are listed.
+LINE_CODES = ("AF", "AO", "NF", "NO", "RF", "RO")
+
+
 def _order_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items summed per order before any join, so a huge order collapses map-side."""
-    returned = F.col("l_returnflag") == "R"
+    """Line items summed per order before any join, so a huge order collapses map-side.
+
+    All buffers are longs, the set of line codes included (one bit per code), which
+    keeps the aggregation in generated hash code; a collected set would not.
+    """
+    codes = ", ".join(f"'{code}'" for code in LINE_CODES)
+    position = f"array_position(array({codes}), concat(l_returnflag, l_linestatus))"
     price = _cents(F.col("l_extendedprice"))
     quantity = _cents(F.col("l_quantity"))
+    returned = F.col("l_returnflag") == "R"
+    listed = f"filter(array({codes}), (code, i) -> (codes & shiftleft(1L, i + 1)) != 0)"
     return (
         scan(spark, sf_dir, "lineitem")
         .groupBy(F.col("l_orderkey").alias("order_id"))
@@ -91,10 +102,10 @@ def _order_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.sum(quantity).alias("contents"),
             F.sum(F.when(returned, price).otherwise(0)).alias("flood_cov"),
             F.sum(F.when(returned, quantity).otherwise(0)).alias("flood_ded"),
-            F.array_join(
-                F.array_sort(F.collect_set(F.concat("l_returnflag", "l_linestatus"))), ", "
-            ).alias("exclusions"),
+            F.coalesce(F.expr(f"bit_or(shiftleft(1L, cast({position} AS INT)))"), F.lit(0)).alias("codes"),
         )
+        .withColumn("exclusions", F.expr(f"array_join({listed}, ', ')"))
+        .drop("codes")
     )
 
 
