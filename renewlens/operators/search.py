@@ -145,11 +145,12 @@ def vector_search(corpus: DataFrame, queries: DataFrame, k: int = LIMIT, slices:
     schema = "query_id long, vec_id long, cosine_similarity double"
     head = queries.select("query_id", "embedding").limit(BROADCAST_VECTORS + 1).toPandas()
     if len(head) <= BROADCAST_VECTORS:
-        ids, matrix = head["query_id"].to_numpy("int64"), _unit(head["embedding"])
+        ids = head["query_id"].to_numpy("int64")
+        matrix = _unit(head["embedding"]) if len(ids) else None
 
         def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                if len(batch):
+                if len(batch) and len(ids):
                     yield _batch_best(
                         batch["vec_id"].to_numpy("int64"), _unit(batch["embedding"]), ids, matrix, k
                     )
