@@ -28,6 +28,8 @@ SIGNALS = ("churn", "urgency", "pricing", "coverage", "complaint")
 # Above this many entries a lexicon is joined without a broadcast hint, so that
 # its measured size decides between a broadcast and a shuffle join.
 BROADCAST_ENTRIES = 50_000
+# A word that no text holds; it stands for the turn itself.
+ANCHOR = ""
 
 
 @dataclass(frozen=True)
@@ -49,9 +51,28 @@ class Lexicon:
         rows += [(w, "signal", name, 1.0) for name, ws in self.signal.items() for w in ws]
         return rows
 
+    def columns(self) -> list[str]:
+        """One number column per entry: tone weight and hits, intents, signals."""
+        return [
+            "tone_sum", "tone_hits",
+            *[f"intent_{label}" for label in self.intent],
+            *[f"signal_{name}" for name in SIGNALS],
+        ]
+
     def frame(self, spark: SparkSession) -> DataFrame:
-        rows = self.entries()
-        df = spark.createDataFrame(rows, "word string, kind string, entry string, weight double")
+        """One row per word with its numbers, and the row of zeros of the empty word."""
+        columns = self.columns()
+        numbers: dict[str, dict[str, float]] = {ANCHOR: {}}
+        for word, kind, entry, weight in self.entries():
+            row = numbers.setdefault(word, {})
+            if kind == "sentiment":
+                row["tone_sum"] = row.get("tone_sum", 0.0) + weight
+                row["tone_hits"] = row.get("tone_hits", 0.0) + 1
+            else:
+                row[f"{kind}_{entry}"] = row.get(f"{kind}_{entry}", 0.0) + 1
+        rows = [(word, *[row.get(c, 0.0) for c in columns]) for word, row in numbers.items()]
+        schema = "word string, " + ", ".join(f"{c} double" for c in columns)
+        df = spark.createDataFrame(rows, schema)
         return F.broadcast(df) if len(rows) <= BROADCAST_ENTRIES else df
 
 

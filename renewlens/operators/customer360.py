@@ -20,6 +20,39 @@ def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int = 1,
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= n)
 
 
+# A key with more rows than this is spread over several tasks.
+HOT_ROWS = 1_000_000
+HOT_PARTS = 64
+
+
+def hot_keys(df: DataFrame, key: str, rows: int = HOT_ROWS) -> list:
+    """Keys with more than ``rows`` rows. There are at most (rows of ``df``) / ``rows`` of
+    them, and counting combines map-side, so neither step depends on the skew."""
+    counted = df.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > rows)
+    return [r[0] for r in counted.select(key).collect() if r[0] is not None]
+
+
+def join_repeated(left: DataFrame, right: DataFrame, key: str, spread_by: str, hot: list) -> DataFrame:
+    """Left join to a side that repeats some keys very often.
+
+    An outer join cannot split its optional side, so the rows of the ``hot`` keys
+    are dealt over parts by ``spread_by`` and the left row is repeated per part.
+    Parts without a match are dropped again: a hot key has matches by definition.
+    """
+    if not hot:
+        return left.join(right, key, "left")
+    is_hot = F.col(key).isin(hot)
+    part = F.when(is_hot, F.pmod(F.xxhash64(spread_by), F.lit(HOT_PARTS))).otherwise(0).cast("int")
+    parts = F.when(is_hot, F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))
+    dealt = right.withColumn("part", part).withColumn("matched", F.lit(True))
+    return (
+        left.withColumn("part", F.explode(parts))
+        .join(dealt, [key, "part"], "left")
+        .filter(F.col("matched").isNotNull() | ~is_hot)
+        .drop("part", "matched")
+    )
+
+
 def claim_summary(claim: DataFrame) -> DataFrame:
     return claim.groupBy("customer_id").agg(
         F.count("*").alias("total_claims"),
@@ -58,13 +91,17 @@ def churn_bands(customer: DataFrame) -> DataFrame:
     )
 
 
-def customer_360(tables: Tables) -> DataFrame:
+def customer_360(tables: Tables, holdings: str = "all") -> DataFrame:
     """The 41-column customer product.
 
     Everything that is unique per customer is joined first; homes and current
     policies, which may legitimately repeat a customer, come last so that a
     repeated customer is not carried through the other joins. All joins but the
     risk one share the customer key and therefore one partitioning.
+
+    ``holdings`` says what happens to several homes or current policies: "all"
+    keeps every combination and spreads customers with very many of them,
+    "first" keeps the smallest id of each, "single" trusts that there are none.
     """
     customer = tables["customer"]
     claims = claim_summary(tables["claim"])
@@ -86,18 +123,26 @@ def customer_360(tables: Tables) -> DataFrame:
         F.col("risk_reason").alias("current_risk_reason"),
         F.col("assessment_date").alias("risk_assessment_date"),
     )
-    homes = tables["property"].join(risk, "property_id", "left")
+    homes = tables["property"]
     current = (
         tables["policy_version"]
         .filter("policy_version = 'CURRENT'")
         .drop("policy_version", "policy_type")
     )
-    return (
+    hot_homes, hot_policies = [], []
+    if holdings == "all":
+        hot_homes, hot_policies = hot_keys(homes, "customer_id"), hot_keys(current, "customer_id")
+    elif holdings == "first":
+        homes = top_per_key(homes, ["customer_id"], [F.asc("property_id")]).drop("rn")
+        current = top_per_key(current, ["customer_id"], [F.asc("policy_id")]).drop("rn")
+    facts = (
         customer.join(claims, "customer_id", "left")
         .join(proposed, "customer_id", "left")
         .join(said, "customer_id", "left")
-        .join(homes, "customer_id", "left")
-        .join(current, "customer_id", "left")
+    )
+    housed = join_repeated(facts, homes.join(risk, "property_id", "left"), "customer_id", "property_id", hot_homes)
+    return (
+        join_repeated(housed, current, "customer_id", "policy_id", hot_policies)
         .select(
             "customer_id", "name", "age", "tenure_years", "customer_value", "payment_history",
             "churn_risk_score", churn_label("churn_risk_score").alias("churn_risk_label"),

@@ -108,9 +108,9 @@ def nba_context(tables: Tables, requests: DataFrame, interaction_docs: DataFrame
     then built from the joined columns. A customer with several homes or
     policies is described by the smallest id of each.
     """
-    c360 = top_per_key(
-        customer_360(tables), ["customer_id"], [F.asc("property_id"), F.asc("policy_id")]
-    ).select("customer_id", F.struct(*CONTEXT_FIELDS).alias("customer_360"))
+    c360 = customer_360(tables, holdings="first").select(
+        "customer_id", F.struct(*CONTEXT_FIELDS).alias("customer_360")
+    )
     comparison = top_per_key(policy_comparison(tables), ["customer_id"], [F.asc("policy_id")]).drop("rn", "name")
     changes = top_per_key(risk_change(tables), ["customer_id"], [F.asc("property_id")]).drop("rn", "name")
     single = top_per_key(single_assessments(tables), ["customer_id"], [F.asc("single_property")])

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import texts
-from ..functions.lexicon import DEFAULT_INTENT, INTENTS, SERVICE_ENGLISH, SIGNALS, Lexicon
+from ..functions.lexicon import ANCHOR, DEFAULT_INTENT, INTENTS, SERVICE_ENGLISH, Lexicon
 from ..functions.rules import retention_risk, sentiment_label
 from ..functions.text import is_blank, sentences, words
 from .customer360 import top_per_key
@@ -27,23 +27,22 @@ KEY_PHRASES = 5
 def lexicon_hits(turns: DataFrame, lexicon: Lexicon) -> DataFrame:
     """One row per interaction with every lexicon sum, from one pass over the text.
 
-    Interactions without any hit are kept with zero sums.
+    The lexicon comes as one row of numbers per word, so the join drops all other
+    words and what is left is added up without any condition. An anchor word per
+    turn keeps interactions without a hit.
     """
     rows = turns.select(
         "interaction_id",
-        (F.col("speaker") == "Customer").alias("by_customer"),
-        F.explode_outer(words(F.col("text"))).alias("word"),
+        (F.col("speaker") == "Customer").cast("double").alias("by_customer"),
+        F.coalesce(words(F.col("text")), F.array().cast("array<string>")).alias("found"),
+    ).select(
+        "interaction_id", "by_customer", F.explode(F.concat(F.array(F.lit(ANCHOR)), "found")).alias("word")
     )
-    hits = rows.join(lexicon.frame(turns.sparkSession), "word", "left")
-    sums = {
-        "tone_sum": "coalesce(sum(weight) FILTER (WHERE kind = 'sentiment'), 0D)",
-        "tone_hits": "count_if(kind = 'sentiment')",
-    }
-    for label in lexicon.intent:
-        sums[f"intent_{label}"] = f"count_if(kind = 'intent' AND entry = '{label}')"
-    for name in SIGNALS:
-        sums[f"signal_{name}"] = f"count_if(kind = 'signal' AND entry = '{name}' AND by_customer)"
-    return hits.groupBy("interaction_id").agg(*[F.expr(sql).alias(name) for name, sql in sums.items()])
+    sums = [
+        F.expr(f"sum({c} * by_customer)" if c.startswith("signal_") else f"sum({c})").alias(c)
+        for c in lexicon.columns()
+    ]
+    return rows.join(lexicon.frame(turns.sparkSession), "word").groupBy("interaction_id").agg(*sums)
 
 
 # Mean weight of the matched words within -1..1; 0 when no word matches.

@@ -15,6 +15,7 @@ from ..functions.rules import (
     worst,
 )
 from ..sources.tables import Tables
+from .customer360 import hot_keys, join_repeated
 
 # comparison stem -> policy column, in output order
 MEASURES = {
@@ -169,15 +170,22 @@ def requested_customers(tables: Tables, requests: DataFrame) -> DataFrame:
     return requests.join(known, "customer_id", "left")
 
 
-def compare_policy(tables: Tables, requests: DataFrame, comparison: DataFrame | None = None) -> DataFrame:
+def compare_policy(
+    tables: Tables, requests: DataFrame, comparison: DataFrame | None = None, repeated: bool = True
+) -> DataFrame:
     """(customer_id, status, doc) for every requested customer.
 
     ``requests`` has one ``customer_id`` per row. A customer with several
-    comparable policies gets one document per policy.
+    comparable policies gets one document per policy; with ``repeated``,
+    customers with very many policies are looked for and spread.
     """
+    hot: list = []
+    if repeated:
+        hot = hot_keys(tables["policy_version"].filter("policy_version = 'RENEWAL'"), "customer_id")
     comparison = policy_comparison(tables) if comparison is None else comparison
-    joined = requested_customers(tables, requests.select("customer_id")).join(
-        comparison.drop("name"), "customer_id", "left"
+    joined = join_repeated(
+        requested_customers(tables, requests.select("customer_id")), comparison.drop("name"),
+        "customer_id", "policy_id", hot,
     )
     return joined.select("customer_id", policy_document().alias("doc")).select(
         "customer_id", F.col("doc.status").alias("status"), "doc"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import texts
 from ..functions.rules import percent_change, risk_direction, score_direction, worst
 from ..sources.tables import Tables
-from .customer360 import top_per_key
+from .customer360 import hot_keys, join_repeated, top_per_key
 from .policy import policy_comparison, requested_customers
 
 DIMENSIONS = ("flood", "fire", "earthquake")
@@ -196,19 +196,21 @@ def analyze_risk(
     requests: DataFrame,
     comparison: DataFrame | None = None,
     changes: DataFrame | None = None,
+    repeated: bool = True,
 ) -> DataFrame:
     """(customer_id, status, doc) for every requested customer.
 
     A customer with several changed homes gets one document per home; customers
-    without any change get their latest single assessment.
+    without any change get their latest single assessment. With ``repeated``,
+    customers with very many homes are looked for and spread.
     """
+    hot = hot_keys(tables["property"], "customer_id") if repeated else []
     comparison = policy_comparison(tables) if comparison is None else comparison
     changes = risk_change(tables) if changes is None else changes
-    joined = (
-        requested_customers(tables, requests.select("customer_id"))
-        .join(changes.drop("name"), "customer_id", "left")
-        .join(comparison.select("customer_id", *IMPACT_COLUMNS), "customer_id", "left")
+    asked = requested_customers(tables, requests.select("customer_id")).join(
+        comparison.select("customer_id", *IMPACT_COLUMNS), "customer_id", "left"
     )
+    joined = join_repeated(asked, changes.drop("name"), "customer_id", "property_id", hot)
     joined = with_single_assessment(joined, single_assessments(tables))
     return joined.select("customer_id", risk_document().alias("doc")).select(
         "customer_id", F.col("doc.status").alias("status"), "doc"

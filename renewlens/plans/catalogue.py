@@ -83,16 +83,23 @@ def _tables(fn: Callable[[Tables], DataFrame]) -> Query:
     return lambda spark, sf_dir: flat(fn(sales.sales_tables(spark, sf_dir)))
 
 
+def _customer_360(tables: Tables) -> DataFrame:
+    """The mapping gives each customer one home and at most one current policy."""
+    return customer360.customer_360(tables, holdings="single")
+
+
 def _comparison(fn: Callable[[DataFrame], DataFrame]) -> Query:
     return _tables(lambda t: fn(policy.policy_comparison(t)))
 
 
 def _policy_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return policy.compare_policy(sales.sales_tables(spark, sf_dir), requested_ids(spark, sf_dir))
+    return policy.compare_policy(
+        sales.sales_tables(spark, sf_dir), requested_ids(spark, sf_dir), repeated=False
+    )
 
 
 def _risk_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return risk.analyze_risk(sales.sales_tables(spark, sf_dir), requested_ids(spark, sf_dir))
+    return risk.analyze_risk(sales.sales_tables(spark, sf_dir), requested_ids(spark, sf_dir), repeated=False)
 
 
 def exclusion_diff(comparison: DataFrame) -> DataFrame:
@@ -481,8 +488,8 @@ def stream_hourly_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    "customer_360": _tables(customer360.customer_360),
-    "customer_list": _tables(lambda t: customer360.customer_list(customer360.customer_360(t))),
+    "customer_360": _tables(_customer_360),
+    "customer_list": _tables(lambda t: customer360.customer_list(_customer_360(t))),
     "churn_band": _tables(lambda t: customer360.churn_bands(t["customer"])),
     "claim_summary": _tables(lambda t: customer360.claim_summary(t["claim"])),
     "latest_risk_per_property": _tables(lambda t: customer360.latest_risk(t["risk_history"])),

@@ -12,7 +12,13 @@ from pyspark.sql import functions as F
 
 from renewlens.functions import rules
 from renewlens.operators import policy, quality, risk
-from renewlens.operators.customer360 import customer_360, latest_interaction, latest_risk
+from renewlens.operators.customer360 import (
+    customer_360,
+    hot_keys,
+    join_repeated,
+    latest_interaction,
+    latest_risk,
+)
 from renewlens.sources.tables import append_rows, conform, literal_rows, read_table, replace_table
 
 
@@ -107,6 +113,25 @@ def test_repeated_homes_and_policies_repeat_the_customer(spark):
     assert report["customer_360_completeness"] == "FAIL"
 
 
+def test_very_many_holdings_are_spread_without_changing_rows(spark):
+    homes = [(f"P9{i:02d}", "C001", "CONDO", "Elsewhere", 1, "BRICK") for i in range(30)]
+    tables = portfolio(spark, property=homes, policy_version=[version("X1", "C001", "CURRENT", 10)])
+    assert hot_keys(tables["property"], "customer_id", rows=20) == ["C001"]
+    plain = customer_360(tables).select("customer_id", "property_id", "policy_id")
+    facts = tables["customer"].select("customer_id")
+    homes_only = tables["property"].select("customer_id", "property_id").filter("customer_id != 'C012'")
+    current = tables["policy_version"].filter("policy_version = 'CURRENT'").select("customer_id", "policy_id")
+    spread = join_repeated(
+        join_repeated(facts, homes_only, "customer_id", "property_id", ["C001"]),
+        current, "customer_id", "policy_id", ["C001"],
+    )
+    expected = sorted((r[0], r[1] if r[0] != "C012" else "", r[2]) for r in plain.collect())
+    assert sorted((r[0], r[1] or "", r[2]) for r in spread.collect()) == expected
+    assert sum(r[0] == "C001" for r in expected) == 62
+    first = customer_360(tables, holdings="first").filter("customer_id = 'C001'").collect()
+    assert [(r.property_id, r.policy_id) for r in first] == [("P001", "POL001")]
+
+
 def test_newest_two_of_many_with_tied_dates(spark):
     rows = [
         ("RA100", "P004", "2025-05-15", "MEDIUM", "LOW", "LOW", 0.50, "same day"),
