@@ -13,15 +13,8 @@ from ..functions import display, texts
 from ..functions.model_json import with_recommendation
 from ..sources.tables import Tables
 from .customer360 import customer_360, top_per_key
-from .policy import finding_sql, policy_comparison, policy_document, requested_customers
-from .risk import (
-    DIMENSIONS,
-    communication_points,
-    risk_change,
-    risk_document,
-    single_assessments,
-    with_single_assessment,
-)
+from .policy import compare_terms, finding_sql, policy_document, requested_customers
+from .risk import DIMENSIONS, assessed_homes, communication_points, risk_document
 
 # The action menu.
 MENU = {
@@ -101,26 +94,30 @@ def default_requests(c360: DataFrame) -> DataFrame:
     return c360.select("customer_id", F.col("last_interaction_id").alias("interaction_id")).distinct()
 
 
-def nba_context(tables: Tables, requests: DataFrame, interaction_docs: DataFrame | None = None) -> DataFrame:
+def nba_context(
+    tables: Tables, requests: DataFrame, interaction_docs: DataFrame | None = None, holdings: str = "first"
+) -> DataFrame:
     """One row per (customer_id, interaction_id) request with the four context parts.
 
     Each product is computed once and joined on the customer; the documents are
     then built from the joined columns. A customer with several homes or
-    policies is described by the smallest id of each.
+    policies is described by the smallest id of each, a changed home first;
+    ``holdings`` = "single" trusts that there are none to choose from.
     """
-    c360 = customer_360(tables, holdings="first").select(
+    c360 = customer_360(tables, holdings).select(
         "customer_id", F.struct(*CONTEXT_FIELDS).alias("customer_360")
     )
-    comparison = top_per_key(policy_comparison(tables), ["customer_id"], [F.asc("policy_id")]).drop("rn", "name")
-    changes = top_per_key(risk_change(tables), ["customer_id"], [F.asc("property_id")]).drop("rn", "name")
-    single = top_per_key(single_assessments(tables), ["customer_id"], [F.asc("single_property")])
+    comparison = compare_terms(tables["policy_version"])
+    homes = assessed_homes(tables)
+    if holdings != "single":
+        comparison = top_per_key(comparison, ["customer_id"], [F.asc("policy_id")]).drop("rn")
+        homes = top_per_key(homes, ["customer_id"], [F.desc("assessments"), F.asc("property_id")]).drop("rn")
     joined = (
         requested_customers(tables, requests.select("customer_id", "interaction_id"))
         .join(c360, "customer_id", "left")
         .join(comparison, "customer_id", "left")
-        .join(changes, "customer_id", "left")
+        .join(homes, "customer_id", "left")
     )
-    joined = with_single_assessment(joined, single)
     nothing = F.struct(F.lit("no_interaction").alias("status"), F.lit(texts.NO_INTERACTION).alias("message"))
     if interaction_docs is None:
         return _flags(joined.withColumn("interaction_intelligence", nothing), talked=False)

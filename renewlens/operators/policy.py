@@ -69,9 +69,8 @@ def policy_pivot(policy_version: DataFrame) -> DataFrame:
     )
 
 
-def policy_comparison(tables: Tables) -> DataFrame:
+def compare_terms(policy_version: DataFrame) -> DataFrame:
     """Change, percent and severity of every field per (customer, policy)."""
-    names = tables["customer"].select("customer_id", "name")
     fields: list[Column | str] = []
     for stem in MEASURES:
         cur, ren = f"cur_{stem}", f"ren_{stem}"
@@ -82,8 +81,8 @@ def policy_comparison(tables: Tables) -> DataFrame:
             percent_change(cur, ren).alias(f"{stem}_change_pct"),
             severity(cur, ren, stem).alias(f"{stem}_severity"),
         ]
-    graded = policy_pivot(tables["policy_version"]).join(names, "customer_id").select(
-        "customer_id", "name", "policy_id", *fields,
+    graded = policy_pivot(policy_version).select(
+        "customer_id", "policy_id", *fields,
         "cur_exclusions", "ren_exclusions",
         differs("cur_exclusions", "ren_exclusions").alias("exclusions_changed"),
         "cur_effective", "cur_expiry", "ren_effective", "ren_expiry",
@@ -98,6 +97,13 @@ def policy_comparison(tables: Tables) -> DataFrame:
     )
 
 
+def policy_comparison(tables: Tables) -> DataFrame:
+    """The compared terms with the customer's name; policies of unknown customers are left out."""
+    names = tables["customer"].select("customer_id", "name")
+    terms = compare_terms(tables["policy_version"])
+    return terms.join(names, "customer_id").select("customer_id", "name", *terms.columns[1:])
+
+
 def finding_sql(stem: str) -> str:
     """One sentence about a changed field; NULL when unchanged or without a percent."""
     change = f"{stem}_change"
@@ -170,9 +176,7 @@ def requested_customers(tables: Tables, requests: DataFrame) -> DataFrame:
     return requests.join(known, "customer_id", "left")
 
 
-def compare_policy(
-    tables: Tables, requests: DataFrame, comparison: DataFrame | None = None, repeated: bool = True
-) -> DataFrame:
+def compare_policy(tables: Tables, requests: DataFrame, repeated: bool = True) -> DataFrame:
     """(customer_id, status, doc) for every requested customer.
 
     ``requests`` has one ``customer_id`` per row. A customer with several
@@ -182,10 +186,9 @@ def compare_policy(
     hot: list = []
     if repeated:
         hot = hot_keys(tables["policy_version"].filter("policy_version = 'RENEWAL'"), "customer_id")
-    comparison = policy_comparison(tables) if comparison is None else comparison
     joined = join_repeated(
-        requested_customers(tables, requests.select("customer_id")), comparison.drop("name"),
-        "customer_id", "policy_id", hot,
+        requested_customers(tables, requests.select("customer_id")),
+        compare_terms(tables["policy_version"]), "customer_id", "policy_id", hot,
     )
     return joined.select("customer_id", policy_document().alias("doc")).select(
         "customer_id", F.col("doc.status").alias("status"), "doc"

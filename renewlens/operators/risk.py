@@ -9,7 +9,7 @@ from ..functions import texts
 from ..functions.rules import percent_change, risk_direction, score_direction, worst
 from ..sources.tables import Tables
 from .customer360 import hot_keys, join_repeated, top_per_key
-from .policy import policy_comparison, requested_customers
+from .policy import compare_terms, requested_customers
 
 DIMENSIONS = ("flood", "fire", "earthquake")
 
@@ -55,20 +55,43 @@ def directions() -> list[Column]:
     ]
 
 
-def risk_change(tables: Tables) -> DataFrame:
-    """One row per property with two or more assessments."""
-    pairs = assessment_pairs(newest_two(tables["risk_history"])).filter("assessments = 2")
+def assessed_homes(tables: Tables) -> DataFrame:
+    """Every assessed home with its newest two assessments; ``current_risk`` is set where
+    there is only one, the directions where there are two."""
     homes = tables["property"].select("property_id", "customer_id", "location", "property_type")
-    names = tables["customer"].select("customer_id", "name")
-    return (
-        pairs.join(homes, "property_id")
-        .join(names, "customer_id")
-        .select(
-            "customer_id", "name", "property_id", "location", "property_type",
-            *[f"{p}_{s}" for p in ("prev", "curr") for s in ASSESSMENT],
-            *directions(),
-        )
+    pairs = assessment_pairs(newest_two(tables["risk_history"]))
+    changed = F.col("assessments") == 2
+    snapshot = F.struct(
+        *[F.col(f"curr_{d}_risk").alias(f"{d}_risk") for d in DIMENSIONS],
+        F.col("curr_risk_score").alias("overall_risk_score"),
+        F.col("curr_assessment_date").alias("assessment_date"),
+        F.col("curr_risk_reason").alias("risk_reason"),
     )
+    graded = pairs.select("*", *directions(), F.when(~changed, snapshot).alias("current_risk"))
+    return graded.select(
+        *pairs.columns, "current_risk", *[F.when(changed, F.col(c)).alias(c) for c in DIRECTION_COLUMNS]
+    ).join(homes, "property_id")
+
+
+DIRECTION_COLUMNS = [
+    *[f"{d}_direction" for d in DIMENSIONS], "risk_score_change", "risk_score_change_pct", "overall_direction"
+]
+CHANGE_COLUMNS = [
+    "customer_id", "property_id", "location", "property_type",
+    *[f"{p}_{s}" for p in ("prev", "curr") for s in ASSESSMENT],
+    *DIRECTION_COLUMNS,
+]
+
+
+def home_changes(tables: Tables) -> DataFrame:
+    """Homes with two or more assessments."""
+    return assessed_homes(tables).filter("assessments = 2").select(*CHANGE_COLUMNS)
+
+
+def risk_change(tables: Tables) -> DataFrame:
+    """The changes with the customer's name; homes of unknown customers are left out."""
+    names = tables["customer"].select("customer_id", "name")
+    return home_changes(tables).join(names, "customer_id").select("customer_id", "name", *CHANGE_COLUMNS[1:])
 
 
 def causal_chain() -> Column:
@@ -117,31 +140,6 @@ def _assessment_sql(prefix: str) -> str:
     )
 
 
-def single_assessments(tables: Tables) -> DataFrame:
-    """The only assessment of a home, as the document block of customers without a change."""
-    block = F.struct(
-        *[F.col(f"curr_{d}_risk").alias(f"{d}_risk") for d in DIMENSIONS],
-        F.col("curr_risk_score").alias("overall_risk_score"),
-        F.col("curr_assessment_date").alias("assessment_date"),
-        F.col("curr_risk_reason").alias("risk_reason"),
-    )
-    homes = tables["property"].select("property_id", "customer_id")
-    return (
-        assessment_pairs(newest_two(tables["risk_history"]))
-        .filter("assessments = 1")
-        .join(homes, "property_id")
-        .select("customer_id", F.col("property_id").alias("single_property"), block.alias("current_risk"))
-    )
-
-
-def with_single_assessment(joined: DataFrame, single: DataFrame) -> DataFrame:
-    """Add ``current_risk`` to customers without any changed home; a customer with a
-    changed home keeps its rows as they are."""
-    single = single.select(F.col("customer_id").alias("single_customer"), "current_risk")
-    match = (F.col("customer_id") == F.col("single_customer")) & F.col("overall_direction").isNull()
-    return joined.join(single, match, "left").drop("single_customer")
-
-
 def _changes_sql() -> str:
     blocks = ", ".join(
         f"'{d}', named_struct('previous', prev_{d}_risk, 'current', curr_{d}_risk, 'direction', {d}_direction)"
@@ -155,8 +153,8 @@ def _changes_sql() -> str:
 
 
 def risk_document() -> Column:
-    """The document of one customer over requests left-joined to a change row, a
-    comparison row and a single assessment, any of which may be absent."""
+    """The document of one customer over requests left-joined to a comparison row and an
+    assessed home, either of which may be absent."""
     cases = (
         ("known IS NULL", "not_found", texts.CUSTOMER_NOT_FOUND),
         ("overall_direction IS NOT NULL", "ok", None),
@@ -171,13 +169,13 @@ def risk_document() -> Column:
         "customer_id",
         "customer_name",
         F.expr(f"CASE {message} END").alias("message"),
-        "property_id",
-        "location",
-        "property_type",
+        F.when(changed, F.col("property_id")).alias("property_id"),
+        F.when(changed, F.col("location")).alias("location"),
+        F.when(changed, F.col("property_type")).alias("property_type"),
         F.when(changed, F.expr(_assessment_sql("prev"))).alias("previous_assessment"),
         F.when(changed, F.expr(_assessment_sql("curr"))).alias("current_assessment"),
         F.when(changed, F.expr(_changes_sql())).alias("changes"),
-        F.col("curr_risk_reason").alias("root_cause"),
+        F.when(changed, F.col("curr_risk_reason")).alias("root_cause"),
         F.when(changed, causal_chain()).alias("causal_chain"),
         F.when(changed, policy_impact()).alias("policy_impact"),
         F.when(changed, communication_points()).alias("communication_points"),
@@ -191,27 +189,23 @@ IMPACT_COLUMNS = [
 ]
 
 
-def analyze_risk(
-    tables: Tables,
-    requests: DataFrame,
-    comparison: DataFrame | None = None,
-    changes: DataFrame | None = None,
-    repeated: bool = True,
-) -> DataFrame:
+def analyze_risk(tables: Tables, requests: DataFrame, repeated: bool = True) -> DataFrame:
     """(customer_id, status, doc) for every requested customer.
 
     A customer with several changed homes gets one document per home; customers
-    without any change get their latest single assessment. With ``repeated``,
+    without any change get their latest single assessments. With ``repeated``,
     customers with very many homes are looked for and spread.
     """
     hot = hot_keys(tables["property"], "customer_id") if repeated else []
-    comparison = policy_comparison(tables) if comparison is None else comparison
-    changes = risk_change(tables) if changes is None else changes
-    asked = requested_customers(tables, requests.select("customer_id")).join(
-        comparison.select("customer_id", *IMPACT_COLUMNS), "customer_id", "left"
+    terms = compare_terms(tables["policy_version"]).select("customer_id", *IMPACT_COLUMNS)
+    asked = requested_customers(tables, requests.select("customer_id")).join(terms, "customer_id", "left")
+    changes = home_changes(tables)
+    # A single assessment only speaks for a customer without any changed home.
+    single = assessed_homes(tables).filter("assessments = 1").join(
+        changes.select("customer_id").distinct(), "customer_id", "left_anti"
     )
-    joined = join_repeated(asked, changes.drop("name"), "customer_id", "property_id", hot)
-    joined = with_single_assessment(joined, single_assessments(tables))
+    homes = changes.unionByName(single.select("customer_id", "current_risk", "property_id"), allowMissingColumns=True)
+    joined = join_repeated(asked, homes, "customer_id", "property_id", hot)
     return joined.select("customer_id", risk_document().alias("doc")).select(
         "customer_id", F.col("doc.status").alias("status"), "doc"
     )

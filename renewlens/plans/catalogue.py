@@ -321,7 +321,7 @@ def _context(
         sales.customers(spark, sf_dir), PROSE, with_quotes=with_quotes,
     )
     return decide.nba_context(
-        sales.sales_tables(spark, sf_dir), base.join(talks, "customer_id", "left"), docs
+        sales.sales_tables(spark, sf_dir), base.join(talks, "customer_id", "left"), docs, holdings="single"
     )
 
 

@@ -24,6 +24,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: s
         **DEFAULTS,
         "spark.sql.shuffle.partitions": str(shuffle_partitions),
         "spark.driver.memory": "12g",
+        # Call sites of every column expression are only worth their calls when debugging.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         # Small wide rows are heavy to build: do not merge them into one task.
         "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
         **conf,
