@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-WORD = "[a-z]+"
+NOT_WORD = "[^a-z]+"
 SENTENCE = "[^.!?\\n]+[.!?]*"
 SPEAKERS = ("Agent", "Customer")
 
 
 def words(text: Column) -> Column:
     """Lower-case ASCII letter runs of the whole text, in order."""
-    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(F.lower(text), NOT_WORD), "")
 
 
 def sentences(text: Column) -> Column:

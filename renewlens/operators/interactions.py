@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -106,13 +106,17 @@ def sentence_rows(turns: DataFrame) -> DataFrame:
     )
 
 
-def summary_sentences(turns: DataFrame, n: int = SUMMARY_SENTENCES) -> DataFrame:
+def summary_sentences(turns: DataFrame, n: int = SUMMARY_SENTENCES, one_row_each: bool = False) -> DataFrame:
     """The ``n`` sentences with the highest mean word frequency of each interaction.
 
     Word counts are combined before they are shuffled, and the frequency of a
     word comes back by a join whose large side may be split, so a long text with
-    a frequent word does not become one task.
+    a frequent word does not become one task. Texts that are one row each
+    (documents) are laid out by interaction once instead; nothing is shuffled
+    after their words are unfolded, and no group exceeds its text.
     """
+    if one_row_each:
+        turns = turns.repartition("interaction_id")
     numbered = sentence_rows(turns)
     place = ["interaction_id", "turn_no", "sentence_no"]
     counts = (
@@ -120,23 +124,24 @@ def summary_sentences(turns: DataFrame, n: int = SUMMARY_SENTENCES) -> DataFrame
         .groupBy(*place, "word")
         .agg(F.count("*").alias("n"))
     )
-    frequency = counts.groupBy("interaction_id", "word").agg(F.sum("n").alias("frequency"))
-    scores = (
-        counts.join(frequency, ["interaction_id", "word"])
-        .groupBy(*place)
-        .agg((F.sum(F.col("n") * F.col("frequency")) / F.sum("n")).alias("score"))
-    )
+    if one_row_each:
+        same_word = Window.partitionBy("interaction_id", "word")
+        weighed = counts.withColumn("frequency", F.sum("n").over(same_word))
+    else:
+        frequency = counts.groupBy("interaction_id", "word").agg(F.sum("n").alias("frequency"))
+        weighed = counts.join(frequency, ["interaction_id", "word"])
+    scores = weighed.groupBy(*place).agg((F.sum(F.col("n") * F.col("frequency")) / F.sum("n")).alias("score"))
     best = top_per_key(
         scores, ["interaction_id"], [F.desc("score"), F.asc("turn_no"), F.asc("sentence_no")], n
     )
     return numbered.join(best, place).select(*place, "sentence", "score")
 
 
-def summarize(turns: DataFrame, n: int = SUMMARY_SENTENCES) -> DataFrame:
+def summarize(turns: DataFrame, n: int = SUMMARY_SENTENCES, one_row_each: bool = False) -> DataFrame:
     """Extractive summary: the best sentences in text order. At most ``n`` per group."""
     chosen = F.array_sort(F.collect_list(F.struct("turn_no", "sentence_no", "sentence")))
     return (
-        summary_sentences(turns, n)
+        summary_sentences(turns, n, one_row_each)
         .groupBy("interaction_id")
         .agg(F.array_join(F.transform(chosen, lambda s: s["sentence"]), " ").alias("summary"))
     )

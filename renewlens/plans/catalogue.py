@@ -172,10 +172,7 @@ def _scores(*columns: str) -> Query:
 
 
 def extractive_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document is one row, so laying the texts out by document once leaves nothing
-    to shuffle after its words are unfolded."""
-    turns = sales.document_turns(spark, sf_dir).repartition("interaction_id")
-    return flat(interactions.summarize(turns))
+    return flat(interactions.summarize(sales.document_turns(spark, sf_dir), one_row_each=True))
 
 
 def key_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:

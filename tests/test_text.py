@@ -64,7 +64,9 @@ def test_interaction_documents(spark, tables):
 def test_summary_takes_frequent_sentences_in_order(spark):
     text = "Alpha beta gamma. Rare words here. Alpha beta. Nothing similar today. Alpha gamma beta alpha."
     turns = spark.createDataFrame([("i", 0, "Customer", text)], "interaction_id string, turn_no long, speaker string, text string")
-    assert ix.summarize(turns).first().summary == "Alpha beta gamma. Alpha beta. Alpha gamma beta alpha."
+    for one_row_each in (False, True):
+        got = ix.summarize(turns, one_row_each=one_row_each).first().summary
+        assert got == "Alpha beta gamma. Alpha beta. Alpha gamma beta alpha."
 
 
 def test_large_lexicon_is_not_broadcast_by_hint(spark):
