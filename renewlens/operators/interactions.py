@@ -129,7 +129,8 @@ def summary_sentences(turns: DataFrame, n: int = SUMMARY_SENTENCES, one_row_each
         weighed = counts.withColumn("frequency", F.sum("n").over(same_word))
     else:
         frequency = counts.groupBy("interaction_id", "word").agg(F.sum("n").alias("frequency"))
-        weighed = counts.join(frequency, ["interaction_id", "word"])
+        # The size of unfolded words cannot be estimated from the texts: never broadcast them.
+        weighed = counts.join(frequency.hint("merge"), ["interaction_id", "word"])
     scores = weighed.groupBy(*place).agg((F.sum(F.col("n") * F.col("frequency")) / F.sum("n")).alias("score"))
     best = top_per_key(
         scores, ["interaction_id"], [F.desc("score"), F.asc("turn_no"), F.asc("sentence_no")], n

@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import words
 from ..session import shared_folder
+from ..sources.tables import search_source
 from .customer360 import top_per_key
 
 K1, B = 1.2, 0.75
@@ -116,6 +117,22 @@ def with_attributes(results: DataFrame, docs: DataFrame, *columns: str) -> DataF
     return docs.select("doc_id", *columns).join(results, "doc_id")
 
 
+def search_interactions(
+    interaction: DataFrame, queries: DataFrame, k: int = LIMIT, only: Column | None = None
+) -> DataFrame:
+    """Best ``k`` transcripts per query with their attributes.
+
+    ``only`` narrows the search by attributes, for example to one customer, before
+    the texts are read.
+    """
+    docs = search_source(interaction).withColumnRenamed("interaction_id", "doc_id")
+    docs = (docs if only is None else docs.filter(only)).filter(F.col("text").isNotNull())
+    found = with_attributes(
+        text_search(docs, queries, k), docs, "customer_id", "interaction_type", "interaction_timestamp"
+    )
+    return found.withColumnRenamed("doc_id", "interaction_id")
+
+
 def _unit(vectors: pd.Series) -> np.ndarray:
     matrix = np.stack(vectors.to_numpy()).astype("float64")
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)

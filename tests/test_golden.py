@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from renewlens.operators import decide, interactions, policy, quality, risk
 from renewlens.operators.customer360 import customer_360, customer_list
 from renewlens.functions.text import dialogue_turns
+from renewlens.plans.views import register_products
 from renewlens.sources.schemas import SCHEMAS
+from renewlens.sources.tables import register_views
 
 U, MI, MO, MA = "UNCHANGED", "MINOR", "MODERATE", "MAJOR"
 COMPARISONS = {
@@ -210,6 +212,18 @@ def test_expected_values(tables, spark):
     assert quality.expected_values(risk.risk_change(tables), "risk", wanted, ["customer_id"]).first().result == "PASS"
 
 
+def test_products_as_views(spark, tables):
+    register_views(tables)
+    register_products(tables)
+    row = spark.sql(
+        "SELECT v.name, p.premium_change_pct, r.flood_direction FROM v_customer_360 v "
+        "JOIN v_policy_comparison p USING (customer_id) JOIN v_risk_change r USING (customer_id) "
+        "JOIN customer c USING (customer_id) WHERE v.customer_id = 'C001'"
+    ).first()
+    assert tuple(row) == ("Ada North", Decimal("18.0"), "UP")
+    assert spark.sql("SELECT * FROM v_action_history").count() == 0
+
+
 def test_schemas_hold(tables):
     for name, df in tables.items():
         assert df.columns == SCHEMAS[name].names

@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from renewlens.operators import search
 
@@ -118,3 +119,11 @@ def test_attributes(spark):
     queries = spark.createDataFrame(QUERIES, "query_id long, text string")
     rows = search.with_attributes(search.text_search(docs, queries, 1), docs, "kind").collect()
     assert all(r.kind == f"kind{r.doc_id % 2}" for r in rows) and rows
+
+
+def test_interactions_are_searched_by_attribute(spark, tables):
+    queries = spark.createDataFrame([(1, "renewal premium"), (2, "claim adjuster")], "query_id long, text string")
+    rows = search.search_interactions(tables["interaction"], queries, 2).collect()
+    assert {r.interaction_id for r in rows if r.query_id == 2 and r["rank"] == 1} == {"INT002"}
+    mine = search.search_interactions(tables["interaction"], queries, 5, only=F.col("customer_id") == "C006").collect()
+    assert {r.interaction_id for r in mine} == {"INT006"} and mine[0].interaction_type == "CALL"
