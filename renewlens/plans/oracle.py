@@ -354,7 +354,10 @@ ID_BUCKET = (
     "substring(md5(concat_ws('|', CAST(customer_id AS VARCHAR), CAST(interaction_id AS VARCHAR), action_taken)), 1, 3)"
 )
 STATUS_SQL = pick(f"customer_id % {len(STATUS_OF)}", *STATUS_OF)
-PREFIX_SQL = "CASE status WHEN 'PENDING' THEN 'Pending review: ' ELSE substring(status, 1, 1) || lower(substring(status, 2)) || ': ' END"
+PREFIX_SQL = (
+    "CASE status WHEN 'PENDING' THEN 'Pending review: ' "
+    "ELSE substring(status, 1, 1) || lower(substring(status, 2)) || ': ' END"
+)
 
 # Named parts in dependency order; a query pulls in the parts it mentions.
 PARTS: dict[str, str] = {
@@ -975,9 +978,7 @@ STATEMENTS: dict[str, str] = {
     FROM context_t c JOIN ranked_t b ON b.customer_id = c.customer_id AND b.place = 1
     LEFT JOIN ranked_t a2 ON a2.customer_id = c.customer_id AND a2.place = 2
     LEFT JOIN ranked_t a3 ON a3.customer_id = c.customer_id AND a3.place = 3""",
-    "nba_explanations": _explanations_sql().replace(
-        "FROM context_t", "FROM (SELECT *, coalesce(cur_exclusions <> ren_exclusions, FALSE) AS exclusions_changed FROM context_t)"
-    ),
+    "nba_explanations": _explanations_sql(),
     "nba_documents": f"""
     SELECT q.customer_id, c.interaction_id, CASE WHEN c.customer_id IS NULL THEN 'not_found' ELSE 'ok' END AS status,
            CASE WHEN c.customer_id IS NULL THEN {lit(texts.CUSTOMER_NOT_FOUND)} END AS message,
