@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, simhash
+from . import decontaminate, language, pii, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op7_language": language.op7_language,
     "op8_decontaminate": decontaminate.op8_decontaminate,
+    "op9_pii": pii.op9_pii,
     "op10_simhash": simhash.op10_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_language": language.op7_language,
     "op8_decontaminate": decontaminate.OP8_SQL,
+    "op9_pii": pii.OP9_SQL,
 }
