@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, pii, simhash
+from . import decontaminate, language, mixture, pii, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op1_mixture": mixture.op1_mixture,
     "op7_language": language.op7_language,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_pii": pii.op9_pii,
@@ -18,7 +19,9 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_mixture": mixture.op1_mixture,
     "op7_language": language.op7_language,
+    "op1_mixture": mixture.OP1_SQL,
     "op8_decontaminate": decontaminate.OP8_SQL,
     "op9_pii": pii.OP9_SQL,
 }

@@ -289,6 +289,18 @@ def find_benchmark(
     return found.select("doc_id", "n_words", "spans", F.array_sort(F.array_distinct("item_ids")).alias("item_ids"))
 
 
+def without_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", **more) -> DataFrame:
+    """Rows of ``docs`` without a benchmark window, all columns.
+
+    The search hands on one row number per document; contaminated rows alone
+    are joined back, so texts move only if those are too many to broadcast.
+    """
+    marked = docs.withColumn("_row", F.xxhash64(F.col(text)))
+    found = find_benchmark(marked, benchmark, text, id_col="_row", **more)
+    dirty = found.filter(F.size("spans") > 0).select("doc_id").distinct()  # equal texts have equal hits
+    return marked.join(dirty, marked["_row"] == dirty["doc_id"], "left_anti").drop("_row")
+
+
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:
     """The contract's columns for all of ``documents`` against all of ``benchmark``."""
     found = find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
