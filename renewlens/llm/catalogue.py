@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, mixture, pii, simhash
+from . import decontaminate, language, mixture, pii, simhash, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_mixture": mixture.op1_mixture,
+    "op2_tokens": tokens.op2_tokens,
     "op7_language": language.op7_language,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_pii": pii.op9_pii,
@@ -20,6 +21,7 @@ QUERIES: dict[str, Query] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mixture": mixture.op1_mixture,
+    "op2_tokens": tokens.op2_tokens,
     "op7_language": language.op7_language,
     "op1_mixture": mixture.OP1_SQL,
     "op8_decontaminate": decontaminate.OP8_SQL,
