@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, mixture, pii, simhash, tokens
+from . import decontaminate, language, mixture, pii, quality, simhash, tokens, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_mixture": mixture.op1_mixture,
     "op2_tokens": tokens.op2_tokens,
+    "op3_quality": quality.op3_quality,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op7_language": language.op7_language,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_pii": pii.op9_pii,
@@ -22,6 +24,8 @@ QUERIES: dict[str, Query] = {
 ORACLE_SQL: dict[str, str] = {
     "op1_mixture": mixture.op1_mixture,
     "op2_tokens": tokens.op2_tokens,
+    "op3_quality": quality.op3_quality,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op7_language": language.op7_language,
     "op1_mixture": mixture.OP1_SQL,
     "op8_decontaminate": decontaminate.OP8_SQL,

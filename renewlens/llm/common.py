@@ -63,3 +63,34 @@ def text_chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterat
                 start, size = i, 0
             size += len(one)
         yield batch.slice(start), texts[start:]
+
+
+#: Labelled rows that a classifier is fitted on; beyond, a share of all that is chosen by the hash of the id.
+LABELLED_ROWS = 20_000
+LABEL_FOLDS, LABEL_HELD_OUT = 3, 1
+
+
+def labelled_sample(
+    docs: DataFrame, labels: DataFrame, label: str, text: str = "text", id_col: str = "doc_id", rows: int = LABELLED_ROWS
+) -> DataFrame:
+    """(doc_id, y, text) of about ``rows`` labelled documents outside the hold-out, stored.
+
+    Ids whose label rows disagree are left out, as are NULL ids, labels and texts. The labels of the
+    sample are bounded, so they go to the documents rather than the documents to them.
+    """
+    marked = (
+        labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
+        .filter(F.col("y").isin(0, 1) & (remainder("doc_id", LABEL_FOLDS) != LABEL_HELD_OUT))
+    )
+    share = min(1.0, rows / max(1, marked.count()))
+    once = (
+        marked.filter(hash_share(F.col("doc_id"), share, "labels")).groupBy("doc_id")
+        .agg(F.min("y").alias("y"), F.max("y").alias("other")).filter("y = other").select("doc_id", "y")
+    )
+    body = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    return stored(body.filter("text IS NOT NULL").join(F.broadcast(once), "doc_id"), f"labelled-{label}")
+
+
+def held_out(doc_id: str = "doc_id") -> Column:
+    """Whether labels of this id are kept from learning; a NULL id is not held out, and never learned from."""
+    return F.coalesce(remainder(doc_id, LABEL_FOLDS) == LABEL_HELD_OUT, F.lit(False))
