@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, licenses, mixture, pii, quality, simhash, tokens, toxicity
+from . import decontaminate, embeddings, language, licenses, mixture, pii, quality, simhash, tokens, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,7 @@ QUERIES: dict[str, Query] = {
     "op3_quality": quality.op3_quality,
     "op4_licenses": licenses.op4_licenses,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_embeddings": embeddings.op6_embeddings,
     "op7_language": language.op7_language,
     "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_pii": pii.op9_pii,
@@ -28,9 +29,11 @@ ORACLE_SQL: dict[str, str] = {
     "op3_quality": quality.op3_quality,
     "op4_licenses": licenses.op4_licenses,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_embeddings": embeddings.op6_embeddings,
     "op7_language": language.op7_language,
     "op1_mixture": mixture.OP1_SQL,
     "op4_licenses": licenses.OP4_SQL,
+    "op6_embeddings": embeddings.OP6_SQL,
     "op8_decontaminate": decontaminate.OP8_SQL,
     "op9_pii": pii.OP9_SQL,
 }
