@@ -1,0 +1,95 @@
+from __future__ import annotations
+
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from renewlens.llm import pii
+
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(digits):
+    total = 0
+    for n, d in enumerate(reversed(digits)):
+        d = int(d) * (2 if n % 2 else 1)
+        total += d - 9 if d > 9 else d
+    return total % 10 == 0
+
+
+def slow(text):
+    out = []
+    for rank, (kind, pattern) in enumerate(PLAIN.items()):
+        for m in re.finditer(pattern, text or "", re.ASCII):
+            digits = re.sub("[^0-9]", "", m[0])
+            ok = {
+                "email": True,
+                "ip": all(int(p) <= 255 for p in m[0].split(".")) if kind == "ip" else False,
+                "card": 12 <= len(digits) <= 19 and luhn(digits),
+                "phone": 9 <= len(digits) <= 15,
+            }[kind]
+            if ok:
+                out.append((m.start(), rank, m.end()))
+    return sorted(out)
+
+
+def test_base_kinds_equal_plain_patterns(spark, make):
+    rng = random.Random(6)
+    bits = ["a@b.co", "x.y%z+1@host-1.example.org", "@", ".", "..", " ", "-", "+", "1", "44", "255", "256", "0007", "1.2.3.4", "10.0.0.256",
+            "4111 1111 1111 1111", "4111-1111-1111-1112", "378282246310005", "+49 (0)30 1234-567", "+1", "é", "ж", "\U0001f600", "\n", "words", "%a@b.c.d%e@f.g"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 25))) for _ in range(600)]
+    docs = make(*texts)
+    found = pii.find_personal_data(docs).select(
+        "text", F.expr("transform(filter(pii_spans, s -> s.rank < 4), s -> struct(s.start, s.rank, s.end))").alias("s")
+    )
+    for r in found.collect():
+        assert [tuple(s) for s in r["s"]] == slow(r["text"]), r["text"]
+
+
+@pytest.mark.parametrize(
+    "text, kinds",
+    [
+        ("account DE89370400440532013000 please", ["iban"]),
+        ("GB82 WEST 1234 5698 7654 32 is ours", ["iban"]),
+        ("account DE89370400440532013001 please", []),
+        ("my SSN is 123-45-6789.", ["ssn"]),
+        ("part 123-45-6789 of the list", []),
+        ("SSN 000-45-6789", []),
+    ],
+)
+def test_added_kinds(make, text, kinds):
+    found = pii.find_personal_data(make(text)).first()["pii_spans"]
+    assert [pii.KINDS[s["rank"]].name for s in found if s["rank"] > 3] == kinds
+
+
+def test_context_raises_scores(make):
+    found = pii.find_personal_data(make("mail a@b.co", "contact a@b.co")).orderBy("doc_id").collect()
+    assert found[0]["pii_spans"][0]["score"] < found[1]["pii_spans"][0]["score"]
+
+
+def test_long_runs_end_soon(make):
+    n = 200_000
+    docs = make("a" * n, "1" * n, "a@" + "b." * n, "1." * n, "+" * n, "+1" + "(" * n, "a@b.co " * 2_000, "1 " * n, "A1" * n)
+    found = {r["doc_id"]: r["n"] for r in pii.find_personal_data(docs).select("doc_id", F.size("pii_spans").alias("n")).collect()}
+    assert found[6] == 2_000 and found[0] == found[1] == 0 and found[2] == 1
+
+
+def test_odd_rows(odd, none):
+    found = pii.find_personal_data(odd)
+    assert found.count() == odd.count() and found.filter("size(pii_spans) > 0").count() == 0
+    assert pii.redact(odd).columns == odd.columns
+    assert sorted(map(str, pii.redact(odd).collect())) == sorted(map(str, odd.collect()))
+    assert pii.redact(none).count() == 0
+
+
+def test_redaction(make):
+    docs = make("é mail a@b.co, ip 10.0.0.1; +49 30 1234567!", "x@1.2.3.4 end", "clean", "a@b.co")
+    texts = [r["text"] for r in pii.redact(docs).orderBy("doc_id").collect()]
+    assert texts == ["é mail [EMAIL], ip [IP]; [PHONE]!", "[EMAIL] end", "clean", "[EMAIL]"]
