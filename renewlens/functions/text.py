@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-NOT_WORD = "[^a-z]+"
+NOT_WORD = r"[^\p{L}\p{N}]+"
 SENTENCE = "[^.!?\\n]+[.!?]*"
 SPEAKERS = ("Agent", "Customer")
 
 
 def words(text: Column) -> Column:
-    """Lower-case ASCII letter runs of the whole text, in order."""
+    """Lower-case runs of letters and digits of any script, of the whole text, in order."""
     return F.array_remove(F.split(F.lower(text), NOT_WORD), "")
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timezone
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import texts
 from ..functions.display import shorten
+from ..session import written
 from ..sources.tables import append_rows
 from .customer360 import top_per_key
 
@@ -23,19 +26,32 @@ STATUSES = ("PENDING", "EXECUTED", "DECLINED", "ESCALATED")
 HISTORY_LIMIT = 10
 
 
-def log_payload(nba: Column) -> Column:
-    """The part of a recommendation that is kept with the log row."""
-    kept = F.struct(nba["recommended_action"], nba["why_this_action"], nba["evidence"])
-    names = ("recommended_action", "why_this_action", "evidence")
-    return shorten(F.to_json(F.struct(*[kept[n].alias(n) for n in names])), PAYLOAD_LENGTH)
+def log_payload(nba: Column, length: int = PAYLOAD_LENGTH) -> Column:
+    """The part of a recommendation that is kept with the log row, always whole JSON.
+
+    If the whole does not fit, evidence is dropped from the end until it does,
+    and ``evidence_shortened`` says so; all else is kept.
+    """
+    fixed = [nba["recommended_action"].alias("recommended_action"), nba["why_this_action"].alias("why_this_action")]
+    whole = F.to_json(F.struct(*fixed, nba["evidence"].alias("evidence")))
+    room = length - F.length(F.to_json(F.struct(*fixed))) - len(',"evidence":[],"evidence_shortened":true')
+    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<string>").alias("kept"))
+
+    def step(acc: Column, line: Column) -> Column:
+        used = acc["used"] + F.length(F.to_json(F.array(line)))  # brackets stand for the comma
+        return F.struct(used.alias("used"), F.when(used <= room, F.concat(acc["kept"], F.array(line))).otherwise(acc["kept"]).alias("kept"))
+
+    kept = F.aggregate(nba["evidence"], start, step, lambda acc: acc["kept"])
+    short = F.to_json(F.struct(*fixed, kept.alias("evidence"), F.lit(True).alias("evidence_shortened")))
+    return F.when(F.length(whole) <= length, whole).otherwise(short)
 
 
-def action_text(status: Column, title: Column, override: Column | None = None) -> Column:
-    """The agent's own words if given, else the title with the status in front."""
+def action_text(status: Column, title: Column, override: Column | None = None, length: int | None = None) -> Column:
+    """The agent's own words if given, else the title with the status in front; cut only on request."""
     prefix = F.element_at(F.create_map(*[F.lit(x) for kv in ACTION_PREFIX.items() for x in kv]), status)
     default = F.concat(prefix, title)
     text = default if override is None else F.coalesce(F.nullif(override, F.lit("")), default)
-    return shorten(text, ACTION_LENGTH)
+    return text if length is None else shorten(text, length)
 
 
 def decisions(recommended: DataFrame, status: Column, override: Column | None = None) -> DataFrame:
@@ -49,12 +65,25 @@ def decisions(recommended: DataFrame, status: Column, override: Column | None =
     )
 
 
-def with_action_ids(rows: DataFrame) -> DataFrame:
-    """Add ``action_id`` = ACT-yyyyMMdd-HHmmss-nnn, numbered from 1 within a second.
+def last_numbers(action_log: DataFrame) -> DataFrame:
+    """(second, last): the largest number that a log already holds for a second."""
+    parts = F.split("action_id", "-")
+    numbered = action_log.filter(F.col("action_id").rlike("^ACT-[0-9]{8}-[0-9]{6}-[0-9]+$")).select(
+        F.concat_ws("-", parts[1], parts[2]).alias("second"), parts[3].cast("long").alias("number")
+    )
+    return numbered.groupBy("second").agg(F.max("number").alias("last"))
 
-    A batch usually shares one second, so numbering a second in one window would
+
+def with_action_ids(rows: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """Add ``action_id`` = ACT-yyyyMMdd-HHmmss-nnn, numbered within a second.
+
+    Numbers go on after the largest one that the ``existing`` log holds for the
+    second, so batches of one second do not repeat ids. One writer numbers at a
+    time; a batch that failed before its append is simply numbered again. A
+    batch usually shares one second, so numbering a second in one window would
     run in one task. Rows are numbered within 4,096 hash buckets instead, and
-    each bucket starts where the ones before it end.
+    each bucket starts where the ones before it end. ``rows`` are read twice and
+    should be a written table.
     """
     key = F.concat_ws("|", F.col("customer_id").cast("string"), F.col("interaction_id").cast("string"), "action_taken")
     stamped = rows.withColumn("second", F.date_format("action_timestamp", "yyyyMMdd-HHmmss")).withColumn(
@@ -63,6 +92,10 @@ def with_action_ids(rows: DataFrame) -> DataFrame:
     counts = stamped.groupBy("second", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("second").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("second", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    if existing is not None:
+        starts = starts.join(last_numbers(existing), "second", "left").select(
+            "second", "bucket", (F.col("start") + F.coalesce("last", F.lit(0))).alias("start")
+        )
     inside = Window.partitionBy("second", "bucket").orderBy("customer_id", "interaction_id", "action_taken")
     numbered = (
         stamped.withColumn("place", F.row_number().over(inside))
@@ -75,17 +108,26 @@ def with_action_ids(rows: DataFrame) -> DataFrame:
     )
 
 
-def validate_actions(requested: DataFrame, customer: DataFrame, as_of: Column | None = None) -> DataFrame:
-    """Requests with ``accepted`` set, and id and timestamp on the accepted ones."""
-    stamp = F.current_timestamp().cast("timestamp_ntz") if as_of is None else as_of
-    known = customer.select("customer_id")
-    accepted = with_action_ids(
-        requested.join(known, "customer_id", "left_semi").withColumn("action_timestamp", stamp)
-    )
-    rejected = requested.join(known, "customer_id", "left_anti")
-    return accepted.withColumn("accepted", F.lit(True)).unionByName(
-        rejected.withColumn("accepted", F.lit(False)), allowMissingColumns=True
+def validate_actions(
+    requested: DataFrame, customer: DataFrame, as_of: Column | None = None, existing: DataFrame | None = None
+) -> DataFrame:
+    """Requests with ``accepted`` set, and id and timestamp on the accepted ones.
+
+    The time is fixed when this is called, and the result is written to the
+    shared folder: rows to log and confirmations come from the same ids. Pass
+    the log that will be appended to as ``existing``.
+    """
+    if as_of is None:
+        as_of = F.lit(datetime.now(timezone.utc).replace(tzinfo=None, microsecond=0).isoformat()).cast("timestamp_ntz")
+    known = customer.select("customer_id").distinct().withColumn("accepted", F.lit(True))
+    checked = written(
+        requested.join(known, "customer_id", "left")
+        .withColumn("accepted", F.coalesce("accepted", F.lit(False)))
+        .withColumn("action_timestamp", F.when(F.col("accepted"), as_of)),
+        "actions-asked",
     )
+    accepted = with_action_ids(checked.filter("accepted"), existing)
+    return written(accepted.unionByName(checked.filter("NOT accepted"), allowMissingColumns=True), "actions-checked")
 
 
 def log_rows(validated: DataFrame) -> DataFrame:

@@ -25,31 +25,43 @@ HOT_ROWS = 1_000_000
 HOT_PARTS = 64
 
 
-def hot_keys(df: DataFrame, key: str, rows: int = HOT_ROWS) -> list:
-    """Keys with more than ``rows`` rows. There are at most (rows of ``df``) / ``rows`` of
-    them, and counting combines map-side, so neither step depends on the skew."""
-    counted = df.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > rows)
-    return [r[0] for r in counted.select(key).collect() if r[0] is not None]
+def hot_keys(df: DataFrame, key: str, rows: int = HOT_ROWS) -> DataFrame:
+    """(key, parts) of keys with more than ``rows`` rows. Counting combines map-side, so it does
+    not depend on the skew."""
+    counted = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+    return counted.filter(F.col("n") > rows).select(key, F.lit(HOT_PARTS).alias("parts"))
 
 
-def join_repeated(left: DataFrame, right: DataFrame, key: str, spread_by: str, hot: list) -> DataFrame:
+def join_repeated(
+    left: DataFrame, right: DataFrame, key: str, spread_by: str, rows: int | None = HOT_ROWS
+) -> DataFrame:
     """Left join to a side that repeats some keys very often.
 
-    An outer join cannot split its optional side, so the rows of the ``hot`` keys
-    are dealt over parts by ``spread_by`` and the left row is repeated per part.
-    Parts without a match are dropped again: a hot key has matches by definition.
+    An outer join cannot split its optional side, so the rows of hot keys are
+    dealt over parts by ``spread_by`` and the left row is repeated per part. Hot
+    keys are those of ``right`` itself, so each of them has matches, and parts
+    without one are dropped again. All other rows, NULL keys included, stay in
+    one part. One narrow count decides whether there are any; ``rows`` None
+    trusts that there are none and starts no job.
     """
-    if not hot:
+    if rows is None:
         return left.join(right, key, "left")
-    is_hot = F.col(key).isin(hot)
-    part = F.when(is_hot, F.pmod(F.xxhash64(spread_by), F.lit(HOT_PARTS))).otherwise(0).cast("int")
-    parts = F.when(is_hot, F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))
-    dealt = right.withColumn("part", part).withColumn("matched", F.lit(True))
+    hot = hot_keys(right, key, rows)
+    if hot.isEmpty():
+        return left.join(right, key, "left")
+    dealt = (
+        right.join(hot, key, "left")
+        .withColumn("part", F.coalesce(F.pmod(F.xxhash64(spread_by), F.col("parts")), F.lit(0)).cast("int"))
+        .withColumn("matched", F.lit(True))
+        .drop("parts")
+    )
     return (
-        left.withColumn("part", F.explode(parts))
+        left.join(hot, key, "left")
+        .withColumn("parts", F.coalesce("parts", F.lit(1)))
+        .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .join(dealt, [key, "part"], "left")
-        .filter(F.col("matched").isNotNull() | ~is_hot)
-        .drop("part", "matched")
+        .filter("matched IS NOT NULL OR parts = 1")
+        .drop("part", "parts", "matched")
     )
 
 
@@ -91,7 +103,22 @@ def churn_bands(customer: DataFrame) -> DataFrame:
     )
 
 
-def customer_360(tables: Tables, holdings: str = "all") -> DataFrame:
+def chosen_homes(tables: Tables) -> DataFrame:
+    """One home per customer: a home with a changed risk first, then the smallest id."""
+    changed = tables["risk_history"].groupBy("property_id").agg((F.count("*") > 1).alias("changed"))
+    homes = tables["property"].join(changed, "property_id", "left")
+    order = [F.desc(F.coalesce("changed", F.lit(False))), F.asc("property_id")]
+    return top_per_key(homes, ["customer_id"], order).drop("rn", "changed")
+
+
+def chosen_policies(policy_version: DataFrame) -> DataFrame:
+    """One current policy per customer: one with proposed terms first, then the smallest id."""
+    has = {n: F.bool_or(F.col("policy_version") == n) for n in ("CURRENT", "RENEWAL")}
+    held = policy_version.groupBy("customer_id", "policy_id").agg(has["CURRENT"].alias("cur"), has["RENEWAL"].alias("ren"))
+    return top_per_key(held.filter("cur"), ["customer_id"], [F.desc("ren"), F.asc("policy_id")]).select("customer_id", "policy_id")
+
+
+def customer_360(tables: Tables, holdings: str = "all", hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """The 41-column customer product.
 
     Everything that is unique per customer is joined first; homes and current
@@ -100,8 +127,9 @@ def customer_360(tables: Tables, holdings: str = "all") -> DataFrame:
     risk one share the customer key and therefore one partitioning.
 
     ``holdings`` says what happens to several homes or current policies: "all"
-    keeps every combination and spreads customers with very many of them,
-    "first" keeps the smallest id of each, "single" trusts that there are none.
+    keeps every combination and spreads customers with more than ``hot_rows``
+    of them (None: nobody has that many, and no job is started), "first" keeps
+    the home and the policy that ``chosen_homes`` and ``chosen_policies`` pick.
     """
     customer = tables["customer"]
     claims = claim_summary(tables["claim"])
@@ -129,20 +157,17 @@ def customer_360(tables: Tables, holdings: str = "all") -> DataFrame:
         .filter("policy_version = 'CURRENT'")
         .drop("policy_version", "policy_type")
     )
-    hot_homes, hot_policies = [], []
-    if holdings == "all":
-        hot_homes, hot_policies = hot_keys(homes, "customer_id"), hot_keys(current, "customer_id")
-    elif holdings == "first":
-        homes = top_per_key(homes, ["customer_id"], [F.asc("property_id")]).drop("rn")
-        current = top_per_key(current, ["customer_id"], [F.asc("policy_id")]).drop("rn")
+    if holdings == "first":
+        homes, hot_rows = chosen_homes(tables), None
+        current = current.join(chosen_policies(tables["policy_version"]), ["customer_id", "policy_id"])
     facts = (
         customer.join(claims, "customer_id", "left")
         .join(proposed, "customer_id", "left")
         .join(said, "customer_id", "left")
     )
-    housed = join_repeated(facts, homes.join(risk, "property_id", "left"), "customer_id", "property_id", hot_homes)
+    housed = join_repeated(facts, homes.join(risk, "property_id", "left"), "customer_id", "property_id", hot_rows)
     return (
-        join_repeated(housed, current, "customer_id", "policy_id", hot_policies)
+        join_repeated(housed, current, "customer_id", "policy_id", hot_rows)
         .select(
             "customer_id", "name", "age", "tenure_years", "customer_value", "payment_history",
             "churn_risk_score", churn_label("churn_risk_score").alias("churn_risk_label"),
@@ -163,8 +188,10 @@ def customer_360(tables: Tables, holdings: str = "all") -> DataFrame:
     )
 
 
-def customer_list(c360: DataFrame) -> DataFrame:
-    """The picker: five columns in customer order."""
-    return c360.select(
-        "customer_id", "name", "churn_risk_label", "has_renewal_proposal", "tenure_years"
+def customer_list(tables: Tables) -> DataFrame:
+    """The picker: five columns in customer order, from the customers and their proposals alone."""
+    proposed = renewal_keys(tables["policy_version"]).withColumn("proposed", F.lit(True))
+    return tables["customer"].join(proposed, "customer_id", "left").select(
+        "customer_id", "name", churn_label("churn_risk_score").alias("churn_risk_label"),
+        F.col("proposed").isNotNull().alias("has_renewal_proposal"), "tenure_years",
     ).orderBy("customer_id")

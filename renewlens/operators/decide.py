@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import display, texts
 from ..functions.model_json import with_recommendation
 from ..sources.tables import Tables
-from .customer360 import customer_360, top_per_key
+from .customer360 import customer_360
 from .policy import compare_terms, finding_sql, policy_document, requested_customers
 from .risk import DIMENSIONS, assessed_homes, communication_points, risk_document
 
@@ -72,11 +72,10 @@ ADJUSTMENTS = (
 )
 ESCALATION_VALUE = 7500
 ALTERNATIVES = 2
-TALKING_POINTS = 5
 
 CONTEXT_FIELDS = (
     "customer_id", "name", "age", "tenure_years", "customer_value", "payment_history", "churn_risk_score",
-    "churn_risk_label", "property_type", "location", "building_age", "construction_type", "policy_id",
+    "churn_risk_label", "property_id", "property_type", "location", "building_age", "construction_type", "policy_id",
     "policy_status", "annual_premium", "deductible", "building_coverage", "contents_coverage",
     "flood_coverage", "flood_deductible", "exclusions", "has_renewal_proposal", "total_claims", "open_claims",
     "total_claim_amount", "current_flood_risk", "current_fire_risk", "current_earthquake_risk",
@@ -99,24 +98,21 @@ def nba_context(
 ) -> DataFrame:
     """One row per (customer_id, interaction_id) request with the four context parts.
 
-    Each product is computed once and joined on the customer; the documents are
-    then built from the joined columns. A customer with several homes or
-    policies is described by the smallest id of each, a changed home first;
-    ``holdings`` = "single" trusts that there are none to choose from.
+    Each product is computed once and joined; the documents are then built from
+    the joined columns. The home and the policy of a decision are chosen once,
+    in the customer part, and the comparison and the risk change joined to it
+    are those of that policy and that home. ``holdings`` = "all" trusts that
+    there is nothing to choose from.
     """
-    c360 = customer_360(tables, holdings).select(
-        "customer_id", F.struct(*CONTEXT_FIELDS).alias("customer_360")
+    c360 = customer_360(tables, holdings, hot_rows=None).select(
+        "customer_id", "property_id", "policy_id", F.struct(*CONTEXT_FIELDS).alias("customer_360")
     )
-    comparison = compare_terms(tables["policy_version"])
-    homes = assessed_homes(tables)
-    if holdings != "single":
-        comparison = top_per_key(comparison, ["customer_id"], [F.asc("policy_id")]).drop("rn")
-        homes = top_per_key(homes, ["customer_id"], [F.desc("assessments"), F.asc("property_id")]).drop("rn")
     joined = (
         requested_customers(tables, requests.select("customer_id", "interaction_id"))
         .join(c360, "customer_id", "left")
-        .join(comparison, "customer_id", "left")
-        .join(homes, "customer_id", "left")
+        .join(compare_terms(tables["policy_version"]), ["customer_id", "policy_id"], "left")
+        .join(assessed_homes(tables).drop("location", "property_type"), ["customer_id", "property_id"], "left")
+        .select("*", "customer_360.location", "customer_360.property_type")
     )
     nothing = F.struct(F.lit("no_interaction").alias("status"), F.lit(texts.NO_INTERACTION).alias("message"))
     if interaction_docs is None:
@@ -275,15 +271,16 @@ def interpretation() -> Column:
 
 
 def talking_points() -> Column:
+    """What to say: the next step first, then the relationship, then every line about the risk."""
     others = _lines(
+        "concat('Next step: ', best.title)",
         "CASE WHEN customer_360.tenure_years >= 5 AND customer_360.payment_history = 'EXCELLENT' "
         "THEN 'Thank the customer for the long and reliable relationship' END",
-        "concat('Next step: ', best.title)",
     )
     about_risk = F.when(F.col("overall_direction").isNotNull(), communication_points()).otherwise(
         F.expr("cast(array() AS array<string>)")
     )
-    return F.slice(F.concat(about_risk, others), 1, TALKING_POINTS)
+    return F.concat(others, about_risk)
 
 
 def risk_flags() -> Column:

@@ -15,7 +15,7 @@ from ..functions.rules import (
     worst,
 )
 from ..sources.tables import Tables
-from .customer360 import hot_keys, join_repeated
+from .customer360 import HOT_ROWS, join_repeated
 
 # comparison stem -> policy column, in output order
 MEASURES = {
@@ -153,7 +153,7 @@ def policy_document() -> Column:
         "customer_id",
         "customer_name",
         F.expr(message).alias("message"),
-        "policy_id",
+        F.expr("CASE WHEN overall_severity IS NOT NULL THEN policy_id END").alias("policy_id"),
         *blocks,
         when_ok(
             current="cur_exclusions", renewal="ren_exclusions", changed="exclusions_changed",
@@ -176,19 +176,16 @@ def requested_customers(tables: Tables, requests: DataFrame) -> DataFrame:
     return requests.join(known, "customer_id", "left")
 
 
-def compare_policy(tables: Tables, requests: DataFrame, repeated: bool = True) -> DataFrame:
+def compare_policy(tables: Tables, requests: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """(customer_id, status, doc) for every requested customer.
 
     ``requests`` has one ``customer_id`` per row. A customer with several
-    comparable policies gets one document per policy; with ``repeated``,
-    customers with very many policies are looked for and spread.
+    comparable policies gets one document per policy; customers with more than
+    ``hot_rows`` of them are spread (None: there are none).
     """
-    hot: list = []
-    if repeated:
-        hot = hot_keys(tables["policy_version"].filter("policy_version = 'RENEWAL'"), "customer_id")
     joined = join_repeated(
         requested_customers(tables, requests.select("customer_id")),
-        compare_terms(tables["policy_version"]), "customer_id", "policy_id", hot,
+        compare_terms(tables["policy_version"]), "customer_id", "policy_id", hot_rows,
     )
     return joined.select("customer_id", policy_document().alias("doc")).select(
         "customer_id", F.col("doc.status").alias("status"), "doc"

@@ -45,15 +45,32 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def row_counts(tables: Tables, expected: dict[str, int] | None = None) -> DataFrame:
-    """One row per table; without an expectation a table only has to hold rows."""
-    rows = []
+def table_checks(
+    tables: Tables,
+    expected: dict[str, int] | None = None,
+    allowed: dict[str, dict[str, tuple[str, ...]]] = DOMAINS,
+    longest: dict[str, dict[str, int]] = MAX_LENGTHS,
+) -> DataFrame:
+    """Row count, value domains and text lengths of every table, from one aggregate per table.
+
+    Without an expectation a table only has to hold rows; NULL is in every domain and fits every length.
+    """
+    reports = []
     for name, df in tables.items():
-        n = F.col("n")
+        codes, limits = allowed.get(name, {}), longest.get(name, {})
+        counted = df.agg(
+            F.count("*").alias("n"),
+            *[F.count_if(~F.col(c).isin(*values)).alias(f"outside_{c}") for c, values in codes.items()],
+            *[F.count_if(F.length(F.col(c).cast("string")) > n).alias(f"long_{c}") for c, n in limits.items()],
+        )
         wanted = (expected or {}).get(name)
-        passed = n > 0 if wanted is None else n == wanted
-        rows.append(_report(df.agg(F.count("*").alias("n")), _row(f"row_count:{name}", passed, rows="n")))
-    return _union(rows)
+        rows = [_row(f"row_count:{name}", F.col("n") > 0 if wanted is None else F.col("n") == wanted, rows="n")]
+        rows += [_row(f"domain:{name}.{c}", F.col(f"outside_{c}") == 0, outside=f"outside_{c}") for c in codes]
+        if limits:
+            fits = reduce(Column.__and__, [F.col(f"long_{c}") == 0 for c in limits])
+            rows.append(_row(f"length:{name}", fits, **{c: f"long_{c}" for c in limits}))
+        reports.append(_report(counted, *rows))
+    return _union(reports)
 
 
 def customer_checks(c360: DataFrame, expected: int | None = None) -> DataFrame:
@@ -114,17 +131,22 @@ def expected_values(df: DataFrame, test_id: str, expected: DataFrame, keys: list
     return _report(counted, _row(test_id, passed, rows="n", different="different"))
 
 
-def risk_directions(changes: DataFrame, expected: int | None = None) -> DataFrame:
+def risk_directions(changes: DataFrame, expected: int | None = None, directions: DataFrame | None = None) -> DataFrame:
+    """Counts of rising risks. With ``directions`` (customer_id, dimension, direction) rows the
+    check only passes if every listed customer has a change in that direction."""
     up = {d: F.count_if(F.col(f"{d}_direction") == "UP").alias(f"{d}_up") for d in ("flood", "fire", "earthquake")}
     counted = changes.agg(F.count("*").alias("n"), *up.values())
     passed = F.col("n") > 0 if expected is None else F.col("n") == expected
-    return _report(
-        counted,
-        _row(
-            "risk_change_directions", passed,
-            changes="n", flood_up="flood_up", fire_up="fire_up", earthquake_up="earthquake_up",
-        ),
-    )
+    details = {"changes": "n", "flood_up": "flood_up", "fire_up": "fire_up", "earthquake_up": "earthquake_up"}
+    if directions is not None:
+        found = changes.select(
+            "customer_id",
+            F.explode(F.map_from_arrays(F.array(*map(F.lit, up)), F.array(*[f"{d}_direction" for d in up]))).alias("dimension", "direction"),
+        ).distinct()
+        missing = directions.join(found, ["customer_id", "dimension", "direction"], "left_anti").agg(F.count("*").alias("missing"))
+        counted = counted.withColumn("missing", missing.scalar())
+        passed, details = passed & (F.col("missing") == 0), details | {"missing": "missing"}
+    return _report(counted, _row("risk_change_directions", passed, **details))
 
 
 def fk_orphans(tables: Tables) -> DataFrame:
@@ -163,52 +185,33 @@ def unique_keys(tables: Tables) -> DataFrame:
     return _union(rows)
 
 
-def domains(tables: Tables, allowed: dict[str, dict[str, tuple[str, ...]]] = DOMAINS) -> DataFrame:
-    """Values outside the declared codes; NULL is allowed. One pass per table."""
-    rows = []
-    for name, columns in allowed.items():
-        if name not in tables:
-            continue
-        counted = tables[name].agg(
-            *[F.count_if(~F.col(c).isin(*codes)).alias(c) for c, codes in columns.items()]
-        )
-        rows.append(
-            _report(counted, *[_row(f"domain:{name}.{c}", F.col(c) == 0, outside=c) for c in columns])
-        )
-    return _union(rows)
-
-
-def lengths(tables: Tables) -> DataFrame:
-    """Texts longer than declared. One pass per table."""
-    rows = []
-    for name, columns in MAX_LENGTHS.items():
-        if name not in tables:
-            continue
-        counted = tables[name].agg(
-            *[F.count_if(F.length(F.col(c).cast("string")) > n).alias(c) for c, n in columns.items()]
-        )
-        fits = reduce(Column.__and__, [F.col(c) == 0 for c in columns])
-        rows.append(_report(counted, _row(f"length:{name}", fits, **{c: c for c in columns})))
-    return _union(rows)
-
-
 def quality_report(
     tables: Tables,
     expected_rows: dict[str, int] | None = None,
     expected_comparisons: int | None = None,
     expected_changes: int | None = None,
     allowed: dict[str, dict[str, tuple[str, ...]]] = DOMAINS,
+    comparison_values: DataFrame | None = None,
+    change_values: DataFrame | None = None,
+    directions: DataFrame | None = None,
 ) -> DataFrame:
-    """All checks as (test_id, result, details)."""
-    return _union(
-        [
-            row_counts(tables, expected_rows),
-            customer_checks(customer_360(tables), (expected_rows or {}).get("customer")),
-            comparison_range(policy_comparison(tables), expected_comparisons),
-            risk_directions(risk_change(tables), expected_changes),
-            integrity(tables),
-            unique_keys(tables),
-            domains(tables, allowed),
-            lengths(tables),
-        ]
-    )
+    """All checks as (test_id, result, details).
+
+    ``comparison_values`` and ``change_values`` are expected rows by
+    ``customer_id`` with any columns of the two products; ``directions`` lists
+    risks that must have moved (see ``risk_directions``).
+    """
+    comparison, changes = policy_comparison(tables), risk_change(tables)
+    parts = [
+        table_checks(tables, expected_rows, allowed),
+        customer_checks(customer_360(tables, hot_rows=None), (expected_rows or {}).get("customer")),
+        comparison_range(comparison, expected_comparisons),
+        risk_directions(changes, expected_changes, directions),
+        integrity(tables),
+        unique_keys(tables),
+    ]
+    if comparison_values is not None:
+        parts.append(expected_values(comparison, "policy_comparison_values", comparison_values, ["customer_id"]))
+    if change_values is not None:
+        parts.append(expected_values(changes, "risk_change_values", change_values, ["customer_id"]))
+    return _union(parts)

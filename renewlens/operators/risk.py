@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import texts
 from ..functions.rules import percent_change, risk_direction, score_direction, worst
 from ..sources.tables import Tables
-from .customer360 import hot_keys, join_repeated, top_per_key
+from .customer360 import HOT_ROWS, join_repeated, top_per_key
 from .policy import compare_terms, requested_customers
 
 DIMENSIONS = ("flood", "fire", "earthquake")
@@ -128,6 +128,7 @@ def policy_impact() -> Column:
         F.col("flood_ded_change").alias("flood_deductible_change"),
         "exclusions_changed",
         F.when(compared, worst(three, floor="MINOR")).alias("overall_severity"),
+        F.when(compared, F.col("policy_id")).alias("policy_id"),
         F.when(~compared, texts.NO_POLICY_IMPACT).alias("message"),
     )
 
@@ -184,28 +185,30 @@ def risk_document() -> Column:
 
 
 IMPACT_COLUMNS = [
-    "overall_severity", "exclusions_changed",
+    "policy_id", "overall_severity", "exclusions_changed",
     *[f"{s}_{x}" for s in ("premium", "flood_cov", "flood_ded") for x in ("change", "change_pct", "severity")],
 ]
 
 
-def analyze_risk(tables: Tables, requests: DataFrame, repeated: bool = True) -> DataFrame:
+def analyze_risk(tables: Tables, requests: DataFrame, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """(customer_id, status, doc) for every requested customer.
 
     A customer with several changed homes gets one document per home; customers
-    without any change get their latest single assessments. With ``repeated``,
-    customers with very many homes are looked for and spread.
+    without any change get their latest single assessments. The effect on the
+    renewal is that of the customer's comparable policy with the smallest id,
+    which it names: homes and policies are not related any closer, and
+    ``compare_policy`` has all policies. Customers with more than ``hot_rows``
+    homes are spread (None: there are none).
     """
-    hot = hot_keys(tables["property"], "customer_id") if repeated else []
-    terms = compare_terms(tables["policy_version"]).select("customer_id", *IMPACT_COLUMNS)
+    terms = top_per_key(
+        compare_terms(tables["policy_version"]).select("customer_id", *IMPACT_COLUMNS), ["customer_id"], [F.asc("policy_id")]
+    ).drop("rn")
     asked = requested_customers(tables, requests.select("customer_id")).join(terms, "customer_id", "left")
-    changes = home_changes(tables)
+    assessed = assessed_homes(tables)
     # A single assessment only speaks for a customer without any changed home.
-    single = assessed_homes(tables).filter("assessments = 1").join(
-        changes.select("customer_id").distinct(), "customer_id", "left_anti"
-    )
-    homes = changes.unionByName(single.select("customer_id", "current_risk", "property_id"), allowMissingColumns=True)
-    joined = join_repeated(asked, homes, "customer_id", "property_id", hot)
+    most = assessed.groupBy("customer_id").agg(F.max("assessments").alias("most"))
+    homes = assessed.join(most, "customer_id").filter("assessments = 2 OR most = 1").drop("most", "assessments")
+    joined = join_repeated(asked, homes, "customer_id", "property_id", hot_rows)
     return joined.select("customer_id", risk_document().alias("doc")).select(
         "customer_id", F.col("doc.status").alias("status"), "doc"
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import words
-from ..session import shared_folder
+from ..session import written
 from ..sources.tables import search_source
 from .customer360 import top_per_key
 
@@ -32,16 +33,17 @@ def round4(value):
     return F.floor(value * 10000 + 0.5) / 10000
 
 
-def document_lengths(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.size(words(F.col("text"))).cast("long").alias("length"))
+# Stands in every document's postings and carries its length; no text yields it as a word.
+ANCHOR = ""
 
 
-def build_postings(docs: DataFrame, vocabulary: DataFrame | None = None) -> DataFrame:
+def build_postings(docs: DataFrame, vocabulary: DataFrame | None = None, anchored: bool = False) -> DataFrame:
     """(doc_id, word, length, tf) of ``docs``, one row per document, laid out by document.
 
     The texts are shuffled once; the words unfolded from them are many times
     larger and are then counted where they are. With a ``vocabulary`` (one
-    ``word`` column) all other words are dropped where the text is read.
+    ``word`` column) all other words are dropped where the text is read. ``anchored``
+    adds one row per document, so that lengths can be read from the postings.
     """
     # The length is taken before the words are unfolded; beside the explode it would be
     # worked out again for every word.
@@ -51,6 +53,8 @@ def build_postings(docs: DataFrame, vocabulary: DataFrame | None = None) -> Data
         .select("doc_id", words(F.col("text")).alias("found"))
         .select("doc_id", F.size("found").cast("long").alias("length"), "found")
     )
+    if anchored:
+        found = found.withColumn("found", F.concat(F.array(F.lit(ANCHOR)), "found"))
     exploded = found.select("doc_id", "length", F.explode("found").alias("word"))
     if vocabulary is not None:
         exploded = exploded.join(vocabulary, "word", "left_semi")
@@ -67,16 +71,16 @@ def query_words(queries: DataFrame) -> DataFrame:
 
 
 def rank_postings(
-    postings: DataFrame, lengths: DataFrame, wanted: DataFrame, k: int = LIMIT, k1: float = K1, b: float = B
+    postings: DataFrame, wanted: DataFrame, k: int = LIMIT, k1: float = K1, b: float = B
 ) -> DataFrame:
-    """Top ``k`` documents per query: (query_id, rank, doc_id, text_match).
+    """Top ``k`` documents per query: (query_id, rank, doc_id, text_match), from anchored postings.
 
     Postings are laid out by document, so the scores of a document meet in one
     task whatever its words are; each task then keeps ``k`` rows per query
     before the last shuffle. No word gathers its documents in one place.
     Corpus size and mean length are scalar subqueries, not joins.
     """
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
+    stats = postings.filter(F.col("word") == ANCHOR).agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
     n, mean_length = stats.select("n").scalar(), stats.select("mean_length").scalar()
     frequency = postings.groupBy("word").agg(F.count("*").alias("df"))
     idf = F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
@@ -99,17 +103,15 @@ def rank_postings(
 def text_search(docs: DataFrame, queries: DataFrame, k: int = LIMIT) -> DataFrame:
     """Best ``k`` of ``docs`` (doc_id, text) for every row of ``queries`` (query_id, text).
 
-    The postings of the query words are written once and read twice, for the
-    word frequencies and for the scores, instead of parsing all texts twice.
+    The postings of the query words are written once, with the length of every
+    document, and read for the word frequencies, the mean length and the scores:
+    texts are parsed once.
     """
-    spark = docs.sparkSession
-    wanted = query_words(queries)
-    vocabulary = wanted.select("word").distinct()
-    postings = build_postings(docs, F.broadcast(vocabulary) if is_small(wanted) else vocabulary)
-    folder = shared_folder(spark, "postings")
-    postings.write.parquet(folder)
-    written = spark.read.schema(postings.schema).parquet(folder)
-    return rank_postings(written, document_lengths(docs), wanted, k)
+    wanted = written(query_words(queries), "query-words")
+    anchor = wanted.sparkSession.createDataFrame([(ANCHOR,)], "word string")
+    vocabulary = wanted.select("word").distinct().unionByName(anchor)
+    postings = build_postings(docs, F.broadcast(vocabulary) if is_small(wanted) else vocabulary, anchored=True)
+    return rank_postings(written(postings, "postings"), wanted, k)
 
 
 def with_attributes(results: DataFrame, docs: DataFrame, *columns: str) -> DataFrame:
@@ -139,40 +141,66 @@ def _unit(vectors: pd.Series) -> np.ndarray:
     return np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
 
 
-def _batch_best(ids: np.ndarray, corpus: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int):
-    """The ``k`` best rows of one batch per query, by rounded score and then id."""
-    scores = np.floor(corpus @ queries.T * 1e6 + 0.5) / 1e6
-    picked = [np.lexsort((ids, -scores[:, q]))[:k] for q in range(len(query_ids))]
-    return pd.DataFrame(
-        {
-            "query_id": np.concatenate([np.full(len(p), query_ids[q]) for q, p in enumerate(picked)]),
-            "vec_id": np.concatenate([ids[p] for p in picked]),
-            "cosine_similarity": np.concatenate([scores[p, q] for q, p in enumerate(picked)]),
-        }
-    )
+# Vectors of a batch that are compared with QUERY_BLOCK queries at a time.
+VECTOR_BLOCK, QUERY_BLOCK = 4_096, 256
+
+
+def _batch_best(ids: np.ndarray, corpus: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> pd.DataFrame:
+    """The ``k`` best rows of one batch per query, by rounded score and then id.
 
+    Works on small sub-blocks and keeps a running best, so memory does not
+    depend on how many vectors and queries meet.
+    """
+    parts = []
+    order = np.argsort(ids, kind="stable")  # equal scores go to the smaller id
+    for q in range(0, len(query_ids), QUERY_BLOCK):
+        block = queries[q : q + QUERY_BLOCK]
+        best = np.empty((0, len(block))), np.empty((0, len(block)), dtype=np.int64)
+        for v in range(0, len(order), VECTOR_BLOCK):
+            at = order[v : v + VECTOR_BLOCK]
+            scores = np.vstack((best[0], np.floor(corpus[at] @ block.T * 1e6 + 0.5) / 1e6))
+            rows = np.vstack((best[1], np.repeat(at[:, None], len(block), axis=1)))
+            keep = np.argsort(-scores, axis=0, kind="stable")[:k]
+            best = np.take_along_axis(scores, keep, axis=0), np.take_along_axis(rows, keep, axis=0)
+        n = len(best[0])
+        parts.append(
+            pd.DataFrame(
+                {
+                    "query_id": np.repeat(query_ids[q : q + QUERY_BLOCK], n),
+                    "vec_id": ids[best[1].T.ravel()],
+                    "cosine_similarity": best[0].T.ravel(),
+                }
+            )
+        )
+    return pd.concat(parts, ignore_index=True)
 
-def vector_search(corpus: DataFrame, queries: DataFrame, k: int = LIMIT, slices: int | None = None) -> DataFrame:
+
+def vector_search(
+    corpus: DataFrame, queries: DataFrame, k: int = LIMIT, slices: int | None = None, only: Column | None = None
+) -> DataFrame:
     """Exact cosine top ``k`` of ``corpus`` (vec_id, embedding) per query (query_id, embedding).
 
-    Each task multiplies its batches with the query matrix and hands on only its
-    best ``k`` per query, so pairs are never written out. Query sets too large
-    to send to every task go through a grid of corpus slices and query blocks.
+    Ids keep their types, long or string. Vectors that are NULL are not found
+    and not asked. ``only`` narrows the corpus by its attributes before vectors
+    are read. Each task multiplies its batches with the query matrix and hands
+    on only its best ``k`` per query, so pairs are never written out. Query sets
+    too large to send to every task go through a grid of corpus slices and query blocks.
     """
-    schema = "query_id long, vec_id long, cosine_similarity double"
-    head = queries.select("query_id", "embedding").limit(BROADCAST_VECTORS + 1).toPandas()
+    corpus = (corpus if only is None else corpus.filter(only)).select("vec_id", "embedding").filter("embedding IS NOT NULL")
+    queries = queries.select("query_id", "embedding").filter("embedding IS NOT NULL")
+    kinds = [df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (corpus, "vec_id"))]
+    schema = f"query_id {kinds[0]}, vec_id {kinds[1]}, cosine_similarity double"
+    head = queries.limit(BROADCAST_VECTORS + 1).toPandas()
     if len(head) <= BROADCAST_VECTORS:
-        ids = head["query_id"].to_numpy("int64")
+        ids = head["query_id"].to_numpy()
         matrix = _unit(head["embedding"]) if len(ids) else None
 
         def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 if len(batch) and len(ids):
-                    yield _batch_best(
-                        batch["vec_id"].to_numpy("int64"), _unit(batch["embedding"]), ids, matrix, k
-                    )
+                    yield _batch_best(batch["vec_id"].to_numpy(), _unit(batch["embedding"]), ids, matrix, k)
 
-        best = corpus.select("vec_id", "embedding").mapInPandas(score, schema)
+        best = corpus.mapInPandas(score, schema)
     else:
         best = _grid_search(corpus, queries, k, slices, schema)
     order = [F.desc("cosine_similarity"), F.asc("vec_id")]
@@ -200,8 +228,7 @@ def _grid_search(corpus: DataFrame, queries: DataFrame, k: int, slices: int | No
         if vectors.empty or wanted.empty:
             return pd.DataFrame({"query_id": [], "vec_id": [], "cosine_similarity": []})
         return _batch_best(
-            vectors["vec_id"].to_numpy("int64"), _unit(vectors["embedding"]),
-            wanted["query_id"].to_numpy("int64"), _unit(wanted["embedding"]), k,
+            vectors["vec_id"].to_numpy(), _unit(vectors["embedding"]), wanted["query_id"].to_numpy(), _unit(wanted["embedding"]), k
         )
 
     return (
@@ -211,12 +238,26 @@ def _grid_search(corpus: DataFrame, queries: DataFrame, k: int, slices: int | No
     )
 
 
-def substring_search(docs: DataFrame, phrases: list[str]) -> DataFrame:
+# Largest number of phrases that become constants of the projection.
+PHRASE_CONSTANTS = 1_000
+
+
+def substring_search(docs: DataFrame, phrases: list[str] | DataFrame) -> DataFrame:
     """(phrase, doc_id) of every document containing a phrase, ignoring case.
 
-    The phrases are constants of the projection, so each text is lowered and
-    read once and no join is needed.
+    Phrases are a list or a table with a ``phrase`` column; NULL and empty ones
+    ask for nothing. They are constants of the projection, so each text is lowered and read
+    once and no join is needed. A larger table is cut into several such
+    passes, one per ``PHRASE_CONSTANTS`` phrases.
     """
-    found = [F.when(F.contains(F.col("lowered"), F.lit(p.lower())), F.lit(p)) for p in phrases]
+    if isinstance(phrases, DataFrame):
+        asked = phrases.select("phrase").filter("phrase IS NOT NULL AND phrase <> ''").distinct()
+        phrases = [r["phrase"] for r in asked.toLocalIterator()]
+    phrases = list(dict.fromkeys(p for p in phrases if p))
     lowered = docs.select("doc_id", F.lower("text").alias("lowered"))
-    return lowered.select("doc_id", F.explode(F.array_compact(F.array(*found))).alias("phrase"))
+    passes = []
+    for at in range(0, max(1, len(phrases)), PHRASE_CONSTANTS):
+        found = [F.when(F.contains(F.col("lowered"), F.lit(p.lower())), F.lit(p)) for p in phrases[at : at + PHRASE_CONSTANTS]]
+        listed = F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
+        passes.append(lowered.select("doc_id", F.explode(listed).alias("phrase")))
+    return reduce(DataFrame.unionByName, passes)

@@ -19,7 +19,7 @@ from ..functions.text import dialogue_turns
 from ..operators import actions, customer360, decide, interactions, policy, quality, risk, search
 from ..session import shared_folder
 from ..sources import sales
-from ..sources.tables import Tables
+from ..sources.tables import Tables, read_table
 from ..streaming import feeds
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,12 +48,8 @@ PROSE = Lexicon(
 )
 PHRASES = ["the thing", "nicht", "elle", "of the", "100%", "a_b"]
 STATUS_OF = ("PENDING", "EXECUTED", "DECLINED", "ESCALATED")
-SALES_DOMAINS = {
-    "customer": {"payment_history": ("EXCELLENT", "GOOD", "FAIR", "POOR")},
-    "property": {"construction_type": ("WOOD_FRAME", "BRICK", "CONCRETE", "MIXED")},
-    "policy_version": {"policy_status": ("ACTIVE", "PROPOSED", "LAPSED", "CANCELLED")},
-    "claim": {"claim_status": ("OPEN", "CLOSED", "DENIED")},
-}
+# Customers with more homes or policies than this are spread, in the queries over pooled holdings.
+HOUSEHOLD_HOT = 2
 
 
 def flat(df: DataFrame) -> DataFrame:
@@ -83,9 +79,8 @@ def _tables(fn: Callable[[Tables], DataFrame]) -> Query:
     return lambda spark, sf_dir: flat(fn(sales.sales_tables(spark, sf_dir)))
 
 
-def _customer_360(tables: Tables) -> DataFrame:
-    """The mapping gives each customer one home and at most one current policy."""
-    return customer360.customer_360(tables, holdings="single")
+def _pooled(fn: Callable[[Tables], DataFrame]) -> Query:
+    return lambda spark, sf_dir: flat(fn(sales.household_tables(spark, sf_dir)))
 
 
 def _comparison(fn: Callable[[DataFrame], DataFrame]) -> Query:
@@ -93,13 +88,19 @@ def _comparison(fn: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 def _policy_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return policy.compare_policy(
-        sales.sales_tables(spark, sf_dir), requested_ids(spark, sf_dir), repeated=False
-    )
+    return policy.compare_policy(sales.sales_tables(spark, sf_dir), requested_ids(spark, sf_dir))
+
+
+def _pooled_policy_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return policy.compare_policy(sales.household_tables(spark, sf_dir), requested_ids(spark, sf_dir), HOUSEHOLD_HOT)
 
 
 def _risk_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return risk.analyze_risk(sales.sales_tables(spark, sf_dir), requested_ids(spark, sf_dir), repeated=False)
+    return risk.analyze_risk(sales.sales_tables(spark, sf_dir), requested_ids(spark, sf_dir))
+
+
+def _pooled_risk_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk.analyze_risk(sales.household_tables(spark, sf_dir), requested_ids(spark, sf_dir), HOUSEHOLD_HOT)
 
 
 def exclusion_diff(comparison: DataFrame) -> DataFrame:
@@ -112,49 +113,52 @@ def exclusion_diff(comparison: DataFrame) -> DataFrame:
     )
 
 
-def compare_policy_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = F.col("doc")
-    blocks = [
-        column
-        for block in policy.BLOCKS
-        for column in (
-            d[block]["change"].alias(f"{block}_change"),
-            d[block]["change_pct"].alias(f"{block}_change_pct"),
-            d[block]["severity"].alias(f"{block}_severity"),
+def _flat_policy_docs(docs: Query) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        d = F.col("doc")
+        fields = ("current", "renewal", "change", "change_pct", "severity")
+        blocks = [d[block][f].alias(f"{block}_{f}") for block in policy.BLOCKS for f in fields]
+        excluded = [d["exclusions"][f].alias(f"exclusions_{f}") for f in ("current", "renewal", "changed")]
+        listed = [F.array_join(F.array_sort(d["exclusions"][f]), "|").alias(f"exclusions_{f}") for f in ("added", "removed")]
+        dates = [d["dates"][f].alias(f) for f in ("current_effective", "current_expiry", "renewal_effective", "renewal_expiry")]
+        return flat(
+            docs(spark, sf_dir).select(
+                "customer_id", "status", d["customer_name"].alias("customer_name"), d["message"].alias("message"),
+                d["policy_id"].alias("policy_id"), *blocks, *excluded, *listed, *dates,
+                d["overall_severity"].alias("overall_severity"),
+                F.array_join("doc.key_findings", "\n").alias("findings"),
+            )
         )
-    ]
-    return flat(
-        _policy_docs(spark, sf_dir).select(
-            "customer_id", "status", d["customer_name"].alias("customer_name"), d["message"].alias("message"),
-            *blocks,
-            d["exclusions"]["changed"].alias("exclusions_changed"),
-            d["dates"]["renewal_expiry"].alias("renewal_expiry"),
-            d["overall_severity"].alias("overall_severity"),
-            F.size("doc.key_findings").alias("findings"),
-        )
-    )
 
-
-def analyze_risk_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = F.col("doc")
-    impact = d["policy_impact"]
-    return flat(
-        _risk_docs(spark, sf_dir).select(
-            "customer_id", "status", d["message"].alias("message"), d["property_id"].alias("property_id"),
-            d["changes"]["flood"]["direction"].alias("flood_direction"),
-            d["changes"]["fire"]["direction"].alias("fire_direction"),
-            d["changes"]["earthquake"]["direction"].alias("earthquake_direction"),
-            d["changes"]["overall_score"]["change"].alias("score_change"),
-            d["changes"]["overall_score"]["change_pct"].alias("score_change_pct"),
-            d["root_cause"].alias("root_cause"),
-            impact["premium_change"].alias("premium_change"),
-            impact["flood_coverage_change_pct"].alias("flood_coverage_change_pct"),
-            impact["overall_severity"].alias("impact_severity"),
-            impact["message"].alias("impact_message"),
-            F.size("doc.causal_chain").alias("causes"),
-            F.size("doc.communication_points").alias("points"),
+    return query
+
+
+def _flat_risk_docs(docs: Query) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        d, impact = F.col("doc"), F.col("doc")["policy_impact"]
+        assessment = ("assessment_id", "assessment_date", "flood_risk", "fire_risk", "earthquake_risk", "overall_risk_score", "risk_reason")
+        sides = [d[f"{side}_assessment"][f].alias(f"{side}_{f}") for side in ("previous", "current") for f in assessment]
+        only = [d["current_risk"][f].alias(f"only_{f}") for f in assessment[1:]]
+        changes = [d["changes"][x][f].alias(f"{x}_{f}") for x in ("flood", "fire", "earthquake") for f in ("previous", "current", "direction")]
+        scores = [d["changes"]["overall_score"][f].alias(f"score_{f}") for f in ("previous", "current", "change", "change_pct", "direction")]
+        effects = [
+            impact[f].alias(f"impact_{f}")
+            for f in (
+                "policy_id", "premium_change_pct", "premium_change", "flood_coverage_change_pct", "flood_coverage_change",
+                "flood_deductible_change_pct", "flood_deductible_change", "exclusions_changed", "overall_severity", "message",
+            )
+        ]
+        return flat(
+            docs(spark, sf_dir).select(
+                "customer_id", "status", d["message"].alias("message"), d["property_id"].alias("property_id"),
+                d["location"].alias("location"), d["property_type"].alias("property_type"), *sides, *only, *changes, *scores,
+                d["root_cause"].alias("root_cause"), *effects,
+                F.array_join("doc.causal_chain", "\n").alias("causes"),
+                F.array_join("doc.communication_points", "\n").alias("points"),
+            )
         )
-    )
+
+    return query
 
 
 def _exploded(docs: Query, column: str, name: str) -> Query:
@@ -184,13 +188,19 @@ def document_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents rewritten as transcripts, line by line in turn, and split again."""
-    label = lambda line, i: F.concat(F.when(i % 2 == 0, "Customer: ").otherwise("Agent: "), line)
+    """Documents rewritten as transcripts, line by line in turn, and split again; every third opens with a subject."""
+    return flat(dialogue_turns(_transcripts(spark, sf_dir)).select("interaction_id", "turn_no", "speaker", "subject", "text"))
+
+
+def _transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    subject = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Subject: "), "source", F.lit("\n"))).otherwise("")
+    label = lambda line, i: F.concat(
+        F.when(i % 2 == 0, "Customer: ").otherwise("Agent: "), F.when(i == 0, subject).otherwise(""), line
+    )
     transcript = F.array_join(F.transform(F.split("text", "\n"), label), "\n")
-    docs = sales.scan(spark, sf_dir, "documents").select(
+    return sales.scan(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("interaction_id"), transcript.alias("raw_transcript")
     )
-    return flat(dialogue_turns(docs).select("interaction_id", "turn_no", "speaker", "text"))
 
 
 def _responses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,7 +287,8 @@ def interaction_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
             d["signals"]["customer_emotion"].alias("customer_emotion"),
             d["retention_risk"].alias("retention_risk"),
             F.array_join(d["key_phrases"], " | ").alias("key_phrases"),
-            F.length(d["summary"]).alias("summary_length"),
+            d["summary"].alias("summary"), d["interaction_type"].alias("interaction_type"),
+            *[d["signals"][c].alias(c) for c in ("pricing_concern", "coverage_concern", "complaint_signal")],
         )
     )
 
@@ -318,7 +329,7 @@ def _context(
         sales.customers(spark, sf_dir), PROSE, with_quotes=with_quotes,
     )
     return decide.nba_context(
-        sales.sales_tables(spark, sf_dir), base.join(talks, "customer_id", "left"), docs, holdings="single"
+        sales.sales_tables(spark, sf_dir), base.join(talks, "customer_id", "left"), docs
     )
 
 
@@ -337,16 +348,45 @@ def nba_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def nba_context_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions for customers with several homes and policies: all parts speak of the same two."""
+    requests = requested_ids(spark, sf_dir).withColumn("interaction_id", F.lit(None).cast("long"))
+    context = decide.nba_context(sales.household_tables(spark, sf_dir), requests)
+    return flat(
+        context.select(
+            "customer_id", "property_id", "policy_id",
+            F.col("customer_360.property_id").alias("described_property"),
+            F.col("customer_360.policy_id").alias("described_policy"),
+            F.col("policy_comparison.policy_id").alias("compared_policy"),
+            F.col("risk_analysis.property_id").alias("changed_property"),
+            F.col("risk_analysis.policy_impact.policy_id").alias("impact_policy"),
+            F.col("customer_360.location").alias("location"),
+            F.col("customer_360.current_risk_score").alias("current_risk_score"),
+            F.col("risk_analysis.current_assessment.overall_risk_score").alias("changed_score"),
+            F.col("policy_comparison.status").alias("policy_status"),
+            F.col("risk_analysis.status").alias("risk_status"),
+        )
+    )
+
+
 def nba_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prompts, checked by the customer section they carry."""
-    person = F.regexp_extract("prompt", r"Customer:\n(\{.*\})\n", 1)
-    menu = F.size(F.split(F.regexp_extract("prompt", r"(?s)choose from:\n(.*)\n\nAnswer", 1), "\n"))
+    """Prompts, read back section by section."""
+    section = lambda head: F.regexp_extract("prompt", rf"\n{head}:\n(\{{.*\}})\n", 1)
+    person, terms, change, said = (section(h) for h in ("Customer", "Policy comparison", "Risk", "Last interaction"))
+    menu = F.regexp_extract("prompt", r"(?s)choose from:\n(.*)\n\nAnswer", 1)
+    text = lambda part, *paths: [F.get_json_object(part, f"$.{p}").alias(name) for p, name in paths]
     return flat(
         decide.build_prompts(_context(spark, sf_dir, with_quotes=True)).select(
             "customer_id", "interaction_id",
-            F.get_json_object(person, "$.name").alias("name"),
             F.get_json_object(person, "$.total_claims").cast("long").alias("total_claims"),
-            menu.alias("menu_lines"),
+            *text(person, ("name", "name"), ("payment_history", "payment_history"), ("churn_risk_label", "churn_risk_label"),
+                  ("location", "location"), ("policy_status", "customer_policy_status")),
+            *text(terms, ("status", "policy_status"), ("overall_severity", "overall_severity"), ("premium.severity", "premium_severity"),
+                  ("message", "policy_message")),
+            *text(change, ("status", "risk_status"), ("changes.flood.direction", "flood_direction"), ("root_cause", "root_cause"),
+                  ("message", "risk_message")),
+            *text(said, ("status", "interaction_status"), ("sentiment.label", "tone"), ("intent.label", "intent"), ("summary", "summary")),
+            menu.alias("menu"),
         )
     )
 
@@ -382,7 +422,7 @@ def nba_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.array_join(nba["evidence"], "\n").alias("facts"),
             F.array_join(nba["interpretation"], "\n").alias("interpretation"),
             F.array_join(nba["risk_flags"], "\n").alias("risk_flags"),
-            F.size(nba["agent_talking_points"]).alias("talking_points"),
+            F.array_join(nba["agent_talking_points"], "\n").alias("talking_points"),
         )
     )
 
@@ -397,6 +437,15 @@ def nba_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("doc.context.policy_comparison.status").alias("policy_status"),
             F.col("doc.context.risk_analysis.status").alias("risk_status"),
             F.col("doc.nba.recommended_action.code").alias("code"),
+            F.col("doc.nba.recommended_action.title").alias("title"),
+            F.col("doc.nba.recommended_action.description").alias("description"),
+            F.col("doc.nba.recommended_action.priority").alias("priority"),
+            F.col("doc.nba.why_this_action").alias("why"),
+            F.array_join("doc.nba.agent_talking_points", "\n").alias("talking_points"),
+            F.array_join("doc.nba.risk_flags", "\n").alias("risk_flags"),
+            F.col("doc.context.customer_360.total_claims").alias("total_claims"),
+            F.col("doc.context.interaction_intelligence.status").alias("interaction_status"),
+            F.col("doc.context.interaction_intelligence.summary").alias("summary"),
         )
     )
 
@@ -413,10 +462,42 @@ def _validated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return actions.validate_actions(asked, sales.customers(spark, sf_dir), as_of)
 
 
+def _payload(rows: DataFrame) -> DataFrame:
+    """The logged JSON read back field by field."""
+    read = lambda path: F.get_json_object("recommended_action", f"$.{path}")
+    action = [read(f"recommended_action.{f}").alias(f"action_{f}") for f in ("code", "title", "description", "priority")]
+    evidence = F.array_join(F.from_json(read("evidence"), "array<string>"), "\n")
+    return rows.select(
+        *[c for c in rows.columns if c != "recommended_action"], *action, read("why_this_action").alias("why"), evidence.alias("evidence")
+    )
+
+
 def action_log_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = actions.log_rows(_validated(spark, sf_dir))
-    code = F.get_json_object("recommended_action", "$.recommended_action.code")
-    return flat(rows.withColumn("recommended_action", code))
+    return flat(_payload(actions.log_rows(_validated(spark, sf_dir))))
+
+
+def action_log_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches of the same seconds appended to one log and read back, with their confirmations."""
+    root = shared_folder(spark, "log")
+    customer = sales.customers(spark, sf_dir)
+    key = F.col("customer_id")
+    asked = requested_ids(spark, sf_dir).select(
+        key, key.alias("interaction_id"), F.lit("{}").alias("recommended_action"),
+        F.concat(F.lit("Call "), key.cast("string")).alias("action_taken"), F.lit("PENDING").alias("status"),
+    )
+    as_of = F.timestamp_seconds(F.lit(1709251200) + key % 3).cast("timestamp_ntz")
+    results = []
+    for batch in (0, 1):
+        existing = read_table(spark, root, "action_log") if batch else None
+        checked = actions.validate_actions(asked.filter(key % 2 == batch), customer, as_of, existing)
+        actions.append_actions(checked, root)
+        results.append(actions.log_results(checked))
+    confirmed = results[0].unionByName(results[1]).filter("status = 'ok'").select("action_id", F.lit(True).alias("confirmed"))
+    log = read_table(spark, root, "action_log").join(confirmed, "action_id", "left")
+    number = F.element_at(F.split("action_id", "-"), 4).cast("long")
+    return flat(
+        log.select("action_id", F.col("customer_id").cast("long"), "action_taken", "status", "action_timestamp", "confirmed", number.alias("number"))
+    )
 
 
 def action_log_results(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -424,25 +505,40 @@ def action_log_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat(quality.quality_report(sales.sales_tables(spark, sf_dir), allowed=SALES_DOMAINS))
+    """All checks, with expectations about every 50th customer that hold for some and fail for others."""
+    some = sales.customers(spark, sf_dir).filter("customer_id % 50 = 0").select("customer_id")
+    worse = some.withColumns({"overall_severity": F.lit("MAJOR"), "exclusions_changed": F.lit(True)})
+    risen = some.withColumn("overall_direction", F.lit("INCREASED"))
+    moved = some.withColumns({"dimension": F.lit("flood"), "direction": F.lit("UP")})
+    return flat(
+        quality.quality_report(
+            sales.sales_tables(spark, sf_dir), comparison_values=worse, change_values=risen, directions=moved
+        )
+    )
 
 
 # Streaming queries -------------------------------------------------------------------
 
 
-def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return feeds.stream_files(spark, sf_dir, sales.scan(spark, sf_dir, name).schema, f"{name}.parquet")
+def _stream(spark: SparkSession, df: DataFrame, key: str, parts: int = 3) -> DataFrame:
+    """``df`` as a stream of several files, one per micro-batch; every tenth row comes again in the next file."""
+    folder = shared_folder(spark, "arriving")
+    for part in range(parts):
+        own = F.col(key) % parts == part
+        again = (F.col(key) % parts == (part - 1) % parts) & (F.col(key) % 10 == 0) & F.lit(part > 0)
+        df.filter(own | again).coalesce(1).write.mode("append").parquet(folder)
+    return feeds.stream_files(spark, folder, df.schema, "*.parquet", maxFilesPerTrigger="1")
 
 
 def stream_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as timed contacts whose text names the event."""
+    """Documents as timed transcripts of two speakers, some delivered twice."""
     out = shared_folder(spark, "interactions")
-    contacts = _stream(spark, sf_dir, "events").select(
-        F.col("event_id").alias("interaction_id"),
-        F.col("ts").alias("interaction_timestamp"),
-        F.concat("event_type", F.lit(" with "), "props", F.lit(" from the "), "event_type").alias("text"),
+    contacts = _transcripts(spark, sf_dir).select(
+        "interaction_id", F.timestamp_seconds(F.lit(1709251200) + F.col("interaction_id") % 3600).cast("timestamp_ntz").alias("interaction_timestamp"),
+        F.col("raw_transcript").alias("text"),
     )
-    feeds.interaction_feed(contacts, f"{out}/rows", f"{out}/offsets", lexicon=PROSE).awaitTermination()
+    arriving = _stream(spark, contacts, "interaction_id")
+    feeds.interaction_feed(arriving, f"{out}/rows", f"{out}/offsets", lexicon=PROSE).awaitTermination()
     return flat(
         spark.read.parquet(f"{out}/rows").select(
             "interaction_id", "sentiment", "sentiment_label", "intent", "retention_risk"
@@ -452,14 +548,14 @@ def stream_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shared_folder(spark, "postings")
-    docs = _stream(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _stream(spark, sales.scan(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
     feeds.postings_feed(docs, f"{out}/rows", f"{out}/offsets").awaitTermination()
-    return flat(spark.read.parquet(f"{out}/rows").select("doc_id", "word", "length", "tf"))
+    return flat(feeds.latest_postings(spark, f"{out}/rows").select("doc_id", "word", "length", "tf"))
 
 
 def stream_risk_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shared_folder(spark, "alerts")
-    arriving = sales.risk_of_events(_stream(spark, sf_dir, "events"))
+    arriving = _stream(spark, sales.risk_history(spark, sf_dir), "risk_assessment_id")
     feeds.risk_alert_feed(arriving, f"{out}/risk", f"{out}/offsets").awaitTermination()
     return flat(
         feeds.latest_risk_alerts(spark, f"{out}/risk").select(
@@ -469,24 +565,58 @@ def stream_risk_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    numbered = sales.action_log(spark, sf_dir).withColumn("n", F.col("interaction_id"))
+    return _stream(spark, numbered, "n").drop("n")
+
+
+def stream_action_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log that grows by micro-batches; repeated deliveries of an action stay one row."""
+    out = shared_folder(spark, "streamed-log")
+    feeds.action_log_feed(_log_stream(spark, sf_dir), f"{out}/rows", f"{out}/offsets").awaitTermination()
+    log = feeds.logged_actions(spark, f"{out}/rows")
+    return flat(log.select("action_id", F.col("customer_id").cast("long"), "action_taken", "status", "action_timestamp"))
+
+
 def stream_hourly_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of the arriving actions, every hour, late rows included."""
     out = shared_folder(spark, "hourly")
-    kind = F.col("event_type")
-    logged = _stream(spark, sf_dir, "events").select(
-        F.col("ts").alias("action_timestamp"),
-        F.when(kind == "purchase", "EXECUTED")
-        .when(kind == "error", "ESCALATED")
-        .when(kind == "signup", "DECLINED")
-        .otherwise("PENDING")
-        .alias("status"),
+    logged = feeds.stream_files(spark, sf_dir, sales.scan(spark, sf_dir, "events").schema, "events.parquet")
+    feeds.hourly_counts_feed(sales.logged_events(logged), f"{out}/rows", f"{out}/offsets").awaitTermination()
+    return flat(feeds.hourly_counts(spark, f"{out}/rows"))
+
+
+def search_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcripts of calls that name a number, over the interaction table."""
+    calls = sales.interactions(spark, sf_dir).filter("interaction_id % 2 = 0 OR interaction_type <> 'CALL'")
+    queries = sales.scan(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").cast("long").alias("query_id"), F.concat(F.lit("k "), F.col("n_nationkey").cast("string")).alias("text")
+    )
+    return flat(search.search_interactions(calls, queries, only=F.col("interaction_type") == "CALL"))
+
+
+def vector_search_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of transcripts under text ids, some of them NULL, narrowed by an attribute."""
+    vectors = sales.scan(spark, sf_dir, "embeddings").select(
+        F.concat(F.lit("INT"), F.col("vec_id").cast("string")).alias("vec_id"),
+        F.when(F.col("vec_id") % 7 != 0, F.col("embedding")).alias("embedding"), "label",
+    )
+    asked = label_centroids(spark, sf_dir).select(F.concat(F.lit("Q"), F.col("query_id").cast("string")).alias("query_id"), "embedding")
+    return flat(search.vector_search(vectors, asked, only=F.col("label") < 5))
+
+
+def substring_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases from a table: the first words of every benchmark item, and one that asks for nothing."""
+    phrases = sales.scan(spark, sf_dir, "benchmark").select(
+        F.when(F.col("item_id") > 0, F.array_join(F.slice(F.split("text", " "), 1, 3), " ")).alias("phrase")
     )
-    feeds.hourly_status_feed(logged, f"{out}/rows", f"{out}/offsets").awaitTermination()
-    return flat(spark.read.parquet(f"{out}/rows"))
+    return flat(search.substring_search(sales.scan(spark, sf_dir, "documents"), phrases))
 
 
 QUERIES: dict[str, Query] = {
-    "customer_360": _tables(_customer_360),
-    "customer_list": _tables(lambda t: customer360.customer_list(_customer_360(t))),
+    "customer_360": _tables(customer360.customer_360),
+    "customer_360_multi": _pooled(lambda t: customer360.customer_360(t, hot_rows=HOUSEHOLD_HOT)),
+    "customer_list": _tables(customer360.customer_list),
     "churn_band": _tables(lambda t: customer360.churn_bands(t["customer"])),
     "claim_summary": _tables(lambda t: customer360.claim_summary(t["claim"])),
     "latest_risk_per_property": _tables(lambda t: customer360.latest_risk(t["risk_history"])),
@@ -495,11 +625,13 @@ QUERIES: dict[str, Query] = {
     "policy_pivot": _tables(lambda t: policy.policy_pivot(t["policy_version"])),
     "policy_comparison": _comparison(lambda c: c.drop("exclusions_added", "exclusions_removed")),
     "exclusion_diff": _comparison(exclusion_diff),
-    "compare_policy_docs": compare_policy_docs,
+    "compare_policy_docs": _flat_policy_docs(_policy_docs),
+    "compare_policy_docs_multi": _flat_policy_docs(_pooled_policy_docs),
     "key_findings": _exploded(_policy_docs, "doc.key_findings", "finding"),
     "renewal_report": _comparison(policy.renewal_report),
     "risk_change": _tables(risk.risk_change),
-    "analyze_risk_docs": analyze_risk_docs,
+    "analyze_risk_docs": _flat_risk_docs(_risk_docs),
+    "analyze_risk_docs_multi": _flat_risk_docs(_pooled_risk_docs),
     "causal_chain": _exploded(_risk_docs, "doc.causal_chain", "cause"),
     "communication_points": _exploded(_risk_docs, "doc.communication_points", "point"),
     "dialogue_turns": dialogue,
@@ -519,7 +651,11 @@ QUERIES: dict[str, Query] = {
     "text_search": text_search,
     "vector_search": vector_search,
     "substring_search": substring_search,
+    "search_interactions": search_interactions,
+    "vector_search_interactions": vector_search_interactions,
+    "substring_requests": substring_requests,
     "nba_context": nba_context,
+    "nba_context_multi": nba_context_multi,
     "nba_prompts": nba_prompts,
     "nba_scores": nba_scores,
     "nba_ranked": nba_ranked,
@@ -527,6 +663,7 @@ QUERIES: dict[str, Query] = {
     "nba_documents": nba_documents,
     "action_log_append": action_log_append,
     "action_log_results": action_log_results,
+    "action_log_batches": action_log_batches,
     "action_history": _tables(lambda t: actions.action_history(t["action_log"], t["customer"]).drop("recommended_action")),
     "action_history_top10": _tables(lambda t: actions.recent_actions(t["action_log"], t["customer"])),
     "action_outcomes": _tables(lambda t: actions.action_outcomes(t["action_log"])),
@@ -536,4 +673,5 @@ QUERIES: dict[str, Query] = {
     "stream_postings": stream_postings,
     "stream_risk_alerts": stream_risk_alerts,
     "stream_hourly_status": stream_hourly_status,
+    "stream_action_log": stream_action_log,
 }

@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from ..functions import model_json, texts
 from ..functions.lexicon import INTENTS, SIGNALS
-from ..operators.decide import ADJUSTMENTS, BASE, CRITERIA, ESCALATION_VALUE, MENU
-from .catalogue import PHRASES, PROSE, SALES_DOMAINS, STATUS_OF
+from ..operators.decide import ADJUSTMENTS, BASE, CRITERIA, DESCRIPTIONS, ESCALATION_VALUE, MENU
+from ..sources.schemas import DOMAINS
+from .catalogue import PHRASES, PROSE, STATUS_OF
 
 STEMS = ("premium", "deductible", "building", "contents", "flood_cov", "flood_ded")
 LIMITS = {
@@ -216,7 +217,7 @@ def _hits_sql(source: str) -> str:
            count(*) FILTER (kind = 'sentiment') AS tone_hits, {intents}, {signals}
     FROM (SELECT DISTINCT interaction_id FROM {source}) t
     LEFT JOIN (SELECT interaction_id, speaker = 'Customer' AS by_customer,
-                      unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM {source}) w
+                      unnest(regexp_extract_all(lower(text), @words)) AS word FROM {source}) w
            ON w.interaction_id = t.interaction_id
     LEFT JOIN lexicon_t l ON l.word = w.word
     GROUP BY 1"""
@@ -258,6 +259,8 @@ def _scores_sql(hits: str) -> str:
           FROM {hits})"""
 
 
+# Stands for @words in statements: runs of letters and digits of any script.
+WORDS = r"'[\p{L}\p{N}]+'"
 SENTENCE = "'[^.!?\\n]+[.!?]*'"
 
 
@@ -282,7 +285,7 @@ def _summary_sql(sentences: str) -> str:
                 FROM (SELECT *, sum(n) OVER (PARTITION BY interaction_id, word) AS frequency
                       FROM (SELECT interaction_id, turn_no, sentence_no, word, count(*) AS n
                             FROM (SELECT interaction_id, turn_no, sentence_no,
-                                         unnest(regexp_extract_all(lower(sentence), '[a-z]+')) AS word
+                                         unnest(regexp_extract_all(lower(sentence), @words)) AS word
                                   FROM {sentences}) GROUP BY ALL))
                 GROUP BY ALL) USING (interaction_id, turn_no, sentence_no))
     WHERE rn <= 3 GROUP BY 1"""
@@ -295,7 +298,7 @@ def _phrases_sql(sentences: str) -> str:
     return f"""
     SELECT interaction_id, row_number() OVER (PARTITION BY interaction_id
                ORDER BY hits DESC, turn_no, sentence_no) AS rank, sentence AS phrase, hits
-    FROM (SELECT *, CAST(len(list_filter(regexp_extract_all(lower(sentence), '[a-z]+'),
+    FROM (SELECT *, CAST(len(list_filter(regexp_extract_all(lower(sentence), @words),
                      lambda w: w IN ({SIGNAL_WORDS}))) AS BIGINT) AS hits
           FROM {sentences} WHERE speaker = 'Customer')
     WHERE hits > 0 QUALIFY rank <= 5"""
@@ -384,6 +387,7 @@ PARTS: dict[str, str] = {
     "policy_version_t": """
     SELECT o_custkey AS policy_id, o_custkey AS customer_id,
            CASE rn WHEN 1 THEN 'RENEWAL' ELSE 'CURRENT' END AS policy_version,
+           o_orderpriority AS policy_type,
            CASE WHEN rn = 1 THEN 'PROPOSED' WHEN o_orderstatus = 'F' THEN 'LAPSED' ELSE 'ACTIVE' END AS policy_status,
            CAST(o_orderdate AS DATE) AS effective_date, CAST(o_orderdate AS DATE) + 364 AS expiry_date,
            CAST(o_totalprice AS DECIMAL(18,2)) AS annual_premium,
@@ -401,7 +405,7 @@ PARTS: dict[str, str] = {
     SELECT *, row_number() OVER (PARTITION BY property_id
                ORDER BY assessment_date DESC, risk_assessment_id DESC) AS rn FROM risk_t""",
     "claim_t": """
-    SELECT l_orderkey * 10 + l_linenumber AS claim_id, o_custkey AS customer_id,
+    SELECT l_orderkey * 10 + l_linenumber AS claim_id, o_custkey AS customer_id, o_custkey AS policy_id,
            (['FLOOD', 'FIRE', 'THEFT', 'LIABILITY', 'OTHER'])[l_partkey % 5 + 1] AS claim_type,
            CASE o_orderstatus WHEN 'O' THEN 'OPEN' WHEN 'F' THEN 'CLOSED' ELSE 'DENIED' END AS claim_status,
            CAST(l_extendedprice AS DECIMAL(12,2)) AS claim_amount, CAST(l_shipdate AS DATE) AS claim_date
@@ -425,7 +429,7 @@ PARTS: dict[str, str] = {
            cur.policy_id, cur.policy_status, cur.effective_date, cur.expiry_date, cur.annual_premium, cur.deductible,
            cur.building_coverage, cur.contents_coverage, cur.flood_coverage, cur.flood_deductible, cur.exclusions,
            cur.renewal_date,
-           EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.customer_id) AS has_renewal_proposal,
+           EXISTS (SELECT 1 FROM policy_version_t o WHERE o.customer_id = c.customer_id AND o.policy_version = 'RENEWAL') AS has_renewal_proposal,
            coalesce(total_claims, 0) AS total_claims, coalesce(open_claims, 0) AS open_claims,
            coalesce(total_claim_amount, 0) AS total_claim_amount, last_claim_date,
            r.flood_risk AS current_flood_risk, r.fire_risk AS current_fire_risk,
@@ -471,7 +475,8 @@ PARTS: dict[str, str] = {
     "ranked_t": _ranked_sql(),
     "log_t": f"""
     SELECT 'ACT-' || strftime(ts, '%Y%m%d-%H%M%S') || '-' || event_id AS action_id, user_id AS customer_id,
-           event_id AS interaction_id, substring('ABCDEFG', {K} % 7 + 1, 1) AS code, event_type AS action_taken,
+           event_id AS interaction_id, substring('ABCDEFG', {K} % 7 + 1, 1) AS code,
+           '{{"recommended_action":{{"code":"' || code || '"}}}}' AS recommended_action, event_type AS action_taken,
            ts AS action_timestamp,
            CASE event_type WHEN 'purchase' THEN 'EXECUTED' WHEN 'error' THEN 'ESCALATED' WHEN 'signup' THEN 'DECLINED'
                 ELSE 'PENDING' END AS status FROM events""",
@@ -492,18 +497,19 @@ PARTS: dict[str, str] = {
 }
 
 
-def _with(body: str) -> str:
-    """Prefix a statement with the parts it needs, transitively."""
+def _with(body: str, changed: dict[str, str] | None = None) -> str:
+    """Prefix a statement with the parts it needs, transitively; ``changed`` replaces some."""
     needed: set[str] = set()
+    all_parts = PARTS | (changed or {})
 
     def visit(text: str) -> None:
-        for name, sql in PARTS.items():
+        for name, sql in all_parts.items():
             if name not in needed and name in text:
                 needed.add(name)
                 visit(sql)
 
     visit(body)
-    parts = [f"{name} AS ({PARTS[name]})" for name in PARTS if name in needed]
+    parts = [f"{name} AS ({all_parts[name]})" for name in all_parts if name in needed]
     return (f"WITH {', '.join(parts)} " if parts else "") + body
 
 
@@ -569,52 +575,99 @@ def _report_sql() -> str:
     return " UNION ALL ".join(rows)
 
 
-def _policy_docs_sql() -> str:
-    blocks = {
-        "premium": "premium", "deductible": "deductible", "building_coverage": "building",
-        "contents_coverage": "contents", "flood_coverage": "flood_cov", "flood_deductible": "flood_ded",
+BLOCKS = {
+    "premium": "premium", "deductible": "deductible", "building_coverage": "building",
+    "contents_coverage": "contents", "flood_coverage": "flood_cov", "flood_deductible": "flood_ded",
+}
+
+
+def joined(items: str, separator: str = "chr(10)") -> str:
+    return f"array_to_string({items}, {separator})"
+
+
+def _item_changes() -> dict[str, str]:
+    cur, ren = ITEMS.format("cur"), ITEMS.format("ren")
+    return {
+        "added": f"list_filter({ren}, lambda x: NOT list_contains({cur}, x))",
+        "removed": f"list_filter({cur}, lambda x: NOT list_contains({ren}, x))",
     }
+
+
+def _policy_docs_sql() -> str:
     columns = ", ".join(
+        f"CAST(cur_{s} AS DOUBLE) AS {b}_current, CAST(ren_{s} AS DOUBLE) AS {b}_renewal, "
         f"CAST({s}_change AS DOUBLE) AS {b}_change, CAST({s}_change_pct AS DOUBLE) AS {b}_change_pct, "
         f"{s}_severity AS {b}_severity"
-        for b, s in blocks.items()
+        for b, s in BLOCKS.items()
+    )
+    listed = ", ".join(
+        f"CASE WHEN overall_severity IS NOT NULL THEN {joined(f'list_sort(list_distinct({items}))', lit('|'))} END AS exclusions_{name}"
+        for name, items in _item_changes().items()
     )
     return f"""
     SELECT q.customer_id, CASE WHEN c.customer_id IS NULL THEN 'not_found' WHEN overall_severity IS NULL
                THEN 'no_renewal' ELSE 'ok' END AS status, c.name AS customer_name,
            CASE WHEN c.customer_id IS NULL THEN {lit(texts.CUSTOMER_NOT_FOUND)} WHEN overall_severity IS NULL
-               THEN {lit(texts.NO_RENEWAL)} END AS message,
-           {columns}, exclusions_changed, CAST(ren_expiry AS VARCHAR) AS renewal_expiry, overall_severity,
-           CASE WHEN overall_severity IS NOT NULL THEN CAST(len({FINDING_LIST}) AS BIGINT) END AS findings
+               THEN {lit(texts.NO_RENEWAL)} END AS message, policy_id,
+           {columns}, cur_exclusions AS exclusions_current, ren_exclusions AS exclusions_renewal, exclusions_changed, {listed},
+           CAST(cur_effective AS VARCHAR) AS current_effective, CAST(cur_expiry AS VARCHAR) AS current_expiry,
+           CAST(ren_effective AS VARCHAR) AS renewal_effective, CAST(ren_expiry AS VARCHAR) AS renewal_expiry, overall_severity,
+           CASE WHEN overall_severity IS NOT NULL THEN {joined(FINDING_LIST)} END AS findings
     FROM requested_t q LEFT JOIN customer_t c ON c.customer_id = q.customer_id
     LEFT JOIN (SELECT * EXCLUDE (customer_id, name), customer_id AS id FROM comparison_t) v ON v.id = q.customer_id"""
 
 
 def _risk_docs_sql() -> str:
     impact = worst(["premium_severity", "flood_cov_severity", "flood_ded_severity"], "MINOR")
+    changed = "overall_direction IS NOT NULL"
+    kinds = {"assessment_id": "assessment_id", "assessment_date": "assessment_date", "flood_risk": "flood_risk", "fire_risk": "fire_risk",
+             "earthquake_risk": "earthquake_risk", "overall_risk_score": "risk_score", "risk_reason": "risk_reason"}
+
+    def typed(column: str) -> str:
+        if column.endswith("date"):
+            return f"CAST({column} AS VARCHAR)"
+        return f"CAST({column} AS DOUBLE)" if column.endswith("score") else column
+
+    sides = ", ".join(
+        f"{typed(f'{short}_{column}')} AS {side}_{name}"
+        for side, short in (("previous", "prev"), ("current", "curr"))
+        for name, column in kinds.items()
+    )
+    only = ", ".join(f"{typed(f'one.{name}')} AS only_{name}" for name in list(kinds)[1:])
+    moves = ", ".join(
+        f"prev_{d}_risk AS {d}_previous, curr_{d}_risk AS {d}_current, {d}_direction" for d in ("flood", "fire", "earthquake")
+    )
+    effects = ", ".join(
+        f"CASE WHEN {changed} THEN {value} END AS impact_{name}"
+        for name, value in {
+            "policy_id": "v.policy_id", "premium_change_pct": "CAST(premium_change_pct AS DOUBLE)",
+            "premium_change": "CAST(premium_change AS DOUBLE)", "flood_coverage_change_pct": "CAST(flood_cov_change_pct AS DOUBLE)",
+            "flood_coverage_change": "CAST(flood_cov_change AS DOUBLE)",
+            "flood_deductible_change_pct": "CAST(flood_ded_change_pct AS DOUBLE)",
+            "flood_deductible_change": "CAST(flood_ded_change AS DOUBLE)", "exclusions_changed": "exclusions_changed",
+            "overall_severity": f"CASE WHEN overall_severity IS NOT NULL THEN {impact} END",
+            "message": f"CASE WHEN overall_severity IS NULL THEN {lit(texts.NO_POLICY_IMPACT)} END",
+        }.items()
+    )
     return f"""
-    SELECT q.customer_id, CASE WHEN c.customer_id IS NULL THEN 'not_found' WHEN overall_direction IS NOT NULL THEN 'ok'
+    SELECT q.customer_id, CASE WHEN c.customer_id IS NULL THEN 'not_found' WHEN {changed} THEN 'ok'
                WHEN one.property_id IS NOT NULL THEN 'no_risk_change' ELSE 'no_risk_data' END AS status,
-           CASE WHEN c.customer_id IS NULL THEN {lit(texts.CUSTOMER_NOT_FOUND)} WHEN overall_direction IS NOT NULL
+           CASE WHEN c.customer_id IS NULL THEN {lit(texts.CUSTOMER_NOT_FOUND)} WHEN {changed}
                THEN NULL WHEN one.property_id IS NOT NULL THEN {lit(texts.NO_RISK_CHANGE)}
                ELSE {lit(texts.NO_RISK_DATA)} END AS message,
-           r.property_id, flood_direction, fire_direction, earthquake_direction,
+           r.property_id, r.location, r.property_type, {sides}, {only}, {moves},
+           CAST(prev_risk_score AS DOUBLE) AS score_previous, CAST(curr_risk_score AS DOUBLE) AS score_current,
            CAST(risk_score_change AS DOUBLE) AS score_change, CAST(risk_score_change_pct AS DOUBLE) AS score_change_pct,
-           curr_risk_reason AS root_cause,
-           CASE WHEN overall_direction IS NOT NULL THEN CAST(premium_change AS DOUBLE) END AS premium_change,
-           CASE WHEN overall_direction IS NOT NULL THEN CAST(flood_cov_change_pct AS DOUBLE) END
-             AS flood_coverage_change_pct,
-           CASE WHEN overall_direction IS NOT NULL AND overall_severity IS NOT NULL THEN {impact} END AS impact_severity,
-           CASE WHEN overall_direction IS NOT NULL AND overall_severity IS NULL
-                THEN {lit(texts.NO_POLICY_IMPACT)} END AS impact_message,
-           CASE WHEN overall_direction IS NOT NULL THEN CAST(len({CAUSE_LIST}) AS BIGINT) END AS causes,
-           CASE WHEN overall_direction IS NOT NULL THEN CAST(len({POINT_LIST}) AS BIGINT) END AS points
+           overall_direction AS score_direction, curr_risk_reason AS root_cause, {effects},
+           CASE WHEN {changed} THEN {joined(CAUSE_LIST)} END AS causes,
+           CASE WHEN {changed} THEN {joined(POINT_LIST)} END AS points
     FROM requested_t q LEFT JOIN customer_t c ON c.customer_id = q.customer_id
     LEFT JOIN (SELECT * EXCLUDE (customer_id, name), customer_id AS id FROM change_t) r ON r.id = q.customer_id
-    LEFT JOIN (SELECT * EXCLUDE (customer_id, name, policy_id), customer_id AS pid FROM comparison_t) v
-           ON v.pid = q.customer_id
-    LEFT JOIN (SELECT property_id FROM ranked_risk_t GROUP BY 1 HAVING count(*) = 1) one
-           ON one.property_id = q.customer_id"""
+    LEFT JOIN (SELECT * EXCLUDE (customer_id, name), customer_id AS pid FROM comparison_t
+               QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY policy_id) = 1) v ON v.pid = q.customer_id
+    LEFT JOIN (SELECT k.*, h.customer_id AS owner FROM ranked_risk_t k JOIN property_t h ON h.property_id = k.property_id
+               WHERE k.property_id IN (SELECT property_id FROM risk_t GROUP BY 1 HAVING count(*) = 1)
+                 AND h.customer_id NOT IN (SELECT customer_id FROM change_t)) one ON one.owner = q.customer_id"""
 
 
 def _listed(source: str, array: str, name: str, condition: str = "TRUE") -> str:
@@ -676,12 +729,12 @@ def _recommendation_sql() -> str:
 
 def _text_search_sql() -> str:
     return """
-    WITH doc AS (SELECT doc_id, lang, source, regexp_extract_all(lower(text), '[a-z]+') AS ws FROM documents),
+    WITH doc AS (SELECT doc_id, lang, source, regexp_extract_all(lower(text), @words) AS ws FROM documents),
     total AS (SELECT count(*) AS n, avg(len(ws)) AS mean FROM doc),
     posting AS (SELECT doc_id, word, count(*) AS tf, any_value(size) AS size
                 FROM (SELECT doc_id, len(ws) AS size, unnest(ws) AS word FROM doc) GROUP BY ALL),
     asked AS (SELECT query_id, word, count(*) AS qtf
-              FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM benchmark)
+              FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), @words)) AS word FROM benchmark)
               GROUP BY ALL),
     found AS (SELECT word, count(*) AS df FROM posting GROUP BY 1),
     scored AS (SELECT query_id, doc_id,
@@ -734,6 +787,26 @@ PRIORITY_SQL = (
 )
 
 
+def _kept(items: list[str]) -> str:
+    return f"array_to_string(list_filter([{', '.join(items)}], lambda x: x IS NOT NULL), chr(10))"
+
+
+RISK_FLAGS = [
+    "CASE WHEN open_claims > 0 THEN 'Open claim on file' END",
+    "CASE WHEN churn_risk_label = 'HIGH' THEN 'High churn risk' END",
+    "CASE WHEN policy_status = 'LAPSED' THEN 'Policy has lapsed' END",
+    f"CASE WHEN {FACTS['incomplete']} THEN 'Property or risk data is incomplete' END",
+]
+# Over a context row c and its best action b.
+TALKING_POINTS = (
+    "array_to_string(list_concat(list_filter(['Next step: ' || b.title, CASE WHEN tenure_years >= 5 AND payment_history = 'EXCELLENT' "
+    "THEN 'Thank the customer for the long and reliable relationship' END], lambda x: x IS NOT NULL), "
+    f"CASE WHEN flood_direction IS NULL THEN [] ELSE {POINT_LIST} END), chr(10))"
+)
+WHY = "b.title || ' scores ' || b.composite || ' of 40, the most of all actions the data supports'"
+DESCRIBED = "CASE b.code " + " ".join(f"WHEN '{c}' THEN {lit(d)}" for c, d in DESCRIPTIONS.items()) + " END"
+
+
 def _explanations_sql() -> str:
     added = f"list_filter({ITEMS.format('ren')}, lambda x: NOT list_contains({ITEMS.format('cur')}, x))"
     lines = [
@@ -749,27 +822,15 @@ def _explanations_sql() -> str:
         ],
         "CASE WHEN policy_status = 'LAPSED' THEN 'The policy has lapsed' END",
     ]
-    flags = [
-        "CASE WHEN open_claims > 0 THEN 'Open claim on file' END",
-        "CASE WHEN churn_risk_label = 'HIGH' THEN 'High churn risk' END",
-        "CASE WHEN policy_status = 'LAPSED' THEN 'Policy has lapsed' END",
-        f"CASE WHEN {FACTS['incomplete']} THEN 'Property or risk data is incomplete' END",
-    ]
     said = [
         "'Churn risk: ' || churn_risk_label", "'Retention risk: ' || retention_risk",
         "'Tone of the last contact: ' || sentiment_label", "'Intent of the last contact: ' || intent",
     ]
 
-    def joined(items: list[str]) -> str:
-        return f"array_to_string(list_filter([{', '.join(items)}], lambda x: x IS NOT NULL), chr(10))"
-
-    points = (
-        f"least(5, CASE WHEN flood_direction IS NULL THEN 0 ELSE len({POINT_LIST}) END + 1 "
-        "+ CASE WHEN tenure_years >= 5 AND payment_history = 'EXCELLENT' THEN 1 ELSE 0 END)"
-    )
     return (
-        f"SELECT customer_id, {joined(lines)} AS facts, {joined(said)} AS interpretation, "
-        f"{joined(flags)} AS risk_flags, CAST({points} AS BIGINT) AS talking_points FROM context_t"
+        f"SELECT c.customer_id, {_kept(lines)} AS facts, {_kept(said)} AS interpretation, "
+        f"{_kept(RISK_FLAGS)} AS risk_flags, {TALKING_POINTS} AS talking_points "
+        "FROM context_t c JOIN ranked_t b ON b.customer_id = c.customer_id AND b.place = 1"
     )
 
 
@@ -808,10 +869,23 @@ def _quality_sql() -> str:
         f"SELECT count(*) AS n, count(*) FILTER (({pct}) IS NULL) AS u, min({pct}) AS lo, max({pct}) AS hi FROM comparison_t",
     )
     add(
-        "risk_change_directions", "n > 0",
-        "'changes=' || n || ', flood_up=' || f || ', fire_up=' || r || ', earthquake_up=' || e",
+        "risk_change_directions", "n > 0 AND m = 0",
+        "'changes=' || n || ', flood_up=' || f || ', fire_up=' || r || ', earthquake_up=' || e || ', missing=' || m",
         "SELECT count(*) AS n, count(*) FILTER (flood_direction = 'UP') AS f, count(*) FILTER (fire_direction = 'UP') AS r, "
-        "count(*) FILTER (earthquake_direction = 'UP') AS e FROM change_t",
+        "count(*) FILTER (earthquake_direction = 'UP') AS e, (SELECT count(*) FROM customer_t WHERE customer_id % 50 = 0 "
+        "AND customer_id NOT IN (SELECT customer_id FROM change_t WHERE flood_direction = 'UP')) AS m FROM change_t",
+    )
+    add(
+        "policy_comparison_values", "n > 0 AND d = 0", "'rows=' || n || ', different=' || d",
+        "SELECT count(*) AS n, count(*) FILTER (NOT coalesce(overall_severity = 'MAJOR' AND exclusions_changed, FALSE)) AS d "
+        "FROM customer_t c LEFT JOIN (SELECT customer_id AS id, overall_severity, exclusions_changed FROM comparison_t) ON id = customer_id "
+        "WHERE customer_id % 50 = 0",
+    )
+    add(
+        "risk_change_values", "n > 0 AND d = 0", "'rows=' || n || ', different=' || d",
+        "SELECT count(*) AS n, count(*) FILTER (NOT coalesce(overall_direction = 'INCREASED', FALSE)) AS d "
+        "FROM customer_t c LEFT JOIN (SELECT customer_id AS id, overall_direction FROM change_t) ON id = customer_id "
+        "WHERE customer_id % 50 = 0",
     )
     for child, part, column, parent in (
         ("property", "property_t", "customer_id", "customer_t"),
@@ -836,7 +910,7 @@ def _quality_sql() -> str:
             f"primary_key:{name}", "n = 0", "'bad_keys=' || n",
             f"SELECT count(*) AS n FROM (SELECT {key}, count(*) AS c FROM {tables[name]} GROUP BY ALL) WHERE c > 1 OR {unset}",
         )
-    for name, columns in SALES_DOMAINS.items():
+    for name, columns in DOMAINS.items():
         for column, codes in columns.items():
             inside = ", ".join(map(lit, codes))
             add(
@@ -845,17 +919,23 @@ def _quality_sql() -> str:
             )
     lengths = {
         "customer": {"customer_id": 20, "name": 100, "payment_history": 20},
-        "property": {"property_id": 20, "property_type": 30, "location": 100, "construction_type": 30},
-        "policy_version": {"policy_id": 20, "policy_version": 20, "policy_status": 20, "exclusions": 500},
-        "risk_history": {"risk_assessment_id": 20, "risk_reason": 500},
-        "claim": {"claim_id": 20, "claim_type": 30, "claim_status": 20},
-        "interaction": {"interaction_id": 20, "raw_transcript": 5000, "agent_note": 2000},
-        "action_log": {"action_id": 40, "recommended_action": 16000, "action_taken": 4000, "status": 20},
+        "property": {"property_id": 20, "customer_id": 20, "property_type": 30, "location": 100, "construction_type": 30},
+        "policy_version": {
+            "policy_id": 20, "customer_id": 20, "policy_version": 20, "policy_type": 30, "policy_status": 20, "exclusions": 500,
+        },
+        "risk_history": {
+            "risk_assessment_id": 20, "property_id": 20, "flood_risk": 10, "fire_risk": 10, "earthquake_risk": 10, "risk_reason": 500,
+        },
+        "claim": {"claim_id": 20, "customer_id": 20, "policy_id": 20, "claim_type": 30, "claim_status": 20},
+        "interaction": {
+            "interaction_id": 20, "customer_id": 20, "interaction_type": 20, "raw_transcript": 5000, "agent_note": 2000,
+        },
+        "action_log": {
+            "action_id": 40, "customer_id": 20, "interaction_id": 20, "recommended_action": 16000, "action_taken": 4000, "status": 20,
+        },
     }
     for name, columns in lengths.items():
-        held = {c: n for c, n in columns.items() if c != "recommended_action"}
-        counts = ", ".join(f"count(*) FILTER (length(CAST({c} AS VARCHAR)) > {n}) AS {c}" for c, n in held.items())
-        counts += ", 0 AS recommended_action" if "recommended_action" in columns else ""
+        counts = ", ".join(f"count(*) FILTER (length(CAST({c} AS VARCHAR)) > {n}) AS {c}" for c, n in columns.items())
         add(
             f"length:{name}", " AND ".join(f"{c} = 0" for c in columns),
             " || ', ' || ".join(f"'{c}=' || {c}" for c in columns), f"SELECT {counts} FROM {tables[name]}",
@@ -875,7 +955,8 @@ INTERACTION_DOCS = f"""
                lambda w: upper(substring(w, 1, 1)) || substring(w, 2)), ' ') AS tone_title,
            s.customer_emotion, s.retention_risk,
            CASE WHEN i.conv_id IS NOT NULL THEN coalesce(p.phrases, '') END AS key_phrases,
-           CASE WHEN i.conv_id IS NOT NULL THEN length(coalesce(y.summary, '')) END AS summary_length
+           CASE WHEN i.conv_id IS NOT NULL THEN coalesce(y.summary, '') END AS summary,
+           CASE WHEN i.conv_id IS NOT NULL THEN 'CHAT' END AS interaction_type, s.pricing_concern, s.coverage_concern, s.complaint_signal
     FROM customer q LEFT JOIN (SELECT DISTINCT conv_id FROM conversations) i ON i.conv_id = q.c_custkey
     LEFT JOIN turn_scores_t s ON s.interaction_id = i.conv_id
     LEFT JOIN (SELECT interaction_id, string_agg(phrase, ' | ' ORDER BY rank) AS phrases FROM turn_phrases_t GROUP BY 1) p
@@ -884,9 +965,9 @@ INTERACTION_DOCS = f"""
 
 DIALOGUE = """
     SELECT doc_id AS interaction_id, i - 1 AS turn_no, CASE WHEN i % 2 = 1 THEN 'Customer' ELSE 'Agent' END AS speaker,
-           trim(lines[i]) AS text
-    FROM (SELECT doc_id, lines, unnest(generate_series(1, len(lines))) AS i
-          FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))"""
+           CASE WHEN i = 1 AND doc_id % 3 = 0 THEN source END AS subject, trim(lines[i]) AS text
+    FROM (SELECT doc_id, source, lines, unnest(generate_series(1, len(lines))) AS i
+          FROM (SELECT doc_id, source, string_split(text, chr(10)) AS lines FROM documents))"""
 
 NBA_STATUS = """
     FROM requested_t q LEFT JOIN context_t c ON c.customer_id = q.customer_id
@@ -968,7 +1049,38 @@ STATEMENTS: dict[str, str] = {
     {NBA_STATUS}
     LEFT JOIN (SELECT DISTINCT conv_id FROM conversations) t ON t.conv_id = q.customer_id
     LEFT JOIN turn_scores_t s ON s.interaction_id = t.conv_id""",
-    "nba_prompts": "SELECT customer_id, interaction_id, name, total_claims, 7 AS menu_lines FROM context_t",
+    "nba_context_multi": f"""
+    SELECT q.customer_id, h.property_id, p.policy_id, h.property_id AS described_property, p.policy_id AS described_policy,
+           v.policy_id AS compared_policy, r.property_id AS changed_property,
+           CASE WHEN r.property_id IS NOT NULL THEN v.policy_id END AS impact_policy, h.location,
+           CAST(k.overall_risk_score AS DOUBLE) AS current_risk_score, CAST(r.curr_risk_score AS DOUBLE) AS changed_score,
+           CASE WHEN c.customer_id IS NULL THEN 'not_found' WHEN v.policy_id IS NULL THEN 'no_renewal' ELSE 'ok' END AS policy_status,
+           CASE WHEN c.customer_id IS NULL THEN 'not_found' WHEN r.property_id IS NOT NULL THEN 'ok'
+                WHEN k.property_id IS NOT NULL THEN 'no_risk_change' ELSE 'no_risk_data' END AS risk_status
+    FROM requested_t q LEFT JOIN customer_t c ON c.customer_id = q.customer_id
+    LEFT JOIN (SELECT x.*, n FROM property_t x LEFT JOIN (SELECT property_id, count(*) AS n FROM risk_t GROUP BY 1) USING (property_id)
+               QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY coalesce(n, 0) > 1 DESC, property_id) = 1) h
+           ON h.customer_id = c.customer_id
+    LEFT JOIN (SELECT customer_id, policy_id FROM (
+                 SELECT customer_id, policy_id, bool_or(policy_version = 'CURRENT') AS cur, bool_or(policy_version = 'RENEWAL') AS ren
+                 FROM policy_version_t GROUP BY 1, 2) WHERE cur
+               QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY ren DESC, policy_id) = 1) p
+           ON p.customer_id = c.customer_id
+    LEFT JOIN comparison_t v ON v.policy_id = p.policy_id
+    LEFT JOIN change_t r ON r.property_id = h.property_id
+    LEFT JOIN ranked_risk_t k ON k.property_id = h.property_id AND k.rn = 1""",
+    "nba_prompts": f"""
+    SELECT c.customer_id, c.interaction_id, total_claims, c.name, payment_history, churn_risk_label, location,
+           policy_status AS customer_policy_status, {POLICY_STATUS} AS policy_status, overall_severity,
+           CASE WHEN overall_severity IS NOT NULL THEN {severity('cur_premium', 'ren_premium', 'premium')} END AS premium_severity,
+           CASE WHEN overall_severity IS NULL THEN {lit(texts.NO_RENEWAL)} END AS policy_message,
+           {RISK_STATUS} AS risk_status, flood_direction, curr_risk_reason AS root_cause,
+           CASE WHEN n = 1 THEN {lit(texts.NO_RISK_CHANGE)} WHEN n IS NULL THEN {lit(texts.NO_RISK_DATA)} END AS risk_message,
+           CASE WHEN c.interaction_id IS NULL THEN 'no_interaction' ELSE 'ok' END AS interaction_status,
+           sentiment_label AS tone, intent, CASE WHEN c.interaction_id IS NOT NULL THEN coalesce(y.summary, '') END AS summary,
+           {lit(chr(10).join(f"{code}. {title}" for code, title in MENU.items()))} AS menu
+    FROM context_t c LEFT JOIN (SELECT property_id, count(*) AS n FROM risk_t GROUP BY 1) h ON h.property_id = c.property_id
+    LEFT JOIN turn_summary_t y ON y.interaction_id = c.interaction_id""",
     "nba_scores": "SELECT customer_id, interaction_id, code, eligible, composite, "
     + ", ".join(CRITERIA)
     + " FROM candidates_t",
@@ -984,11 +1096,30 @@ STATEMENTS: dict[str, str] = {
            CASE WHEN c.customer_id IS NULL THEN {lit(texts.CUSTOMER_NOT_FOUND)} END AS message,
            c.name AS customer_name,
            CASE WHEN c.customer_id IS NOT NULL THEN {POLICY_STATUS} END AS policy_status,
-           CASE WHEN c.customer_id IS NOT NULL THEN {RISK_STATUS} END AS risk_status, r.code
-    {NBA_STATUS} LEFT JOIN ranked_t r ON r.customer_id = q.customer_id AND r.place = 1""",
+           CASE WHEN c.customer_id IS NOT NULL THEN {RISK_STATUS} END AS risk_status, b.code, b.title, {DESCRIBED} AS description,
+           CASE WHEN c.customer_id IS NOT NULL THEN {PRIORITY_SQL} END AS priority, {WHY} AS why,
+           CASE WHEN c.customer_id IS NOT NULL THEN {TALKING_POINTS} END AS talking_points,
+           CASE WHEN c.customer_id IS NOT NULL THEN {_kept(RISK_FLAGS)} END AS risk_flags, total_claims,
+           CASE WHEN c.customer_id IS NULL THEN NULL WHEN c.interaction_id IS NULL THEN 'no_interaction' ELSE 'ok' END AS interaction_status,
+           CASE WHEN c.interaction_id IS NOT NULL THEN coalesce(y.summary, '') END AS summary
+    {NBA_STATUS} LEFT JOIN ranked_t b ON b.customer_id = q.customer_id AND b.place = 1
+    LEFT JOIN turn_summary_t y ON y.interaction_id = c.interaction_id""",
     "action_log_append": f"""
-    SELECT action_id, customer_id, interaction_id, code AS recommended_action, action_taken,
-           {stamp('made_at')} AS action_timestamp, status FROM logged_t""",
+    SELECT l.action_id, l.customer_id, l.interaction_id, l.action_taken, {stamp('l.made_at')} AS action_timestamp, l.status,
+           b.code AS action_code, b.title AS action_title, {DESCRIBED} AS action_description, {PRIORITY_SQL} AS action_priority,
+           {WHY} AS why, x.facts AS evidence
+    FROM logged_t l JOIN context_t c ON c.customer_id = l.customer_id
+    JOIN ranked_t b ON b.customer_id = l.customer_id AND b.place = 1
+    JOIN ({_explanations_sql()}) x ON x.customer_id = l.customer_id""",
+    "action_log_batches": f"""
+    SELECT 'ACT-' || second || '-' || CASE WHEN n < 1000 THEN lpad(CAST(n AS VARCHAR), 3, '0') ELSE CAST(n AS VARCHAR) END AS action_id,
+           customer_id, action_taken, 'PENDING' AS status, {stamp('made_at')} AS action_timestamp, TRUE AS confirmed, n AS number
+    FROM (SELECT *, strftime(made_at, '%Y%m%d-%H%M%S') AS second,
+                 row_number() OVER (PARTITION BY made_at ORDER BY customer_id % 2, bucket, customer_id) AS n
+          FROM (SELECT *, {ID_BUCKET} AS bucket FROM (
+                  SELECT q.customer_id, q.customer_id AS interaction_id, 'Call ' || q.customer_id AS action_taken,
+                         TIMESTAMP '2024-03-01 00:00:00' + to_seconds(q.customer_id % 3) AS made_at
+                  FROM requested_t q JOIN customer ON c_custkey = q.customer_id)))""",
     "action_log_results": f"""
     SELECT 'ok' AS status, action_id, customer_id, status AS action_status, {lit(texts.ACTION_LOGGED)} AS message
     FROM logged_t
@@ -1027,35 +1158,77 @@ STATEMENTS: dict[str, str] = {
     "stream_postings": """
     SELECT doc_id, word, length, count(*) AS tf
     FROM (SELECT doc_id, len(ws) AS length, unnest(ws) AS word
-          FROM (SELECT doc_id, regexp_extract_all(lower(text), '[a-z]+') AS ws FROM documents)) GROUP BY ALL""",
+          FROM (SELECT doc_id, regexp_extract_all(lower(text), @words) AS ws FROM documents)) GROUP BY ALL""",
     "stream_risk_alerts": _flat(
         "change_t",
         "property_id prev_assessment_id curr_assessment_id flood_direction fire_direction earthquake_direction "
         "d:risk_score_change d:risk_score_change_pct overall_direction",
     ),
-    # An hour is final once the newest event is more than the 10 minute delay past its end.
     "stream_hourly_status": f"""
     SELECT {stamp('hour')} AS hour, status, count(*) AS actions
-    FROM (SELECT date_trunc('hour', action_timestamp) AS hour, status FROM log_t)
-    WHERE hour + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events) GROUP BY ALL""",
+    FROM (SELECT date_trunc('hour', action_timestamp) AS hour, status FROM log_t) GROUP BY ALL""",
 }
 
 
 def _stream_interactions_sql() -> str:
-    contact = (
-        "(SELECT event_id AS interaction_id, 0 AS turn_no, 'Customer' AS speaker, "
-        "event_type || ' with ' || props || ' from the ' || event_type AS text FROM events)"
-    )
     return (
         "SELECT interaction_id, sentiment, sentiment_label, intent, retention_risk FROM ("
-        + _scores_sql(f"({_hits_sql(contact)})")
+        + _scores_sql(f"({_hits_sql(f'({DIALOGUE})')})")
         + ")"
     )
 
 
+def _search_interactions_sql() -> str:
+    search = (
+        _text_search_sql()
+        .replace("doc_id, lang, source, regexp_extract_all(lower(text)", "doc_id, customer_id, interaction_type, heard, regexp_extract_all(lower(text)")
+        .replace("FROM documents)", "FROM call_t)")
+        .replace("SELECT item_id AS query_id", "SELECT CAST(n_nationkey AS BIGINT) AS query_id")
+        .replace("regexp_extract_all(lower(text), @words)) AS word FROM benchmark",
+                 "regexp_extract_all('k ' || n_nationkey, @words)) AS word FROM nation")
+        .replace("SELECT doc_id, lang, source, query_id", "SELECT doc_id AS interaction_id, customer_id, interaction_type, heard AS interaction_timestamp, query_id")
+    )
+    calls = (
+        f"call_t AS (SELECT interaction_id AS doc_id, customer_id, interaction_type, {stamp('interaction_timestamp')} AS heard, "
+        "raw_transcript AS text FROM interaction_t WHERE interaction_type = 'CALL' AND interaction_id % 2 = 0)"
+    )
+    return search.replace("WITH doc AS", f"WITH interaction_t AS ({PARTS['interaction_t']}), {calls}, doc AS", 1)
+
+
 STATEMENTS["stream_interactions"] = _stream_interactions_sql()
+STATEMENTS["stream_action_log"] = (
+    f"SELECT action_id, customer_id, action_taken, status, {stamp('action_timestamp')} AS action_timestamp FROM log_t"
+)
+STATEMENTS["search_interactions"] = _search_interactions_sql()
+STATEMENTS["vector_search_interactions"] = (
+    _vector_search_sql()
+    .replace("SELECT CAST(label AS BIGINT) AS query_id, list(x", "SELECT 'Q' || label AS query_id, list(x")
+    .replace("SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings",
+             "SELECT 'INT' || vec_id AS vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 7 <> 0 AND label < 5")
+)
+STATEMENTS["substring_requests"] = """
+    SELECT DISTINCT doc_id, phrase FROM documents JOIN (
+      SELECT DISTINCT array_to_string(string_split(text, ' ')[1:3], ' ') AS phrase FROM benchmark WHERE item_id > 0) ON contains(lower(text), lower(phrase))
+    WHERE phrase <> ''"""
+
+# The first of every three customers holds the homes and policies of all three.
+POOLED = "c_custkey - (c_custkey - 1) % 3 AS customer_id"
+POOLED_PARTS = {
+    "property_t": PARTS["property_t"].replace("c_custkey AS customer_id", POOLED),
+    "policy_version_t": PARTS["policy_version_t"].replace("o_custkey AS customer_id", POOLED.replace("c_custkey", "o_custkey")),
+}
+POOLED_STATEMENTS = {
+    "customer_360_multi": STATEMENTS["customer_360"],
+    "compare_policy_docs_multi": STATEMENTS["compare_policy_docs"],
+    "analyze_risk_docs_multi": STATEMENTS["analyze_risk_docs"],
+    "nba_context_multi": STATEMENTS.pop("nba_context_multi"),
+}
 
 
 def statements() -> dict[str, str]:
-    return {name: _with(sql.strip()) if not sql.lstrip().startswith("WITH") else sql.strip()
-            for name, sql in STATEMENTS.items()}
+    return {name: sql.replace("@words", WORDS) for name, sql in _statements().items()}
+
+
+def _statements() -> dict[str, str]:
+    out = {name: _with(sql.strip()) if not sql.lstrip().startswith("WITH") else sql.strip() for name, sql in STATEMENTS.items()}
+    return out | {name: _with(sql.strip(), POOLED_PARTS) for name, sql in POOLED_STATEMENTS.items()}

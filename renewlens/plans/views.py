@@ -13,7 +13,7 @@ from ..sources.tables import Tables
 
 def products(tables: Tables) -> dict[str, DataFrame]:
     return {
-        "v_customer_360": customer_360(tables),
+        "v_customer_360": customer_360(tables, hot_rows=None),
         "v_policy_comparison": policy_comparison(tables),
         "v_risk_change": risk_change(tables),
         "v_action_history": action_history(tables["action_log"], tables["customer"]),

@@ -210,10 +210,14 @@ ACTION_CODES = "ABCDEFG"
 
 
 def action_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event as one logged action."""
+    return logged_events(scan(spark, sf_dir, "events"))
+
+
+def logged_events(events: DataFrame) -> DataFrame:
+    """Every event as one logged action; row-local, for batch and streaming scans."""
     code = F.substring(F.lit(ACTION_CODES), F.get_json_object("props", "$.k").cast("int") % 7 + 1, 1)
     kind = F.col("event_type")
-    return scan(spark, sf_dir, "events").select(
+    return events.select(
         F.concat(F.lit("ACT-"), F.date_format("ts", "yyyyMMdd-HHmmss"), F.lit("-"), F.col("event_id")).alias(
             "action_id"
         ),
@@ -264,6 +268,19 @@ def sales_tables(spark: SparkSession, sf_dir: str) -> SalesTables:
     return SalesTables(spark, sf_dir)
 
 
+HOUSEHOLD = 3
+
+
+def household_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The same tables with homes and policies pooled: the first of every three customers
+    holds those of all three, the others hold none."""
+    pooled = F.col("customer_id") - (F.col("customer_id") - 1) % HOUSEHOLD
+    tables = dict(sales_tables(spark, sf_dir))
+    for name in ("property", "policy_version"):
+        tables[name] = tables[name].withColumn("customer_id", pooled)
+    return tables
+
+
 def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations as dialogue turns. Turns stay separate rows: a conversation of
     any length is never gathered into one value."""

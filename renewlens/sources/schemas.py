@@ -146,10 +146,18 @@ DOMAINS: dict[str, dict[str, tuple[str, ...]]] = {
 # The declared text lengths.
 MAX_LENGTHS: dict[str, dict[str, int]] = {
     "customer": {"customer_id": 20, "name": 100, "payment_history": 20},
-    "property": {"property_id": 20, "property_type": 30, "location": 100, "construction_type": 30},
-    "policy_version": {"policy_id": 20, "policy_version": 20, "policy_status": 20, "exclusions": 500},
-    "risk_history": {"risk_assessment_id": 20, "risk_reason": 500},
-    "claim": {"claim_id": 20, "claim_type": 30, "claim_status": 20},
-    "interaction": {"interaction_id": 20, "raw_transcript": 5000, "agent_note": 2000},
-    "action_log": {"action_id": 40, "recommended_action": 16000, "action_taken": 4000, "status": 20},
+    "property": {"property_id": 20, "customer_id": 20, "property_type": 30, "location": 100, "construction_type": 30},
+    "policy_version": {
+        "policy_id": 20, "customer_id": 20, "policy_version": 20, "policy_type": 30, "policy_status": 20, "exclusions": 500,
+    },
+    "risk_history": {
+        "risk_assessment_id": 20, "property_id": 20, "flood_risk": 10, "fire_risk": 10, "earthquake_risk": 10, "risk_reason": 500,
+    },
+    "claim": {"claim_id": 20, "customer_id": 20, "policy_id": 20, "claim_type": 30, "claim_status": 20},
+    "interaction": {
+        "interaction_id": 20, "customer_id": 20, "interaction_type": 20, "raw_transcript": 5000, "agent_note": 2000,
+    },
+    "action_log": {
+        "action_id": 40, "customer_id": 20, "interaction_id": 20, "recommended_action": 16000, "action_taken": 4000, "status": 20,
+    },
 }

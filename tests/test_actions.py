@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import json
 
 from pyspark.sql import functions as F
 
@@ -42,15 +43,37 @@ def test_unknown_customer_is_rejected(spark, tables, tmp_path):
     assert (results["C999"].status, results["C999"].action_id, results["C999"].message) == ("error", None, "Customer not found")
     assert (results["C001"].status, results["C001"].action_status) == ("ok", "EXECUTED")
     actions.append_actions(checked, str(tmp_path))
-    actions.append_actions(checked, str(tmp_path))
-    assert read_table(spark, str(tmp_path), "action_log").count() == 6
+    log = read_table(spark, str(tmp_path), "action_log")
+    again = actions.validate_actions(asked, tables["customer"], as_of(), existing=log)
+    actions.append_actions(again, str(tmp_path))
+    ids = [r.action_id for r in read_table(spark, str(tmp_path), "action_log").collect()]
+    assert sorted(ids) == [f"ACT-20261003-100000-{n:03d}" for n in range(1, 7)]
+
+
+def test_written_rows_and_confirmations_share_their_ids(spark, tables):
+    checked = actions.validate_actions(requests(spark, 5), tables["customer"])
+    rows = {r.action_id for r in actions.log_rows(checked).collect()}
+    assert len(rows) == 5 and rows == {r.action_id for r in actions.log_results(checked).collect()}
+
+
+def test_payload_is_always_whole_json(spark):
+    schema = "nba struct<recommended_action struct<code string, title string>, why_this_action string, evidence array<string>>"
+    lines = [f'line {i} with "quotes" ' + "x" * 100 for i in range(40)]
+    df = spark.createDataFrame([(({"code": "C", "title": "T"}, "why", lines[:2]),), (({"code": "D", "title": "T"}, "why", lines),)], schema)
+    texts = [r[0] for r in df.select(actions.log_payload(F.col("nba"), 2000)).collect()]
+    small, large = map(json.loads, texts)
+    assert small["evidence"] == lines[:2] and "evidence_shortened" not in small
+    assert large["recommended_action"]["code"] == "D" and large["evidence_shortened"] and len(texts[1]) <= 2000
+    assert large["evidence"] == lines[: len(large["evidence"])] and len(large["evidence"]) > 10
 
 
 def test_texts(spark):
     df = spark.createDataFrame([("EXECUTED", "T", None), ("PENDING", "T", ""), ("DECLINED", "T", "own words"), ("ESCALATED", "T" * 5000, None)],
                                "status string, title string, override string")
     out = [r[0] for r in df.select(actions.action_text(F.col("status"), F.col("title"), F.col("override"))).collect()]
-    assert out[:3] == ["Executed: T", "Pending review: T", "own words"] and len(out[3]) == 3500
+    assert out[:3] == ["Executed: T", "Pending review: T", "own words"] and out[3] == "Escalated: " + "T" * 5000
+    cut = df.select(actions.action_text(F.col("status"), F.col("title"), length=actions.ACTION_LENGTH)).collect()
+    assert len(cut[3][0]) == 3500
 
 
 def test_history_and_outcomes(spark, tables):

@@ -84,7 +84,7 @@ def test_customer_360(tables):
         for r in df.collect()
     }
     assert found == C360
-    assert [r.customer_id for r in customer_list(df).collect()] == sorted(C360)
+    assert [r.customer_id for r in customer_list(tables).collect()] == sorted(C360)
 
 
 @pytest.fixture(scope="module")
@@ -162,7 +162,7 @@ def test_best_actions_without_conversation(tables, spark):
     assert "Exclusions added: sewer backup" in nba.evidence
     assert "Flood risk rose from MEDIUM to HIGH: Flood map revised" in nba.evidence
     assert nba.interpretation == ["Churn risk: LOW"]
-    assert len(nba.agent_talking_points) == 5
+    assert nba.agent_talking_points[0].startswith("Next step: ") and len(nba.agent_talking_points) >= 5
 
 
 def test_decision_documents_with_conversation(tables, spark):

@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from renewlens.functions import rules
-from renewlens.operators import policy, quality, risk
+from renewlens.operators import decide, policy, quality, risk
 from renewlens.operators.customer360 import (
     customer_360,
     hot_keys,
@@ -115,23 +115,58 @@ def test_repeated_homes_and_policies_repeat_the_customer(spark):
 
 def test_very_many_holdings_are_spread_without_changing_rows(spark):
     homes = [(f"P9{i:02d}", "C001", "CONDO", "Elsewhere", 1, "BRICK") for i in range(30)]
-    tables = portfolio(spark, property=homes, policy_version=[version("X1", "C001", "CURRENT", 10)])
-    assert hot_keys(tables["property"], "customer_id", rows=20) == ["C001"]
-    plain = customer_360(tables).select("customer_id", "property_id", "policy_id")
-    facts = tables["customer"].select("customer_id")
-    homes_only = tables["property"].select("customer_id", "property_id").filter("customer_id != 'C012'")
-    current = tables["policy_version"].filter("policy_version = 'CURRENT'").select("customer_id", "policy_id")
-    spread = join_repeated(
-        join_repeated(facts, homes_only, "customer_id", "property_id", ["C001"]),
-        current, "customer_id", "policy_id", ["C001"],
-    )
-    expected = sorted((r[0], r[1] if r[0] != "C012" else "", r[2]) for r in plain.collect())
-    assert sorted((r[0], r[1] or "", r[2]) for r in spread.collect()) == expected
-    assert sum(r[0] == "C001" for r in expected) == 62
+    tables = dict(portfolio(spark, property=homes, policy_version=[version("X1", "C001", "CURRENT", 10)]))
+    assert [tuple(r) for r in hot_keys(tables["property"], "customer_id", rows=20).collect()] == [("C001", 64)]
+    plain, spread = (sorted(map(str, customer_360(tables, hot_rows=n).collect())) for n in (None, 1))
+    assert plain == spread and sum("customer_id='C001'" in r for r in plain) == 62
     first = customer_360(tables, holdings="first").filter("customer_id = 'C001'").collect()
     assert [(r.property_id, r.policy_id) for r in first] == [("P001", "POL001")]
 
 
+def test_spreading_keeps_keys_without_a_match_and_null_keys(spark):
+    left = spark.createDataFrame([("a", 1), ("b", 2), (None, 3), ("c", 4)], "k string, n int")
+    right = spark.createDataFrame([("a", i) for i in range(50)] + [("c", 100), (None, 200)], "k string, v int")
+    plain, spread = (sorted(map(str, join_repeated(left, right, "k", "v", n).collect())) for n in (None, 3))
+    assert plain == spread and len(plain) == 53
+
+
+def test_hot_customers_without_a_comparable_policy_keep_their_status(spark):
+    renewals = [version(f"X{i}", "C012", "RENEWAL", 10) for i in range(9)]
+    homes = [(f"P9{i:02d}", "C012", "CONDO", "Elsewhere", 1, "BRICK") for i in range(9)]
+    tables = portfolio(spark, policy_version=renewals, property=homes)
+    ids = spark.createDataFrame([("C012",), ("C001",), (None,), ("C999",)], "customer_id string")
+    for fn in (policy.compare_policy, risk.analyze_risk):
+        plain, spread = (sorted(map(str, fn(tables, ids, n).collect())) for n in (None, 1))
+        assert plain == spread and len(plain) == 4
+    assert {r.customer_id: r.status for r in policy.compare_policy(tables, ids, 1).collect()}["C012"] == "no_renewal"
+
+
+def test_one_document_per_changed_home_whatever_the_policies(spark):
+    tables = portfolio(
+        spark,
+        property=[("P901", "C001", "CONDO", "Elsewhere", 1, "BRICK")],
+        risk_history=[("RA900", "P901", "2025-01-01", "LOW", "LOW", "LOW", 0.1, "one"), ("RA901", "P901", "2026-01-01", "HIGH", "LOW", "LOW", 0.5, "two")],
+        policy_version=[version("X1", "C001", "CURRENT", 10), version("X1", "C001", "RENEWAL", 20)],
+    )
+    docs = risk.analyze_risk(tables, spark.createDataFrame([("C001",)], "customer_id string")).collect()
+    assert sorted(d.doc.property_id for d in docs) == ["P001", "P901"]
+    assert {d.doc.policy_impact.policy_id for d in docs} == {"POL001"}
+
+
+def test_a_decision_speaks_of_one_home_and_one_policy(spark):
+    tables = portfolio(
+        spark,
+        property=[("P000", "C001", "CONDO", "Elsewhere", 1, "BRICK")],
+        risk_history=[("RA900", "P000", "2025-01-01", "LOW", "LOW", "LOW", 0.1, "one")],
+        policy_version=[version("A1", "C001", "CURRENT", 10)],
+    )
+    asked = spark.createDataFrame([("C001", None)], "customer_id string, interaction_id string")
+    row = decide.nba_context(tables, asked).first()
+    assert (row.customer_360.property_id, row.risk_analysis.property_id, row.customer_360.location) == ("P001", "P001", row.risk_analysis.location)
+    assert row.customer_360.policy_id == row.policy_comparison.policy_id == row.risk_analysis.policy_impact.policy_id == "POL001"
+    assert row.fact.risk_up and row.fact.high_risk
+
+
 def test_newest_two_of_many_with_tied_dates(spark):
     rows = [
         ("RA100", "P004", "2025-05-15", "MEDIUM", "LOW", "LOW", 0.50, "same day"),

@@ -62,9 +62,7 @@ def test_text_search_without_broadcast(spark, monkeypatch):
 def test_stored_postings_give_the_same_ranking(spark):
     docs = spark.createDataFrame(DOCS, "doc_id long, text string")
     queries = spark.createDataFrame(QUERIES, "query_id long, text string")
-    ranked = search.rank_postings(
-        search.build_postings(docs), search.document_lengths(docs), search.query_words(queries), k=2
-    )
+    ranked = search.rank_postings(search.build_postings(docs, anchored=True), search.query_words(queries), k=2)
     assert found(ranked) == sorted(bm25())
 
 
@@ -108,6 +106,43 @@ def test_vector_of_zeros_and_no_queries(spark):
     assert search.vector_search(left, right.filter("query_id < 0"), 5).collect() == []
 
 
+def test_vectors_with_text_ids_and_gaps(spark):
+    corpus, queries = vectors(60, 3), vectors(4, 4)
+    left = spark.createDataFrame(
+        [(f"v{i:03d}", v.tolist(), i % 2) for i, v in enumerate(corpus)] + [("none", None, 0)], "vec_id string, embedding array<float>, kind int"
+    )
+    right = spark.createDataFrame([(f"q{i}", v.tolist()) for i, v in enumerate(queries)] + [("none", None)], "query_id string, embedding array<float>")
+    rows = search.vector_search(left, right, 3).collect()
+    assert sorted((int(r.query_id[1:]), r["rank"], int(r.vec_id[1:])) for r in rows) == cosine_top(corpus, queries, 3)
+    odd = search.vector_search(left, right, 3, only=F.col("kind") == 1).collect()
+    assert len(odd) == 12 and all(int(r.vec_id[1:]) % 2 for r in odd)
+
+
+def test_sub_blocks_do_not_change_the_best(spark, monkeypatch):
+    corpus, queries = vectors(200, 5), vectors(9, 6)
+    corpus[10:30] = corpus[5]  # ties go to the smaller id across blocks
+    monkeypatch.setattr(search, "VECTOR_BLOCK", 7)
+    monkeypatch.setattr(search, "QUERY_BLOCK", 2)
+    unit = lambda m: m.astype("float64") / np.linalg.norm(m.astype("float64"), axis=1, keepdims=True)
+    found = search._batch_best(np.arange(200), unit(corpus), np.arange(9), unit(queries), 4)
+    ranked = sorted((q, r + 1, int(v)) for q in range(9) for r, v in enumerate(found[found.query_id == q].vec_id))
+    assert ranked == cosine_top(corpus, queries, 4)
+
+
+def test_words_of_every_script(spark):
+    docs = spark.createDataFrame([(1, "Herr Müller zahlt 2024"), (2, "жизнь прекрасна"), (3, "mller 20 24")], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "MÜLLER"), (2, "Жизнь"), (3, "2024")], "query_id long, text string")
+    assert {(r.query_id, r.doc_id) for r in search.text_search(docs, queries).collect()} == {(1, 1), (2, 2), (3, 1)}
+
+
+def test_phrases_from_a_table(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "Rate is 100% up"), (2, "a_b and 1000")], "doc_id long, text string")
+    phrases = spark.createDataFrame([("100%",), ("A_B",), (None,), ("",), ("100%",)], "phrase string")
+    monkeypatch.setattr(search, "PHRASE_CONSTANTS", 1)
+    assert sorted(tuple(r) for r in search.substring_search(docs, phrases).collect()) == [(1, "100%"), (2, "A_B")]
+    assert search.substring_search(docs, phrases.limit(0)).count() == 0
+
+
 def test_substring_search(spark):
     docs = spark.createDataFrame([(1, "Rate is 100% up"), (2, "a_b and 1000"), (3, "aXb"), (4, None)], "doc_id long, text string")
     rows = {(r.doc_id, r.phrase) for r in search.substring_search(docs, ["100%", "A_B", "RATE"]).collect()}

@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from renewlens.functions.lexicon import SERVICE_ENGLISH
+from renewlens.functions.text import dialogue_turns
 from renewlens.operators.interactions import score_interactions
 from renewlens.operators.risk import assessment_pairs, directions, newest_two
 from renewlens.operators.search import build_postings
@@ -71,7 +72,7 @@ def test_interactions_are_scored_once(spark, tmp_path):
     folder, out = str(tmp_path / "in"), str(tmp_path / "out")
     drip(df, folder, ["interaction_id < 30", "interaction_id >= 20"])
     feeds.interaction_feed(source(spark, folder, df.schema), out, str(tmp_path / "ck")).awaitTermination()
-    turns = df.select("interaction_id", F.lit(0).cast("long").alias("turn_no"), F.lit("Customer").alias("speaker"), "text")
+    turns = dialogue_turns(df, "text")
     got = spark.read.parquet(out).drop("batch")
     expected = score_interactions(turns, SERVICE_ENGLISH)
     assert sorted(got.select(expected.columns).collect()) == sorted(expected.collect())
@@ -104,3 +105,43 @@ def test_hours_are_written_when_closed(spark, tmp_path):
             expected[key] = expected.get(key, 0) + 1
     got = {(r.hour.replace(tzinfo=None), r.status): r.actions for r in spark.read.parquet(out).collect()}
     assert got == expected
+
+
+def test_an_agents_words_do_not_raise_churn(spark, tmp_path):
+    text = "Agent: Do you want to cancel or switch to a competitor?\nCustomer: No, thanks, all is well."
+    df = spark.createDataFrame([(1, dt.datetime(2026, 1, 1), text)], "interaction_id long, interaction_timestamp timestamp_ntz, text string")
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    drip(df, folder, ["true"])
+    feeds.interaction_feed(source(spark, folder, df.schema), out, str(tmp_path / "ck")).awaitTermination()
+    batch = score_interactions(dialogue_turns(df, "text")).first()
+    row = spark.read.parquet(out).first()
+    assert (row.churn_signal, row.retention_risk) == (batch.churn_signal, batch.retention_risk) and row.churn_signal == "none"
+
+
+def test_redelivery_changes_nothing(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "one two two"), (2, "three")], "doc_id long, text string")
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    drip(docs.union(docs), folder, ["true", "doc_id = 1"])
+    feeds.postings_feed(source(spark, folder, docs.schema), out, str(tmp_path / "ck")).awaitTermination()
+    batch = build_postings(docs)
+    assert sorted(feeds.latest_postings(spark, out).select(batch.columns).collect()) == sorted(batch.collect())
+    schema = ("risk_assessment_id string, property_id string, assessment_date date, flood_risk string, fire_risk string, "
+              "earthquake_risk string, overall_risk_score decimal(3,2), risk_reason string")
+    one = spark.createDataFrame([("RA002", "P", dt.date(2026, 1, 1), "HIGH", "LOW", "LOW", None, None)], schema)
+    folder, out = str(tmp_path / "in2"), str(tmp_path / "out2")
+    drip(one.union(one), folder, ["true", "true"])
+    feeds.risk_alert_feed(source(spark, folder, one.schema), out, str(tmp_path / "ck2")).awaitTermination()
+    assert feeds.latest_risk_alerts(spark, out).count() == 0
+
+
+def test_hours_are_added_up_with_late_rows(spark, tmp_path):
+    start = dt.datetime(2026, 1, 1)
+    df = spark.createDataFrame(
+        [(start + dt.timedelta(minutes=7 * i), "PENDING" if i % 3 else "EXECUTED") for i in range(100)],
+        "action_timestamp timestamp_ntz, status string",
+    )
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    drip(df, folder, ["action_timestamp >= '2026-01-01 06:00:00'", "action_timestamp < '2026-01-01 06:00:00'"])
+    feeds.hourly_counts_feed(source(spark, folder, df.schema), out, str(tmp_path / "ck")).awaitTermination()
+    batch = df.groupBy(F.date_trunc("hour", "action_timestamp").alias("hour"), "status").agg(F.count("*").alias("actions"))
+    assert sorted(map(str, feeds.hourly_counts(spark, out).collect())) == sorted(map(str, batch.collect()))

@@ -29,6 +29,8 @@ def test_words_and_sentences(spark):
     df = spark.createDataFrame([("One two. Three!? four\nfive  ...",)], "t string")
     row = df.select(words(F.col("t")).alias("w"), sentences(F.col("t")).alias("s")).first()
     assert row.w == ["one", "two", "three", "four", "five"]
+    mixed = spark.createDataFrame([("Müller's ÄRGER, 2024: жизнь — naïve",)], "t string").select(words(F.col("t"))).first()[0]
+    assert mixed == ["müller", "s", "ärger", "2024", "жизнь", "naïve"]
     assert row.s == ["One two.", "Three!?", "four", "five  ..."]
 
 
