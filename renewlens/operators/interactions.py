@@ -34,15 +34,17 @@ def lexicon_hits(turns: DataFrame, lexicon: Lexicon) -> DataFrame:
     rows = turns.select(
         "interaction_id",
         (F.col("speaker") == "Customer").cast("double").alias("by_customer"),
+        (~is_blank(F.col("text"))).cast("int").alias("readable"),
         F.coalesce(words(F.col("text")), F.array().cast("array<string>")).alias("found"),
     ).select(
-        "interaction_id", "by_customer", F.explode(F.concat(F.array(F.lit(ANCHOR)), "found")).alias("word")
+        "interaction_id", "by_customer", "readable", F.explode(F.concat(F.array(F.lit(ANCHOR)), "found")).alias("word")
     )
     sums = [
         F.expr(f"sum({c} * by_customer)" if c.startswith("signal_") else f"sum({c})").alias(c)
         for c in lexicon.columns()
     ]
-    return rows.join(lexicon.frame(turns.sparkSession), "word").groupBy("interaction_id").agg(*sums)
+    blank = (F.max("readable") == 0).alias("blank")
+    return rows.join(lexicon.frame(turns.sparkSession), "word").groupBy("interaction_id").agg(*sums, blank)
 
 
 # Mean weight of the matched words within -1..1; 0 when no word matches.
@@ -66,9 +68,15 @@ def level(hits: str, levels: tuple[tuple[str, int], ...], none: str) -> Column:
 
 def score_interactions(turns: DataFrame, lexicon: Lexicon = SERVICE_ENGLISH) -> DataFrame:
     """Sentiment, intent, signals and retention risk per interaction."""
+    return scores_and_blanks(turns, lexicon).drop("blank")
+
+
+def scores_and_blanks(turns: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """The scores, and whether no turn of the interaction can be read, from one pass over the text."""
     raised = {name: F.expr(f"signal_{name} >= {hits}") for name, hits in lexicon.concern_hits.items()}
     scored = lexicon_hits(turns, lexicon).select(
         "interaction_id",
+        "blank",
         F.expr(SENTIMENT_SQL).alias("sentiment"),
         intent_label(lexicon).alias("intent"),
         level("signal_urgency", lexicon.urgency_levels, "low").alias("urgency"),
@@ -96,6 +104,7 @@ def score_interactions(turns: DataFrame, lexicon: Lexicon = SERVICE_ENGLISH) ->
         F.expr(tone).alias("recommended_tone"),
         F.expr(emotion).alias("customer_emotion"),
         retention_risk("churn_signal", "sentiment").alias("retention_risk"),
+        "blank",
     )
 
 
@@ -187,14 +196,16 @@ def analyze_interactions(
     key phrases stay NULL and their work is saved, for readers that only need
     the signals.
     """
-    scores = score_interactions(turns, lexicon) if scores is None else scores
+    if scores is None:
+        scores = scores_and_blanks(turns, lexicon)
+    else:
+        scores = scores.join(blank_interactions(turns), "interaction_id", "full")
     known = headers.join(
         customer.select("customer_id", F.col("name").alias("customer_name")), "customer_id"
     ).withColumn("known", F.lit(True))
     joined = (
         requests.select("interaction_id")
         .join(known, "interaction_id", "left")
-        .join(blank_interactions(turns), "interaction_id", "left")
         .join(scores, "interaction_id", "left")
     )
     if with_quotes:

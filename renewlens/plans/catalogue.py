@@ -329,7 +329,7 @@ def _context(
         sales.customers(spark, sf_dir), PROSE, with_quotes=with_quotes,
     )
     return decide.nba_context(
-        sales.sales_tables(spark, sf_dir), base.join(talks, "customer_id", "left"), docs
+        sales.sales_tables(spark, sf_dir, stored=("policy_version",)), base.join(talks, "customer_id", "left"), docs
     )
 
 
@@ -512,7 +512,7 @@ def quality_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     moved = some.withColumns({"dimension": F.lit("flood"), "direction": F.lit("UP")})
     return flat(
         quality.quality_report(
-            sales.sales_tables(spark, sf_dir), comparison_values=worse, change_values=risen, directions=moved
+            sales.sales_tables(spark, sf_dir, stored=("policy_version", "claim")), comparison_values=worse, change_values=risen, directions=moved
         )
     )
 

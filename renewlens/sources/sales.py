@@ -13,6 +13,8 @@ from collections.abc import Callable, Iterator, Mapping
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 POLICY_DAYS = 364
 
 # Column types of the files, declared so that a scan needs no inference job.
@@ -246,15 +248,20 @@ SOURCES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 class SalesTables(Mapping[str, DataFrame]):
-    """The seven tables by name, each defined when it is first asked for."""
+    """The seven tables by name, each defined when it is first asked for.
+
+    Tables named in ``stored`` are written to the shared folder then, for
+    products that read them several times: line items are summed once.
+    """
 
-    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
-        self._spark, self._sf_dir = spark, sf_dir
+    def __init__(self, spark: SparkSession, sf_dir: str, stored: tuple[str, ...] = ()) -> None:
+        self._spark, self._sf_dir, self._stored = spark, sf_dir, stored
         self._defined: dict[str, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._defined:
-            self._defined[name] = SOURCES[name](self._spark, self._sf_dir)
+            table = SOURCES[name](self._spark, self._sf_dir)
+            self._defined[name] = written(table, name) if name in self._stored else table
         return self._defined[name]
 
     def __iter__(self) -> Iterator[str]:
@@ -264,8 +271,8 @@ class SalesTables(Mapping[str, DataFrame]):
         return len(SOURCES)
 
 
-def sales_tables(spark: SparkSession, sf_dir: str) -> SalesTables:
-    return SalesTables(spark, sf_dir)
+def sales_tables(spark: SparkSession, sf_dir: str, stored: tuple[str, ...] = ()) -> SalesTables:
+    return SalesTables(spark, sf_dir, stored)
 
 
 HOUSEHOLD = 3
@@ -275,7 +282,7 @@ def household_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The same tables with homes and policies pooled: the first of every three customers
     holds those of all three, the others hold none."""
     pooled = F.col("customer_id") - (F.col("customer_id") - 1) % HOUSEHOLD
-    tables = dict(sales_tables(spark, sf_dir))
+    tables = dict(sales_tables(spark, sf_dir, stored=("policy_version",)))
     for name in ("property", "policy_version"):
         tables[name] = tables[name].withColumn("customer_id", pooled)
     return tables
