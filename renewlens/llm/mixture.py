@@ -64,23 +64,21 @@ def rake(cell: DataFrame, targets: dict[str, DataFrame], sweeps: int = SWEEPS) -
     the others of that margin are scaled up to one. The last margin is met
     exactly, the others up to what ``sweeps`` rounds leave.
     """
-    present = {}
+    weights = cell.withColumn("weight", F.col("tokens"))
     for margin, wanted in targets.items():
         had = wanted.join(cell.select(margin).distinct(), margin, "left_semi")
         whole = had.agg(F.sum("target")).first()[0] or 1.0
-        present[margin] = stored(had.select(margin, (F.col("target") / whole).alias("target")), "mix-target")
-    weights = cell.withColumn("weight", F.col("tokens"))
+        goal = had.select(margin, (F.col("target") / whole).alias(f"goal_{margin}"))
+        weights = weights.join(goal, margin, "left")
+    weights = stored(weights.na.fill(0.0, [f"goal_{m}" for m in targets]), "mix-goals")
     for n in range(sweeps):
-        for margin, wanted in present.items():
-            # a factor per category; cells are many only if categories are, and then they meet by category
-            factor = (
-                weights.groupBy(margin).agg(F.sum("weight").alias("now"))
-                .join(wanted, margin, "left")
-                .select(margin, F.when(F.col("now") > 0, F.coalesce("target", F.lit(0.0)) / F.col("now")).otherwise(0.0).alias("factor"))
-            )
-            weights = weights.join(factor, margin).withColumn("weight", F.col("weight") * F.col("factor")).drop("factor")
+        for margin in targets:
+            # cells are many only if categories are; then they meet their sums by category, never on the driver
+            sums = weights.groupBy(margin).agg(F.sum("weight").alias("now"))
+            scaled = F.when(F.col("now") > 0, F.col("weight") * F.col(f"goal_{margin}") / F.col("now")).otherwise(0.0)
+            weights = weights.join(sums.hint("shuffle_hash"), margin).withColumn("weight", scaled).drop("now")
         weights = stored(weights, f"mix-{n}")
-    return weights
+    return weights.drop(*[f"goal_{m}" for m in targets])
 
 
 def category(name: str) -> Column:
