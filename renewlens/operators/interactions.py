@@ -18,6 +18,7 @@ from ..functions import texts
 from ..functions.lexicon import ANCHOR, DEFAULT_INTENT, INTENTS, SERVICE_ENGLISH, Lexicon
 from ..functions.rules import retention_risk, sentiment_label
 from ..functions.text import is_blank, sentences, words
+from ..session import written
 from .customer360 import top_per_key
 
 SUMMARY_SENTENCES = 3
@@ -115,18 +116,21 @@ def sentence_rows(turns: DataFrame) -> DataFrame:
     )
 
 
-def summary_sentences(turns: DataFrame, n: int = SUMMARY_SENTENCES, one_row_each: bool = False) -> DataFrame:
+def summary_sentences(
+    turns: DataFrame, n: int = SUMMARY_SENTENCES, one_row_each: bool = False, numbered: DataFrame | None = None
+) -> DataFrame:
     """The ``n`` sentences with the highest mean word frequency of each interaction.
 
     Word counts are combined before they are shuffled, and the frequency of a
     word comes back by a join whose large side may be split, so a long text with
     a frequent word does not become one task. Texts that are one row each
     (documents) are laid out by interaction once instead; nothing is shuffled
-    after their words are unfolded, and no group exceeds its text.
+    after their words are unfolded, and no group exceeds its text. ``numbered``
+    are the sentences of ``turns`` if they have been written already.
     """
     if one_row_each:
         turns = turns.repartition("interaction_id")
-    numbered = sentence_rows(turns)
+    numbered = sentence_rows(turns) if numbered is None else numbered
     place = ["interaction_id", "turn_no", "sentence_no"]
     counts = (
         numbered.select(*place, F.explode(words(F.col("sentence"))).alias("word"))
@@ -147,21 +151,26 @@ def summary_sentences(turns: DataFrame, n: int = SUMMARY_SENTENCES, one_row_each
     return numbered.join(best, place).select(*place, "sentence", "score")
 
 
-def summarize(turns: DataFrame, n: int = SUMMARY_SENTENCES, one_row_each: bool = False) -> DataFrame:
+def summarize(
+    turns: DataFrame, n: int = SUMMARY_SENTENCES, one_row_each: bool = False, numbered: DataFrame | None = None
+) -> DataFrame:
     """Extractive summary: the best sentences in text order. At most ``n`` per group."""
     chosen = F.array_sort(F.collect_list(F.struct("turn_no", "sentence_no", "sentence")))
     return (
-        summary_sentences(turns, n, one_row_each)
+        summary_sentences(turns, n, one_row_each, numbered)
         .groupBy("interaction_id")
         .agg(F.array_join(F.transform(chosen, lambda s: s["sentence"]), " ").alias("summary"))
     )
 
 
-def key_phrases(turns: DataFrame, lexicon: Lexicon = SERVICE_ENGLISH, n: int = KEY_PHRASES) -> DataFrame:
+def key_phrases(
+    turns: DataFrame, lexicon: Lexicon = SERVICE_ENGLISH, n: int = KEY_PHRASES, numbered: DataFrame | None = None
+) -> DataFrame:
     """Customer sentences with the most signal words: (interaction_id, rank, phrase, hits)."""
     signal_words = sorted({w for ws in lexicon.signal.values() for w in ws})
     hits = F.size(F.filter(words(F.col("sentence")), lambda w: w.isin(*signal_words)))
-    spoken = sentence_rows(turns.filter("speaker = 'Customer'")).withColumn("hits", hits).filter("hits > 0")
+    said = sentence_rows(turns) if numbered is None else numbered
+    spoken = said.filter("speaker = 'Customer'").withColumn("hits", hits).filter("hits > 0")
     order = [F.desc("hits"), F.asc("turn_no"), F.asc("sentence_no")]
     return top_per_key(spoken, ["interaction_id"], order, n, rank="rank").select(
         "interaction_id", "rank", F.col("sentence").alias("phrase"), F.col("hits").cast("long").alias("hits")
@@ -209,8 +218,9 @@ def analyze_interactions(
         .join(scores, "interaction_id", "left")
     )
     if with_quotes:
-        joined = joined.join(summarize(turns), "interaction_id", "left").join(
-            phrase_lists(key_phrases(turns, lexicon)), "interaction_id", "left"
+        numbered = written(sentence_rows(turns), "sentences")  # read for word counts, summaries and phrases
+        joined = joined.join(summarize(turns, numbered=numbered), "interaction_id", "left").join(
+            phrase_lists(key_phrases(turns, lexicon, numbered=numbered)), "interaction_id", "left"
         )
         summary, phrases = "coalesce(summary, '')", "coalesce(key_phrases, cast(array() AS array<string>))"
     else:

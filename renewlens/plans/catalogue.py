@@ -17,7 +17,7 @@ from ..functions.display import title_case
 from ..functions.lexicon import Lexicon
 from ..functions.text import dialogue_turns
 from ..operators import actions, customer360, decide, interactions, policy, quality, risk, search
-from ..session import shared_folder
+from ..session import shared_folder, written
 from ..sources import sales
 from ..sources.tables import Tables, read_table
 from ..streaming import feeds
@@ -322,10 +322,11 @@ def _context(
     spark: SparkSession, sf_dir: str, requests: DataFrame | None = None, with_quotes: bool = False
 ) -> DataFrame:
     """Decision context of every customer; the conversation of the same number, if any, is the request's."""
-    talks = sales.conversation_headers(spark, sf_dir).select("interaction_id", "customer_id")
+    headers = written(sales.conversation_headers(spark, sf_dir), "conversations")
+    talks = headers.select("interaction_id", "customer_id")
     base = sales.customers(spark, sf_dir).select("customer_id") if requests is None else requests
     docs = interactions.analyze_interactions(
-        talks, sales.conversation_headers(spark, sf_dir), sales.conversation_turns(spark, sf_dir),
+        talks, headers, sales.conversation_turns(spark, sf_dir),
         sales.customers(spark, sf_dir), PROSE, with_quotes=with_quotes,
     )
     return decide.nba_context(

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from renewlens.operators import interactions as ix
 from renewlens.operators.customer360 import claim_summary, latest_interaction
 from renewlens.operators.risk import newest_two
+from renewlens import session
+from renewlens.plans import catalogue
 from renewlens.plans.catalogue import PROSE, QUERIES
 from renewlens.session import shared_folder
 from renewlens.sources import sales
@@ -113,3 +115,28 @@ def test_tables_are_defined_on_demand(spark):
     tables = sales.sales_tables(spark, SF_DIR)
     assert list(tables) == ["customer", "property", "policy_version", "risk_history", "claim", "interaction", "action_log"]
     assert tables["customer"] is tables["customer"]
+
+
+@needs_data
+def test_inputs_are_read_once(spark, monkeypatch):
+    """Scans of the large inputs, in the plans of the products and in those of the tables they write."""
+    reads = []
+
+    def counted(df, purpose):
+        reads.append(plan(df))
+        return session.written(df, purpose)
+
+    monkeypatch.setattr(sales, "written", counted)
+    monkeypatch.setattr(ix, "written", counted)
+    monkeypatch.setattr(catalogue, "written", counted)
+
+    def scans(name, table):
+        reads.clear()
+        reads.append(plan(QUERIES[name](spark, SF_DIR)))
+        return sum(text.count(f"{table}.parquet") for text in reads)
+
+    assert scans("quality_report", "lineitem") <= 2
+    assert scans("nba_documents", "conversations") <= 3  # one of them reads the numbers only
+    assert scans("nba_documents", "lineitem") <= 2
+    assert scans("text_search", "documents") <= 1
+    assert scans("customer_list", "events") == 0
