@@ -12,6 +12,8 @@ from ..session import shared_folder
 
 #: Rows that Spark hands to Python at a time; whole texts may be long.
 BATCH_ROWS = 1_000
+#: Shares of rows are cut from hashes in this range: fine enough for a few thousand of 10^12 rows.
+HASH_RANGE = 1 << 50
 #: Bytes of text that a Python helper works on at a time.
 CHUNK_BYTES = 4_000_000
 
@@ -34,7 +36,7 @@ def remainder(doc_id: str | Column, n: int) -> Column:
 
 def hash_share(key: Column, share: float, seed: str) -> Column:
     """True for about this share of all keys, the same ones on every run."""
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))
+    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(HASH_RANGE)) < F.lit(int(share * HASH_RANGE))
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:

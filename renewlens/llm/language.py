@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_share, remainder, small_batches, stored, table, text_chunks
+from .common import HASH_RANGE, hash_share, remainder, small_batches, stored, table, text_chunks
 
 ORDER = 4
 #: Labelled rows that the models are fitted on, over all languages.
@@ -230,8 +230,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str =
         return None
     languages = sorted(sizes)
     share = {x: min(1.0, rows / len(languages) / n) for x, n in sizes.items()}
-    cut = F.create_map(*[F.lit(v) for x in languages for v in (x, int(share[x] * (1 << 20)))])
-    taken = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 20)) < cut[F.col("lang")]
+    cut = F.create_map(*[F.lit(v) for x in languages for v in (x, int(share[x] * HASH_RANGE))])
+    taken = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(HASH_RANGE)) < cut[F.col("lang")]
     sample = stored(labelled.filter(taken), "language")
     kept_back = hash_share(F.col("doc_id"), 0.2, "calibrate")
     number = {x: n for n, x in enumerate(languages)}
