@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, as_bytes, small_batches, table, text_chunks
+from .common import small_batches, stored, table, text_chunks
 
 WINDOW = 10
 SHINGLE = 4
@@ -292,13 +292,14 @@ def find_benchmark(
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, text: str = "text", **more) -> DataFrame:
     """Rows of ``docs`` without a benchmark window, all columns.
 
-    The search hands on one row number per document; contaminated rows alone
-    are joined back, so texts move only if those are too many to broadcast.
+    Rows are known by the hash and the length of their text: equal texts have
+    equal hits. Those of contaminated rows are written first, so that Spark
+    knows their size: texts are shuffled only if they are too many to broadcast.
     """
-    marked = docs.withColumn("_row", F.xxhash64(F.col(text)))
-    found = find_benchmark(marked, benchmark, text, id_col="_row", **more)
-    dirty = found.filter(F.size("spans") > 0).select("doc_id").distinct()  # equal texts have equal hits
-    return marked.join(dirty, marked["_row"] == dirty["doc_id"], "left_anti").drop("_row")
+    key = F.concat_ws(":", F.xxhash64(F.col(text)).cast("string"), F.octet_length(F.col(text)).cast("string"))
+    found = find_benchmark(docs.select(key.alias("_key"), F.col(text).alias("_text")), benchmark, "_text", id_col="_key", **more)
+    dirty = stored(found.filter(F.size("spans") > 0).select(F.col("doc_id").alias("_key")).distinct(), "contaminated")
+    return docs.join(dirty, key == F.col("_key"), "left_anti")
 
 
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:

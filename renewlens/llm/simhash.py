@@ -80,16 +80,18 @@ def fingerprint(text: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, fp) per row; fp is the fingerprint as a signed long. NULL and empty texts have 0."""
+    """(doc_id, mark, fp) per row: the hash of the text, and the fingerprint as a signed long. NULL and empty texts have fingerprint 0."""
     small_batches(docs.sparkSession)
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    picked = docs.select(
+        F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(text)).alias("mark"), F.col(text).cast("string").alias("text")
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_chunks(batches):
             marks = np.array([_signed(fingerprint(x)) for x in texts], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(marks)], ["doc_id", "mark", "fp"])
 
-    return picked.mapInArrow(run, "doc_id long, fp long")
+    return picked.mapInArrow(run, "doc_id long, mark long, fp long")
 
 
 def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -214,7 +216,7 @@ def fingerprint_links(marks: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, fp, root, component_id) per row of ``docs``, by SimHash distance of at most two bits.
+    """(doc_id, mark, fp, root, component_id) per row of ``docs``, by SimHash distance of at most two bits.
 
     Input: any table with an id and a text column; other columns, whatever
     their names, are not read. ``component_id`` is the smallest id reachable
@@ -233,41 +235,45 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
     named = stored(named, "simhash-classes")
     smallest = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return prints.join(named.select("fp", "root").join(smallest, "root"), "fp").select(
-        "doc_id", "fp", "root", "component_id"
+        "doc_id", "mark", "fp", "root", "component_id"
     )
 
 
 def one_per_group(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """``docs`` with one row of every near-duplicate group: that of its smallest id.
 
-    All columns are kept. Rows that repeat the id are settled by the smallest
-    hash of the row's text; a group without any id keeps one row the same way.
+    All columns are kept. Rows are known by their id and the hash of their text.
+    Of rows that repeat the smallest id of their group one stays, that with the
+    smallest hash; a group without any id keeps one row the same way. What goes
+    is written first, so that Spark knows its size: texts are shuffled only if it is too large to broadcast.
     """
+    mark = F.xxhash64(F.col(text))
     found = near_duplicates(docs, text, id_col)
-    kept = found.filter("doc_id = component_id").select(F.col("component_id").alias("_keep")).distinct()
-    first = Window.partitionBy(F.col(id_col)).orderBy(F.xxhash64(F.col(text)))
-    with_id = (
-        docs.join(kept, F.col(id_col).cast("long") == F.col("_keep"), "left_semi")
-        .withColumn("_turn", F.row_number().over(first))
-        .filter("_turn = 1")
-        .drop("_turn")
+    gone = stored(
+        found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct(), "simhash-gone"
+    )
+    named = docs.filter(F.col(id_col).isNotNull())
+    out = named.join(gone, (F.col(id_col).cast("long") == F.col("_id")) & (mark == F.col("_mark")), "left_anti")
+    again = stored(
+        found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n"))
+        .filter("n > 1").select("_id"), "simhash-again",
     )
+    if not again.isEmpty():
+        same = F.col(id_col).cast("long") == F.col("_id")
+        first = Window.partitionBy(F.col(id_col)).orderBy(mark)
+        once = out.join(again, same, "left_semi").withColumn("_turn", F.row_number().over(first)).filter("_turn = 1").drop("_turn")
+        out = out.join(again, same, "left_anti").unionByName(once)
     nameless = docs.filter(F.col(id_col).isNull())
     if nameless.isEmpty():
-        return with_id
-    roots = found.filter("component_id IS NULL").select(F.col("fp").alias("_fp"), F.col("root").alias("_root")).distinct()
-    marked = stored(nameless.withColumn("_row", F.expr("uuid()")), "simhash-nameless")
-    marks = fingerprints(marked.withColumn("_n", F.xxhash64("_row")), text, "_n")
-    turn = Window.partitionBy("_root").orderBy("doc_id")
-    rows = (
-        marks.join(roots, marks["fp"] == roots["_fp"])
-        .withColumn("_turn", F.row_number().over(turn))
-        .filter("_turn = 1")
-        .select(F.col("doc_id").alias("_n"))
-    )
-    return with_id.unionByName(
-        marked.join(rows, F.xxhash64(marked["_row"]) == rows["_n"], "left_semi").drop("_row")
+        return out
+    first = Window.partitionBy("root").orderBy("mark")
+    left = stored(
+        found.filter("component_id IS NULL").withColumn("_turn", F.row_number().over(first)).filter("_turn = 1")
+        .select(F.col("mark").alias("_mark")), "simhash-nameless",
     )
+    by_mark = Window.partitionBy(mark).orderBy(F.length(F.col(text)))
+    kept = nameless.join(left, mark == F.col("_mark"), "left_semi").withColumn("_turn", F.row_number().over(by_mark))
+    return out.unionByName(kept.filter("_turn = 1").drop("_turn"))
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
