@@ -70,30 +70,35 @@ def _unit(vec: np.ndarray) -> np.ndarray:
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(vec_id, label, vec): components as bytes of doubles, NULL if the vector cannot be compared."""
+    """(vec_id, label, vec): components as bytes in their own precision, NULL if the vector cannot be compared."""
     for batch in batches:
         column = batch.column(2)
         out: list[bytes | None] = [None] * batch.num_rows
         if batch.num_rows:
             offsets = column.offsets.to_numpy()
-            values = column.values.cast(pa.float64()).to_numpy(zero_copy_only=False)  # NULL becomes NaN
+            values = column.values.to_numpy(zero_copy_only=False)  # NULL becomes NaN
             usable = ~(column.is_null().to_numpy(zero_copy_only=False) | batch.column(1).is_null().to_numpy(zero_copy_only=False))
             usable &= ~batch.column(0).is_null().to_numpy(zero_copy_only=False)
             for n in np.nonzero(usable & (np.diff(offsets) > 0))[0].tolist():
-                one = values[offsets[n] : offsets[n + 1]] + 0.0
+                one = values[offsets[n] : offsets[n + 1]] + values.dtype.type(0)  # no negative zero
                 if np.isfinite(one).all() and one.any():
                     out[n] = one.tobytes()
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, type=pa.binary())], ["vec_id", "label", "vec"])
 
 
-def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _doubles(vecs: list[bytes], single: bool) -> np.ndarray:
+    """Vectors of one length as rows of doubles."""
+    return np.frombuffer(b"".join(vecs), dtype=np.float32 if single else np.float64).reshape(len(vecs), -1).astype(np.float64)
+
+
+def _indexed(batches: Iterator[pa.RecordBatch], single: bool) -> Iterator[pa.RecordBatch]:
     """Adds the codes, factors and band values of each class."""
     for batch in batches:
         vecs = batch.column(batch.schema.get_field_index("vec")).to_pylist()
         sizes = np.array([len(v) for v in vecs])
         for size in np.unique(sizes).tolist():
             at = np.nonzero(sizes == size)[0]
-            mat = np.frombuffer(b"".join(vecs[n] for n in at.tolist())).reshape(len(at), -1)
+            mat = _doubles([vecs[n] for n in at.tolist()], single)
             _, signs, factors = codes(_unit(mat))
             packed = np.packbits(signs, axis=2).transpose(1, 0, 2).reshape(len(at), -1)
             columns = [c.take(pa.array(at)) for c in batch.columns]
@@ -101,7 +106,7 @@ def _indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [
                     *columns,
                     pa.array([x.tobytes() for x in packed], type=pa.binary()),
-                    pa.array([x.tobytes() for x in factors.T.astype("<f8")], type=pa.binary()),
+                    pa.array([x.tobytes() for x in factors.T.astype(np.float32)], type=pa.binary()),
                     pa.array(bands(signs).tolist(), type=pa.list_(pa.int32())),
                 ],
                 [*batch.schema.names, "codes", "factors", "bands"],
@@ -181,7 +186,7 @@ class Bucket:
 _KEY = ["t", "label", "dim", "band", "low", "high"]
 
 
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compared(batches: Iterator[pa.RecordBatch], single: bool) -> Iterator[pa.RecordBatch]:
     """Links of the buckets of a partition, whose rows come sorted by bucket and block pair."""
 
     def one(rows: pa.Table) -> pa.RecordBatch:
@@ -189,7 +194,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matrix = lambda name, kind: np.frombuffer(b"".join(rows[name].to_pylist()), dtype=kind).reshape(rows.num_rows, -1)
         rep, mark = (rows[k].to_numpy() for k in ("rep", "mark"))
         bucket = Bucket(
-            first["t"], matrix("vec", np.float64), matrix("codes", np.uint8), matrix("factors", np.float64),
+            first["t"], _doubles(rows["vec"].to_pylist(), single), matrix("codes", np.uint8), matrix("factors", np.float32),
             rows["size"].to_numpy(), rows["part"].to_numpy(), first["low"] != first["high"],
         )
         degree, i, j = bucket.links()
@@ -233,10 +238,11 @@ def near_duplicates(
     as component. Equal vectors are linked copies, also under one id; rows that repeat an id
     are counted as rows and share a component. Extra columns are not read; an empty table gives an empty table.
     """
+    single = vectors.schema[vector].dataType.simpleString() == "array<float>"
     picked = vectors.select(
         F.col(id_col).cast("long").alias("vec_id"),
         F.col(label).cast("string").alias("label"),
-        F.col(vector).cast("array<double>").alias("embedding"),
+        F.col(vector).cast(f"array<{'float' if single else 'double'}>").alias("embedding"),
     )
     rows = stored(
         picked.mapInArrow(_vectors, "vec_id long, label string, vec binary").withColumn("mark", F.xxhash64("label", "vec")), "vectors"
@@ -244,7 +250,7 @@ def near_duplicates(
     usable = rows.filter("vec IS NOT NULL")
     classes = usable.groupBy("label", "vec", "mark").agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"))
     schema = "label string, vec binary, mark long, rep long, size long, codes binary, factors binary, bands array<int>"
-    index = stored(classes.mapInArrow(_indexed, schema), "vector-index").withColumn("dim", F.octet_length("vec"))
+    index = stored(classes.mapInArrow(lambda batches: _indexed(batches, single), schema), "vector-index").withColumn("dim", F.octet_length("vec"))
 
     key = ["t", "label", "dim", "band"]
     large = stored(
@@ -261,7 +267,8 @@ def near_duplicates(
         .select(*_KEY, "rep", "mark", "size", "part", "vec", "codes", "factors")
     )
     found = stored(
-        dealt.repartition(*_KEY).sortWithinPartitions(*_KEY).mapInArrow(_compared, "rep long, mark long, other long, n long"), "vector-links"
+        dealt.repartition(*_KEY).sortWithinPartitions(*_KEY)
+        .mapInArrow(lambda batches: _compared(batches, single), "rep long, mark long, other long, n long"), "vector-links"
     )
     degrees = found.groupBy("rep", "mark").agg(F.sum("n").alias("near"))
     roots = components(found.filter("other IS NOT NULL").select(F.col("rep").alias("a"), F.col("other").alias("b")), "vector-components")

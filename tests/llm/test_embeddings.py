@@ -49,9 +49,9 @@ def case():
     return rows
 
 
-@pytest.mark.parametrize("split", [embeddings.SPLIT, 20])
-def test_against_brute_force(spark, case, split):
-    df = spark.createDataFrame([(*r, 1, 2, 3, "x") for r in case], SCHEMA).repartition(3)
+@pytest.mark.parametrize("split, kind", [(embeddings.SPLIT, "float"), (20, "double")])
+def test_against_brute_force(spark, case, split, kind):
+    df = spark.createDataFrame([(*r, 1, 2, 3, "x") for r in case], SCHEMA.replace("float", kind)).repartition(3)
     found = sorted((tuple(r) for r in embeddings.near_duplicates(df, split=split).collect()), key=str)
     expected = brute(case)
     links = sum(r[1] for r in expected)
