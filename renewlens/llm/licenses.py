@@ -3,8 +3,8 @@
 DataFrame operations only. A text is cut into sentences; a normalised sentence
 that is a known licence sentence becomes its identifier, any other disappears. Licences are ordered
 rules over the sequence of identifiers: all sentences of a rule, in this order, with anything between them.
-Sentences of texts that wrap their lines are found as well: each text is read
-once with line breaks as sentence ends and once with line breaks as blanks.
+A full stop always ends a sentence. A line break, a colon and a semicolon may end one or stand inside one
+("SPDX-License-Identifier: MIT", "free software: you can", wrapped lines); a known sentence is found both ways.
 """
 
 from __future__ import annotations
@@ -118,14 +118,27 @@ STRONGER = {"BSD-3-Clause": "BSD-2-Clause"}
 
 #: Every known sentence holds one of these words, so a text without them has no licence.
 TRIGGERS = "licen|permission|warrant|redistribut|rights reserved|merchantab|neither the name|copyright"
-_ENDS = r"[.!?:;]+(?=[\x20\t\r]|$)"
+#: Known sentences in a marked text, between any two marks. Of sentences with the same start the shorter one is tried
+#: first: it holds only if a mark follows it.
+_KNOWN = "(?<=[|/])(?:" + "|".join(s.replace(" ", "[\\x20/]") for s in sorted(SENTENCES.values(), key=len)) + ")(?=[|/])"
 
 
-def _identifiers(text: Column, ends: str) -> Column:
+def _marked(text: Column) -> Column:
+    """Words of letters and digits with one mark between them: | ends a sentence, / may end one, a blank does not."""
+    # the v. of a version ends nothing
+    plain = F.regexp_replace(F.translate(F.lower(text), "|/", "__"), r"(?<![a-z0-9])v\.(?=[\x20\t\r\n][^a-z0-9.!?:;]*+[0-9])", "v")
+    loose = F.regexp_replace(plain, r"(?<![.!?:;])[:;]++(?=[\x20\t\r\n]|$)|[\r\n]++", "/")
+    ended = F.regexp_replace(loose, r"(?<![.!?:;])[.!?:;]++(?=[\x20\t/]|$)", "|")
+    words = F.concat(F.lit("|"), F.regexp_replace(ended, "[^a-z0-9|/]++", " "), F.lit("|"))
+    one_end = F.regexp_replace(words, r"(?<![\x20/|])[\x20/]*+\|[\x20/|]*+", "|")
+    return F.regexp_replace(one_end, r"(?<![\x20/])\x20*+/[\x20/]*+", "/")
+
+
+def _identifiers(text: Column) -> Column:
     """Identifiers of known sentences in order."""
     by_text = F.create_map(*[F.lit(x) for name, sentence in SENTENCES.items() for x in (sentence, name)])
-    normal = lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
-    return F.array_compact(F.transform(F.split(text, ends), lambda s: F.try_element_at(by_text, normal(s))))
+    found = F.regexp_extract_all(_marked(text), F.lit(_KNOWN), F.lit(0))
+    return F.transform(found, lambda s: F.try_element_at(by_text, F.translate(s, "/", " ")))
 
 
 def _rule_pattern(sentences: tuple[str, ...]) -> str:
@@ -143,12 +156,7 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     one of the same name.
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    lines = _identifiers(body, _ENDS + r"|[\r\n]+")
-    wrapped = _identifiers(F.regexp_replace(body, r"[\x20\t]*\r?\n[\x20\t]*", " "), _ENDS)
-    # the reading that recognises more; lines if both do the same
-    either = F.struct(lines.alias("lines"), wrapped.alias("wrapped"))
-    chosen = F.transform(F.array(either), lambda e: F.when(F.size(e["wrapped"]) > F.size(e["lines"]), e["wrapped"]).otherwise(e["lines"]))[0]
-    found = F.when(body.rlike(f"(?i){TRIGGERS}"), chosen).otherwise(F.array().cast("array<string>"))
+    found = F.when(body.rlike(f"(?i){TRIGGERS}"), _identifiers(body)).otherwise(F.array().cast("array<string>"))
     out = docs.withColumn("license_sentences", found)
     sequence = F.concat(F.lit(">"), F.array_join("license_sentences", ">"), F.lit(">"))
     names = {}

@@ -54,3 +54,57 @@ def test_odd_rows(odd, none):
     assert found.count() == odd.count() and {r["license_class"] for r in found.collect()} == {"none"}
     assert found.columns[: len(odd.columns)] == odd.columns
     assert licenses.scan_licenses(none).count() == 0
+
+
+GPL_HEADER = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU General Public License for more details.
+"""
+MPL_HEADER = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at http://mozilla.org/MPL/2.0/. */
+"""
+APACHE_HEADER = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, ...
+"""
+
+
+@pytest.mark.parametrize(
+    "text, found, sentences",
+    [
+        ("// SPDX-License-Identifier: MIT\ncode", ["MIT"], ["mit-spdx"]),
+        ("/* SPDX-License-Identifier: Apache-2.0 */", ["Apache-2.0"], ["apache-spdx"]),
+        ("SPDX-License-Identifier: GPL-3.0-only", ["GPL-3.0"], ["gpl3-spdx"]),
+        ("SPDX-License-Identifier: GPL-3.0-or-later\r\n", ["GPL-3.0-or-later"], ["gpl3-later-spdx"]),
+        ("SPDX-License-Identifier: CC-BY-4.0", ["CC-BY-4.0"], ["cc-by-spdx"]),
+        ("SPDX-License-Identifier: CC-BY-NC-4.0", ["CC-BY-NC-4.0"], ["cc-by-nc-spdx"]),
+        ("License: MIT License", [], ["mit-title-bare"]),
+        (GPL_HEADER, ["GPL-3.0-or-later"], ["gpl-free", "gpl-hope", "gpl-details"]),
+        (GPL_HEADER.replace(": you", "; you").replace("# ", "").replace("\n", " "), ["GPL-3.0-or-later"], ["gpl-free", "gpl-hope", "gpl-details"]),
+        (MPL_HEADER, ["MPL-2.0"], ["mpl2-form"]),
+        (MPL_HEADER.replace("v. 2", "v.\n * 2"), ["MPL-2.0"], ["mpl2-form"]),
+        (APACHE_HEADER, ["Apache-2.0"], ["apache-you", "apache-comply", "apache-copy"]),
+        ("Licensed under the. MIT License.", [], ["mit-title-bare"]),
+        ("a|b/c: Released under the MIT License.", ["MIT"], ["mit-short"]),
+    ],
+)
+def test_official_punctuation(make, text, found, sentences):
+    got = one(make, text)
+    assert (got[0], got[2]) == (found, sentences)
+
+
+def test_long_runs_end_soon(make):
+    n = 200_000
+    docs = make(*["license " + run * n + "x MIT License." for run in (".", ":", "\n", " \n", ": ", ". ", "v. ", "|/")])
+    assert all(not r["licenses"] for r in licenses.scan_licenses(docs).collect())
