@@ -117,7 +117,7 @@ RULES = (
 STRONGER = {"BSD-3-Clause": "BSD-2-Clause"}
 
 #: Every known sentence holds one of these words, so a text without them has no licence.
-TRIGGERS = "licen|permission|warrant|redistribut|rights reserved|merchantab|neither the name|copyright"
+TRIGGERS = "licen|permission|warrant|redistribut|rights[^a-z0-9]+reserved|merchantab|neither the name|copyright"
 #: Known sentences in a marked text, between any two marks. Of sentences with the same start the shorter one is tried
 #: first: it holds only if a mark follows it.
 _KNOWN = "(?<=[|/])(?:" + "|".join(s.replace(" ", "[\\x20/]") for s in sorted(SENTENCES.values(), key=len)) + ")(?=[|/])"

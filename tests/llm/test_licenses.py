@@ -108,3 +108,23 @@ def test_long_runs_end_soon(make):
     n = 200_000
     docs = make(*["license " + run * n + "x MIT License." for run in (".", ":", "\n", " \n", ": ", ". ", "v. ", "|/")])
     assert all(not r["licenses"] for r in licenses.scan_licenses(docs).collect())
+
+
+BY_LINE, BY_WRAP = "Licensed under CC BY-NC 4.0\nown words. ", "This work is licensed under the GNU General\nPublic License, version 3."
+
+
+@pytest.mark.parametrize(
+    "text, found, sentences",
+    [
+        (BY_LINE + BY_WRAP, ["CC-BY-NC-4.0", "GPL-3.0"], ["cc-by-nc-short", "gpl3-short"]),
+        (BY_LINE + BY_WRAP + " " + BY_WRAP, ["CC-BY-NC-4.0", "GPL-3.0"], ["cc-by-nc-short", "gpl3-short", "gpl3-short"]),
+        (BY_WRAP + "\n" + BY_LINE, ["CC-BY-NC-4.0", "GPL-3.0"], ["gpl3-short", "cc-by-nc-short"]),
+        ("Released under the MIT License.\n" + BY_WRAP, ["GPL-3.0", "MIT"], ["mit-short", "gpl3-short"]),
+        ("Released under the\nMIT License.", ["MIT"], ["mit-short"]),
+        ("Licensed under the Apache License, Version 2.0\nthe license", ["Apache-2.0"], ["apache-short"]),
+        ("2020 somebody. All rights\nreserved.", ["proprietary"], ["all-rights"]),
+    ],
+)
+def test_both_readings_count(make, text, found, sentences):
+    got = one(make, text)
+    assert (got[0], got[2]) == (found, sentences)
