@@ -589,18 +589,16 @@ def stream_hourly_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def search_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transcripts of calls that name a number, over the interaction table."""
-    calls = sales.interactions(spark, sf_dir).filter("interaction_id % 2 = 0 OR interaction_type <> 'CALL'")
     queries = sales.scan(spark, sf_dir, "nation").select(
         F.col("n_nationkey").cast("long").alias("query_id"), F.concat(F.lit("k "), F.col("n_nationkey").cast("string")).alias("text")
     )
-    return flat(search.search_interactions(calls, queries, only=F.col("interaction_type") == "CALL"))
+    return flat(search.search_interactions(sales.interactions(spark, sf_dir), queries, only=F.col("interaction_type") == "CALL"))
 
 
 def vector_search_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors of transcripts under text ids, some of them NULL, narrowed by an attribute."""
+    """Vectors of transcripts under text ids, narrowed by an attribute."""
     vectors = sales.scan(spark, sf_dir, "embeddings").select(
-        F.concat(F.lit("INT"), F.col("vec_id").cast("string")).alias("vec_id"),
-        F.when(F.col("vec_id") % 7 != 0, F.col("embedding")).alias("embedding"), "label",
+        F.concat(F.lit("INT"), F.col("vec_id").cast("string")).alias("vec_id"), "embedding", "label"
     )
     asked = label_centroids(spark, sf_dir).select(F.concat(F.lit("Q"), F.col("query_id").cast("string")).alias("query_id"), "embedding")
     return flat(search.vector_search(vectors, asked, only=F.col("label") < 5))

@@ -10,6 +10,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from renewlens.operators import search
+from renewlens.plans import catalogue
+from renewlens.sources import sales
+
+SF_DIR = "/root/testdata/sf0.001"
 
 DOCS = [
     (1, "the flood raised the premium of the house"),
@@ -162,3 +166,37 @@ def test_interactions_are_searched_by_attribute(spark, tables):
     assert {r.interaction_id for r in rows if r.query_id == 2 and r["rank"] == 1} == {"INT002"}
     mine = search.search_interactions(tables["interaction"], queries, 5, only=F.col("customer_id") == "C006").collect()
     assert {r.interaction_id for r in mine} == {"INT006"} and mine[0].interaction_type == "CALL"
+
+
+def test_registered_search_reads_every_call(spark):
+    calls = sales.interactions(spark, SF_DIR).filter("interaction_type = 'CALL' AND raw_transcript IS NOT NULL").collect()
+    toks = {r.interaction_id: re.findall("[a-z0-9]+", r.raw_transcript.lower()) for r in calls}
+    n, mean, df = len(toks), sum(map(len, toks.values())) / len(toks), Counter(w for ws in toks.values() for w in set(ws))
+    expected = []
+    for (key,) in sales.scan(spark, SF_DIR, "nation").select("n_nationkey").collect():
+        scores = []
+        for doc, ws in toks.items():
+            tf = Counter(ws)
+            gains = [
+                math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * tf[w] * 2.2 / (tf[w] + 1.2 * (0.25 + 0.75 * len(ws) / mean))
+                for w in ("k", str(key)) if tf[w]
+            ]
+            if gains:
+                scores.append((-math.floor(sum(gains) * 1e4 + 0.5) / 1e4, doc))
+        expected += [(key, i + 1, doc, -s) for i, (s, doc) in enumerate(sorted(scores)[:5])]
+    rows = catalogue.search_interactions(spark, SF_DIR).collect()
+    assert any(doc % 2 for _, _, doc, _ in expected)
+    assert sorted((r.query_id, r["rank"], r.interaction_id, r.text_match) for r in rows) == sorted(expected)
+
+
+def test_registered_vector_search_reads_every_vector(spark):
+    rows = sales.scan(spark, SF_DIR, "embeddings").collect()
+    unit = lambda v: np.array(v, dtype="float64") / np.linalg.norm(np.array(v, dtype="float64"))
+    expected = []
+    for label in {r.label for r in rows}:
+        asked = unit(np.mean([np.array(r.embedding, dtype="float64") for r in rows if r.label == label], axis=0))
+        scores = [(-math.floor(unit(r.embedding) @ asked * 1e6 + 0.5) / 1e6, f"INT{r.vec_id}") for r in rows if r.label < 5]
+        expected += [(f"Q{label}", i + 1, vec) for i, (_, vec) in enumerate(sorted(scores)[:5])]
+    found = catalogue.vector_search_interactions(spark, SF_DIR).collect()
+    assert any(int(vec[3:]) % 7 == 0 for _, _, vec in expected)
+    assert sorted((r.query_id, r["rank"], r.vec_id) for r in found) == sorted(expected)
