@@ -25,6 +25,8 @@ FEATURES = (
 )
 #: Bytes that are compressed at a time to see how much a text repeats itself.
 PACKED_BYTES = 1 << 16
+#: What a word is left without: words of nothing else vanish.
+_LETTERLESS = bytes(b for b in range(128) if not chr(b).isalpha() and not chr(b).isspace() or 28 <= b <= 31)
 _UPPER, _DIGITS, _SYMBOLS = range(65, 91), range(48, 58), [ord(c) for c in "#$%&*@^~=+<>\\{}[]_"]
 
 
@@ -59,7 +61,7 @@ def features(text: bytes) -> list[float]:
         packed / size,
         np.log1p(len(lines)),
         1 - ended / max(1, len(filled)),
-        sum(not any(97 <= b <= 122 or b >= 128 or 65 <= b <= 90 for b in w) for w in words[:64]) / max(1, len(words[:64])),
+        (len(words) - len(text.translate(None, _LETTERLESS).split())) / max(1, len(words)),
     ]
 
 

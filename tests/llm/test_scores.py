@@ -51,6 +51,17 @@ def test_odd_rows(spark, odd, none):
             assert score(none, model).count() == 0
 
 
+def test_wordless_share_is_of_the_whole_text():
+    wordless = lambda text: quality.features(text)[quality.FEATURES.index("wordless")]
+    assert wordless(b"word " * 64 + b"| 12 #$ " * 64) == 192 / 256
+    assert wordless("| é ж1 12\x1c3 --\x0b\x0cA".encode()) == 3 / 6 and wordless(b" \n") == wordless(b"") == 0
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        text = bytes(rng.choice(np.frombuffer(b"a1| \n\t\x0b\x1c\x85\xc3Z-", dtype=np.uint8), 300))
+        words = text.split()
+        assert wordless(text) == sum(not any(97 <= b <= 122 or b >= 128 or 65 <= b <= 90 for b in w) for w in words) / len(words)
+
+
 def test_disguised_words():
     assert toxicity.spellings("1d1ot!") == ("1d1ot", "idiot", True)
     assert toxicity.spellings("i.d.i.o.t")[1] == "idiot"
