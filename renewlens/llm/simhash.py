@@ -254,15 +254,20 @@ def one_per_group(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -
     )
     named = docs.filter(F.col(id_col).isNotNull())
     out = named.join(gone, (F.col(id_col).cast("long") == F.col("_id")) & (mark == F.col("_mark")), "left_anti")
+    least = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "root")
     again = stored(
-        found.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n"))
-        .filter("n > 1").select("_id"), "simhash-again",
+        least.groupBy("root", "_id").agg(F.count("*").alias("n"), F.min("_mark").alias("_first")).filter("n > 1").drop("n"), "simhash-again"
     )
     if not again.isEmpty():
-        same = F.col(id_col).cast("long") == F.col("_id")
-        first = Window.partitionBy(F.col(id_col)).orderBy(mark)
-        once = out.join(again, same, "left_semi").withColumn("_turn", F.row_number().over(first)).filter("_turn = 1").drop("_turn")
-        out = out.join(again, same, "left_anti").unionByName(once)
+        # an id may be the smallest of several groups, each of which keeps a row of its own
+        repeats = stored(
+            least.join(again, ["root", "_id"]).select("_id", "_mark", (F.col("_mark") == F.col("_first")).alias("_stays")).distinct(),
+            "simhash-repeats",
+        )
+        same = (F.col(id_col).cast("long") == F.col("_id")) & (mark == F.col("_mark"))
+        turn = Window.partitionBy(F.col(id_col).cast("long"), mark).orderBy(F.length(F.col(text)))
+        once = out.join(repeats.filter("_stays"), same, "left_semi").withColumn("_turn", F.row_number().over(turn)).filter("_turn = 1").drop("_turn")
+        out = out.join(repeats, same, "left_anti").unionByName(once)
     nameless = docs.filter(F.col(id_col).isNull())
     if nameless.isEmpty():
         return out

@@ -118,3 +118,21 @@ def test_groups_without_ids_keep_one_row(spark):
     kept = simhash.one_per_group(spark.createDataFrame(data, "doc_id long, text string")).collect()
     assert sorted(r["text"] for r in kept) == ["a b c d e", "quite another text here", "x y z"]
     assert [r["doc_id"] for r in kept if r["text"] == "x y z"] == [3]
+
+
+def test_an_id_of_several_groups_keeps_a_row_of_each(spark):
+    one, two, three = "a b c d e", "quite another text here", "third words that are unlike the others"
+    data = [(5, one), (5, two), (5, two), (8, two), (2, three), (5, three), (9, one), (7, "alone"), (None, one)]
+    found = simhash.near_duplicates(spark.createDataFrame(data, "doc_id long, text string"))
+    assert found.select("root").distinct().count() == 4
+    kept = simhash.one_per_group(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, kept)) == sorted([(5, one), (5, two), (2, three), (7, "alone")])
+
+
+def test_near_copies_under_one_id_keep_one_row(spark):
+    # other texts with the same fingerprint
+    data = [(5, "a b c d e"), (5, "A B c d  e"), (5, "a b c d e"), (6, "a b c d e"), (5, "quite another text here")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    groups = simhash.near_duplicates(docs).select("root").distinct().count()
+    kept = simhash.one_per_group(docs).collect()
+    assert len(kept) == groups and {r["doc_id"] for r in kept} == {5}
