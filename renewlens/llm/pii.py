@@ -22,6 +22,34 @@ CONTEXT = 40
 #: Added kinds are reported from this score.
 LEAST_SCORE = 0.5
 
+#: Letters and digits of an account number by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban() -> str:
+    """An account number as long as its country's, with no letter or digit directly around it; of other codes, a run."""
+    ends = "(?![A-Za-z0-9])"
+    known = "|".join(IBAN_LENGTHS.values()).replace(" ", "|")
+    forms = [
+        f"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?:[\\x20]?[A-Z0-9]{{4}}){{{size // 4 - 1}}}"
+        + (f"[\\x20]?[A-Z0-9]{{{size % 4}}}" if size % 4 else "") + ends
+        for size, codes in IBAN_LENGTHS.items()
+    ]
+    other = rf"(?!{known})[A-Z]{{2}}[0-9]{{2}}(?:[\x20]?[A-Z0-9]{{4}}){{2,7}}(?:[\x20]?[A-Z0-9]{{1,3}})?"
+    return "(?:" + "|".join([*forms, other]) + ")"
+
+
+IBAN = _iban()
+#: Country and check digits alone, so that a number that fails its check does not take one behind it along.
+IBAN_START = f"(?:(?<![A-Za-z0-9])|(?!{'|'.join(IBAN_LENGTHS.values()).replace(' ', '|')}))[A-Z]{{2}}[0-9]{{2}}"
+#: More code points than an account number with blanks has.
+IBAN_REACH = 50
+
 
 @dataclass(frozen=True)
 class Kind:
@@ -63,7 +91,7 @@ KINDS = (
     ),
     Kind(
         "iban", r"[A-Z]{2}[0-9]{2}",
-        r"[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]{4}){2,7}(?:[\x20]?[A-Z0-9]{1,3})?",
+        IBAN_START,
         0.8, r"(?i)(?:iban|account|konto|cuenta|compte|bank)", 0.2, base=False,
     ),
     Kind(
@@ -124,8 +152,12 @@ def _spans(text: Column, kind: Kind, rank: int) -> Column:
     def step(acc: Column, p: Column) -> Column:
         start = acc["at"] + F.length(p["piece"])
         end = start + F.length(p["match"])
-        span = F.array(F.struct(start.alias("start"), end.alias("end")))
-        found = F.when(_confirmed(kind, p["match"]), F.concat(acc["out"], span)).otherwise(acc["out"])
+        whole, fits = p["match"], F.lit(True)
+        if kind.name == "iban":
+            whole = F.regexp_extract(F.substring(text, (start + 1).cast("int"), F.lit(IBAN_REACH)), f"^{IBAN}", 0)
+            fits = (F.length(whole) > 0) & (F.coalesce(F.try_element_at(acc["out"], F.lit(-1))["end"], F.lit(0)) <= start)
+        span = F.array(F.struct(start.alias("start"), (start + F.length(whole)).alias("end")))
+        found = F.when(fits & _confirmed(kind, whole), F.concat(acc["out"], span)).otherwise(acc["out"])
         return F.struct(end.alias("at"), found.alias("out"))
 
     # the last piece has no match
@@ -255,7 +287,7 @@ OP9_SQL = (
                 (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", _IP),
                 (r"[0-9]([\x20-]?[0-9])+", _LUHN),
                 (r"\+[0-9][\x20().0-9-]+[0-9]", "length(d) BETWEEN 9 AND 15"),
-                (KINDS[4].pattern, _MOD_97),
+                (r"[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]{4}){2,7}(?:[\x20]?[A-Z0-9]{1,3})?", _MOD_97),
                 (r"[0-9][0-9-]*", _SSN),
             ),
         )

@@ -69,6 +69,27 @@ def test_added_kinds(make, text, kinds):
     assert [pii.KINDS[s["rank"]].name for s in found if s["rank"] > 3] == kinds
 
 
+ES, BE, AT, SE = "ES91 2100 0418 4502 0005 1332", "BE68 5390 0754 7034", "AT61 1904 3002 3457 3201", "SE45 5000 0000 0583 9825 7466"
+DE = "DE89 3704 0044 0532 0130 00"
+
+
+@pytest.mark.parametrize("code", [ES, BE, AT, SE, DE, "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"])
+def test_account_numbers_end_where_their_country_says(make, code):
+    pairs = [(f"é {x}{tail}", tail) for x in (code, code.replace(" ", "")) for tail in (" Please pay", " PLEASE PAY", " 2024 is the year", " 7", ".", "", f" {DE}")]
+    rows = pii.find_personal_data(make(*[text for text, _ in pairs])).orderBy("doc_id").collect()
+    for r, (_, tail) in zip(rows, pairs):
+        got = [r["text"][s["start"] : s["end"]] for s in r["pii_spans"] if s["rank"] == 4]
+        assert got[0].replace(" ", "") == code.replace(" ", "") and got[1:] == ([DE] if DE in tail else []), r["text"]
+    assert pii.redact(make(f"To {ES} Please pay")).first()["text"] == "To [IBAN] Please pay"
+
+
+def test_account_numbers_stand_alone(make):
+    short = ES.replace(" ", "")
+    texts = [short + "7", short + "x", "x" + short, "7" + short, short[:-1], f"BE71 0961 {DE}", f"AB12 3456 7890 {DE}"]
+    rows = pii.find_personal_data(make(*texts)).orderBy("doc_id").collect()
+    assert [[r["text"][s["start"] : s["end"]] for s in r["pii_spans"] if s["rank"] == 4] for r in rows] == [[]] * 5 + [[DE]] * 2
+
+
 def test_context_raises_scores(make):
     found = pii.find_personal_data(make("mail a@b.co", "contact a@b.co")).orderBy("doc_id").collect()
     assert found[0]["pii_spans"][0]["score"] < found[1]["pii_spans"][0]["score"]
