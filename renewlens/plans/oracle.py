@@ -1190,7 +1190,7 @@ def _search_interactions_sql() -> str:
     )
     calls = (
         f"call_t AS (SELECT interaction_id AS doc_id, customer_id, interaction_type, {stamp('interaction_timestamp')} AS heard, "
-        "raw_transcript AS text FROM interaction_t WHERE interaction_type = 'CALL' AND interaction_id % 2 = 0)"
+        "raw_transcript AS text FROM interaction_t WHERE interaction_type = 'CALL')"
     )
     return search.replace("WITH doc AS", f"WITH interaction_t AS ({PARTS['interaction_t']}), {calls}, doc AS", 1)
 
@@ -1207,7 +1207,7 @@ STATEMENTS["vector_search_interactions"] = (
     _vector_search_sql()
     .replace("SELECT CAST(label AS BIGINT) AS query_id, list(x", "SELECT 'Q' || label AS query_id, list(x")
     .replace("SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings",
-             "SELECT 'INT' || vec_id AS vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id % 7 <> 0 AND label < 5")
+             "SELECT 'INT' || vec_id AS vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label < 5")
 )
 STATEMENTS["substring_requests"] = """
     SELECT DISTINCT doc_id, phrase FROM documents JOIN (
