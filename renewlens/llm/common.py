@@ -29,6 +29,17 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def free_names(taken: list[str], *wanted: str) -> list[str]:
+    """The wanted column names, each with as many underscores in front as no taken name has (case aside)."""
+    used, out = {c.lower() for c in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name = f"_{name}"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def remainder(doc_id: str | Column, n: int) -> Column:
     """crc32 of the id as text, modulo n; NULL ids have none."""
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % n
