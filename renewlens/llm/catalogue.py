@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embeddings, language, licenses, mixture, pii, quality, simhash, spelling, tokens, toxicity, urls
+from . import decontaminate, embeddings, language, licenses, mixture, phrases, pii, quality, simhash, spelling, tokens, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,7 @@ QUERIES: dict[str, Query] = {
     "op10_simhash": simhash.op10_simhash,
     "op11_urls": urls.op11_urls,
     "op12_spelling": spelling.op12_spelling,
+    "op13_phrases": phrases.op13_phrases,
 }
 
 # Tokenizers, fitted models and XXH64 are not in SQL: operators 2, 3, 5, 7 and 10 are tested by brute force.
@@ -34,4 +35,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_pii": pii.OP9_SQL,
     "op11_urls": urls.OP11_SQL,
     "op12_spelling": spelling.OP12_SQL,
+    "op13_phrases": phrases.OP13_SQL,
 }
