@@ -16,7 +16,7 @@ from ..functions import model_json
 from ..functions.display import title_case
 from ..functions.lexicon import Lexicon
 from ..functions.text import dialogue_turns
-from ..operators import actions, customer360, decide, interactions, policy, quality, risk, search
+from ..operators import actions, customer360, decide, interactions, policy, quality, risk, search, vector_index
 from ..session import shared_folder, written
 from ..sources import sales
 from ..sources.tables import Tables, read_table
@@ -604,6 +604,18 @@ def vector_search_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(search.vector_search(vectors, asked, only=F.col("label") < 5))
 
 
+def vector_search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every twentieth vector asked against an index of all, and whether brute force confirms what was found."""
+    corpus = sales.scan(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    asked = corpus.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    index = vector_index.build_index(corpus, shared_folder(spark, "vector-index"))
+    found = written(vector_index.search_index(index, asked), "neighbours")
+    recall, exact = vector_index.measured_recall(corpus, asked, found)
+    return found.agg(F.countDistinct("query_id").alias("queries"), F.count("*").alias("results")).select(
+        "*", F.lit(recall >= 0.9).alias("recall_reached"), F.lit(exact).alias("similarities_exact")
+    )
+
+
 def substring_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phrases from a table: the first words of every benchmark item, and one that asks for nothing."""
     phrases = sales.scan(spark, sf_dir, "benchmark").select(
@@ -652,6 +664,7 @@ QUERIES: dict[str, Query] = {
     "vector_search": vector_search,
     "vector_search_grid": lambda spark, sf_dir: vector_search(spark, sf_dir, broadcast_vectors=3, slices=2),
     "substring_search": substring_search,
+    "vector_search_indexed": vector_search_indexed,
     "search_interactions": search_interactions,
     "vector_search_interactions": vector_search_interactions,
     "substring_requests": substring_requests,

