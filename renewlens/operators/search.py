@@ -110,10 +110,19 @@ def text_search(docs: DataFrame, queries: DataFrame, k: int = LIMIT, broadcast_r
     texts are parsed once.
     """
     wanted = written(query_words(queries), "query-words")
+    return rank_postings(asked_postings(docs, wanted, broadcast_rows), wanted, k, broadcast_rows=broadcast_rows)
+
+
+def asked_vocabulary(wanted: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The ``wanted`` words and the anchor, to be broadcast if they were counted to be few."""
     anchor = wanted.sparkSession.createDataFrame([(ANCHOR,)], "word string")
     vocabulary = wanted.select("word").distinct().unionByName(anchor)
-    postings = build_postings(docs, F.broadcast(vocabulary) if is_small(wanted, broadcast_rows) else vocabulary, anchored=True)
-    return rank_postings(written(postings, "postings"), wanted, k, broadcast_rows=broadcast_rows)
+    return F.broadcast(vocabulary) if is_small(wanted, broadcast_rows) else vocabulary
+
+
+def asked_postings(docs: DataFrame, wanted: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Anchored postings of the ``wanted`` words, written once."""
+    return written(build_postings(docs, asked_vocabulary(wanted, broadcast_rows), anchored=True), "postings")
 
 
 def with_attributes(results: DataFrame, docs: DataFrame, *columns: str) -> DataFrame:

@@ -16,11 +16,11 @@ from ..functions import model_json
 from ..functions.display import title_case
 from ..functions.lexicon import Lexicon
 from ..functions.text import dialogue_turns
-from ..operators import actions, customer360, decide, interactions, policy, quality, risk, search, vector_index
+from ..operators import actions, customer360, decide, interactions, policy, quality, risk, search, topk, vector_index
 from ..session import shared_folder, written
 from ..sources import sales
 from ..sources.tables import Tables, read_table
-from ..streaming import feeds
+from ..streaming import feeds, segments
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -293,12 +293,23 @@ def interaction_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def text_search(spark: SparkSession, sf_dir: str, **more) -> DataFrame:
+def _searched(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents, and benchmark items as queries."""
     docs = sales.scan(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    queries = sales.scan(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return docs, sales.scan(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def text_search(spark: SparkSession, sf_dir: str, **more) -> DataFrame:
+    docs, queries = _searched(spark, sf_dir)
     return flat(search.with_attributes(search.text_search(docs, queries, **more), docs, "lang", "source"))
 
 
+def text_search_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same rows, of documents that can reach the first five alone."""
+    docs, queries = _searched(spark, sf_dir)
+    return flat(search.with_attributes(topk.bounded_text_search(docs, queries), docs, "lang", "source"))
+
+
 def label_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean vector per label, the request side of the vector search."""
     parts = sales.scan(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
@@ -554,6 +565,27 @@ def stream_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(feeds.latest_postings(spark, f"{out}/rows").select("doc_id", "word", "length", "tf"))
 
 
+def stream_text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search over an index that a stream refreshed: outdated versions before and after the current ones, repeats, a merge on the way."""
+    out, folder = shared_folder(spark, "index"), shared_folder(spark, "arriving")
+    docs, queries = _searched(spark, sf_dir)
+    now = docs.select("doc_id", "text", F.lit(1).alias("version"))
+    old = now.withColumns({"text": F.concat(F.lit("outdated "), F.substring("text", 1, 500)), "version": F.lit(0)})
+    part = F.pmod("doc_id", F.lit(3))
+    arrivals = (
+        now.filter(part == 0).union(old.filter((part == 2) & (F.col("doc_id") % 5 == 0))),
+        now.filter(part == 1).union(now.filter((part == 0) & (F.col("doc_id") % 10 == 0))).union(old.filter((part == 0) & (F.col("doc_id") % 7 == 0))),
+        now.filter(part == 2).union(old.filter((part == 1) & (F.col("doc_id") % 4 == 0))),
+    )
+    for n, rows in enumerate(arrivals):
+        rows.write.mode("append").parquet(folder)
+        arriving = feeds.stream_files(spark, folder, rows.schema, "*.parquet")
+        segments.segment_feed(arriving, out, f"{out}/offsets", version="version").awaitTermination()
+        if n == 1:
+            segments.merge_segments(spark, out)
+    return flat(search.with_attributes(segments.search_segments(spark, out, queries), docs, "lang", "source"))
+
+
 def stream_risk_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shared_folder(spark, "alerts")
     arriving = _stream(spark, sales.risk_history(spark, sf_dir), "risk_assessment_id")
@@ -661,6 +693,7 @@ QUERIES: dict[str, Query] = {
     "interaction_docs": interaction_docs,
     "text_search": text_search,
     "text_search_shuffled": lambda spark, sf_dir: text_search(spark, sf_dir, broadcast_rows=10),
+    "text_search_topk": text_search_topk,
     "vector_search": vector_search,
     "vector_search_grid": lambda spark, sf_dir: vector_search(spark, sf_dir, broadcast_vectors=3, slices=2),
     "substring_search": substring_search,
@@ -685,6 +718,7 @@ QUERIES: dict[str, Query] = {
     "fk_orphans": _tables(quality.fk_orphans),
     "stream_interactions": stream_interactions,
     "stream_postings": stream_postings,
+    "stream_text_search": stream_text_search,
     "stream_risk_alerts": stream_risk_alerts,
     "stream_hourly_status": stream_hourly_status,
     "stream_action_log": stream_action_log,

@@ -1196,7 +1196,7 @@ def _search_interactions_sql() -> str:
 
 
 # Other plans for large request sides; the results are the same.
-STATEMENTS["text_search_shuffled"] = STATEMENTS["text_search"]
+STATEMENTS["text_search_shuffled"] = STATEMENTS["text_search_topk"] = STATEMENTS["stream_text_search"] = STATEMENTS["text_search"]
 STATEMENTS["vector_search_grid"] = STATEMENTS["vector_search"]
 STATEMENTS["stream_interactions"] = _stream_interactions_sql()
 STATEMENTS["stream_action_log"] = (
