@@ -178,16 +178,37 @@ def recent_actions(action_log: DataFrame, customer: DataFrame, n: int = HISTORY_
     )
 
 
-def action_outcomes(action_log: DataFrame) -> DataFrame:
-    """How often each recommended action ends in each status, with rates."""
-    code = F.get_json_object("recommended_action", "$.recommended_action.code")
+def _code() -> Column:
+    return F.get_json_object("recommended_action", "$.recommended_action.code").alias("code")
+
+
+def _outcomes() -> tuple[list[Column], list[Column]]:
+    """Counts per status, and their shares of all actions."""
     counts = [F.count_if(F.col("status") == s).alias(s.lower()) for s in STATUSES]
     rates = [
         (F.floor(F.col(s.lower()) * 10000 / F.col("actions") + 0.5) / 10000).alias(f"{s.lower()}_rate")
         for s in STATUSES
     ]
-    return (
-        action_log.groupBy(code.alias("code"))
-        .agg(F.count("*").alias("actions"), *counts)
-        .select("*", *rates)
-    )
+    return counts, rates
+
+
+def action_outcomes(action_log: DataFrame) -> DataFrame:
+    """How often each recommended action ends in each status, with rates."""
+    counts, rates = _outcomes()
+    return action_log.groupBy(_code()).agg(F.count("*").alias("actions"), *counts).select("*", *rates)
+
+
+def outcome_cube(action_log: DataFrame, interaction: DataFrame) -> DataFrame:
+    """Outcomes by recommended action and channel, with totals over either and over both.
+
+    The channel is the type of the interaction that an action followed; an
+    action without one, or whose interaction is not known, has the channel
+    NULL. ``level`` tells such a NULL from a total: 0 is a single cell, 1 sums over channels,
+    2 over actions, 3 over everything. Actions are expanded to four groupings only within
+    tasks, where they are counted; cells are few, and so is what is shuffled after the join.
+    """
+    counts, rates = _outcomes()
+    channel = interaction.select("interaction_id", F.col("interaction_type").alias("channel"))
+    named = action_log.select("interaction_id", "status", _code()).join(channel, "interaction_id", "left")
+    cells = named.cube("code", "channel").agg(F.grouping_id().alias("level"), F.count("*").alias("actions"), *counts)
+    return cells.select("code", "channel", F.col("level").cast("long").alias("level"), "actions", *[s.lower() for s in STATUSES], *rates)

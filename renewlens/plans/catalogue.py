@@ -20,7 +20,7 @@ from ..operators import actions, customer360, decide, interactions, policy, qual
 from ..session import shared_folder, written
 from ..sources import sales
 from ..sources.tables import Tables, read_table
-from ..streaming import feeds, segments
+from ..streaming import alerts, feeds, segments
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -590,14 +590,26 @@ def stream_risk_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shared_folder(spark, "alerts")
     arriving = _stream(spark, sales.risk_history(spark, sf_dir), "risk_assessment_id")
     feeds.risk_alert_feed(arriving, f"{out}/risk", f"{out}/offsets").awaitTermination()
+    return _alerts(spark, f"{out}/risk")
+
+
+def _alerts(spark: SparkSession, folder: str) -> DataFrame:
     return flat(
-        feeds.latest_risk_alerts(spark, f"{out}/risk").select(
+        feeds.latest_risk_alerts(spark, folder).select(
             "property_id", "prev_assessment_id", "curr_assessment_id", "flood_direction", "fire_direction",
             "earthquake_direction", "risk_score_change", "risk_score_change_pct", "overall_direction",
         )
     )
 
 
+def stream_risk_alerts_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same alerts from keyed state."""
+    out = shared_folder(spark, "state-alerts")
+    arriving = _stream(spark, sales.risk_history(spark, sf_dir), "risk_assessment_id")
+    alerts.risk_alert_state_feed(arriving, f"{out}/risk", f"{out}/offsets").awaitTermination()
+    return _alerts(spark, f"{out}/risk")
+
+
 def _log_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbered = sales.action_log(spark, sf_dir).withColumn("n", F.col("interaction_id"))
     return _stream(spark, numbered, "n").drop("n")
@@ -714,12 +726,14 @@ QUERIES: dict[str, Query] = {
     "action_history": _tables(lambda t: actions.action_history(t["action_log"], t["customer"]).drop("recommended_action")),
     "action_history_top10": _tables(lambda t: actions.recent_actions(t["action_log"], t["customer"])),
     "action_outcomes": _tables(lambda t: actions.action_outcomes(t["action_log"])),
+    "action_outcome_cube": _tables(lambda t: actions.outcome_cube(t["action_log"], t["interaction"])),
     "quality_report": quality_report,
     "fk_orphans": _tables(quality.fk_orphans),
     "stream_interactions": stream_interactions,
     "stream_postings": stream_postings,
     "stream_text_search": stream_text_search,
     "stream_risk_alerts": stream_risk_alerts,
+    "stream_risk_alerts_state": stream_risk_alerts_state,
     "stream_hourly_status": stream_hourly_status,
     "stream_action_log": stream_action_log,
 }

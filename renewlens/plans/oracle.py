@@ -1143,6 +1143,17 @@ STATEMENTS: dict[str, str] = {
     FROM (SELECT code, count(*) AS actions, count(*) FILTER (status = 'PENDING') AS pending,
                  count(*) FILTER (status = 'EXECUTED') AS executed, count(*) FILTER (status = 'DECLINED') AS declined,
                  count(*) FILTER (status = 'ESCALATED') AS escalated FROM log_t GROUP BY 1)""",
+    "action_outcome_cube": """
+    SELECT code, channel, level, actions, pending, executed, declined, escalated,
+           floor(pending * 10000 / actions + 0.5) / 10000 AS pending_rate,
+           floor(executed * 10000 / actions + 0.5) / 10000 AS executed_rate,
+           floor(declined * 10000 / actions + 0.5) / 10000 AS declined_rate,
+           floor(escalated * 10000 / actions + 0.5) / 10000 AS escalated_rate
+    FROM (SELECT code, channel, grouping(code, channel) AS level, count(*) AS actions, count(*) FILTER (status = 'PENDING') AS pending,
+                 count(*) FILTER (status = 'EXECUTED') AS executed, count(*) FILTER (status = 'DECLINED') AS declined,
+                 count(*) FILTER (status = 'ESCALATED') AS escalated
+          FROM (SELECT code, status, interaction_type AS channel FROM log_t LEFT JOIN interaction_t USING (interaction_id))
+          GROUP BY CUBE (code, channel))""",
     "quality_report": _quality_sql(),
     "fk_orphans": """
     SELECT 'property' AS child, 'customer_id' AS child_column, count(*) AS orphans FROM property_t
@@ -1198,6 +1209,7 @@ def _search_interactions_sql() -> str:
 # Other plans for large request sides; the results are the same.
 STATEMENTS["text_search_shuffled"] = STATEMENTS["text_search_topk"] = STATEMENTS["stream_text_search"] = STATEMENTS["text_search"]
 STATEMENTS["vector_search_grid"] = STATEMENTS["vector_search"]
+STATEMENTS["stream_risk_alerts_state"] = STATEMENTS["stream_risk_alerts"]
 STATEMENTS["stream_interactions"] = _stream_interactions_sql()
 STATEMENTS["stream_action_log"] = (
     f"SELECT action_id, customer_id, action_taken, status, {stamp('action_timestamp')} AS action_timestamp FROM log_t"
