@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -262,18 +261,17 @@ def substring_search(docs: DataFrame, phrases: list[str] | DataFrame) -> DataFra
     """(phrase, doc_id) of every document containing a phrase, ignoring case.
 
     Phrases are a list or a table with a ``phrase`` column; NULL and empty ones
-    ask for nothing. They are constants of the projection, so each text is lowered and read
-    once and no join is needed. A larger table is cut into several such
-    passes, one per ``PHRASE_CONSTANTS`` phrases.
+    ask for nothing. Those of a short list are constants of the projection, so each text is lowered and read
+    once and no join is needed. Tables and longer lists go through ``phrases.phrase_search``, which reads the texts once too.
     """
+    from .phrases import phrase_search
+
     if isinstance(phrases, DataFrame):
-        asked = phrases.select("phrase").filter("phrase IS NOT NULL AND phrase <> ''").distinct()
-        phrases = [r["phrase"] for r in asked.toLocalIterator()]
+        return phrase_search(docs, phrases)
     phrases = list(dict.fromkeys(p for p in phrases if p))
+    if len(phrases) > PHRASE_CONSTANTS:
+        return phrase_search(docs, docs.sparkSession.createDataFrame([(p,) for p in phrases], "phrase string"))
+    found = [F.when(F.contains(F.col("lowered"), F.lit(p.lower())), F.lit(p)) for p in phrases]
+    listed = F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
     lowered = docs.select("doc_id", F.lower("text").alias("lowered"))
-    passes = []
-    for at in range(0, max(1, len(phrases)), PHRASE_CONSTANTS):
-        found = [F.when(F.contains(F.col("lowered"), F.lit(p.lower())), F.lit(p)) for p in phrases[at : at + PHRASE_CONSTANTS]]
-        listed = F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
-        passes.append(lowered.select("doc_id", F.explode(listed).alias("phrase")))
-    return reduce(DataFrame.unionByName, passes)
+    return lowered.select("doc_id", F.explode(listed).alias("phrase"))

@@ -16,7 +16,7 @@ from ..functions import model_json
 from ..functions.display import title_case
 from ..functions.lexicon import Lexicon
 from ..functions.text import dialogue_turns
-from ..operators import actions, customer360, decide, interactions, policy, quality, risk, search, topk, vector_index
+from ..operators import actions, customer360, decide, interactions, phrases, policy, quality, risk, search, topk, vector_index
 from ..session import shared_folder, written
 from ..sources import sales
 from ..sources.tables import Tables, read_table
@@ -668,6 +668,14 @@ def substring_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(search.substring_search(sales.scan(spark, sf_dir, "documents"), phrases))
 
 
+def phrase_search_large(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A phrase table that grows with the documents: the first four words of every one."""
+    docs = sales.scan(spark, sf_dir, "documents")
+    first = F.slice(F.split("text", " "), 1, 4)
+    table = docs.select(F.when(F.size(first) == 4, F.array_join(first, " ")).alias("phrase")).filter("length(phrase) >= 16")
+    return flat(phrases.phrase_search(docs, table))
+
+
 QUERIES: dict[str, Query] = {
     "customer_360": _tables(customer360.customer_360),
     "customer_360_multi": _pooled(lambda t: customer360.customer_360(t, hot_rows=HOUSEHOLD_HOT)),
@@ -713,6 +721,7 @@ QUERIES: dict[str, Query] = {
     "search_interactions": search_interactions,
     "vector_search_interactions": vector_search_interactions,
     "substring_requests": substring_requests,
+    "phrase_search_large": phrase_search_large,
     "nba_context": nba_context,
     "nba_context_multi": nba_context_multi,
     "nba_prompts": nba_prompts,

@@ -1229,6 +1229,10 @@ STATEMENTS["substring_requests"] = """
     SELECT DISTINCT doc_id, phrase FROM documents JOIN (
       SELECT DISTINCT array_to_string(string_split(text, ' ')[1:3], ' ') AS phrase FROM benchmark WHERE item_id > 0) ON contains(lower(text), lower(phrase))
     WHERE phrase <> ''"""
+STATEMENTS["phrase_search_large"] = """
+    SELECT DISTINCT doc_id, phrase FROM documents JOIN (
+      SELECT DISTINCT phrase FROM (SELECT string_split(text, ' ')[1:4] AS ws, array_to_string(ws, ' ') AS phrase FROM documents)
+      WHERE len(ws) = 4 AND length(phrase) >= 16) ON contains(lower(text), lower(phrase))"""
 
 # The first of every three customers holds the homes and policies of all three.
 POOLED = "c_custkey - (c_custkey - 1) % 3 AS customer_id"
