@@ -74,10 +74,15 @@ def claim_summary(claim: DataFrame) -> DataFrame:
     )
 
 
+def home_keys(risk_history: DataFrame) -> list[str]:
+    """What an assessment has in common with its home; tables that are co-located by customer name that too."""
+    return [c for c in ("customer_id", "property_id") if c in risk_history.columns]
+
+
 def latest_risk(risk_history: DataFrame) -> DataFrame:
     """Newest assessment per property; equal dates go to the larger id."""
     newest = [F.desc("assessment_date"), F.desc("risk_assessment_id")]
-    return top_per_key(risk_history, ["property_id"], newest).drop("rn")
+    return top_per_key(risk_history, home_keys(risk_history), newest).drop("rn")
 
 
 def latest_interaction(interaction: DataFrame) -> DataFrame:
@@ -142,8 +147,9 @@ def customer_360(tables: Tables, holdings: str = "all", hot_rows: int | None = H
         F.col("raw_transcript").alias("last_interaction_transcript"),
         F.col("agent_note").alias("last_interaction_note"),
     )
+    home = home_keys(tables["risk_history"])
     risk = latest_risk(tables["risk_history"]).select(
-        "property_id",
+        *home,
         F.col("flood_risk").alias("current_flood_risk"),
         F.col("fire_risk").alias("current_fire_risk"),
         F.col("earthquake_risk").alias("current_earthquake_risk"),
@@ -165,7 +171,7 @@ def customer_360(tables: Tables, holdings: str = "all", hot_rows: int | None = H
         .join(proposed, "customer_id", "left")
         .join(said, "customer_id", "left")
     )
-    housed = join_repeated(facts, homes.join(risk, "property_id", "left"), "customer_id", "property_id", hot_rows)
+    housed = join_repeated(facts, homes.join(risk, home, "left"), "customer_id", "property_id", hot_rows)
     return (
         join_repeated(housed, current, "customer_id", "policy_id", hot_rows)
         .select(

@@ -10,6 +10,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.schemas import DOMAINS, FOREIGN_KEYS, MAX_LENGTHS, PRIMARY_KEYS
 from ..sources.tables import Tables
@@ -155,12 +156,48 @@ def fk_orphans(tables: Tables) -> DataFrame:
     Children are counted per key first, so a key with very many children costs
     one row in the anti join.
     """
+    return _union([_orphans(tables, *link) for link in FOREIGN_KEYS])
+
+
+def _orphans(tables: Tables, child: str, column: str, parent: str, parent_column: str) -> DataFrame:
+    counted = tables[child].groupBy(F.col(column).alias("key")).agg(F.count("*").alias("n"))
+    parents = tables[parent].select(F.col(parent_column).alias("key"))
+    orphans = counted.join(parents, "key", "left_anti").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("orphans"))
+    return orphans.select(F.lit(child).alias("child"), F.lit(column).alias("child_column"), "orphans")
+
+
+INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+#: Packed keys (64 of neighbouring numbers a row) that may be sent to every task.
+BROADCAST_SLOTS = 1_000_000
+
+
+def packed_keys(parents: DataFrame, column: str) -> DataFrame:
+    """(slot, mask): the whole-number keys of ``parents`` as bits, one row per 64 neighbouring numbers."""
+    key = F.col(column).cast("long")
+    slots = parents.select(F.shiftright(key, 6).alias("slot"), F.expr(f"shiftleft(1L, cast({column} & 63 AS int))").alias("bit"))
+    return slots.filter("slot IS NOT NULL").groupBy("slot").agg(F.bit_or("bit").alias("mask"))
+
+
+def fk_orphans_filtered(tables: Tables, slots: int = BROADCAST_SLOTS) -> DataFrame:
+    """The rows of ``fk_orphans``, without an exchange of the children where parents have whole-number keys.
+
+    The keys of the parents are packed into bits, 64 to a row if they are dense, and sent to the
+    children: a bit says exactly whether a parent is there. (A Bloom filter would not do: what it lets through still has
+    to meet the parents.) Keys of other types, and those too sparse for ``slots`` rows, are compared as in ``fk_orphans``.
+    """
     rows = []
-    for child, column, parent, parent_column in FOREIGN_KEYS:
-        counted = tables[child].groupBy(F.col(column).alias("key")).agg(F.count("*").alias("n"))
-        parents = tables[parent].select(F.col(parent_column).alias("key"))
-        orphans = counted.join(parents, "key", "left_anti").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("orphans"))
-        rows.append(orphans.select(F.lit(child).alias("child"), F.lit(column).alias("child_column"), "orphans"))
+    for link in FOREIGN_KEYS:
+        child, column, parent, parent_column = link
+        kinds = tables[child].schema[column].dataType, tables[parent].schema[parent_column].dataType
+        held = packed_keys(tables[parent], parent_column) if all(isinstance(k, INTEGERS) for k in kinds) else None
+        if held is None or held.limit(slots + 1).count() > slots:
+            rows.append(_orphans(tables, *link))
+            continue
+        key = F.col(column).cast("long")
+        children = tables[child].select(F.shiftright(key, 6).alias("slot"), key.bitwiseAND(F.lit(63)).cast("int").alias("place"))
+        met = children.join(F.broadcast(held), "slot", "left")
+        missing = F.coalesce(F.expr("shiftrightunsigned(mask, place) & 1") == 0, F.lit(True))
+        rows.append(met.agg(F.count_if(missing).alias("orphans")).select(F.lit(child).alias("child"), F.lit(column).alias("child_column"), "orphans"))
     return _union(rows)
 
 

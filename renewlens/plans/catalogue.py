@@ -18,7 +18,7 @@ from ..functions.lexicon import Lexicon
 from ..functions.text import dialogue_turns
 from ..operators import actions, customer360, decide, interactions, phrases, policy, quality, risk, search, topk, vector_index
 from ..session import shared_folder, written
-from ..sources import sales
+from ..sources import bucketed, sales
 from ..sources.tables import Tables, read_table
 from ..streaming import alerts, feeds, segments
 
@@ -648,6 +648,16 @@ def vector_search_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(search.vector_search(vectors, asked, only=F.col("label") < 5))
 
 
+#: Buckets of the registered query; a cluster takes a small multiple of its cores.
+BUCKETS = 32
+
+
+def customer_360_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customer product over tables that were written in buckets by customer."""
+    names = bucketed.write_bucketed(sales.sales_tables(spark, sf_dir), shared_folder(spark, "bucketed"), BUCKETS)
+    return flat(customer360.customer_360(bucketed.read_bucketed(spark, names), hot_rows=None))
+
+
 def vector_search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every twentieth vector asked against an index of all, and whether brute force confirms what was found."""
     corpus = sales.scan(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -679,6 +689,7 @@ def phrase_search_large(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "customer_360": _tables(customer360.customer_360),
     "customer_360_multi": _pooled(lambda t: customer360.customer_360(t, hot_rows=HOUSEHOLD_HOT)),
+    "customer_360_bucketed": customer_360_bucketed,
     "customer_list": _tables(customer360.customer_list),
     "churn_band": _tables(lambda t: customer360.churn_bands(t["customer"])),
     "claim_summary": _tables(lambda t: customer360.claim_summary(t["claim"])),
@@ -738,6 +749,7 @@ QUERIES: dict[str, Query] = {
     "action_outcome_cube": _tables(lambda t: actions.outcome_cube(t["action_log"], t["interaction"])),
     "quality_report": quality_report,
     "fk_orphans": _tables(quality.fk_orphans),
+    "fk_orphans_filtered": _tables(quality.fk_orphans_filtered),
     "stream_interactions": stream_interactions,
     "stream_postings": stream_postings,
     "stream_text_search": stream_text_search,

@@ -1209,6 +1209,8 @@ def _search_interactions_sql() -> str:
 # Other plans for large request sides; the results are the same.
 STATEMENTS["text_search_shuffled"] = STATEMENTS["text_search_topk"] = STATEMENTS["stream_text_search"] = STATEMENTS["text_search"]
 STATEMENTS["vector_search_grid"] = STATEMENTS["vector_search"]
+STATEMENTS["customer_360_bucketed"] = STATEMENTS["customer_360"]
+STATEMENTS["fk_orphans_filtered"] = STATEMENTS["fk_orphans"]
 STATEMENTS["stream_risk_alerts_state"] = STATEMENTS["stream_risk_alerts"]
 STATEMENTS["stream_interactions"] = _stream_interactions_sql()
 STATEMENTS["stream_action_log"] = (
