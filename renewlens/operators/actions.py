@@ -74,12 +74,13 @@ def last_numbers(action_log: DataFrame) -> DataFrame:
     return numbered.groupBy("second").agg(F.max("number").alias("last"))
 
 
-def with_action_ids(rows: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+def with_action_ids(rows: DataFrame, existing: DataFrame | None = None, writer: int = 0, writers: int = 1) -> DataFrame:
     """Add ``action_id`` = ACT-yyyyMMdd-HHmmss-nnn, numbered within a second.
 
     Numbers go on after the largest one that the ``existing`` log holds for the
-    second, so batches of one second do not repeat ids. One writer numbers at a
-    time; a batch that failed before its append is simply numbered again. A
+    second, so batches of one second do not repeat ids. Several writers at once each take numbers of their own:
+    number ``writer`` of ``writers`` (0 first) uses every ``writers``-th, so ids differ though neither sees what the other
+    is about to append. A batch that failed before its append is simply numbered again. A
     batch usually shares one second, so numbering a second in one window would
     run in one task. Rows are numbered within 4,096 hash buckets instead, and
     each bucket starts where the ones before it end. ``rows`` are read twice and
@@ -94,13 +95,13 @@ def with_action_ids(rows: DataFrame, existing: DataFrame | None = None) -> DataF
     starts = counts.select("second", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     if existing is not None:
         starts = starts.join(last_numbers(existing), "second", "left").select(
-            "second", "bucket", (F.col("start") + F.coalesce("last", F.lit(0))).alias("start")
+            "second", "bucket", (F.col("start") + F.coalesce(F.ceil(F.col("last") / writers), F.lit(0))).alias("start")
         )
     inside = Window.partitionBy("second", "bucket").orderBy("customer_id", "interaction_id", "action_taken")
     numbered = (
         stamped.withColumn("place", F.row_number().over(inside))
         .join(starts, ["second", "bucket"])
-        .withColumn("number", (F.col("start") + F.col("place")).cast("string"))
+        .withColumn("number", ((F.col("start") + F.col("place") - 1) * writers + writer + 1).cast("string"))
     )
     number = F.when(F.length("number") < 3, F.lpad("number", 3, "0")).otherwise(F.col("number"))
     return numbered.withColumn("action_id", F.concat_ws("-", F.lit("ACT"), "second", number)).drop(
@@ -109,14 +110,18 @@ def with_action_ids(rows: DataFrame, existing: DataFrame | None = None) -> DataF
 
 
 def validate_actions(
-    requested: DataFrame, customer: DataFrame, as_of: Column | None = None, existing: DataFrame | None = None
+    requested: DataFrame, customer: DataFrame, as_of: Column | None = None, existing: DataFrame | None = None,
+    writer: int = 0, writers: int = 1,
 ) -> DataFrame:
     """Requests with ``accepted`` set, and id and timestamp on the accepted ones.
 
     The time is fixed when this is called, and the result is written to the
     shared folder: rows to log and confirmations come from the same ids. Pass
-    the log that will be appended to as ``existing``.
+    the log that will be appended to as ``existing``; where several jobs append
+    at once, each names its ``writer`` number out of ``writers``.
     """
+    if not 0 <= writer < writers:
+        raise ValueError("writer must be from 0 to writers - 1")
     if as_of is None:
         as_of = F.lit(datetime.now(timezone.utc).replace(tzinfo=None, microsecond=0).isoformat()).cast("timestamp_ntz")
     known = customer.select("customer_id").distinct().withColumn("accepted", F.lit(True))
@@ -126,7 +131,7 @@ def validate_actions(
         .withColumn("action_timestamp", F.when(F.col("accepted"), as_of)),
         "actions-asked",
     )
-    accepted = with_action_ids(checked.filter("accepted"), existing)
+    accepted = with_action_ids(checked.filter("accepted"), existing, writer, writers)
     return written(accepted.unionByName(checked.filter("NOT accepted"), allowMissingColumns=True), "actions-checked")
 
 

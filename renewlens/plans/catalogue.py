@@ -7,6 +7,7 @@ boolean columns so that they can be compared with SQL value by value.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +20,10 @@ from ..functions.text import dialogue_turns
 from ..operators import actions, customer360, decide, interactions, phrases, policy, quality, risk, search, topk, vector_index
 from ..session import shared_folder, written
 from ..sources import bucketed, sales
-from ..sources.tables import Tables, read_table
+from ..sources.schemas import PRIMARY_KEYS
+from ..sources.tables import (
+    Tables, append_rows, conform, from_documents, literal_rows, read_table, replace_table, to_documents,
+)
 from ..streaming import alerts, feeds, segments
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -512,6 +516,92 @@ def action_log_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def action_log_writers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three jobs that number their actions at the same time, before any of them appends; then one more."""
+    root, customer = shared_folder(spark, "log"), sales.customers(spark, sf_dir)
+    key = F.col("customer_id")
+    asked = requested_ids(spark, sf_dir).select(
+        key, key.alias("interaction_id"), F.lit("{}").alias("recommended_action"), F.lit("Call").alias("action_taken"), F.lit("PENDING").alias("status"),
+    )
+    as_of = F.timestamp_seconds(F.lit(1709251200) + key % 3).cast("timestamp_ntz")
+    part = lambda n: asked.filter(F.pmod(key, F.lit(4)) == n)
+    for checked in [actions.validate_actions(part(n), customer, as_of, writer=n, writers=3) for n in range(3)]:
+        actions.append_actions(checked, root)
+    actions.append_actions(actions.validate_actions(part(3), customer, as_of, read_table(spark, root, "action_log")), root)
+    log = read_table(spark, root, "action_log")
+    return flat(
+        log.groupBy("action_timestamp").agg(F.count("*").alias("actions"), F.countDistinct("action_id").alias("ids"), F.countDistinct("customer_id").alias("customers"))
+    )
+
+
+def tables_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every table written in part, replaced as a whole out of itself and its rest, appended to, and read back: rows and keys."""
+    root, out = shared_folder(spark, "tables"), []
+    for name, df in sales.sales_tables(spark, sf_dir).items():
+        first = PRIMARY_KEYS[name][0]
+        if name == "risk_history":  # scores made from amounts are wider than the contract's
+            df = df.withColumn("overall_risk_score", F.col("overall_risk_score") % 10)
+        part = F.pmod(F.xxhash64(F.col(first).cast("string")), F.lit(3))
+        replace_table(df.filter(part == 0), root, name)
+        replace_table(read_table(spark, root, name).unionByName(conform(df.filter(part == 1), name)), root, name)
+        append_rows(df.filter(part == 2), root, name)
+        back = read_table(spark, root, name)
+        keys = [F.countDistinct(*PRIMARY_KEYS[name]).alias("keys"), F.min(first).alias("first_key"), F.max(first).alias("last_key")]
+        out.append(back.agg(F.count("*").alias("n"), *keys).select(F.lit(name).alias("name"), "*"))
+    return flat(reduce(DataFrame.unionByName, out))
+
+
+def literal_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows given as literals, by position and by name, added to the customers."""
+    root = shared_folder(spark, "literals")
+    replace_table(sales.customers(spark, sf_dir), root, "customer")
+    append_rows(literal_rows(spark, "customer", [("L1", "By position", 41, "3.5", "120.25", "GOOD", "0.50")]), root, "customer")
+    append_rows(literal_rows(spark, "customer", [("By name", "L2")], ["name", "customer_id"]), root, "customer")
+    return flat(read_table(spark, root, "customer").select("customer_id", "name", "age", "churn_risk_score", "payment_history"))
+
+
+def customer_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as JSON documents and back to columns."""
+    customer = sales.customers(spark, sf_dir)
+    fields = ["customer_id", "name", "churn_risk_score", "payment_history"]
+    packed = to_documents(customer.select("customer_id", F.struct(*fields).alias("doc")), "doc", "customer_id")
+    back = from_documents(packed, "doc", customer.select(*fields).schema)
+    return flat(back.select("doc.*"))
+
+
+def newest_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hundred newest actions of all, numbered in their order."""
+    history = actions.action_history(sales.action_log(spark, sf_dir), sales.customers(spark, sf_dir))
+    top = actions.newest_first(history).limit(100)
+    return flat(top.select("action_id", "customer_id", "status", "action_timestamp"))
+
+
+def default_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flat(decide.default_requests(customer360.customer_360(sales.sales_tables(spark, sf_dir))))
+
+
+def current_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Actions that take the present time: all the same second, within an hour of now."""
+    asked = requested_ids(spark, sf_dir).select(
+        "customer_id", F.col("customer_id").alias("interaction_id"), F.lit("{}").alias("recommended_action"),
+        F.lit("Call the customer back about the renewal").alias("action_taken"), F.lit("PENDING").alias("status"),
+    )
+    checked = actions.validate_actions(asked, sales.customers(spark, sf_dir)).filter("accepted")
+    off = F.abs(F.unix_timestamp(F.current_timestamp()) - F.unix_timestamp(F.col("action_timestamp").cast("timestamp")))
+    return flat(
+        checked.select("customer_id", (off < 3600).alias("is_now"), actions.action_text(F.col("status"), F.lit("x"), F.col("action_taken"), length=8).alias("short_text"))
+    )
+
+
+def applied_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's model over all documents, here one that counts characters; what one run has scored the next leaves alone."""
+    texts = sales.scan(spark, sf_dir, "documents").select(F.col("doc_id").alias("interaction_id"), "text")
+    model = lambda frame: frame[["interaction_id"]].assign(characters=frame["text"].fillna("").str.len())
+    apply = lambda df, **more: interactions.apply_model(df, model, "interaction_id long, characters long", "v1", **more)
+    first = written(apply(texts.filter(F.length("text") < 2000)), "scored")
+    return flat(first.unionByName(apply(texts, done=first)))
+
+
 def action_log_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(actions.log_results(_validated(spark, sf_dir)))
 
@@ -743,6 +833,14 @@ QUERIES: dict[str, Query] = {
     "action_log_append": action_log_append,
     "action_log_results": action_log_results,
     "action_log_batches": action_log_batches,
+    "action_log_writers": action_log_writers,
+    "tables_replaced": tables_replaced,
+    "literal_customers": literal_customers,
+    "customer_documents": customer_documents,
+    "newest_actions": newest_actions,
+    "default_requests": default_requests,
+    "current_time": current_time,
+    "applied_model": applied_model,
     "action_history": _tables(lambda t: actions.action_history(t["action_log"], t["customer"]).drop("recommended_action")),
     "action_history_top10": _tables(lambda t: actions.recent_actions(t["action_log"], t["customer"])),
     "action_outcomes": _tables(lambda t: actions.action_outcomes(t["action_log"])),

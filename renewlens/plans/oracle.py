@@ -1209,6 +1209,31 @@ def _search_interactions_sql() -> str:
 # Other plans for large request sides; the results are the same.
 STATEMENTS["text_search_shuffled"] = STATEMENTS["text_search_topk"] = STATEMENTS["stream_text_search"] = STATEMENTS["text_search"]
 STATEMENTS["vector_search_grid"] = STATEMENTS["vector_search"]
+STATEMENTS["action_log_writers"] = """
+    SELECT '2024-03-01 00:00:0' || customer_id % 3 || '.000000' AS action_timestamp, count(*) AS actions, count(*) AS ids,
+           count(DISTINCT customer_id) AS customers
+    FROM requested_t JOIN customer_t USING (customer_id) GROUP BY 1"""
+STATEMENTS["tables_replaced"] = " UNION ALL ".join(
+    f"SELECT '{name}' AS name, count(*) AS n, count(DISTINCT ({keys})) AS keys, min(CAST({keys.split(',')[0]} AS VARCHAR)) AS first_key, "
+    f"max(CAST({keys.split(',')[0]} AS VARCHAR)) AS last_key FROM {table}"
+    for name, table, keys in (
+        ("customer", "customer_t", "customer_id"), ("property", "property_t", "property_id"),
+        ("policy_version", "policy_version_t", "policy_id, policy_version"), ("risk_history", "risk_t", "risk_assessment_id"),
+        ("claim", "claim_t", "claim_id"), ("interaction", "interaction_t", "interaction_id"), ("action_log", "log_t", "action_id"),
+    )
+)
+STATEMENTS["literal_customers"] = """
+    SELECT CAST(customer_id AS VARCHAR) AS customer_id, name, CAST(age AS BIGINT) AS age, CAST(churn_risk_score AS DOUBLE) AS churn_risk_score,
+           payment_history FROM customer_t
+    UNION ALL SELECT 'L1', 'By position', 41, 0.5, 'GOOD' UNION ALL SELECT 'L2', 'By name', NULL, NULL, NULL"""
+STATEMENTS["customer_documents"] = "SELECT customer_id, name, CAST(churn_risk_score AS DOUBLE) AS churn_risk_score, payment_history FROM customer_t"
+STATEMENTS["newest_actions"] = f"""
+    SELECT action_id, customer_id, status, {stamp('action_timestamp')} AS action_timestamp FROM log_t JOIN customer_t USING (customer_id)
+    ORDER BY log_t.action_timestamp DESC, action_id DESC LIMIT 100"""
+STATEMENTS["default_requests"] = "SELECT DISTINCT customer_id, last_interaction_id AS interaction_id FROM c360_t"
+STATEMENTS["current_time"] = """
+    SELECT customer_id, TRUE AS is_now, 'Call the' AS short_text FROM requested_t JOIN customer_t USING (customer_id)"""
+STATEMENTS["applied_model"] = "SELECT doc_id AS interaction_id, coalesce(length(text), 0) AS characters, 'v1' AS model_version FROM documents"
 STATEMENTS["customer_360_bucketed"] = STATEMENTS["customer_360"]
 STATEMENTS["fk_orphans_filtered"] = STATEMENTS["fk_orphans"]
 STATEMENTS["stream_risk_alerts_state"] = STATEMENTS["stream_risk_alerts"]

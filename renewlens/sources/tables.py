@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,9 +16,25 @@ from .schemas import SCHEMAS
 Tables = Mapping[str, DataFrame]
 
 
+POINTERS = "_versions"
+
+
+def table_folder(spark: SparkSession, root: str, name: str) -> str:
+    """Where the present version of a table lies: what the newest pointer names, or the plain folder if it was never replaced."""
+    root = root.rstrip("/")
+    pointers = spark.read.schema("name string, version long, folder string").parquet
+    try:
+        newest = pointers(f"{root}/{POINTERS}").filter(F.col("name") == name).agg(F.max(F.struct("version", "folder"))).first()[0]
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        newest = None
+    return f"{root}/{newest['folder'] if newest else name}"
+
+
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """Scan one table with its declared schema (no inference pass)."""
-    return spark.read.schema(SCHEMAS[name]).parquet(f"{root.rstrip('/')}/{name}")
+    return spark.read.schema(SCHEMAS[name]).parquet(table_folder(spark, root, name))
 
 
 def read_tables(spark: SparkSession, root: str) -> Tables:
@@ -48,13 +67,28 @@ def conform(df: DataFrame, name: str) -> DataFrame:
 
 
 def replace_table(df: DataFrame, root: str, name: str) -> None:
-    """Create or replace a table."""
-    conform(df, name).write.mode("overwrite").parquet(f"{root.rstrip('/')}/{name}")
+    """Create or replace a table, also from rows of the table itself.
+
+    The new version is written beside the old one; then a pointer to it is added in one small file.
+    Readers see the old or the new table and never a gap, those that read already go
+    on with what they opened, and a job that is lost leaves the old table. Of two replacements at the same time one
+    wins. Old versions stay on disk.
+    """
+    spark, root = df.sparkSession, root.rstrip("/")
+    folder = f"{name}-{uuid.uuid4().hex}"
+    conform(df, name).write.parquet(f"{root}/{folder}")
+    present = table_folder(spark, root, name).rsplit("/", 1)[1]
+    version = 0
+    if present != name:
+        pointers = spark.read.schema("name string, version long, folder string").parquet(f"{root}/{POINTERS}")
+        version = pointers.filter(F.col("name") == name).agg(F.max("version")).first()[0]
+    pointer = spark.createDataFrame([(name, version + 1, folder)], "name string, version long, folder string")
+    pointer.coalesce(1).write.mode("append").parquet(f"{root}/{POINTERS}")
 
 
 def append_rows(df: DataFrame, root: str, name: str) -> None:
-    """Append rows by column name."""
-    conform(df, name).write.mode("append").parquet(f"{root.rstrip('/')}/{name}")
+    """Append rows by column name to the present version of a table."""
+    conform(df, name).write.mode("append").parquet(table_folder(df.sparkSession, root, name))
 
 
 def literal_rows(

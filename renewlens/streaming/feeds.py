@@ -125,20 +125,6 @@ def latest_risk_alerts(spark: SparkSession, out: str) -> DataFrame:
     return top_per_key(changes, ["property_id"], [F.desc("seen_in")]).drop("rn", "seen_in", "assessments")
 
 
-def hourly_status_feed(
-    actions: DataFrame, out: str, checkpoint: str, delay: str = "10 minutes", every: str | None = None
-) -> StreamingQuery:
-    """Logged actions per hour and status; an hour is written once the watermark has passed it."""
-    counted = (
-        event_time(actions.select("action_timestamp", "status"), "action_timestamp")
-        .withWatermark("action_timestamp", delay)
-        .groupBy(F.window("action_timestamp", "1 hour"), "status")
-        .agg(F.count("*").alias("actions"))
-        .select(F.col("window.start").alias("hour"), "status", "actions")
-    )
-    return _start(counted.writeStream.outputMode("append").format("parquet").option("path", out), checkpoint, every)
-
-
 def hourly_counts_feed(actions: DataFrame, out: str, checkpoint: str, every: str | None = None) -> StreamingQuery:
     """Logged actions per hour and status, added up batch by batch.
 

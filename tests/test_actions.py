@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from renewlens.operators import actions, decide
@@ -125,3 +126,21 @@ def test_scores_against_plain_python(spark):
             expected.append((not supported[code](f), -sum(points), code))
         assert [(c.unsupported, c.place, c.code) for c in row.candidates] == sorted(expected)
         assert not row.candidates[0].unsupported
+
+
+def test_writers_at_once_take_different_numbers(spark, tables):
+    """Neither sees what the other is about to append; a later single writer goes on after both."""
+    asked = spark.range(30).selectExpr(
+        "concat('C', lpad(cast(id % 12 + 1 AS string), 3, '0')) AS customer_id", "cast(id AS string) AS interaction_id",
+        "'{}' AS recommended_action", "'call' AS action_taken", "'PENDING' AS status",
+    )
+    at = F.lit("2026-01-01 00:00:00").cast("timestamp_ntz")
+    parts = [actions.validate_actions(asked.filter(F.col("interaction_id").cast("int") % 2 == n), tables["customer"], at, writer=n, writers=2) for n in (0, 1)]
+    log = actions.log_rows(parts[0]).unionByName(actions.log_rows(parts[1]))
+    later = actions.log_rows(actions.validate_actions(asked.limit(4), tables["customer"], at, existing=log))
+    ids = [r["action_id"] for r in log.collect()]
+    numbers = sorted(int(i.split("-")[3]) for i in ids)
+    assert len(set(ids)) == len(ids) == 30 and numbers == list(range(1, 31))
+    assert min(int(r["action_id"].split("-")[3]) for r in later.collect()) == 31
+    with pytest.raises(ValueError):
+        actions.validate_actions(asked, tables["customer"], at, writer=2, writers=2)

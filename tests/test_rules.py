@@ -19,7 +19,7 @@ from renewlens.operators.customer360 import (
     latest_interaction,
     latest_risk,
 )
-from renewlens.sources.tables import append_rows, conform, literal_rows, read_table, replace_table
+from renewlens.sources.tables import append_rows, conform, literal_rows, read_table, replace_table, table_folder
 
 
 def graded(spark, pairs, field):
@@ -264,3 +264,18 @@ def test_severity_matches_plain_arithmetic(spark, pairs):
         return "MINOR" if old != new else "UNCHANGED"
 
     assert graded(spark, pairs, "flood_cov") == [plain(a, b) for a, b in pairs]
+
+
+def test_a_failing_replacement_leaves_the_table(spark, tables, tmp_path):
+    root = str(tmp_path)
+    replace_table(tables["claim"], root, "claim")
+    opened = read_table(spark, root, "claim")
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        replace_table(tables["claim"].withColumn("claim_date", F.concat(F.lit("2024-13-"), F.col("claim_id"))), root, "claim")
+    whole = tables["claim"].count()
+    assert read_table(spark, root, "claim").count() == whole
+    # from rows of the table itself; who had opened the old one reads on
+    replace_table(read_table(spark, root, "claim").limit(2), root, "claim")
+    append_rows(tables["claim"].limit(1), root, "claim")
+    assert read_table(spark, root, "claim").count() == 3 and opened.count() == whole
+    assert len({table_folder(spark, root, n) for n in ("claim", "customer")}) == 2

@@ -87,26 +87,6 @@ def test_postings_match_the_batch_index(spark, tmp_path):
     assert sorted(spark.read.parquet(out).select(batch.columns).collect()) == sorted(batch.collect())
 
 
-def test_hours_are_written_when_closed(spark, tmp_path):
-    start = dt.datetime(2026, 1, 1)
-    df = spark.createDataFrame(
-        [(start + dt.timedelta(minutes=7 * i), "PENDING" if i % 3 else "EXECUTED") for i in range(100)],
-        "action_timestamp timestamp_ntz, status string",
-    )
-    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
-    drip(df, folder, ["action_timestamp < '2026-01-01 06:00:00'", "action_timestamp >= '2026-01-01 06:00:00'"])
-    feeds.hourly_status_feed(source(spark, folder, df.schema), out, str(tmp_path / "ck")).awaitTermination()
-    closed = start + dt.timedelta(minutes=7 * 99 - 10)
-    expected = {}
-    for i in range(100):
-        hour = (start + dt.timedelta(minutes=7 * i)).replace(minute=0)
-        if hour + dt.timedelta(hours=1) <= closed:
-            key = (hour, "PENDING" if i % 3 else "EXECUTED")
-            expected[key] = expected.get(key, 0) + 1
-    got = {(r.hour.replace(tzinfo=None), r.status): r.actions for r in spark.read.parquet(out).collect()}
-    assert got == expected
-
-
 def test_an_agents_words_do_not_raise_churn(spark, tmp_path):
     text = "Agent: Do you want to cancel or switch to a competitor?\nCustomer: No, thanks, all is well."
     df = spark.createDataFrame([(1, dt.datetime(2026, 1, 1), text)], "interaction_id long, interaction_timestamp timestamp_ntz, text string")
