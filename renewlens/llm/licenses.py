@@ -55,6 +55,30 @@ SENTENCES = {
         "implied warranty of merchantability or fitness for a particular purpose"
     ),
     "gpl-details": "see the gnu general public license for more details",
+    "gpl2-free": (
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general "
+        "public license as published by the free software foundation either version 2 of the license or at your "
+        "option any later version"
+    ),
+    "gpl2-spdx": "spdx license identifier gpl 2 0 only",
+    "gpl2-later-spdx": "spdx license identifier gpl 2 0 or later",
+    "lgpl-free": (
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general "
+        "public license as published by the free software foundation either version 2 1 of the license or at your "
+        "option any later version"
+    ),
+    "lgpl-hope": (
+        "this library is distributed in the hope that it will be useful but without any warranty without even the "
+        "implied warranty of merchantability or fitness for a particular purpose"
+    ),
+    "lgpl-details": "see the gnu lesser general public license for more details",
+    "lgpl-later-spdx": "spdx license identifier lgpl 2 1 or later",
+    "cc0-extent": (
+        "to the extent possible under law the author s have dedicated all copyright and related and neighboring rights "
+        "to this software to the public domain worldwide"
+    ),
+    "cc0-waived": "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
+    "cc0-spdx": "spdx license identifier cc0 1 0",
     "cc-by-nc-short": "licensed under cc by nc 4 0",
     "cc-by-nc-spdx": "spdx license identifier cc by nc 4 0",
     "cc-by-nc-work": "this work is licensed under a creative commons attribution noncommercial 4 0 international license",
@@ -100,6 +124,14 @@ RULES = (
     ("GPL-3.0", "copyleft", ("gpl3-spdx",)),
     ("GPL-3.0-or-later", "copyleft", ("gpl3-later-spdx",)),
     ("GPL-3.0-or-later", "copyleft", ("gpl-free", "gpl-hope", "gpl-details")),
+    ("GPL-2.0", "copyleft", ("gpl2-spdx",)),
+    ("GPL-2.0-or-later", "copyleft", ("gpl2-later-spdx",)),
+    ("GPL-2.0-or-later", "copyleft", ("gpl2-free", "gpl-hope", "gpl-details")),
+    ("LGPL-2.1-or-later", "copyleft", ("lgpl-later-spdx",)),
+    ("LGPL-2.1-or-later", "copyleft", ("lgpl-free", "lgpl-hope", "lgpl-details")),
+    ("CC0-1.0", "permissive", ("cc0-spdx",)),
+    ("CC0-1.0", "permissive", ("cc0-extent",)),
+    ("CC0-1.0", "permissive", ("cc0-waived",)),
     ("CC-BY-NC-4.0", "noncommercial", ("cc-by-nc-short",)),
     ("CC-BY-NC-4.0", "noncommercial", ("cc-by-nc-spdx",)),
     ("CC-BY-NC-4.0", "noncommercial", ("cc-by-nc-work",)),
@@ -150,7 +182,7 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``license_sentences`` and ``licenses`` (sorted, distinct) and ``license_class``.
 
     ``license_class`` is the strictest class found: restricted, noncommercial,
-    copyleft, permissive, or none. NULL, empty and other texts without a known
+    copyleft, permissive, or none. A reservation of all rights makes a text restricted only if no other licence is found. NULL, empty and other texts without a known
     sentence have empty arrays. Whole texts are read; repeated sentences count
     as often as they stand. All columns and rows stay; an added column replaces
     one of the same name.
@@ -166,6 +198,9 @@ def scan_licenses(docs: DataFrame, text: str = "text") -> DataFrame:
     some = F.array_compact(F.array(*[F.when(holds, F.lit(name)) for name, holds in names.items()]))
     for strong, weak in STRONGER.items():
         some = F.when(names[strong], F.array_remove(some, weak)).otherwise(some)
+    # "all rights reserved" stands in the notices of open licences too: it says something only where it stands alone
+    for name in dict.fromkeys(n for n, kind, _ in RULES if kind == "restricted"):
+        some = F.when(F.size(some) > 1, F.array_remove(some, name)).otherwise(some)
     out = out.withColumn("licenses", F.when(F.size("license_sentences") > 0, F.array_sort(some)).otherwise(F.array().cast("array<string>")))
     held = {c: [n for n, k, _ in RULES if k == c] for c in ("restricted", "noncommercial", "copyleft", "permissive")}
     strictest = F.lit("none")
@@ -187,39 +222,52 @@ def op4_licenses(spark, sf_dir: str) -> DataFrame:
     )
 
 
-def _op4_sql() -> str:
+def _op4_sql(source: str = "documents") -> str:
+    """The same rules over lists: a hard end cuts a text into units, a soft one a unit into parts; a known sentence is a run of parts."""
     known = ", ".join(f"('{sentence}', '{name}')" for name, sentence in SENTENCES.items())
-    reading = lambda name, text, ends: f"""
-{name}_at AS (
-  SELECT doc_id, i, trim(regexp_replace(lower(ps[i]), '[^a-z0-9]+', ' ', 'g')) AS s FROM (
-    SELECT doc_id, ps, unnest(generate_series(1, len(ps))) AS i FROM (
-      SELECT doc_id, string_split_regex({text}, '{ends}') AS ps FROM documents WHERE text IS NOT NULL))
-), {name} AS (
-  SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY i) AS ids FROM {name}_at JOIN known USING (s) GROUP BY doc_id
-)"""
-    # without a look-ahead the sentence end takes the blank with it
-    ends = r"[.!?:;]+(?:[\x20\t\r]|$)"
-    flat = r"regexp_replace(text, '[\x20\t]*\r?\n[\x20\t]*', ' ', 'g')"
     rules = ", ".join(f"('{n}', '{c}', '{_rule_pattern(s)}')" for n, c, s in RULES)
+    swap = lambda text, pattern, by: f"regexp_replace({text}, '{pattern}', '{by}', 'g')"
+    # without look-arounds a match takes its neighbours along, so each replacement is made twice
+    twice = lambda text, pattern, by: swap(swap(text, pattern, by), pattern, by)
+    plain = twice("lower(translate(text, '|/', '__'))", r"(^|[^a-z0-9])v\.([\x20\t\r\n][^a-z0-9.!?:;]*[0-9])", r"\1v\2")
+    soft = swap(twice(plain, r"(^|[^.!?:;])[:;]+([\x20\t\r\n]|$)", r"\1/\2"), r"[\r\n]+", "/")
+    hard = twice(soft, r"(^|[^.!?:;])[.!?:;]+([\x20\t/]|$)", r"\1|\2")
+    stronger = " OR ".join(
+        f"(license = '{weak}' AND EXISTS (SELECT 1 FROM held o WHERE o.doc = h.doc AND o.license = '{strong}'))" for strong, weak in STRONGER.items()
+    )
     return f"""
-WITH known(s, id) AS (VALUES {known}), rule(license, class, pattern) AS (VALUES {rules}),
-{reading("lines", "text", ends + r"|[\r\n]+")}, {reading("wrapped", flat, ends)}, found AS (
-  SELECT doc_id, CASE WHEN coalesce(w.n, 0) > coalesce(l.n, 0) THEN w.n ELSE l.n END AS n,
-         CASE WHEN coalesce(w.n, 0) > coalesce(l.n, 0) THEN w.ids ELSE l.ids END AS ids
-  FROM lines l FULL JOIN wrapped w USING (doc_id)
-), held AS (
-  SELECT DISTINCT doc_id, license, class FROM found, rule WHERE regexp_matches('>' || replace(ids, ',', '>') || '>', pattern)
+WITH RECURSIVE known(s, id) AS (VALUES {known}), rule(license, class, pattern) AS (VALUES {rules}),
+doc_ AS (SELECT row_number() OVER () AS doc, doc_id, text FROM {source}),
+unit AS (
+  SELECT doc, u, list_filter(list_transform(string_split(units[u], '/'), lambda x: trim(regexp_replace(x, '[^a-z0-9]+', ' ', 'g'))), lambda x: x <> '') AS parts
+  FROM (SELECT doc, units, unnest(range(1, len(units) + 1)) AS u FROM (SELECT doc, string_split({hard}, '|') AS units FROM doc_ WHERE text IS NOT NULL))
+), start_ AS (SELECT doc, u, parts, unnest(range(1, len(parts) + 1)) AS i FROM unit),
+run AS (
+  SELECT doc, u, i, unnest(range(i, least(len(parts), i + {max(len(x.split()) for x in SENTENCES.values())}) + 1)) AS j, parts FROM start_
+  WHERE EXISTS (SELECT 1 FROM known WHERE starts_with(s, parts[i]))
+), hit AS (
+  SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY u, i) AS n, u, i, j, id FROM (
+    SELECT doc, u, i, j, id FROM run JOIN known ON s = array_to_string(parts[i:j], ' ')
+    QUALIFY row_number() OVER (PARTITION BY doc, u, i ORDER BY j) = 1)
+), taken AS (
+  SELECT doc, n, u, j, id FROM hit WHERE n = 1
+  UNION ALL SELECT hit.doc, hit.n, hit.u, hit.j, hit.id FROM taken JOIN hit ON hit.doc = taken.doc
+    AND hit.n = (SELECT min(h.n) FROM hit h WHERE h.doc = taken.doc AND (h.u, h.i) > (taken.u, taken.j))
+), found AS (SELECT doc, count(*) AS n, string_agg(id, ',' ORDER BY n) AS ids FROM taken GROUP BY doc),
+held AS (
+  SELECT DISTINCT doc, license, class FROM found, rule WHERE regexp_matches('>' || replace(ids, ',', '>') || '>', pattern)
 ), kept AS (
-  SELECT * FROM held h WHERE NOT (license = 'BSD-2-Clause' AND EXISTS (SELECT 1 FROM held o WHERE o.doc_id = h.doc_id AND o.license = 'BSD-3-Clause'))
+  SELECT * FROM held h WHERE NOT ({stronger})
+    AND NOT (class = 'restricted' AND EXISTS (SELECT 1 FROM held o WHERE o.doc = h.doc AND o.class <> 'restricted'))
 ), per AS (
-  SELECT doc_id, string_agg(license, ',' ORDER BY license) AS licenses,
+  SELECT doc, string_agg(license, ',' ORDER BY license) AS licenses,
     CASE WHEN bool_or(class = 'restricted') THEN 'restricted' WHEN bool_or(class = 'noncommercial') THEN 'noncommercial'
          WHEN bool_or(class = 'copyleft') THEN 'copyleft' ELSE 'permissive' END AS class
-  FROM kept GROUP BY doc_id
+  FROM kept GROUP BY doc
 )
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_sentences, coalesce(ids, '') AS sentence_ids, coalesce(licenses, '') AS licenses,
        coalesce(class, 'none') AS license_class
-FROM documents LEFT JOIN found USING (doc_id) LEFT JOIN per USING (doc_id)"""
+FROM doc_ LEFT JOIN found USING (doc) LEFT JOIN per USING (doc)"""
 
 
 OP4_SQL = _op4_sql()

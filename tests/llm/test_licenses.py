@@ -128,3 +128,57 @@ BY_LINE, BY_WRAP = "Licensed under CC BY-NC 4.0\nown words. ", "This work is lic
 def test_both_readings_count(make, text, found, sentences):
     got = one(make, text)
     assert (got[0], got[2]) == (found, sentences)
+
+
+BSD_HEADER = """Copyright (c) 2011, The Authors. All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+ * Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+ * Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+ * Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software without
+   specific prior written permission.
+"""
+LGPL_HEADER = GPL_HEADER.replace("This program", "This library").replace("GNU General", "GNU Lesser General").replace("version 3", "version 2.1")
+CC0_NOTICE = """To the extent possible under law, the author(s) have dedicated all copyright
+and related and neighboring rights to this software to the public domain
+worldwide. This software is distributed without any warranty.
+"""
+HEADERS = (
+    (BSD_HEADER, ["BSD-3-Clause"], "permissive"),
+    ("Copyright 2020 A. All rights reserved.\n" + APACHE_HEADER, ["Apache-2.0"], "permissive"),
+    (GPL_HEADER.replace("version 3", "version 2"), ["GPL-2.0-or-later"], "copyleft"),
+    (LGPL_HEADER, ["LGPL-2.1-or-later"], "copyleft"),
+    (CC0_NOTICE, ["CC0-1.0"], "permissive"),
+    ("(c) 2020 Somebody.\nAll rights reserved.\nDo not copy.", ["proprietary"], "restricted"),
+    (GPL_HEADER, ["GPL-3.0-or-later"], "copyleft"),
+    (MPL_HEADER, ["MPL-2.0"], "copyleft"),
+)
+
+
+@pytest.mark.parametrize("text, found, kind", HEADERS)
+def test_official_headers(make, text, found, kind):
+    assert one(make, text)[:2] == (found, kind)
+
+
+def test_sql_says_the_same(make):
+    """Headers as they are, on one line, with other ends, one after the other, and next to every known sentence."""
+    import duckdb
+
+    texts = [t for t, _, _ in HEADERS] + [t.replace("\n", " ") for t, _, _ in HEADERS] + [t.replace("\n", "\r\n") for t, _, _ in HEADERS]
+    texts += [BY_LINE + BY_WRAP, BY_WRAP + "\n" + BY_LINE, "Released under the\nMIT License.", "a|b/c: Released under the MIT License.", "x. ; Released under the MIT License"]
+    texts += ["Licensed under the Apache License, Version 2.0\nthe license", "SPDX-License-Identifier: MIT", "License: MIT License: ; MIT License", "", None, "...", "Released under the MIT License" * 2]
+    texts += [f"so. {s.capitalize()}: {t}; {s}\n{s}!" for s, t in zip(licenses.SENTENCES.values(), [*licenses.SENTENCES.values()][7:])]
+    texts += ["\n".join(t for t, _, _ in HEADERS)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE texts (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO texts VALUES (?, ?)", list(enumerate(texts)))
+    expected = {r[0]: r[1:] for r in con.execute(licenses._op4_sql("texts")).fetchall()}
+    for r in licenses.scan_licenses(make(*texts)).collect():
+        got = len(r["license_sentences"]), ",".join(r["license_sentences"]), ",".join(r["licenses"]), r["license_class"]
+        assert got == expected[r["doc_id"]], texts[r["doc_id"]]
