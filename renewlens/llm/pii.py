@@ -5,17 +5,20 @@ the text at them: the pieces between the matches and the matches themselves
 alternate, so running sums of their lengths are the code point positions.
 Patterns are written without backtracking over long runs (possessive
 quantifiers, starts only where a run or the previous match ends); they match
-exactly what the plain forms in ``KINDS`` would.
+exactly what the plain forms in ``KINDS`` would. Matches are walked in blocks
+of about the root of their number, each beside its own part of the text, so that a text full of them takes
+little more than its length.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import free_names, table
 
 #: Code points before and after a span that are searched for context words.
 CONTEXT = 40
@@ -51,6 +54,15 @@ IBAN_START = f"(?:(?<![A-Za-z0-9])|(?!{'|'.join(IBAN_LENGTHS.values()).replace('
 IBAN_REACH = 50
 
 
+#: A name of a secret with a value behind it, or a key that is known by its start.
+SECRET = (
+    r"(?:(?i:token|secret|password|passwd|api[_-]?key|access[_-]?key)[\x22']?[\x20]?[:=][\x20]?[\x22']?[A-Za-z0-9/+_.-]{16,}"
+    r"|gh[opsu]_[A-Za-z0-9]{36}|AKIA[0-9A-Z]{16})"
+)
+#: The value; words and repeated characters are none.
+SECRET_VALUE, SECRET_KINDS = r"[A-Za-z0-9/+_.-]{16,}$", 8
+
+
 @dataclass(frozen=True)
 class Kind:
     """A kind of personal data: when a text is worth searching, what proposes spans, how they are scored."""
@@ -99,6 +111,11 @@ KINDS = (
         r"[0-9][0-9-]*+",
         0.4, r"(?i)(?:ssn|social security|tax id|identity)", 0.5, base=False,
     ),
+    Kind(
+        "secret", r"(?i)token|secret|passw|key|gh[opsu]_|AKIA",
+        SECRET,
+        0.6, r"(?i)(?:login|credential|auth|bearer)", 0.3, base=False,
+    ),
 )
 
 SPAN = "array<struct<start:bigint,rank:int,end:bigint,score:double>>"
@@ -138,47 +155,111 @@ def _confirmed(kind: Kind, found: Column) -> Column:
         return mod_97(F.replace(found, F.lit(" "), F.lit("")))
     if kind.name == "ssn":
         return found.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$") & ~digits.rlike("^(?:000|666|9)|^...00|0000$")
+    if kind.name == "secret":
+        value = F.regexp_extract(found, SECRET_VALUE, 0)
+        return value.rlike("[0-9]") & (F.size(F.array_distinct(F.split(value, "(?!^)(?!$)"))) >= SECRET_KINDS)
     return F.lit(True)
 
 
-def _spans(text: Column, kind: Kind, rank: int) -> Column:
-    """The confirmed spans of one kind; an empty array for most texts, which fail the gate."""
-    matches = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    pairs = F.arrays_zip(F.split(text, kind.pattern, -1).alias("piece"), matches.alias("match"))
-    nothing = F.struct(
-        F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<start:bigint,end:bigint>>").alias("out")
-    )
+#: Fewest matches of a block.
+LEAST_BLOCK = 64
+PLACED = "array<struct<start:bigint,end:bigint>>"
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once: what a lambda names is worked out again for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + F.length(p["piece"])
-        end = start + F.length(p["match"])
-        whole, fits = p["match"], F.lit(True)
-        if kind.name == "iban":
-            whole = F.regexp_extract(F.substring(text, (start + 1).cast("int"), F.lit(IBAN_REACH)), f"^{IBAN}", 0)
-            fits = (F.length(whole) > 0) & (F.coalesce(F.try_element_at(acc["out"], F.lit(-1))["end"], F.lit(0)) <= start)
-        span = F.array(F.struct(start.alias("start"), (start + F.length(whole)).alias("end")))
-        found = F.when(fits & _confirmed(kind, whole), F.concat(acc["out"], span)).otherwise(acc["out"])
-        return F.struct(end.alias("at"), found.alias("out"))
 
+def _blocks(items: Column) -> tuple[Column, Column]:
+    """(items in a block, their number of blocks): about as many of either."""
+    size = F.greatest(F.ceil(F.sqrt(F.size(items))), F.lit(LEAST_BLOCK)).cast("int")
+    return size, F.ceil(F.size(items) / size).cast("int")
+
+
+def _numbered(blocks: Column) -> Column:
+    """0, 1, … for every block; empty if there is none."""
+    return F.when(blocks > 0, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def _matches(text: Column, pattern: str) -> Column:
+    """Blocks of matches: (at, matches (piece, match)), ``at`` being the code points before the first piece."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     # the last piece has no match
-    walk = F.aggregate(F.filter(pairs, lambda p: p["match"].isNotNull()), nothing, step, lambda acc: acc["out"])
-    near = lambda s: F.concat(
-        F.substring(text, F.greatest(s["start"] - CONTEXT + 1, F.lit(1)).cast("int"), F.least(s["start"], F.lit(CONTEXT)).cast("int")),
-        F.lit(" "),
-        F.substring(text, (s["end"] + 1).cast("int"), F.lit(CONTEXT)),
+    pairs = F.filter(F.arrays_zip(F.split(text, pattern, -1).alias("piece"), found.alias("match")), lambda p: p["match"].isNotNull())
+    length = lambda block: F.aggregate(
+        block, F.lit(0).cast("bigint"), lambda n, p: n + F.length(p["piece"]) + F.length(p["match"])
     )
-    scored = F.transform(
-        walk,
-        lambda s: F.struct(
-            s["start"].alias("start"),
-            F.lit(rank).alias("rank"),
-            s["end"].alias("end"),
-            (F.lit(kind.score) + F.when(near(s).rlike(kind.context), kind.bonus).otherwise(0.0)).alias("score"),
+
+    def cut(pairs: Column) -> Column:
+        size, blocks = _blocks(pairs)
+        return F.transform(_numbered(blocks), lambda b: F.slice(pairs, b * size + 1, size))
+
+    def placed(sized: Column) -> Column:
+        before = lambda i: F.aggregate(F.slice(sized, F.lit(1), i), F.lit(0).cast("bigint"), lambda n, x: n + x["length"])
+        return F.transform(sized, lambda x, i: F.struct(before(i).alias("at"), x["matches"].alias("matches"), x["length"].alias("length")))
+
+    sized = F.transform(_let(pairs, cut), lambda block: F.struct(block.alias("matches"), length(block).alias("length")))
+    return _let(sized, placed)
+
+
+def _spans(text: Column, kind: Kind, rank: int) -> Column:
+    """The confirmed spans of one kind; an empty array for most texts, which fail the gate."""
+    # a block's own part of the text, with room for context before and for an account number and context behind
+    origin = lambda x: F.greatest(x["at"] - CONTEXT, F.lit(0).cast("bigint"))
+    reach = IBAN_REACH + CONTEXT
+    own = F.transform(
+        _matches(text, kind.pattern),
+        lambda x: F.struct(
+            x["at"].alias("at"), x["matches"].alias("matches"), origin(x).alias("origin"),
+            F.substring(text, (origin(x) + 1).cast("int"), (x["at"] - origin(x) + x["length"] + reach).cast("int")).alias("around"),
         ),
     )
+
+    def walk(x: Column) -> Column:
+        nothing = F.struct(x["at"].alias("at"), F.array().cast(PLACED).alias("out"))
+
+        def step(acc: Column, p: Column) -> Column:
+            start = acc["at"] + F.length(p["piece"])
+            whole, fits = p["match"], F.lit(True)
+            if kind.name == "iban":
+                here = F.substring(x["around"], (start - x["origin"] + 1).cast("int"), F.lit(IBAN_REACH))
+                whole = F.regexp_extract(here, f"^{IBAN}", 0)
+                fits = F.length(whole) > 0
+            span = F.array(F.struct(start.alias("start"), (start + F.length(whole)).alias("end")))
+            found = F.when(fits & _confirmed(kind, whole), F.concat(acc["out"], span)).otherwise(acc["out"])
+            return F.struct((start + F.length(p["match"])).alias("at"), found.alias("out"))
+
+        return F.aggregate(x["matches"], nothing, step, lambda acc: acc["out"])
+
+    def scored(x: Column, span: Column) -> Column:
+        first = span["start"] - x["origin"]
+        near = F.concat(
+            F.substring(x["around"], F.greatest(first - CONTEXT + 1, F.lit(1)).cast("int"), F.least(first, F.lit(CONTEXT)).cast("int")),
+            F.lit(" "),
+            F.substring(x["around"], (span["end"] - x["origin"] + 1).cast("int"), F.lit(CONTEXT)),
+        )
+        score = F.lit(kind.score) + F.when(near.rlike(kind.context), kind.bonus).otherwise(0.0)
+        return F.struct(span["start"].alias("start"), F.lit(rank).alias("rank"), span["end"].alias("end"), score.alias("score"))
+
+    found = F.flatten(F.transform(own, lambda x: F.transform(walk(x), lambda span: scored(x, span))))
+    if kind.name == "iban":
+        found = _let(found, _apart)
     if not kind.base:
-        scored = F.filter(scored, lambda s: s["score"] >= LEAST_SCORE)
-    return F.when(text.rlike(kind.gate), scored).otherwise(F.array().cast(SPAN))
+        found = F.filter(found, lambda s: s["score"] >= LEAST_SCORE)
+    return F.when(text.rlike(kind.gate), found).otherwise(F.array().cast(SPAN))
+
+
+def _apart(spans: Column) -> Column:
+    """Without spans that begin inside an earlier one that is kept. Hardly any text has some; only those are walked one by one."""
+    inside = F.exists(
+        F.arrays_zip(spans.alias("s"), F.slice(spans, F.lit(2), F.greatest(F.size(spans) - 1, F.lit(0))).alias("next")),
+        lambda p: F.coalesce(p["next"]["start"] < p["s"]["end"], F.lit(False)),
+    )
+    step = lambda out, s: F.when(
+        F.coalesce(F.try_element_at(out, F.lit(-1))["end"], F.lit(0)) <= s["start"], F.concat(out, F.array(s))
+    ).otherwise(out)
+    return F.when(inside, F.aggregate(spans, F.array().cast(SPAN), step)).otherwise(spans)
 
 
 def find_personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -190,9 +271,12 @@ def find_personal_data(docs: DataFrame, text: str = "text") -> DataFrame:
     Spans of different kinds may overlap. All columns and rows stay; an added
     column replaces one of the same name. An empty table stays empty.
     """
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    every = F.concat(*[_spans(body, kind, rank) for rank, kind in enumerate(KINDS)])
-    return docs.withColumn("pii_spans", F.array_sort(every))
+    return docs.withColumn("pii_spans", _found(F.col(text).cast("string")))
+
+
+def _found(text: Column) -> Column:
+    body = F.coalesce(text, F.lit(""))
+    return F.array_sort(F.concat(*[_spans(body, kind, rank) for rank, kind in enumerate(KINDS)]))
 
 
 def _written(spans: Column) -> Column:
@@ -212,28 +296,49 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     Texts without spans, NULL texts and all other columns stay as they are.
     """
     names = F.array(*[F.lit(f"[{k.name.upper()}]") for k in KINDS])
-    body = F.col(text)
-    step = lambda acc, s: F.when(
-        s["start"] < acc["at"],
-        F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")),
-    ).otherwise(
-        F.struct(
-            s["end"].alias("at"),
-            F.concat(
-                acc["out"],
-                F.array(
-                    F.substring(body, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")),
-                    F.get(names, s["rank"]),
-                ),
-            ).alias("out"),
+    (held,) = free_names(docs.columns, "found_spans")
+    body, spans = F.col(text).cast("string"), F.col(held)
+    zero = F.lit(0).cast("bigint")
+
+    def cut(spans: Column) -> Column:
+        size, blocks = _blocks(spans)
+        furthest = lambda block: F.array_max(F.transform(block, lambda s: s["end"]))
+        blocked = F.transform(_numbered(blocks), lambda b: F.slice(spans, b * size + 1, size))
+        return F.transform(blocked, lambda block: F.struct(block.alias("spans"), furthest(block).alias("end")))
+
+    def placed(blocked: Column) -> Column:
+        """Every block with the end of all spans before it, and its own part of the text from there."""
+        covered = lambda i: F.coalesce(F.array_max(F.transform(F.slice(blocked, F.lit(1), i), lambda x: x["end"])), zero)
+        ranged = F.transform(blocked, lambda x, i: F.struct(x["spans"].alias("spans"), covered(i).alias("at")))
+        room = lambda x: F.greatest(F.element_at(x["spans"], -1)["start"] - x["at"], zero)
+        part = lambda x: F.substring(body, (x["at"] + 1).cast("int"), room(x).cast("int"))
+        return F.transform(ranged, lambda x: F.struct(x["spans"].alias("spans"), x["at"].alias("at"), part(x).alias("part")))
+
+    def rewritten(x: Column) -> Column:
+        step = lambda acc, s: F.when(
+            s["start"] < acc["at"],
+            F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out")),
+        ).otherwise(
+            F.struct(
+                s["end"].alias("at"),
+                F.concat(
+                    acc["out"],
+                    F.array(
+                        F.substring(x["part"], (acc["at"] - x["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")),
+                        F.get(names, s["rank"]),
+                    ),
+                ).alias("out"),
+            )
         )
-    )
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
-    rest = lambda acc: F.concat(
-        F.array_join(acc["out"], ""), F.substring(body, (acc["at"] + 1).cast("int"), F.lit(2**31 - 1))
-    )
-    cleaned = F.when(F.size("pii_spans") > 0, F.aggregate("pii_spans", zero, step, rest)).otherwise(body)
-    return find_personal_data(docs, text).withColumn(text, cleaned).drop("pii_spans")
+        nothing = F.struct(x["at"].alias("at"), F.array().cast("array<string>").alias("out"))
+        return F.aggregate(x["spans"], nothing, step, lambda acc: F.array_join(acc["out"], ""))
+
+    furthest = F.array_max(F.transform(spans, lambda s: s["end"]))
+    rest = F.substring(body, (furthest + 1).cast("int"), F.lit(2**31 - 1))
+    whole = F.concat(F.array_join(F.transform(_let(_let(spans, cut), placed), rewritten), ""), rest)
+    cleaned = F.when(F.size(spans) > 0, whole).otherwise(body)
+    found = docs.withColumn(held, _found(body))
+    return found.withColumn(text, cleaned).drop(held)
 
 
 def op9_pii(spark, sf_dir: str) -> DataFrame:
@@ -274,7 +379,34 @@ _MOD_97 = """list_reduce([
     CASE WHEN c BETWEEN '0' AND '9' THEN c::INT ELSE ascii(c) - 55 END
     FOR c IN list_concat([0::VARCHAR], string_split(substring(replace(m, ' ', ''), 5) || left(replace(m, ' ', ''), 4), ''))],
     lambda a, b: (a * CASE WHEN b > 9 THEN 100 ELSE 10 END + b) % 97) = 1"""
+
+
+def _iban_sql() -> str:
+    """Account numbers from every possible start: as long as their country says and standing alone; of other codes, a run."""
+    known = " ".join(IBAN_LENGTHS.values()).split()
+    listed = lambda codes: ", ".join(f"'{c}'" for c in codes)
+    form = lambda size: (
+        f"^([A-Z]{{2}}[0-9]{{2}}(?:[\\x20]?[A-Z0-9]{{4}}){{{size // 4 - 1}}}" + (f"[\\x20]?[A-Z0-9]{{{size % 4}}}" if size % 4 else "") + ")(?:[^A-Za-z0-9]|$)"
+    )
+    of_country = "\n".join(
+        f"WHEN left(c, 2) IN ({listed(codes.split())}) THEN regexp_extract(c, '{form(size)}', 1)" for size, codes in IBAN_LENGTHS.items()
+    )
+    other = r"^[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]{4}){2,7}(?:[\x20]?[A-Z0-9]{1,3})?"
+    start = "[A-Z]{2}[0-9]{2}"
+    return f"""
+SELECT doc_id, 4 AS rank, 'iban' AS kind, s, s + length(m) AS e FROM (
+  SELECT doc_id, s, CASE WHEN left(c, 2) IN ({listed(known)}) AND regexp_matches(before, '[A-Za-z0-9]') THEN ''
+    {of_country} ELSE regexp_extract(c, '{other}') END AS m FROM (
+    SELECT doc_id, e - 4 AS s, substring(text, e::BIGINT - 3, {IBAN_REACH}) AS c, CASE WHEN e > 4 THEN substring(text, e::BIGINT - 4, 1) ELSE '' END AS before FROM (
+      SELECT doc_id, text, sum(length(ps[i]) + 4) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM (
+        SELECT doc_id, text, ps, unnest(generate_series(1, len(ps) - 1)) AS i FROM (
+          SELECT doc_id, text, string_split_regex(text, '{start}') AS ps FROM documents WHERE regexp_matches(text, '{start}')))))
+) WHERE length(m) > 0 AND {_MOD_97}"""
+
+
 _SSN = "regexp_full_match(m, '[0-9]{3}-[0-9]{2}-[0-9]{4}') AND NOT regexp_matches(d, '^(?:000|666|9)|^...00|0000$')"
+_SECRET = f"""regexp_matches(regexp_extract(m, '{SECRET_VALUE}'), '[0-9]')
+    AND len(list_distinct(string_split(regexp_extract(m, '{SECRET_VALUE}'), ''))) >= {SECRET_KINDS}"""
 
 OP9_SQL = (
     "WITH span AS ("
@@ -287,11 +419,14 @@ OP9_SQL = (
                 (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", _IP),
                 (r"[0-9]([\x20-]?[0-9])+", _LUHN),
                 (r"\+[0-9][\x20().0-9-]+[0-9]", "length(d) BETWEEN 9 AND 15"),
-                (r"[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]{4}){2,7}(?:[\x20]?[A-Z0-9]{1,3})?", _MOD_97),
+                (None, None),
                 (r"[0-9][0-9-]*", _SSN),
+                (SECRET.replace("'", "''"), _SECRET),
             ),
         )
+        if pattern
     )
+    + " UNION ALL " + _iban_sql()
     + """
 ), per AS (
   SELECT doc_id, count(*) FILTER (rank = 0) AS n_email, count(*) FILTER (rank = 1) AS n_ip, count(*) FILTER (rank = 2) AS n_card,

@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline as pipeline
 import pytest
 from test_decontaminate import slow as slow_benchmark
-from test_pii import slow as slow_spans
+from test_pii import slow, slow_secrets
 from test_simhash import slow_components, slow_fingerprint
 
 from renewlens.llm import pii
@@ -52,7 +52,7 @@ def test_spans_are_replaced(stages):
     assert set(before) == {r["doc_id"] for r in stages[4]}
     for r in stages[4]:
         text, at, out = before[r["doc_id"]], 0, ""
-        for start, rank, end in slow_spans(text):
+        for start, rank, end in sorted(slow(text) + slow_secrets(text)):
             if start >= at:
                 out, at = out + text[at:start] + names[rank], end
             else:
