@@ -36,28 +36,31 @@ def round4(value):
 ANCHOR = ""
 
 
-def build_postings(docs: DataFrame, vocabulary: DataFrame | None = None, anchored: bool = False) -> DataFrame:
+def build_postings(
+    docs: DataFrame, vocabulary: DataFrame | None = None, anchored: bool = False, keep: tuple[str, ...] = (), dealt: bool = False
+) -> DataFrame:
     """(doc_id, word, length, tf) of ``docs``, one row per document, laid out by document.
 
     The texts are shuffled once; the words unfolded from them are many times
     larger and are then counted where they are. With a ``vocabulary`` (one
     ``word`` column) all other words are dropped where the text is read. ``anchored``
-    adds one row per document, so that lengths can be read from the postings.
+    adds one row per document, so that lengths can be read from the postings. Columns to
+    ``keep`` belong to the document. ``dealt`` says that the texts lie by document already.
     """
     # The length is taken before the words are unfolded; beside the explode it would be
     # worked out again for every word.
+    texts = docs.select("doc_id", *keep, "text")
     found = (
-        docs.select("doc_id", "text")
-        .repartition("doc_id")
-        .select("doc_id", words(F.col("text")).alias("found"))
-        .select("doc_id", F.size("found").cast("long").alias("length"), "found")
+        (texts if dealt else texts.repartition("doc_id"))
+        .select("doc_id", *keep, words(F.col("text")).alias("found"))
+        .select("doc_id", *keep, F.size("found").cast("long").alias("length"), "found")
     )
     if anchored:
         found = found.withColumn("found", F.concat(F.array(F.lit(ANCHOR)), "found"))
-    exploded = found.select("doc_id", "length", F.explode("found").alias("word"))
+    exploded = found.select("doc_id", *keep, "length", F.explode("found").alias("word"))
     if vocabulary is not None:
         exploded = exploded.join(vocabulary, "word", "left_semi")
-    return exploded.groupBy("doc_id", "word").agg(F.max("length").alias("length"), F.count("*").alias("tf"))
+    return exploded.groupBy("doc_id", *keep, "word").agg(F.max("length").alias("length"), F.count("*").alias("tf"))
 
 
 def query_words(queries: DataFrame) -> DataFrame:

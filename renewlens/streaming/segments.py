@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.errors import AnalysisException
 
-from ..operators.customer360 import top_per_key
-from ..operators.search import BROADCAST_ROWS, LIMIT, asked_vocabulary, build_postings, query_words
+from ..operators.search import BROADCAST_ROWS, LIMIT, asked_vocabulary, build_postings, is_small, query_words
 from ..operators.topk import bounded_rank
 from ..session import written
 from .feeds import _batch_folder, _start
@@ -34,16 +33,23 @@ def segment_feed(docs: DataFrame, out: str, checkpoint: str, version: str | None
 
     def write(batch: DataFrame, batch_id: int) -> None:
         number = F.lit(0) if version is None else F.coalesce(version, F.lit(0))
-        given = batch.filter("doc_id IS NOT NULL").select("doc_id", "text", number.cast("long").alias("version"))
-        last = top_per_key(given, ["doc_id"], [F.desc("version"), F.desc(F.xxhash64("text"))]).drop("rn")
-        postings = build_postings(last, anchored=True).join(last.select("doc_id", "version"), "doc_id")
-        postings.write.mode("overwrite").parquet(_batch_folder(f"{out}/postings", batch_id))
+        given = batch.filter("doc_id IS NOT NULL").select(
+            "doc_id", number.cast("long").alias("version"), F.xxhash64("text").alias("mark"), "text"
+        )
+        newest = Window.partitionBy("doc_id").orderBy(F.desc("version"), F.desc("mark"))
+        # the texts are dealt by document once, for the window and for the postings; the second job needs none of them
+        last = given.repartition("doc_id").withColumn("n", F.row_number().over(newest)).filter("n = 1")
+        _save(build_postings(last, anchored=True, keep=("version",), dealt=True), _batch_folder(f"{out}/postings", batch_id))
         # written last: a batch without its documents is not read
-        last.select("doc_id", "version").write.mode("overwrite").parquet(_batch_folder(f"{out}/documents", batch_id))
+        _save(last.select("doc_id", "version"), _batch_folder(f"{out}/documents", batch_id))
 
     return _start(docs.writeStream.foreachBatch(write), checkpoint, every)
 
 
+def _save(df: DataFrame, folder: str) -> None:
+    df.write.mode("overwrite").option("compression", "zstd").parquet(folder)
+
+
 def _head(spark: SparkSession, out: str) -> int:
     """The last batch that is folded into a merged segment, -1 if there is none."""
     try:
@@ -72,7 +78,8 @@ def _state(spark: SparkSession, out: str) -> tuple[DataFrame, DataFrame, int]:
     postings = _parts(spark, out, "postings", head).filter(F.col("batch") <= upto)
     # what was replaced is little beside all postings: it is taken out, they are not gathered by document
     # (the version of a document that was taken out has no postings)
-    return ranked, postings.join(ranked.filter("NOT last").select(*KEY), KEY, "left_anti"), upto
+    replaced = ranked.filter("NOT last").select(*KEY)
+    return ranked, postings.join(F.broadcast(replaced) if is_small(replaced) else replaced, KEY, "left_anti"), upto
 
 
 def live_postings(spark: SparkSession, out: str) -> DataFrame:
@@ -90,9 +97,9 @@ def merge_segments(spark: SparkSession, out: str) -> int:
     documents, postings, upto = _state(spark, out)
     if upto > head:
         folder = f"{out}/merged/upto={upto}"
-        postings.write.mode("overwrite").parquet(f"{folder}/postings")
+        _save(postings, f"{folder}/postings")
         # documents that were taken out are kept as such: an older version may still arrive
-        documents.filter("last").drop("last").write.mode("overwrite").parquet(f"{folder}/documents")
+        _save(documents.filter("last").drop("last"), f"{folder}/documents")
         spark.range(1).select(F.lit(True).alias("done")).write.mode("overwrite").parquet(f"{out}/heads/upto={upto}")
     return upto
 
