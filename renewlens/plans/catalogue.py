@@ -587,7 +587,8 @@ def current_time(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("Call the customer back about the renewal").alias("action_taken"), F.lit("PENDING").alias("status"),
     )
     checked = actions.validate_actions(asked, sales.customers(spark, sf_dir)).filter("accepted")
-    off = F.abs(F.unix_timestamp(F.current_timestamp()) - F.unix_timestamp(F.col("action_timestamp").cast("timestamp")))
+    now = "cast(to_utc_timestamp(current_timestamp(), current_timezone()) AS timestamp_ntz)"  # whatever the zone of the session
+    off = F.abs(F.expr(f"timestampdiff(SECOND, action_timestamp, {now})"))
     return flat(
         checked.select("customer_id", (off < 3600).alias("is_now"), actions.action_text(F.col("status"), F.lit("x"), F.col("action_taken"), length=8).alias("short_text"))
     )
