@@ -10,16 +10,17 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import texts
+from ..functions.counting import best_sentences
 from ..functions.lexicon import ANCHOR, DEFAULT_INTENT, INTENTS, SERVICE_ENGLISH, Lexicon
 from ..functions.rules import retention_risk, sentiment_label
 from ..functions.text import is_blank, sentences, words
 from ..session import written
-from .customer360 import top_per_key
+from .customer360 import split_repeated, top_per_key
 
 SUMMARY_SENTENCES = 3
 KEY_PHRASES = 5
@@ -124,12 +125,14 @@ def summary_sentences(
     Word counts are combined before they are shuffled, and the frequency of a
     word comes back by a join whose large side may be split, so a long text with
     a frequent word does not become one task. Texts that are one row each
-    (documents) are laid out by interaction once instead; nothing is shuffled
-    after their words are unfolded, and no group exceeds its text. ``numbered``
+    (documents) are scored in their rows instead and not shuffled at all; those
+    whose id comes again go with the others. ``numbered``
     are the sentences of ``turns`` if they have been written already.
     """
     if one_row_each:
-        turns = turns.repartition("interaction_id")
+        single, repeated = split_repeated(turns, ["interaction_id"])
+        best = _row_sentences(single, n)
+        return best if repeated is None else best.unionByName(summary_sentences(repeated, n))
     numbered = sentence_rows(turns) if numbered is None else numbered
     place = ["interaction_id", "turn_no", "sentence_no"]
     counts = (
@@ -137,13 +140,9 @@ def summary_sentences(
         .groupBy(*place, "word")
         .agg(F.count("*").alias("n"))
     )
-    if one_row_each:
-        same_word = Window.partitionBy("interaction_id", "word")
-        weighed = counts.withColumn("frequency", F.sum("n").over(same_word))
-    else:
-        frequency = counts.groupBy("interaction_id", "word").agg(F.sum("n").alias("frequency"))
-        # The size of unfolded words cannot be estimated from the texts: never broadcast them.
-        weighed = counts.join(frequency.hint("merge"), ["interaction_id", "word"])
+    frequency = counts.groupBy("interaction_id", "word").agg(F.sum("n").alias("frequency"))
+    # The size of unfolded words cannot be estimated from the texts: never broadcast them.
+    weighed = counts.join(frequency.hint("merge"), ["interaction_id", "word"])
     scores = weighed.groupBy(*place).agg((F.sum(F.col("n") * F.col("frequency")) / F.sum("n")).alias("score"))
     best = top_per_key(
         scores, ["interaction_id"], [F.desc("score"), F.asc("turn_no"), F.asc("sentence_no")], n
@@ -151,6 +150,17 @@ def summary_sentences(
     return numbered.join(best, place).select(*place, "sentence", "score")
 
 
+def _row_sentences(turns: DataFrame, n: int) -> DataFrame:
+    """``summary_sentences`` of interactions that are one row each."""
+    place = ["interaction_id", "turn_no"]
+    found = turns.filter("interaction_id IS NOT NULL AND turn_no IS NOT NULL AND text IS NOT NULL").select(
+        *place, sentences(F.col("text")).alias("listed")
+    ).select(*place, "listed", F.transform("listed", words).alias("found"))
+    kinds = [f"{c} {turns.schema[c].dataType.simpleString()}" for c in place]
+    schema = ", ".join([*kinds, "sentence_no int, sentence string, score double"])
+    return found.mapInArrow(best_sentences(place, n), schema)
+
+
 def summarize(
     turns: DataFrame, n: int = SUMMARY_SENTENCES, one_row_each: bool = False, numbered: DataFrame | None = None
 ) -> DataFrame:
