@@ -75,7 +75,7 @@ def postings_feed(docs: DataFrame, out: str, checkpoint: str, every: str | None
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        build_postings(batch.dropDuplicates(["doc_id"])).write.mode("overwrite").parquet(_batch_folder(out, batch_id))
+        build_postings(batch.dropDuplicates(["doc_id"]), unique=True).write.mode("overwrite").parquet(_batch_folder(out, batch_id))
 
     return _start(docs.writeStream.foreachBatch(write), checkpoint, every)
 

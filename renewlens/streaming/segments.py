@@ -39,7 +39,7 @@ def segment_feed(docs: DataFrame, out: str, checkpoint: str, version: str | None
         newest = Window.partitionBy("doc_id").orderBy(F.desc("version"), F.desc("mark"))
         # the texts are dealt by document once, for the window and for the postings; the second job needs none of them
         last = given.repartition("doc_id").withColumn("n", F.row_number().over(newest)).filter("n = 1")
-        _save(build_postings(last, anchored=True, keep=("version",), dealt=True), _batch_folder(f"{out}/postings", batch_id))
+        _save(build_postings(last, anchored=True, keep=("version",), unique=True), _batch_folder(f"{out}/postings", batch_id))
         # written last: a batch without its documents is not read
         _save(last.select("doc_id", "version"), _batch_folder(f"{out}/documents", batch_id))
 
